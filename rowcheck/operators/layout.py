@@ -132,7 +132,7 @@ def layout_text(pieces: DataFrame) -> DataFrame:
     full = blocked.join(placed, ["doc_id", "page", "block", "line", "cell"], "left")
     by_line = full.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))).alias("c"), F.max("col_no").isNotNull().alias("tabular"))
     first, last = F.col("c")[0]["at"], F.element_at("c", -1)["at"]
-    grid = F.transform(F.sequence(first, last), lambda k: F.coalesce(F.element_at(F.filter(F.col("c"), lambda x: x["at"] == k), 1)["text"], F.lit("")))
+    grid = F.transform(F.sequence(first, last), lambda k: F.coalesce(F.try_element_at(F.filter(F.col("c"), lambda x: x["at"] == k), F.lit(1))["text"], F.lit("")))
     spelled = F.array_join(F.when(F.col("tabular"), grid).otherwise(F.transform("c", lambda x: x["text"])), " | ")
     pages = by_line.select("doc_id", "page", "line", spelled.alias("t")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("l"))
     paged = pages.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("t"))
