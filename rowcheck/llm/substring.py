@@ -28,7 +28,8 @@ from rowcheck.llm.text import U64, buffers, texts_of, windows, word_hashes, word
 
 #: No level is shorter than this many words.
 SHORTEST = 7
-BLOCKS_PER_PARTITION = 4
+#: Two blocks a partition and half as many buckets as partitions: blocks times buckets is the most messages a level sends.
+BLOCKS_PER_PARTITION = 2
 _UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("keys", pa.binary())])
 _DOWN = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -220,14 +221,14 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     if window < 2 * SHORTEST - 1:
         raise ValueError(f"a window has {2 * SHORTEST - 1} words or more")
     n = partitions(docs.sparkSession)
-    blocks = BLOCKS_PER_PARTITION * n
+    blocks, buckets = BLOCKS_PER_PARTITION * n, -(-n // 2)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(n, "block")
     up, down = "bucket int, block int, level int, keys binary", "block int, level int, bucket int, bits binary"
     last, known = len(levels(window)) - 1, None
     for level in range(last + 1):
         by_block = dealt.groupBy("block")
-        asked = (by_block if known is None else by_block.cogroup(known.groupBy("block"))).applyInArrow(_ask(level, window, n), up)
+        asked = (by_block if known is None else by_block.cogroup(known.groupBy("block"))).applyInArrow(_ask(level, window, buckets), up)
         said = asked.groupBy("bucket").applyInArrow(_answer(last), down)
         known = said if known is None else known.union(said)
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_cut_out(window, with_text), _OUT + (", kept_text string" if with_text else ""))
