@@ -1,7 +1,7 @@
 """Language-model scoring with a hidden Markov model.
 
 Words are counted over all training documents (base model). The hidden Markov model has STATES latent
-states; each emits a symbol: one of the MOST_WORDS commonest words, the end of a text, or a class of rarer words
+states; each emits a symbol: one of the commonest words (at most MOST_WORDS, each one in ONE_IN tokens or more), the end of a text, or a class of rarer words
 (by the word's last bytes), within which a word has its smoothed share of the class's counts. Baum-Welch
 runs over every training document: each task sends the expected counts of its symbols, Spark adds them
 up, and the new model (its size is fixed by STATES, MOST_WORDS and CLASSES) is sent out. A text's score is the
@@ -28,7 +28,9 @@ from rowcheck.llm.common import cut, partitions
 from rowcheck.llm.text import U64, buffers, lower, slices, texts_of, word_hashes, words
 
 STATES, MOST_WORDS, CLASSES, ROUNDS = 6, 4096, 512, 4
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 2
+#: A word with a symbol of its own makes up at least this share of all training tokens (one in so many).
+ONE_IN = 20_000
 SMOOTH = 0.1
 #: Training cuts token sequences into stretches of this length (scores never do).
 STRETCH = 64
@@ -119,9 +121,9 @@ def _total(most_words: int):
         for block, part in zip(table["block"].to_pylist(), parts, strict=True):
             rows.append(("answer", block, bucket, zlib.compress(back[at : at + len(part[0])].tobytes(), 1), None, None, None, None))
             at += len(part[0])
-        word, own = a[first], cls[order][first]
+        word, own, whole = a[first], cls[order][first], int(sums.sum())  # this bucket's tokens: no more than all of them
         for k in np.lexsort((word, -sums))[:most_words].tolist():
-            if sums[k] > 0 and word[k] != _END:
+            if sums[k] * ONE_IN >= whole and sums[k] > 0 and word[k] != _END:
                 rows.append(("word", -1, bucket, None, int(word[k : k + 1].view(np.int64)[0]), int(own[k]), int(sums[k]), 1))
         ends = word == _END
         rows.append(("end", -1, bucket, None, None, None, int(sums[ends].sum()), int((sums[ends] > 0).sum())))
@@ -275,10 +277,11 @@ def train(docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
             ends, end_kinds = n, distinct
         else:
             mass[c], kinds[c] = n, distinct
-    top = known.where("kind = 'word'").orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word", "class", "n").collect()
+    tokens, distinct = int(mass.sum()) + ends, int(kinds.sum()) + end_kinds
+    common = known.where((F.col("kind") == "word") & (F.col("n") * ONE_IN >= tokens))
+    top = common.orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word", "class", "n").collect()
     hashes = np.array([r[0] for r in top], np.int64).view(U64)
     counts, cls = np.array([r[2] for r in top], float), np.array([r[1] for r in top], np.int64)
-    tokens, distinct = int(mass.sum()) + ends, int(kinds.sum()) + end_kinds
     rare, rare_kinds = mass - np.bincount(cls, counts, CLASSES), kinds - np.bincount(cls, minlength=CLASSES)
     order = np.argsort(hashes)
     # each class also holds one unseen word of count zero
@@ -329,7 +332,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # rows without an id are spread by their text
     block = F.pmod(F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)), F.lit(BLOCKS_PER_PARTITION * n)).cast("int")
     dealt = plain.withColumn("train", training()).withColumn("block", block).repartition(n, "block")
-    asked = dealt.groupBy("block").applyInArrow(_count(n), "bucket int, block int, keys binary")
+    asked = dealt.groupBy("block").applyInArrow(_count(-(-n // 2)), "bucket int, block int, keys binary")
     known = cut(asked.groupBy("bucket").applyInArrow(_total(MOST_WORDS), _DOWN_SQL))
     model = train(plain.where(training()), known, rounds)
     held = docs.sparkSession.sparkContext.broadcast(model)
