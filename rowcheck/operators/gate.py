@@ -6,7 +6,7 @@ projections only, but for one aggregate per document (number conventions).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,12 +96,12 @@ def _scalar(c: ColumnSpec, text: Column, number: Column | None) -> Column:
     raise ValueError(f"column {c.name!r} has the unsupported type {c.data_type!r}")
 
 
-def coerce(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = None, infer: bool = True, flags: bool = False) -> DataFrame:
+def coerce(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = None, infer: bool = True, flags: bool = False, keep: Mapping[str, Column] | None = None) -> DataFrame:
     """Typed columns, `raw` (staged texts, NULL words gone) and `findings`, at most one per cell.
 
     Separators are settled by the column's scale, then the document's own convention, else the cell is
     refused. infer=False takes no document-wide convention (streams of single rows). flags adds a boolean bad__<column>
-    per column: coercion refused the cell.
+    per column: coercion refused the cell. keep carries further columns of the staged rows along.
     """
     columns = spec.extractable
     numbers = [c for c in columns if c.is_number]
@@ -109,7 +109,8 @@ def coerce(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = N
         conventions = number_conventions(staged, spec)
     held = dict(staged.dtypes)
     raw, text, body, plain, value = (lambda c, k=k: F.col(f"`{k}__{c.name}`") for k in ("raw", "text", "body", "plain", "value"))
-    cells = staged.select("doc_id", "row_idx", *(X.null_words(F.col(f"`{c.name}`").cast("string"), c.enum_labels).alias(f"raw__{c.name}") if c.name in held else F.lit(None).cast("string").alias(f"raw__{c.name}") for c in columns))
+    keep = keep or {}
+    cells = staged.select("doc_id", "row_idx", *(c.alias(name) for name, c in keep.items()), *(X.null_words(F.col(f"`{c.name}`").cast("string"), c.enum_labels).alias(f"raw__{c.name}") if c.name in held else F.lit(None).cast("string").alias(f"raw__{c.name}") for c in columns))
     if conventions is not None:
         proven = conventions.select("doc_id", *((F.col(f"`{c.name}`") if c.name in conventions.columns else F.lit(None).cast("string")).alias(f"point__{c.name}") for c in numbers))
         cells = cells.join(proven, "doc_id", "left")
@@ -137,7 +138,7 @@ def coerce(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = N
         found.append(own)
     whole = lambda c: F.when(~F.exists(value(c), lambda x: x.isNull()), value(c)) if c.element is not None else value(c)
     bad = [((F.lit(False) if not c.enum_labels and c.data_type in TEXTS else raw(c).isNotNull() & wrong_value(c)) | (F.lit(False) if c.nullable or c.has_default else raw(c).isNull())).alias(f"bad__{c.name}") for c in columns] if flags else []
-    return typed.select("doc_id", "row_idx", *(whole(c).alias(c.name) for c in columns), *bad, F.struct(*(raw(c).alias(c.name) for c in columns)).alias("raw"), _held(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("findings"))
+    return typed.select("doc_id", "row_idx", *keep, *(whole(c).alias(c.name) for c in columns), *bad, F.struct(*(raw(c).alias(c.name) for c in columns)).alias("raw"), _held(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("findings"))
 
 
 def _refused(name: str) -> Column:

@@ -128,15 +128,14 @@ def dry_run_load(rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[st
     """
     wanted = spec.extractable
     held = set(rows.columns)
-    typed = coerce(rows, spec, infer=False)
     refused = lambda rule: F.exists("findings", lambda f: f["rule"].isin(*rule))
     too_long = F.lit(False)
     for c in wanted:
         if c.max_length is not None and c.data_type in TEXTS:
             too_long = too_long | F.coalesce(F.char_length(F.col(c.name)) > c.max_length, F.lit(False))
     given = [c for c in spec.columns if not c.extractable and c.name in held]
-    extra = rows.select("doc_id", "row_idx", *([F.coalesce(*(F.col(c.name).isNotNull() for c in given)).alias("identity__")] if given else []), *(["phantoms"] if "phantoms" in held else []))
-    joined = typed.join(extra, ["doc_id", "row_idx"]) if len(extra.columns) > 2 else typed
+    keep = {"identity__": F.coalesce(*(F.col(c.name).isNotNull() for c in given))} if given else {}
+    joined = coerce(rows, spec, infer=False, keep=keep | ({"phantoms": F.col("phantoms")} if "phantoms" in held else {}))
     empty = ~F.exists(F.array(*(F.col(f"raw.`{c.name}`").isNotNull() for c in wanted)), lambda x: x)
     ladder = F.when(empty, "empty")
     if "phantoms" in held:
