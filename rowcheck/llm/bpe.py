@@ -1,34 +1,40 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut where a hash of the last 8 bytes hits a pattern, so equal passages are cut alike
-wherever they stand. Each chunk is encoded once per task and kept; a chunk that turns up again, in the
-same or another document of the task, costs a lookup. Chunk ends may cut a token or a pre-token in
-two, so joins are repaired: the stretch around a join is re-encoded, and widened until both its ends
-fall on token boundaries of the neighbouring chunks at places where the pre-tokeniser always splits
-(a space between two visible ASCII characters). What then stands left and right of the stretch is what
-encoding the whole text gives, and so is the stretch itself.
-
-No shuffle: sending every chunk to one place and its ids back to every document would move the text
-once and the ids once (see README); documents are encoded where they are read.
+A text is cut where a hash of 8 bytes hits a pattern, so equal passages are cut alike wherever they stand.
+Documents are dealt to blocks. A block names its distinct chunks (128-bit digests) to buckets, and the bucket tells which
+are shared with other blocks and which one block is to encode each; that block sends the ids, and every block that has the
+chunk gets them once. So a chunk is encoded once for the whole corpus if blocks share it, and once in its block if they do not.
+
+Chunk ends may cut a token or a pre-token in two, so joins are repaired: the stretch around a join is
+re-encoded, and widened until both its ends fall on token boundaries of the neighbouring chunks at places where the
+pre-tokeniser always splits (a space between two visible ASCII characters). What then stands left and right of the
+stretch is what encoding the whole text gives, and so is the stretch itself.
+
+Text moves once; beside it only digests and the ids of shared chunks do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.llm.common import partitions
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import texts_of
 
 #: Chunks have about this many bytes: a cut where so many hash bits are zero, and at least SHORTEST bytes between cuts.
 CHUNK_BITS = 10
 SHORTEST = 256
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
+BLOCKS_PER_PARTITION = 2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,20 +64,24 @@ class ByteBPE:
         for text, rank in special.items():
             self.pieces[rank] = text.encode()
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+        self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
         self.kept: dict[bytes, np.ndarray] = {}
         self.kept_bytes = self.hits = self.misses = 0
 
+    def hold(self, given: dict[bytes, np.ndarray]) -> None:
+        """Start a block: only the ids that were sent to it are known."""
+        self.kept, self.kept_bytes = dict(given), 0
+
     def plain(self, chunk: bytes) -> np.ndarray:
         """Ids of a stretch without special tokens, from the kept ones if it was met before."""
-        ids = self.kept.get(chunk)
+        name = digest(chunk)
+        ids = self.kept.get(name)
         if ids is None:
             self.misses += 1
-            ids = np.array(self.core.encode_ordinary(chunk.decode()), np.uint32)
-            if self.kept_bytes > CACHE_BYTES:
-                self.kept.clear()
-                self.kept_bytes = 0
-            self.kept[chunk] = ids
-            self.kept_bytes += len(chunk) + ids.nbytes + 250
+            ids = np.array(self.core.encode_ordinary(chunk.decode()), self.kind)
+            if self.kept_bytes < CACHE_BYTES:
+                self.kept[name] = ids
+                self.kept_bytes += ids.nbytes + 200
         else:
             self.hits += 1
         return ids
@@ -79,14 +89,19 @@ class ByteBPE:
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of a whole text; the strings of special tokens are their ids."""
         parts: list[np.ndarray] = []
-        for stretch, token in self._split(text):
+        for stretch, token in self.split(text):
             if stretch:
                 parts.append(self.stretch(stretch))
             if token is not None:
-                parts.append(np.array([token], np.uint32))
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+                parts.append(np.array([token], self.kind))
+        return np.concatenate(parts) if parts else np.empty(0, self.kind)
 
-    def _split(self, text: bytes) -> Iterator[tuple[bytes, int | None]]:
+    def chunks(self, text: bytes) -> Iterator[bytes]:
+        for stretch, _ in self.split(text):
+            bounds = cuts(stretch)
+            yield from (stretch[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if a < b)
+
+    def split(self, text: bytes) -> Iterator[tuple[bytes, int | None]]:
         at = 0
         while True:
             found = [(text.find(s.encode(), at), -len(s), i, s.encode()) for s, i in self.special.items()]
@@ -130,6 +145,10 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
+def digest(chunk: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(chunk)
+
+
 def cuts(text: bytes) -> list[int]:
     """Chunk bounds from 0 to the end: content decides, and no chunk but the last is under SHORTEST."""
     if len(text) < 2 * SHORTEST:
@@ -153,27 +172,128 @@ def safe_places(text: bytes) -> np.ndarray:
     return np.flatnonzero((data[1:-1] == 32) & visible[:-2] & visible[2:]) + 1
 
 
-def _coded(path: str, pattern: str | None, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+_UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("need", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_UP_SQL = "bucket int, block int, need binary, keys binary, sizes binary, ids binary"
+_DOWN = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("own", pa.binary()), ("need", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_DOWN_SQL = "bucket int, block int, own binary, need binary, keys binary, sizes binary, ids binary"
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _names(blob: bytes | None) -> list[bytes]:
+    return [blob[k : k + 16] for k in range(0, len(blob or b""), 16)]
+
+
+def _bucket(name: bytes, buckets: int) -> int:
+    return int.from_bytes(name[:4], "big") * buckets >> 32
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return texts_of(table["text"]).cast(pa.large_binary()).to_pylist()
+
+
+def _ask(path: str, pattern: str, buckets: int):
+    """Every distinct chunk of a block, once."""
+
+    def ask(docs: pa.Table) -> pa.Table:
+        bpe, by_bucket = _tokenizer(path, pattern), {}
+        for name in sorted({digest(c) for text in _texts(docs) for c in bpe.chunks(text)}):
+            by_bucket.setdefault(_bucket(name, buckets), []).append(name)
+        return _rows([(b, docs["block"][0].as_py(), b"".join(names), None, None, None) for b, names in by_bucket.items()], _UP)
+
+    return ask
+
 
-        bpe = ByteBPE(path, pattern or public_tokenizers.PATTERN)
-        for batch in batches:
-            counts, coded, back, ids_out = [], [], [], []
-            for text in texts_of(batch.column("text")).cast(pa.large_binary()).to_pylist():
-                ids = bpe.encode(text)
-                counts.append(len(ids))
-                coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if with_ids:
-                    ids_out.append(ids.astype(np.int32))
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+def _assign(table: pa.Table) -> pa.Table:
+    """For each block the shared chunks it has (need) and those of them it is to encode (own: one block each, picked by the chunk's own bits)."""
+    blocks, needs = table["block"].to_pylist(), [_names(b) for b in table["need"].to_pylist()]
+    having: dict[bytes, list[int]] = {}
+    for block, names in zip(blocks, needs, strict=True):
+        for name in names:
+            having.setdefault(name, []).append(block)
+    owner = {name: sorted(h)[int.from_bytes(name[8:12], "big") % len(h)] for name, h in having.items() if len(h) > 1}
+    bucket = table["bucket"][0].as_py()
+    rows = []
+    for block, names in zip(blocks, needs, strict=True):
+        shared = [n for n in names if n in owner]
+        if shared:
+            rows.append((bucket, block, b"".join(n for n in shared if owner[n] == block), b"".join(shared), None, None, None))
+    return _rows(rows, _DOWN)
+
+
+def _pack(found: list[tuple[bytes, np.ndarray]]) -> tuple[bytes, bytes, bytes]:
+    return b"".join(n for n, _ in found), np.array([len(i) for _, i in found], np.int32).tobytes(), zlib.compress(b"".join(i.tobytes() for _, i in found), 1)
+
+
+def _unpack(keys: bytes, sizes: bytes, ids: bytes, kind) -> Iterator[tuple[bytes, np.ndarray]]:
+    flat = np.frombuffer(zlib.decompress(ids), kind)
+    return zip(_names(keys), np.split(flat, np.cumsum(np.frombuffer(sizes, np.int32))[:-1]), strict=True)
+
+
+def _encode_own(path: str, pattern: str):
+    """Ids of the shared chunks that this block is to encode."""
+
+    def encode(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        own = {n: b for b, blob in zip(answers["bucket"].to_pylist(), answers["own"].to_pylist(), strict=True) for n in _names(blob)}
+        if not own or not docs.num_rows:
+            return _UP.empty_table()
+        bpe, by_bucket = _tokenizer(path, pattern), {}
+        bpe.hold({})
+        for text in _texts(docs):
+            for chunk in bpe.chunks(text):
+                bucket = own.pop(digest(chunk), None)
+                if bucket is not None:
+                    by_bucket.setdefault(bucket, []).append((digest(chunk), bpe.plain(chunk)))
+        return _rows([(b, -1, None, *_pack(found)) for b, found in by_bucket.items()], _UP)
+
+    return encode
+
+
+def _deliver(kind):
+    def deliver(table: pa.Table) -> pa.Table:
+        """To each block the ids of the shared chunks it has."""
+        known, rows, bucket = {}, [], table["bucket"][0].as_py()
+        for keys, sizes, ids in zip(table["keys"].to_pylist(), table["sizes"].to_pylist(), table["ids"].to_pylist(), strict=True):
+            if keys:
+                known.update(_unpack(keys, sizes, ids, kind))
+        for block, need in zip(table["block"].to_pylist(), table["need"].to_pylist(), strict=True):
+            if need:
+                rows.append((bucket, block, None, None, *_pack([(n, known[n]) for n in _names(need)])))
+        return _rows(rows, _DOWN)
+
+    return deliver
+
+
+_HELD: dict[tuple[str, str], ByteBPE] = {}
+
+
+def _tokenizer(path: str, pattern: str) -> ByteBPE:
+    """One tokenizer per worker process."""
+    if (path, pattern) not in _HELD:
+        _HELD[path, pattern] = ByteBPE(path, pattern)
+    return _HELD[path, pattern]
+
+
+def _assemble(path: str, pattern: str, with_ids: bool):
+    def assemble(docs: pa.Table, delivered: pa.Table) -> pa.Table:
+        bpe, given = _tokenizer(path, pattern), {}
+        for keys, sizes, ids in zip(delivered["keys"].to_pylist(), delivered["sizes"].to_pylist(), delivered["ids"].to_pylist(), strict=True):
+            given.update(_unpack(keys, sizes, ids, bpe.kind))
+        bpe.hold(given)
+        counts, coded, back, listed = [], [], [], []
+        for text in _texts(docs):
+            ids = bpe.encode(text)
+            counts.append(len(ids))
+            coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             if with_ids:
-                columns, names = [*columns, pa.array(ids_out, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                listed.append(ids.astype(np.int32))
+        columns = {"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        return pa.table(columns | ({"ids": pa.array(listed, pa.list_(pa.int32()))} if with_ids else {}))
 
-    return run
+    return assemble
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -181,7 +301,22 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str | None = None, wi
 
     Takes doc_id and text (other columns are not read); returns doc_id, n_tokens, ids_sha256 (ids as little-endian
     unsigned 32-bit integers), decoded_sha256 and, with_ids, the ids: one row per input row, null doc_id included.
-    Null and empty texts have no ids. The file must be readable at `path` on every executor.
+    Null and empty texts have no ids. An empty table gives an empty result. The file must be readable at `path` on every executor.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_coded(path, pattern, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    n = partitions(docs.sparkSession)
+    buckets, kind = -(-n // 2), _tokenizer(path, pattern).kind
+    # rows without an id, or many of one id, are spread by their text
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS_PER_PARTITION * n)).cast("int")
+    dealt = texts_only(docs).withColumn("block", place).repartition(n, "block")
+    by_block = dealt.groupBy("block")
+    assigned = by_block.applyInArrow(_ask(path, pattern, buckets), _UP_SQL).groupBy("bucket").applyInArrow(_assign, _DOWN_SQL)
+    encoded = by_block.cogroup(assigned.where("octet_length(own) > 0").groupBy("block")).applyInArrow(_encode_own(path, pattern), _UP_SQL)
+    none = F.lit(None).cast("binary")
+    needed = assigned.select("bucket", "block", "need", none.alias("keys"), none.alias("sizes"), none.alias("ids"))
+    delivered = encoded.unionByName(needed).groupBy("bucket").applyInArrow(_deliver(kind), _DOWN_SQL)
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return by_block.cogroup(delivered.groupBy("block")).applyInArrow(_assemble(path, pattern, with_ids), out)

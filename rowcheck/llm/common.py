@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def partitions(spark: SparkSession) -> int:
@@ -26,5 +28,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Text sent to a Python worker at once; each worker holds a few copies of it.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch (the default counts rows only, whatever their texts' length). A lower setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > BATCH_BYTES or not spark.conf.get(key).rstrip("b").isdigit():
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string of docs; other columns, whatever their names, are left."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
