@@ -9,6 +9,7 @@ from rowcheck.functions import text as X
 from rowcheck.operators import completeness, gate, headers, inference, invoices, layout, runs, schema, scoring, spend
 from rowcheck.plans.spec import ColumnSpec, Pattern, Reject, Require, Sum, TableSpec
 from rowcheck.sources import sinks
+from rowcheck.streaming import streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -747,3 +748,23 @@ def a08_run_log(spark, sf_dir):
     log = sinks.run_log(docs, found, spend.tally(S.usage(spark, sf_dir), S.prices(spark, sf_dir)))
     return log.select("doc_id", "table", "route", F.col("rows").alias("n_rows"), "failures", "outcome", "calls")
 
+
+# --- streams ---
+
+
+@query("SELECT user_id AS who, CAST(date_trunc('day', ts) AS DATE) AS day, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused FROM (SELECT user_id, date_trunc('day', ts) AS ts, count(*) AS n FROM events GROUP BY ALL)")
+def m03_stream_rate_limit(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(sf_dir).select(F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = streams.stream_rate_limit(stream, 2, 86400)
+    return streams.totals(counts, streams.scratch(spark)).select("who", F.to_date("start").alias("day"), "n", "allowed", "refused")
+
+
+@query(f'WITH {_ORDERS} SELECT doc_id, k AS row_idx, \'status\' AS "column", \'pattern\' AS rule FROM e WHERE status = \'P\'')
+def m02_stream_checks(spark, sf_dir):
+    path = f"{sf_dir}/orders.parquet"
+    k = F.col("o_orderkey")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(sf_dir).select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total"))
+    folder = streams.scratch(spark)
+    found = gate.findings(streams.stream_checks(stream, S.STATEMENT, [Pattern("status", "[FO]")]))
+    return streams.drained(found, f"{folder}/out", f"{folder}/checkpoint").where("rule <> 'not_null'").select("doc_id", "row_idx", "column", "rule")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +52,18 @@ def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def landing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stream of staged rows that arrive as parquet files."""
     return spark.readStream.schema(schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under the session's checkpoint folder, which is only set here where none is (local tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp"))
+    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+def totals(stream: DataFrame, folder: str) -> DataFrame:
+    """The complete result of an aggregating stream once all input is read; each micro-batch replaces the table before it."""
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
