@@ -32,7 +32,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) -> (node, root): root is the smallest node reachable; nodes without an edge are left to the caller.
+    """edges (u, v) -> (node, root): root is the smallest node reachable; roots themselves and nodes without an edge are their own root and not listed.
 
     Loops are ignored; an edge may be given in either direction and more than once. An empty table gives an empty result.
     """

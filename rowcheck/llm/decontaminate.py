@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.llm.common import bounded_batches
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import U64, buffers, slices, texts_of
 
 Q = 8
@@ -250,7 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> DataFra
     texts hold nothing. Of overlapping places of one item in one document the best (fewest edits, then first) is given.
     Rows are given for each input row, so a repeated row repeats its matches. Empty tables give an empty result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = texts_only(docs)
     out = None
     for items in _blocks(benchmark, rate):
         held = docs.sparkSession.sparkContext.broadcast(items)
@@ -275,6 +277,7 @@ def _clean(held):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns as they were; rows do not move."""
+    bounded_batches(docs.sparkSession)
     out = docs
     for items in _blocks(benchmark, rate):
         out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import partitions
+from rowcheck.llm.common import bounded_batches, partitions
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import texts_of
 
 TABLE_BYTES = 48 << 20
@@ -174,13 +175,9 @@ def _global(table_bytes: int):
     return classes
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def content_classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct normalised text: text_sha256, keep_id (largest doc_id), group_size."""
-    folded = _plain(docs).mapInArrow(_local(table_bytes, []), "route long, doc_id long, n long, content binary, row binary")
+    folded = texts_only(docs).mapInArrow(_local(table_bytes, []), "route long, doc_id long, n long, content binary, row binary")
     dealt = folded.repartition(partitions(docs.sparkSession), "route")
     return dealt.mapInArrow(_global(table_bytes), "text_sha256 string, keep_id long, group_size long, row binary").drop("row")
 
@@ -199,7 +196,7 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     wins over a real one and is kept only where its group has none else. Rows repeated with the winning doc_id are all
     marked kept. An empty table gives an empty result.
     """
-    rows = _plain(docs).mapInArrow(_digests, "doc_id long, text_sha256 string")
+    rows = texts_only(docs).mapInArrow(_digests, "doc_id long, text_sha256 string")
     classes = content_classes(docs, table_bytes)
     # a digest met twice among the classes would mean two contents of one SHA-256
     checked = classes.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("contents"))
@@ -210,6 +207,7 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs that stay, one per group of equal texts, all columns kept: rows move once, with their winner's columns."""
+    bounded_batches(docs.sparkSession)
     extra = [c for c in docs.columns if c != "text"]
     types = docs.schema
     folded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row__")).mapInArrow(

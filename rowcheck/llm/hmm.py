@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowcheck.llm.common import cut, partitions
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import U64, buffers, lower, slices, texts_of, word_hashes, words
 
 STATES, MOST_WORDS, CLASSES, ROUNDS = 6, 4096, 512, 4
@@ -237,7 +238,7 @@ def _expect(held):
         emit, move, start = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.start)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 tokens = Tokens(texts.slice(a, b - a))
                 for total, more in zip((emit, move, start), expected(model, model.symbols(tokens), tokens.bounds), strict=True):
                     total += more
@@ -328,7 +329,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     An empty table gives an empty result.
     """
     n = partitions(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = texts_only(docs).fillna("", ["text"])
     # rows without an id are spread by their text
     block = F.pmod(F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)), F.lit(BLOCKS_PER_PARTITION * n)).cast("int")
     dealt = plain.withColumn("train", training()).withColumn("block", block).repartition(n, "block")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.llm.common import bounded_batches
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import buffers, lower, slices, texts_of, word_hashes, words
 
 #: Bound of the labelled rows that the tables are learned from (documented parameter).
@@ -216,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """Fit on the labelled rows that are not held out; of more than `most` of them, those with the smallest hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = texts_only(docs)
     # at most `most` ids of 16 bytes: a proven bound
     rows = plain.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(_feature_rows, "y double, x array<double>").toArrow()
     y = rows["y"].to_numpy().astype(float)
@@ -240,6 +242,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
     """docs with a last column score__: the model's probability of label 1."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_scored(model), StructType([*docs.schema.fields, StructField("score__", DoubleType())]))
 
 
@@ -251,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     labels repeated for one doc_id the larger counts; null labels and ids are not learned from. A null doc_id is not held out.
     Without labels of both classes the score is the smoothed share of class 1. An empty table gives an empty result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = texts_only(docs)
     scored = score(plain, train(docs, labels, most=most))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("score__").alias("score"), (F.col("score__") >= threshold).cast("int").alias("predicted"))
 

@@ -18,8 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rowcheck.llm.common import cut
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.components import components
 from rowcheck.llm.text import texts_of
 
@@ -65,7 +67,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (64 bits as a signed long). Null text: 0, as any text without words."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = texts_only(docs)
     return plain.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
@@ -79,11 +81,12 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) that connect every two fingerprints within `radius` bits (directly or through the smallest at their number)."""
     masks = [int(m) for m in ball((radius + 1) // 2)]
     sent = distinct.select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    met = sent.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     if radius % 2:  # an odd radius rounds up, so those that meet may be one bit too far apart: verify all of the bounded group
+        met = sent.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
         pairs = met.select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v")).where("u < v")
-    else:
-        pairs = met.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u < v")
+    else:  # sorted by number, each is linked to the first at its number as it passes by
+        least = F.first("fp").over(W.partitionBy("variant").orderBy("fp").rowsBetween(W.unboundedPreceding, 0))
+        pairs = sent.select(least.alias("u"), F.col("fp").alias("v")).where("u < v")
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 

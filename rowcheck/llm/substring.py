@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowcheck.llm.common import partitions
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import U64, buffers, texts_of, windows, word_hashes, words
 
 #: No level is shorter than this many words.
@@ -222,7 +223,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
         raise ValueError(f"a window has {2 * SHORTEST - 1} words or more")
     n = partitions(docs.sparkSession)
     blocks, buckets = BLOCKS_PER_PARTITION * n, -(-n // 2)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    dealt = texts_only(docs).where("doc_id is not null")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(n, "block")
     up, down = "bucket int, block int, level int, keys binary", "block int, level int, bucket int, bits binary"
     last, known = len(levels(window)) - 1, None

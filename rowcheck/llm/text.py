@@ -19,7 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=U64)
 #: Text handled at once: bounds the memory of a Python worker however large a batch is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def texts_of(column: pa.Array) -> pa.Array:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import texts_of
 
 MARK = "▁"
@@ -108,5 +109,5 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     Takes doc_id and text (other columns are not read), one result row per input row, null doc_id included. Null and
     empty texts have no tokens and score 0. An empty table gives an empty result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = texts_only(docs)
     return plain.mapInArrow(_counted(path), "doc_id long, n_tokens long, best_score double")
