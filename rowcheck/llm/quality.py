@@ -89,8 +89,7 @@ def features(texts: pa.Array) -> np.ndarray:
     triple = (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:] if len(h) > 2 else h[:0]
     same = text[:-2] == text[2:] if len(h) > 2 else np.empty(0, bool)
     distinct_triples, _ = _distinct(triple[same], text[2:][same] if len(h) > 2 else text[:0], n)
-    hist = np.zeros((n, 32))
-    np.add.at(hist, (np.repeat(np.arange(n), np.diff(offsets)), folded & 31), 1)
+    hist = np.bincount(np.repeat(np.arange(n) * 32, np.diff(offsets)) + (folded & 31), minlength=n * 32).reshape(n, 32)
     share = hist / own[:, None]
     entropy = -(share * np.log2(np.maximum(share, 1e-12))).sum(axis=1)
     blank = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
