@@ -51,6 +51,8 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     take = np.flatnonzero(solid | space)
     out = kept[take]
     out[out == 0] = 32
+    second = out[1:]  # of U+00C0 to U+00DE, whose lower case is 32 further
+    second[(out[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 32
     return out, take, np.searchsorted(take, offsets)
 
 
@@ -247,7 +249,7 @@ def _matched(held):
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> DataFrame:
     """Every place of docs that holds a whole benchmark item within its edit budget: doc_id, item_id, begin, end (code points), edits.
 
-    Compared are letters, digits and bytes above 127, A-Z lower-cased, all else as one space; an item of m such bytes
+    Compared are letters, digits and bytes above 127, A-Z and U+00C0 to U+00DE lower-cased, all else as one space; an item of m such bytes
     may have floor(rate m) edits. Items under SHORTEST bytes, null items and items without an id are not searched. Null and empty
     texts hold nothing. Of overlapping places of one item in one document the best (fewest edits, then first) is given.
     Rows are given for each input row, so a repeated row repeats its matches. Empty tables give an empty result.
