@@ -1,7 +1,7 @@
 """Language-model scoring with a hidden Markov model.
 
 Words are counted over all training documents (base model). The hidden Markov model has STATES latent
-states; each emits a symbol: one of the commonest words (at most MOST_WORDS, each one in ONE_IN tokens or more), the end of a text, or a class of rarer words
+states; each emits a symbol: one of the MOST_WORDS commonest words, the end of a text, or a class of rarer words
 (by the word's last bytes), within which a word has its smoothed share of the class's counts. Baum-Welch
 runs over every training document: each task sends the expected counts of its symbols, Spark adds them
 up, and the new model (its size is fixed by STATES, MOST_WORDS and CLASSES) is sent out. A text's score is the
@@ -9,7 +9,9 @@ exact scaled forward recursion over all of its tokens.
 
 Counts of rarer words have no size bound, so they are never broadcast. Documents are dealt to blocks; a block sends each distinct
 word once (128-bit hash, training count) to a bucket, the bucket adds up and answers with the counts in
-the order the words came, and the block looks its words up there.
+the order the words came, and the block looks its words up there. Of its commonest words a bucket keeps
+one packed row and tells how many have which count, roughly (bins an eighth apart); from the bins of all buckets follows a
+count that at least MOST_WORDS words reach, and only words that reach it are unpacked into rows and ordered.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ from rowcheck.llm.text import U64, buffers, lower, slices, texts_of, word_hashes
 
 STATES, MOST_WORDS, CLASSES, ROUNDS = 6, 4096, 512, 4
 BLOCKS_PER_PARTITION = 2
-#: A word with a symbol of its own makes up at least this share of all training tokens (one in so many).
-ONE_IN = 20_000
 SMOOTH = 0.1
 #: Training cuts token sequences into stretches of this length (scores never do).
 STRETCH = 64
@@ -103,6 +103,42 @@ def _unpack(blob: bytes):
     return np.frombuffer(blob, U64, n, 4), np.frombuffer(blob, U64, n, 4 + 8 * n), np.frombuffer(rest, np.int32, n), np.frombuffer(rest, np.int16, n, 4 * n)
 
 
+def _bin(counts: np.ndarray) -> np.ndarray:
+    """Eight bins for every doubling of a count (1 or more); below 16 each count has its own."""
+    bits = np.frexp(counts.astype(float))[1] - 1  # off by one only beyond 2^53
+    return bits * 8 + (np.where(bits >= 3, counts >> np.maximum(bits - 3, 0), counts << np.maximum(3 - bits, 0)) & 7)
+
+
+def _least(bin_: int) -> int:
+    """The smallest count of a bin."""
+    bits, part = divmod(bin_, 8)
+    return (8 + part) << (bits - 3) if bits >= 3 else (8 + part) >> (3 - bits)
+
+
+def _reaching(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                raw = zlib.decompress(blob)
+                word, sums, own = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int16, n, 16 * n)
+                stay = sums >= least
+                yield pa.RecordBatch.from_arrays([pa.array(word[stay]), pa.array(own[stay], pa.int32()), pa.array(sums[stay])], names=["word", "class", "n"])
+
+    return run
+
+
+def commonest(known: DataFrame, most_words: int) -> list:
+    """(word, class, n) of the most_words commonest training words, by count and then hash: exact."""
+    least, left = 1, most_words
+    for bin_, many in sorted(known.where("kind = 'bin'").groupBy("class").agg(F.sum("n")).collect(), reverse=True):  # 8 rows a doubling at most
+        left -= many
+        if left <= 0:
+            least = _least(bin_)
+            break
+    reaching = known.where("kind = 'words'").select("n", "counts").mapInArrow(_reaching(least), "word long, class int, n long")
+    return reaching.orderBy(F.desc("n"), "word").limit(most_words).collect()
+
+
 def _total(most_words: int):
     def total(table: pa.Table) -> pa.Table:
         """Answers to every block, the bucket's commonest words and its sums by class."""
@@ -122,11 +158,15 @@ def _total(most_words: int):
         for block, part in zip(table["block"].to_pylist(), parts, strict=True):
             rows.append(("answer", block, bucket, zlib.compress(back[at : at + len(part[0])].tobytes(), 1), None, None, None, None))
             at += len(part[0])
-        word, own, whole = a[first], cls[order][first], int(sums.sum())  # this bucket's tokens: no more than all of them
-        for k in np.lexsort((word, -sums))[:most_words].tolist():
-            if sums[k] * ONE_IN >= whole and sums[k] > 0 and word[k] != _END:
-                rows.append(("word", -1, bucket, None, int(word[k : k + 1].view(np.int64)[0]), int(own[k]), int(sums[k]), 1))
+        word, own = a[first], cls[order][first]
         ends = word == _END
+        learned = np.flatnonzero((sums > 0) & ~ends)
+        top = learned[np.lexsort((word[learned].view(np.int64), -sums[learned]))[:most_words]]
+        if len(top):
+            packed = word[top].tobytes() + sums[top].tobytes() + own[top].astype(np.int16).tobytes()
+            rows.append(("words", -1, bucket, zlib.compress(packed, 1), None, None, len(top), None))
+            bins, many = np.unique(_bin(sums[top]), return_counts=True)
+            rows += [("bin", -1, bucket, None, None, c, m, None) for c, m in zip(bins.tolist(), many.tolist(), strict=True)]
         rows.append(("end", -1, bucket, None, None, None, int(sums[ends].sum()), int((sums[ends] > 0).sum())))
         mass, kinds = np.bincount(own[~ends], sums[~ends], CLASSES), np.bincount(own[~ends], sums[~ends] > 0, CLASSES)
         rows += [("class", -1, bucket, None, None, c, int(mass[c]), int(kinds[c])) for c in np.flatnonzero(mass).tolist()]
@@ -279,8 +319,7 @@ def train(docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
         else:
             mass[c], kinds[c] = n, distinct
     tokens, distinct = int(mass.sum()) + ends, int(kinds.sum()) + end_kinds
-    common = known.where((F.col("kind") == "word") & (F.col("n") * ONE_IN >= tokens))
-    top = common.orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word", "class", "n").collect()
+    top = commonest(known, MOST_WORDS)
     hashes = np.array([r[0] for r in top], np.int64).view(U64)
     counts, cls = np.array([r[2] for r in top], float), np.array([r[1] for r in top], np.int64)
     rare, rare_kinds = mass - np.bincount(cls, counts, CLASSES), kinds - np.bincount(cls, minlength=CLASSES)
@@ -320,6 +359,12 @@ def _score(held):
     return run
 
 
+def counted(dealt: DataFrame, buckets: int, most_words: int = MOST_WORDS) -> DataFrame:
+    """Word counts of dealt (text, train, block): answers to the blocks, commonest words, sums by class."""
+    asked = dealt.groupBy("block").applyInArrow(_count(buckets), "bucket int, block int, keys binary")
+    return asked.groupBy("bucket").applyInArrow(_total(most_words), _DOWN_SQL)
+
+
 def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -333,8 +378,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # rows without an id are spread by their text
     block = F.pmod(F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)), F.lit(BLOCKS_PER_PARTITION * n)).cast("int")
     dealt = plain.withColumn("train", training()).withColumn("block", block).repartition(n, "block")
-    asked = dealt.groupBy("block").applyInArrow(_count(-(-n // 2)), "bucket int, block int, keys binary")
-    known = cut(asked.groupBy("bucket").applyInArrow(_total(MOST_WORDS), _DOWN_SQL))
+    known = cut(counted(dealt, -(-n // 2)))
     model = train(plain.where(training()), known, rounds)
     held = docs.sparkSession.sparkContext.broadcast(model)
     answers = known.where("kind = 'answer'").select("block", "bucket", "counts")
