@@ -1,23 +1,26 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
 Base spans come from four patterns. The method on top is information-theoretic sanitisation: a term
-t in the context of an entity e (an e-mail address, IP, card or phone number found by the patterns) discloses
+t in a document of an entity e (an e-mail address, IP, card or phone number found by the patterns) discloses
 e when their pointwise mutual information reaches a share ALPHA of what there is to know about e:
 
-    log2(n_et N / (n_e n_t)) >= ALPHA log2(N / n_e)
+    log2(p(t|e) N / n_t) >= ALPHA log2(N / n_e),    p(t|e) = (n_et + PRIOR n_t / N) / (n_e + PRIOR)
 
-with N documents, n_e and n_t of them holding e and t, n_et holding t in the context of e, all counted over
-the whole corpus. Pairs seen in fewer than SUPPORT documents are no estimate and are left. Disclosing terms become spans
-of kind `term`; `sanitise` removes base spans and generalises terms to a placeholder.
+with N documents, n_e and n_t of them holding e and t, n_et holding both, all counted over the whole corpus.
+The share of t in e's documents is drawn towards its share of all documents as by PRIOR more of them: identifiers
+mostly stand in one or two documents, so there is no least count, but few documents must meet a term that is rarer. Every
+occurrence of a disclosing term in e's documents becomes a span of kind `term`; `sanitise` removes base spans and generalises terms to a placeholder.
 
-Everything is DataFrame functions. Per document only the spans and the few words around them are kept;
-pair and document counts are plain aggregates, combined before each shuffle.
+Everything is DataFrame functions. Texts are kept only of documents with base spans;
+pair and document counts are plain aggregates, combined before each shuffle. As p(t|e) is at most 1, n_t <= N (n_e / N)^ALPHA
+is necessary: other terms are dropped before they are paired.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rowcheck.llm.common import cut
 
@@ -33,7 +36,7 @@ PATTERNS = {
 _PART = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: A term stands between white space or before closing punctuation.
 TERM = r"(?<!\S)\p{L}{3,}(?=[,.;:!?]*(?:\s|$))"
-CONTEXT, ALPHA, SUPPORT = 48, 0.9, 3
+ALPHA, PRIOR = 0.9, 1.0
 _NONE = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -83,19 +86,6 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_HINTS[kind]), F.filter(located(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))).otherwise(F.array().cast(_NONE))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Terms within CONTEXT code points of a span: array of (start, end, term, entity); words cut by the limit are left out."""
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, begin + 1, span["start"] - begin)
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    whole_left = lambda t: (t["start"] > 0) | (begin == 0)
-    whole_right = lambda t: (t["end"] < CONTEXT) & (t["start"] > 0)
-    left = F.filter(located(before, TERM), lambda t: whole_left(t) & (t["end"] < span["start"] - begin))
-    right = F.filter(located(after, TERM), whole_right)
-    named = lambda add: lambda t: F.struct((t["start"] + add).alias("start"), (t["end"] + add).alias("end"), F.lower(t["value"]).alias("term"), span["value"].alias("entity"))
-    return F.concat(F.transform(left, named(begin)), F.transform(right, named(span["end"])))
-
-
 def _spelled(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -105,33 +95,51 @@ def _ranked(order: int, kind: str):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, counts, spans (start, order of kind, end, kind, entity) and contexts of every row; no text is kept."""
+    """row, doc_id, counts, spans (start, order of kind, end, kind, entity) of every row; text where there are spans, else null."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = plain.select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     spans = F.concat(*(F.transform(kind, _ranked(n, kind)) for n, kind in enumerate(KINDS)))
     listed = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), spans.alias("spans"))
-    empty = F.array().cast("array<struct<start:int,end:int,term:string,entity:string>>")
-    contexts = F.when(F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _context(F.col("text"), s)))).otherwise(empty)
-    return listed.select("row", "doc_id", *(f"n_{k}" for k in KINDS), "spans", contexts.alias("contexts"))
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """entity, term: the pairs whose term reveals the entity, by counts over all documents."""
-    pair_of = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))
-    pairs = scanned.where(F.size("contexts") > 0).select(F.explode(pair_of).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    held = scanned.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = scanned.count()
-    counted = pairs.join(held, "entity").join(terms, "term")
-    n_et, n_e, n_t = (F.col(c).cast("double") for c in ("n_et", "n_e", "n_t"))
-    known = F.log2(F.lit(float(max(total, 1))) / n_e)
-    return counted.where((known > 0) & (F.log2(n_et * float(max(total, 1)) / (n_e * n_t)) >= alpha * known)).select("entity", "term")
+    return listed.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """row, term: the terms of a row that reveal one of its entities, by counts over all documents."""
+    holding = scanned.where(F.size("spans") > 0)
+    mentions = holding.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity"))
+    held = cut(mentions.groupBy("entity").agg(F.count("*").cast("double").alias("n_e")))
+    total = float(max(scanned.count(), 1))
+    most = held.agg(F.max("n_e")).first()[0] or 1.0
+    bound = lambda n_e: total * F.pow(n_e / total, F.lit(alpha)) * (1 + 1e-9)
+    terms = docs.select(F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("n_t"))
+    rare = terms.where(F.col("n_t") <= bound(F.lit(most)))
+    entities = mentions.join(held.where(F.col("n_e") < total), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    own = holding.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(rare, "term").join(entities, "row")
+    near = own.select("row", "term", "n_t", F.explode("entities").alias("e")).select("row", "term", "n_t", "e.*").where(F.col("n_t") <= bound(F.col("n_e")))
+    pairs = cut(near)
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+    share = (F.col("n_et") + prior * F.col("n_t") / total) / (F.col("n_e") + prior)
+    reveals = counted.where(F.log2(share * total / F.col("n_t")) >= alpha * F.log2(total / F.col("n_e"))).select("entity", "term")
+    return pairs.join(reveals, ["entity", "term"]).select("row", "term").distinct()
+
+
+def _occurrences(holding: DataFrame) -> DataFrame:
+    """row, start, end, term of every term in the texts (row, text): lengths are added up over the pieces between and of the terms."""
+    parts = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))
+    pieces = holding.select("row", F.posexplode(parts).alias("at", "p")).select("row", "at", F.length("p.gap").alias("gap"), F.col("p.value").alias("value"))
+    length = F.coalesce(F.length("value"), F.lit(0))
+    ends = F.sum(F.col("gap") + length).over(W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    return pieces.withColumn("end", ends).where("value is not null").select("row", (F.col("end") - length).alias("start"), "end", F.lower("value").alias("term"))
 
 
 _COLUMNS = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
 
     Takes doc_id and text (other columns are not read). Spans are kind:start:end in code points, end exclusive, by start
@@ -140,8 +148,8 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     repeated results. A term is given once however many entities it discloses. An empty table gives an empty result.
     """
     scanned = cut(scan(docs))
-    given_away = disclosing(docs, scanned, alpha, support)
-    mentioned = scanned.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.*").join(given_away, ["entity", "term"])
+    given_away = cut(disclosing(docs, scanned, alpha, prior))
+    mentioned = _occurrences(scanned.where(F.size("spans") > 0)).join(given_away, ["row", "term"])
     place = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"))
     terms = mentioned.groupBy("row").agg(F.collect_set(place).alias("terms"))
     joined = scanned.join(terms, "row", "left")
@@ -164,9 +172,9 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(cut_, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """docs (unique doc_id) with base spans and disclosing terms of text replaced by [EMAIL], [IP], [CARD], [PHONE], [TERM]."""
-    spans = find(docs, alpha, support).where("spans <> ''").select(F.col("doc_id").alias("id__"), F.col("spans").alias("spans__"))
+    spans = find(docs, alpha, prior).where("spans <> ''").select(F.col("doc_id").alias("id__"), F.col("spans").alias("spans__"))
     joined = docs.join(spans, docs["doc_id"].cast("long") == spans["id__"], "left")
     text = F.when(F.col("spans__").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("spans__")))
     return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
