@@ -74,8 +74,12 @@ def clean_aliases(proposed: DataFrame, headers: DataFrame, spec: TableSpec) -> D
 
 
 def to_staged(grid: DataFrame, aligned: DataFrame, spec: TableSpec) -> DataFrame:
-    """One text column per table column from cells; blank cells are NULL. Files may differ in layout."""
-    at = aligned.where("column is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "position"))).alias("at"))
+    """One text column per table column from cells; blank cells are NULL. Files may differ in layout.
+
+    Of headings that claim one column (header_conflicts lists them) the first position is read.
+    """
+    first = aligned.where("column is not null").groupBy("doc_id", "column").agg(F.min("position").alias("position"))
+    at = first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "position"))).alias("at"))
     joined = grid.join(at, "doc_id", "left")
     cell = lambda name: blank_to_null(F.get(F.col("cells"), F.element_at(F.col("at"), name))).alias(name)
     return joined.select("doc_id", "row_idx", *(cell(c.name) for c in spec.extractable))
