@@ -15,12 +15,16 @@ MONTHS = {
     "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9, "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
 }
 
-_SPACE = r"(?U)\s"
+# White space as documents hold it: ASCII, its separators, no-break and typographic spaces.
+_SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE = "".join(map(chr, _SPACES))
+_WHITE = "[" + "".join(rf"\u{n:04x}" for n in _SPACES) + "]"
+_LONGEST_WORD = max(map(len, NULL_WORDS))
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, no-break spaces included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -37,30 +41,66 @@ def null_words(c: Column, labels: tuple[str, ...] = ()) -> Column:
     """A spelled-out nothing is NULL, unless an enum label is spelled so."""
     own = {label.lower() for label in labels}
     words = [w for w in NULL_WORDS if w not in own]
-    return F.when(F.lower(strip(c)).isin(*words), F.lit(None)).otherwise(c) if words else c
+    if not words:
+        return c
+    bare = strip(c)
+    # a long cell is settled by its size; only a short one is folded and looked up
+    return F.when((F.octet_length(bare) <= _LONGEST_WORD) & F.lower(bare).isin(*words), F.lit(None)).otherwise(c)
+
+
+#: A cell of digits and separators alone needs none of the steps that take presentation off.
+_BARE = r"^[0-9][0-9.,]*\z"
+_WORD_BEFORE = rf"^[A-Za-z]{{1,4}}\.?{_WHITE}+"
+_WORD_BEHIND = rf"(?<!^)(?<!{_WHITE}){_WHITE}*(?:%|[A-Za-z]{{1,6}}\.?)\z"
+
+
+def number_core(c: Column) -> Column:
+    """D3, first step: without white space, a short code in front and a unit or % behind."""
+    cut = F.regexp_replace(F.regexp_replace(strip(c), _WORD_BEFORE, ""), _WORD_BEHIND, "")
+    return F.when(c.rlike(_BARE), c).otherwise(cut)
+
+
+def number_signed(core: Column) -> Column:
+    """D3, second step: a minus if the number is negative, then its digits and separators.
+
+    Parentheses are a minus, and a minus inside them takes it back; they count only where nothing but
+    they and what they hold is left, so a currency sign in front of them leaves them for the parser to refuse.
+    """
+    plain = lambda x: F.translate(x, WHITE + CURRENCY, "")
+    inner, outer = plain(F.substring(core, F.lit(2), F.length(core) - 2)), plain(core)
+    held = (
+        F.when(inner.startswith("-"), F.substring(inner, 2, 1 << 30))
+        .when(inner.startswith("+"), F.concat(F.lit("-"), F.substring(inner, 2, 1 << 30)))
+        .otherwise(F.concat(F.lit("-"), inner))
+    )
+    free = F.when(outer.startswith("+"), F.substring(outer, 2, 1 << 30)).otherwise(outer)
+    closed = core.startswith("(") & core.endswith(")")
+    return F.when(core.rlike(_BARE), core).when(closed, held).otherwise(free)
 
 
 def number_text(c: Column) -> Column:
-    """D3, first half: without code, unit, currency and spaces; sign and parentheses still on. Letters inside the digits stay."""
-    core = F.regexp_extract(c, r"(?sU)^\s*(?:[A-Za-z]{1,4}\.?\s+)?(.*?)(?:\s*(?:%|[A-Za-z]{1,6}\.?))?\s*$", 1)
-    text = F.when(core.rlike(r"(?U)\S"), core).otherwise(c)
-    return F.translate(F.regexp_replace(text, _SPACE, ""), CURRENCY, "")
+    """D3: both steps. Letters inside the digits stay and fail later."""
+    return number_signed(number_core(c))
 
 
 def number_body(text: Column) -> Column:
     """D3: the digits and separators of a number_text."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)^\((.*)\)$", "$1"), "^[-+]", "")
+    return F.when(text.startswith("-"), F.substring(text, 2, 1 << 30)).otherwise(text)
 
 
 def number_negative(text: Column) -> Column:
-    """D3: parentheses are a minus, and a minus inside them takes it back."""
-    return text.rlike(r"(?s)^\(([^-].*)?\)$") | text.startswith("-")
+    return text.startswith("-")
+
+
+def _bound(c: Column, use) -> Column:
+    """use(c) with c worked out once: for expressions that name it often and cannot have a column for it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def strip_number(c: Column) -> Column:
     """D3: struct (body, negative)."""
-    text = number_text(c)
-    return F.when(c.isNotNull(), F.struct(number_body(text).alias("body"), number_negative(text).alias("negative")))
+    parts = lambda text: F.struct(number_body(text).alias("body"), number_negative(text).alias("negative"))
+    return F.when(c.isNotNull(), _bound(number_core(c), lambda core: _bound(number_signed(core), parts)))
 
 
 def _separators(body: Column) -> tuple[Column, Column]:
@@ -84,6 +124,10 @@ def decimal_evidence(body: Column) -> Column:
     )
 
 
+#: One separator before one or two digits: the common amount.
+_POINT_SURE = r"^[0-9]+[.,][0-9]{1,2}\z"
+
+
 def normalise_number(body: Column, scale: int | None = None, convention: Column | None = None) -> Column:
     """Plain decimal text; NULL where one separator before three digits could be either kind."""
     dots, commas = _separators(body)
@@ -98,8 +142,9 @@ def normalise_number(body: Column, scale: int | None = None, convention: Column
     else:
         settled = F.lit(None).cast("string")
     return (
-        F.when((dots > 0) & (commas > 0), F.when(_last_is_dot(body), no_commas).otherwise(F.translate(no_dots, ",", ".")))
-        .when((dots == 0) & (commas == 0), body)
+        F.when(~body.contains(".") & ~body.contains(","), body)
+        .when(body.rlike(_POINT_SURE), pointed)
+        .when((dots > 0) & (commas > 0), F.when(_last_is_dot(body), no_commas).otherwise(F.translate(no_dots, ",", ".")))
         .when(dots + commas > 1, bare)
         .when(~unclear, pointed)
         .otherwise(settled)
@@ -118,6 +163,21 @@ def to_decimal(number: Column, scale: int) -> Column:
     return F.when(number.rlike(_DECIMAL), number.try_cast(f"decimal(38,{scale})"))
 
 
+def exact_spelling(number: Column) -> Column:
+    """An exact number as it was written, without leading zeros and with a digit before the point; trailing zeros stay.
+
+    number is the text that to_decimal takes. A number with an exponent is spelled by its value, without trailing zeros.
+    """
+    text = F.regexp_replace(F.regexp_replace(number, r"^([+-]?)0*(?=[0-9])", "$1"), r"^([+-]?)\.", "$10.")
+    plain = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"\.$", "")
+    return F.when(plain.rlike("[eE]"), trimmed(number.try_cast("decimal(38,10)"))).otherwise(plain)
+
+
+def trimmed(c: Column) -> Column:
+    """A decimal as text without trailing zeros: its spelling where the written one is not known."""
+    return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def to_integer(number: Column, kind: str) -> Column:
     """Digits only; out of range is NULL."""
     return F.when(number.rlike(r"^-?[0-9]+$"), number.try_cast({"int2": "smallint", "int4": "int", "int8": "bigint"}[kind]))
@@ -139,46 +199,79 @@ def _month(c: Column) -> Column:
     return F.try_element_at(known, F.lower(c))
 
 
-_DAY_FIRST = r"^([0-9]{1,2})\s+([A-Za-z]+)\.?,?\s+([0-9]{4})"
-_MONTH_FIRST = r"^([A-Za-z]+)\.?\s+([0-9]{1,2}),?\s+([0-9]{4})"
+def _named(c: Column) -> Column:
+    """ISO text of a date with an English month name, else NULL: three words, day and month in either order, then the year.
 
+    The month may be followed by a full stop, the word before the year by a comma.
+    """
+    word = lambda k: F.get(F.split(c, _WHITE + "+"), k)
+    bare = lambda x, mark: F.when(x.endswith(mark), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    no_comma = bare(word(1), ",")
 
-def _named(c: Column, tail: str = "$") -> Column:
-    """ISO text of a date with a month name, else NULL."""
-    day, month = _DAY_FIRST + tail, _MONTH_FIRST + tail
-    iso = lambda y, m, d: F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-    part = lambda rx, k: F.regexp_extract(c, rx, k)
-    return F.when(c.rlike(day), iso(part(day, 3), _month(part(day, 2)), part(day, 1))).when(c.rlike(month), iso(part(month, 3), _month(part(month, 1)), part(month, 2)))
+    def iso(day: Column, month: Column) -> Column:
+        number = _month(bare(month, "."))
+        made = F.concat(word(2), F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+        return F.when(day.rlike(r"^[0-9]{1,2}\z") & number.isNotNull(), made)
+
+    three = (F.size(F.split(c, _WHITE + "+")) == 3) & word(2).rlike(r"^[0-9]{4}\z")
+    return F.when(three, F.coalesce(iso(word(0), no_comma), iso(no_comma, word(0))))
 
 
 def to_date_strict(c: Column) -> Column:
     """ISO (with or without hyphens) or an English month name; digits-only regional dates are NULL."""
     text = strip(c)
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text).when(text.rlike(r"^[0-9]{8}$"), F.regexp_replace(text, r"^(....)(..)(..)$", "$1-$2-$3"))
-    return F.coalesce(iso, _named(text)).try_cast("date")
+    plain = text.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})\z")
+    digits = F.regexp_replace(F.translate(text, "-", ""), r"^(....)(..)(..)$", "$1-$2-$3")
+    spelled = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), text).when(plain, digits).otherwise(_named(text))
+    return spelled.try_cast("date")
+
+
+_DAY = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})"
+_CLOCK = r"[0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?|[0-9]{2}(?:[0-9]{2}(?:[.,][0-9]+)?)?)?"
+_OFFSET = r"(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)"
 
 
-_CLOCK = r"[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]{1,6})?)?"
+def _clock(c: Column) -> Column:
+    """HH:mm:ss, with six more digits where there is a fraction, of an ISO clock time (colons or none, minutes and seconds optional)."""
+    digits = F.rpad(F.translate(F.regexp_extract(c, r"^[0-9:]+", 0), ":", ""), 6, "0")
+    fraction = F.rpad(F.regexp_extract(c, r"[.,]([0-9]{1,6})", 1), 6, "0")
+    whole = F.regexp_replace(digits, r"^(..)(..)(..)$", "$1:$2:$3")
+    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
+
+
+def _offset(c: Column) -> Column:
+    """+HH:mm of an ISO offset; the empty text where there is none."""
+    digits = F.rpad(F.translate(c, ":", ""), 5, "0")
+    return F.when(c == "", c).when(c == "Z", "+00:00").otherwise(F.regexp_replace(digits, r"^(...)(..)$", "$1:$2"))
 
 
 def to_timestamp_strict(c: Column, zone: bool) -> Column:
-    """ISO, or a named date with an optional time."""
+    """ISO in its extended and basic forms, or a named date with an optional clock time behind it.
+
+    Without zone an offset is dropped, as the column keeps wall time.
+    """
     text = strip(c)
-    tail = rf"(?:\s+({_CLOCK}))?$"
-    clock = F.regexp_extract(text, rf"\s({_CLOCK})$", 1)
-    named = _named(text, tail)
-    offset = r"(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
-    iso = F.when(text.rlike(rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:[T ]{_CLOCK}{offset})?$"), F.regexp_replace(F.translate(text, ",", "."), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
-    spelled = F.coalesce(iso, F.concat_ws(" ", named, F.nullif(F.translate(clock, ",", "."), F.lit("")))) if zone else F.coalesce(F.regexp_replace(iso, r"(Z|[+-][0-9]{2}:[0-9]{2})$", ""), F.when(named.isNotNull(), F.concat_ws(" ", named, F.nullif(F.translate(clock, ",", "."), F.lit("")))))
-    return spelled.try_cast("timestamp" if zone else "timestamp_ntz")
+    whole = rf"(?s)^({_DAY})(?:.({_CLOCK})({_OFFSET})?)?\z"
+    part = lambda k: F.regexp_extract(text, whole, k)
+    day = F.regexp_replace(F.translate(part(1), "-", ""), r"^(....)(..)(..)$", "$1-$2-$3")
+    behind = F.concat(F.lit(" "), _clock(part(2)), _offset(part(3)) if zone else F.lit(""))
+    iso = F.concat(day, F.when(part(2) == "", F.lit("")).otherwise(behind))
+    # a clock time behind a named date stands after the last space and has a colon
+    last = F.regexp_extract(text, rf"{_WHITE}({_CLOCK})\z", 1)
+    timed = text.rlike(rf"{_WHITE}{_CLOCK}\z") & last.contains(":")
+    date = F.when(timed, strip(F.substring(text, F.lit(1), F.length(text) - F.length(last)))).otherwise(text)
+    named = F.concat(_named(date), F.when(timed, F.concat(F.lit(" "), _clock(last))).otherwise(F.lit("")))
+    return F.when(text.rlike(whole), iso).otherwise(named).try_cast("timestamp" if zone else "timestamp_ntz")
 
 
 def to_time_strict(c: Column) -> Column:
-    """HH:mm:ss with up to six more digits, as text."""
-    text = F.translate(strip(c), ",", ".")
-    good = text.rlike(r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,6})?)?$")
-    full = F.when(F.length(text) == 5, F.concat(text, F.lit(":00"))).when(text.contains("."), F.rpad(text, 15, "0")).otherwise(text)
-    return F.when(good, full)
+    """HH:mm:ss as text, with six more digits where there is a fraction and the offset where one is given."""
+    text = strip(c)
+    whole = rf"^T?({_CLOCK})({_OFFSET})?\z"
+    clock, offset = (F.regexp_extract(text, whole, k) for k in (1, 2))
+    made = F.concat(_clock(clock), _offset(offset))
+    sound = made.rlike(r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{6})?(?:[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])?\z")
+    return F.when(text.rlike(whole), F.when(sound, made))
 
 
 def to_json_container(c: Column) -> Column:
@@ -206,6 +299,11 @@ def array_items(c: Column) -> Column:
     return F.when(text.startswith("[") & json.isNotNull(), json).otherwise(plain)
 
 
+def iso_timestamp(c: Column) -> Column:
+    """ISO text of a timestamp, six digits of a second only where there are any."""
+    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
 def render_cell(c: Column, kind: str) -> Column:
     """Staged text of a typed source cell; a whole float has no point up to 2^53."""
     if kind in ("double", "float"):
@@ -214,7 +312,7 @@ def render_cell(c: Column, kind: str) -> Column:
     elif kind == "date":
         out = F.date_format(c, "yyyy-MM-dd")
     elif kind.startswith("timestamp"):
-        out = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        out = iso_timestamp(c)
     else:
         out = c.cast("string")
     return F.coalesce(out, F.lit(""))
@@ -222,7 +320,7 @@ def render_cell(c: Column, kind: str) -> Column:
 
 def folded(c: Column) -> Column:
     """Without any white space, lower case."""
-    return F.lower(F.regexp_replace(c, _SPACE, ""))
+    return F.lower(F.translate(c, WHITE, ""))
 
 
 def render_number(c: Column, digits: int, locale: str) -> Column:

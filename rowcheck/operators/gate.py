@@ -1,7 +1,9 @@
 """Coercion and rules over staged text rows: every row comes back, with its findings.
 
 A staged frame has doc_id, row_idx and one text column per extractable column of the table. The gate is
-projections only, but for one aggregate per document (number conventions).
+projections only, but for one aggregate per document (number conventions). Each step of a cell (text of the number, its
+body, the plain number, the value, what is wrong with it) is a column of its own, so each is computed once; what a finding says is
+spelled out only for rows that have one.
 """
 
 from __future__ import annotations
@@ -13,43 +15,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowcheck.functions import text as X
-from rowcheck.plans.spec import EXACT, FLOATS, INTEGERS, JSONS, TEXTS, ColumnSpec, Pattern, Product, Range, Reject, Require, Rule, Sum, TableSpec
+from rowcheck.plans.spec import FLOATS, INTEGERS, JSONS, Arithmetic, Field, Rule, TableSpec, ValueRule
 
 FINDING = "struct<column:string,rule:string,detail:string,value:string>"
 #: A reject list longer than this is joined instead of written into the plan.
 LONGEST_LIST = 1000
+#: A joined reject list of up to this many bytes goes to every task; a longer one is shuffled to.
+BROADCAST_BYTES = 8 << 20
+#: What coercion found in a cell, as code__<column>.
+LACKING, UNCLEAR, WRONG_TYPE, NO_LABEL = 1, 2, 3, 4
 
 
 def finding(column: str, rule: str, detail: Column | str, value: Column | None = None) -> Column:
     text = F.lit(detail) if isinstance(detail, str) else detail
-    return F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule"), text.alias("detail"), (F.lit(None).cast("string") if value is None else value.cast("string")).alias("value"))
+    shown = F.lit(None).cast("string") if value is None else value.cast("string")
+    return F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule"), text.alias("detail"), shown.alias("value"))
 
 
 def _held(c: Column) -> Column:
-    """c, computed where it stands. A filter on the result is otherwise pushed down into every cell's expression and
+    """c, computed where it stands. A filter on the findings would else be pushed down into every cell's expression and
     multiplied there until planning takes longer than the run; filter by document before the gate instead.
     """
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def number_conventions(staged: DataFrame, spec: TableSpec) -> DataFrame:
-    """Per document and scalar numeric column the proven decimal separator, else NULL. Only text cells give evidence."""
-    numbers = [c for c in spec.extractable if c.is_number and dict(staged.dtypes).get(c.name) == "string"]
-    bodies = staged.select("doc_id", *(X.number_body(X.number_text(F.col(f"`{c.name}`"))).alias(f"body__{c.name}") for c in numbers))
-    evidence = bodies.select("doc_id", *(X.decimal_evidence(F.col(f"body__{c.name}")).alias(c.name) for c in numbers))
-    low = [F.min(c.name).alias(f"{c.name}_low") for c in numbers]
-    high = [F.max(c.name).alias(f"{c.name}_high") for c in numbers]
+def number_conventions(staged: DataFrame, spec: TableSpec, columns: Sequence[Field] | None = None) -> DataFrame:
+    """Per document and scalar numeric column the proven decimal separator, else NULL. Only text cells give evidence.
+
+    Cells without a separator prove nothing and are not looked at; what the others prove is or-ed as bits (1 for a
+    point, 2 for a comma), which combines before the shuffle, so one giant file is no hot key.
+    """
+    texts = dict(staged.dtypes)
+    numbers = [c for c in (spec.extractable if columns is None else columns) if c.is_number and texts.get(c.name) == "string"]
     if not numbers:
         return staged.select("doc_id").distinct()
-    found = evidence.groupBy("doc_id").agg(*low, *high)
-    return found.select("doc_id", *(F.when(F.col(f"{c.name}_low") == F.col(f"{c.name}_high"), F.col(f"{c.name}_low")).alias(c.name) for c in numbers))
+    cell = lambda c: F.col(f"`{c.name}`")
+    marked = lambda c: F.when(cell(c).contains(".") | cell(c).contains(","), X.number_core(cell(c)))
+    cells = staged.select("doc_id", *(marked(c).alias(c.name) for c in numbers))
+    cells = cells.select("doc_id", *(X.number_signed(cell(c)).alias(c.name) for c in numbers))
+    cells = cells.select("doc_id", *(X.decimal_evidence(X.number_body(cell(c))).alias(c.name) for c in numbers))
+    bits = lambda c: F.when(cell(c) == ".", 1).when(cell(c) == ",", 2)
+    found = cells.groupBy("doc_id").agg(*(F.bit_or(bits(c)).alias(c.name) for c in numbers))
+    return found.select("doc_id", *(F.when(cell(c) == 1, ".").when(cell(c) == 2, ",").alias(c.name) for c in numbers))
 
 
 def as_text(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Typed cells spelled as a document would print them; arrays and structs as JSON."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
 
-    def spelled(c: ColumnSpec) -> Column:
+    def spelled(c: Field) -> Column:
         kind = kinds.get(c.name)
         if kind is None:
             return F.lit(None).cast("string").alias(c.name)
@@ -60,7 +74,7 @@ def as_text(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.select("doc_id", "row_idx", *(spelled(c) for c in spec.extractable))
 
 
-def _converted(c: ColumnSpec, text: Column, number: Column | None) -> Column:
+def _converted(c: Field, text: Column, number: Column | None) -> Column:
     """The typed value, NULL where the text does not fit."""
     if c.element is not None:
         element = c.element
@@ -68,184 +82,251 @@ def _converted(c: ColumnSpec, text: Column, number: Column | None) -> Column:
     return _scalar(c, text, number)
 
 
-def _plain_number(c: ColumnSpec, text: Column) -> Column | None:
+def _plain_number(c: Field, text: Column) -> Column | None:
     if not c.is_number:
         return None
     parts = X.strip_number(text)
-    return X.signed(X.normalise_number(parts["body"], c.numeric_scale), parts["negative"])
+    return X.signed(X.normalise_number(parts["body"], c.scale), parts["negative"])
 
 
-def _scalar(c: ColumnSpec, text: Column, number: Column | None) -> Column:
-    if c.enum_labels:
-        return X.to_enum(text, c.enum_labels)
-    if c.data_type in EXACT:
+def _scalar(c: Field, text: Column, number: Column | None) -> Column:
+    if c.labels:
+        return X.to_enum(text, c.labels)
+    if c.is_exact:
         return X.to_decimal(number, c.decimal_scale)
-    if c.data_type in INTEGERS:
-        return X.to_integer(number, c.data_type)
-    if c.data_type in FLOATS:
-        return X.to_float(number, c.data_type)
-    if c.data_type in JSONS:
+    if c.kind in INTEGERS:
+        return X.to_integer(number, c.kind)
+    if c.kind in FLOATS:
+        return X.to_float(number, c.kind)
+    if c.kind in JSONS:
         return X.to_json_container(text)
     simple = {"bool": X.to_boolean, "date": X.to_date_strict, "uuid": X.to_uuid, "time": X.to_time_strict, "timetz": X.to_time_strict}
-    if c.data_type in simple:
-        return simple[c.data_type](text)
-    if c.data_type in ("timestamp", "timestamptz"):
-        return X.to_timestamp_strict(text, c.data_type == "timestamptz")
-    if c.data_type in TEXTS:
+    if c.kind in simple:
+        return simple[c.kind](text)
+    if c.kind in ("timestamp", "timestamptz"):
+        return X.to_timestamp_strict(text, c.kind == "timestamptz")
+    if c.is_text:
         return text
-    raise ValueError(f"column {c.name!r} has the unsupported type {c.data_type!r}")
+    raise ValueError(f"column {c.name!r} has the unsupported type {c.kind!r}")
 
 
-def coerce(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = None, infer: bool = True, flags: bool = False, keep: Mapping[str, Column] | None = None) -> DataFrame:
-    """Typed columns, `raw` (staged texts, NULL words gone) and `findings`, at most one per cell.
+def _step(step: str):
+    return lambda c: F.col(f"`{step}__{c.name}`")
 
-    Separators are settled by the column's scale, then the document's own convention, else the cell is
-    refused. infer=False takes no document-wide convention (streams of single rows). flags adds a boolean bad__<column>
-    per column: coercion refused the cell. keep carries further columns of the staged rows along.
-    """
+
+_raw, _core, _text, _body, _plain, _value, _code, _point = map(_step, ("raw", "core", "text", "body", "plain", "value", "code", "point"))
+
+
+def _number(c: Field) -> Column:
+    return X.signed(_plain(c), X.number_negative(_text(c)))
+
+
+def _spelled(c: Field) -> Column:
+    """A cell's value as text: an exact number as it was written."""
+    return X.exact_spelling(_number(c)) if c.is_exact else _value(c).cast("string")
+
+
+def _code_of(c: Field) -> Column:
+    """0, or what is wrong with the cell."""
+    absent = F.lit(0) if c.may_lack else F.lit(LACKING)
+    code = F.when(_raw(c).isNull(), absent)
+    if c.is_text and c.element is None:
+        return code.otherwise(0)
+    wrong = F.coalesce(F.exists(_value(c), lambda x: x.isNull()), F.lit(True)) if c.element is not None else _value(c).isNull()
+    if c.is_number:
+        code = code.when(_plain(c).isNull(), UNCLEAR)
+    return code.when(wrong, NO_LABEL if c.labels else WRONG_TYPE).otherwise(0)
+
+
+def _cell_finding(c: Field) -> Column:
+    said = F.when(_code(c) == LACKING, finding(c.name, "not_null", f"column {c.name!r} must have a value and the document gave none"))
+    unclear = f" could be grouped or decimal in {c.name!r}: neither a scale nor another value of the column settles it"
+    said = said.when(_code(c) == UNCLEAR, finding(c.name, "ambiguous_number", F.concat(_raw(c), F.lit(unclear)), _raw(c)))
+    said = said.when(_code(c) == NO_LABEL, finding(c.name, "enum", F.concat(_raw(c), F.lit(f" is not one of {', '.join(c.labels)}")), _raw(c)))
+    return said.when(_code(c) == WRONG_TYPE, finding(c.name, "type", F.concat(_raw(c), F.lit(f" is not a valid {c.kind}")), _raw(c)))
+
+
+def _cells(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None, infer: bool, keep: Mapping[str, Column]) -> DataFrame:
+    """doc_id, row_idx, keep and the steps of every extractable column: raw, text, plain, value, code."""
     columns = spec.extractable
     numbers = [c for c in columns if c.is_number]
-    if conventions is None and infer and any(c.numeric_scale is None or c.numeric_scale >= 3 for c in numbers):
-        conventions = number_conventions(staged, spec)
-    held = dict(staged.dtypes)
-    raw, text, body, plain, value = (lambda c, k=k: F.col(f"`{k}__{c.name}`") for k in ("raw", "text", "body", "plain", "value"))
-    keep = keep or {}
-    cells = staged.select("doc_id", "row_idx", *(c.alias(name) for name, c in keep.items()), *(X.null_words(F.col(f"`{c.name}`").cast("string"), c.enum_labels).alias(f"raw__{c.name}") if c.name in held else F.lit(None).cast("string").alias(f"raw__{c.name}") for c in columns))
-    if conventions is not None:
-        proven = conventions.select("doc_id", *((F.col(f"`{c.name}`") if c.name in conventions.columns else F.lit(None).cast("string")).alias(f"point__{c.name}") for c in numbers))
-        cells = cells.join(proven, "doc_id", "left")
-    # one column per step, so that each is computed once: text of the number, its body, the plain number, the value
+    unsettled = [c for c in numbers if c.scale is None or c.scale >= 3]
+    if conventions is None and infer and unsettled:
+        conventions = number_conventions(staged, spec, unsettled)
+    held = set(staged.columns)
+    cell = lambda c: F.col(f"`{c.name}`").cast("string") if c.name in held else F.lit(None).cast("string")
+    raws = [X.null_words(cell(c), c.labels).alias(f"raw__{c.name}") for c in columns]
+    cells = staged.select("doc_id", "row_idx", *(c.alias(name) for name, c in keep.items()), *raws)
+    proven = [] if conventions is None else [c for c in unsettled if c.name in conventions.columns]
+    if proven:
+        points = conventions.select("doc_id", *(F.col(f"`{c.name}`").alias(f"point__{c.name}") for c in proven))
+        cells = cells.join(points, "doc_id", "left")
     if numbers:
-        cells = cells.withColumns({f"text__{c.name}": X.number_text(raw(c)) for c in numbers})
-        cells = cells.withColumns({f"body__{c.name}": X.number_body(text(c)) for c in numbers})
-        point = lambda c: F.col(f"`point__{c.name}`") if conventions is not None else None
-        cells = cells.withColumns({f"plain__{c.name}": X.normalise_number(body(c), c.numeric_scale, point(c)) for c in numbers})
-    number = lambda c: X.signed(plain(c), X.number_negative(text(c))) if c.is_number else None
-    typed = cells.withColumns({f"value__{c.name}": _converted(c, raw(c), number(c)) for c in columns})
-    wrong_value = lambda c: F.coalesce(F.exists(value(c), lambda x: x.isNull()), F.lit(True)) if c.element is not None else value(c).isNull()
-    found = []
-    for c in columns:
-        own = F.when(raw(c).isNull(), finding(c.name, "not_null", f"column {c.name!r} must have a value and the document gave none")) if not (c.nullable or c.has_default) else F.when(F.lit(False), F.lit(None).cast(FINDING))
-        wrong = wrong_value(c)
-        if c.is_number:
-            own = own.when(raw(c).isNotNull() & plain(c).isNull(), finding(c.name, "ambiguous_number", F.concat(raw(c), F.lit(f" could be grouped or decimal in {c.name!r}: neither a scale nor another value of the column settles it")), raw(c)))
-        if c.enum_labels:
-            says = finding(c.name, "enum", F.concat(raw(c), F.lit(f" is not one of {', '.join(c.enum_labels)}")), raw(c))
-        else:
-            says = finding(c.name, "type", F.concat(raw(c), F.lit(f" is not a valid {c.data_type}")), raw(c))
-        if c.enum_labels or c.data_type not in TEXTS:
-            own = own.when(raw(c).isNotNull() & wrong, says)
-        found.append(own)
-    whole = lambda c: F.when(~F.exists(value(c), lambda x: x.isNull()), value(c)) if c.element is not None else value(c)
-    bad = [((F.lit(False) if not c.enum_labels and c.data_type in TEXTS else raw(c).isNotNull() & wrong_value(c)) | (F.lit(False) if c.nullable or c.has_default else raw(c).isNull())).alias(f"bad__{c.name}") for c in columns] if flags else []
-    return typed.select("doc_id", "row_idx", *keep, *(whole(c).alias(c.name) for c in columns), *bad, F.struct(*(raw(c).alias(c.name) for c in columns)).alias("raw"), _held(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("findings"))
+        point = lambda c: _point(c) if c in proven else None
+        cells = cells.withColumns({f"core__{c.name}": X.number_core(_raw(c)) for c in numbers})
+        cells = cells.withColumns({f"text__{c.name}": X.number_signed(_core(c)) for c in numbers})
+        cells = cells.withColumns({f"body__{c.name}": X.number_body(_text(c)) for c in numbers})
+        cells = cells.withColumns({f"plain__{c.name}": X.normalise_number(_body(c), c.scale, point(c)) for c in numbers})
+    number = lambda c: _number(c) if c.is_number else None
+    cells = cells.withColumns({f"value__{c.name}": _converted(c, _raw(c), number(c)) for c in columns})
+    return cells.withColumns({f"code__{c.name}": _code_of(c) for c in columns})
+
+
+def _listed(cases: Sequence[tuple[Column, Column]]) -> Column:
+    """The findings of the cases (condition, finding) that hold; a row without any skips all of their texts."""
+    none = F.array().cast(f"array<{FINDING}>")
+    if not cases:
+        return none
+    some = reduce(lambda a, b: a | b, (F.coalesce(hit, F.lit(False)) for hit, _ in cases))
+    found = F.filter(F.array(*(F.when(hit, said) for hit, said in cases)), lambda f: f.isNotNull())
+    return _held(F.when(some, found).otherwise(none))
+
+
+def _outcome(cells: DataFrame, spec: TableSpec, kept: Sequence[str], cases: Sequence[tuple[Column, Column]], codes: bool) -> DataFrame:
+    columns = spec.extractable
+    whole = lambda c: F.when(~F.exists(_value(c), lambda x: x.isNull()), _value(c)) if c.element is not None else _value(c)
+    exact = [_spelled(c).alias(c.name) for c in columns if c.is_exact]
+    return cells.select(
+        "doc_id",
+        "row_idx",
+        *kept,
+        *(whole(c).alias(c.name) for c in columns),
+        *(_code(c) for c in columns if codes),
+        F.struct(*(_raw(c).alias(c.name) for c in columns)).alias("raw"),
+        *([F.struct(*exact).alias("spelled")] if exact else []),
+        _listed([*((_code(c) > 0, _cell_finding(c)) for c in columns), *cases]).alias("findings"),
+    )
+
+
+def coerce(
+    staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = None, infer: bool = True, codes: bool = False, keep: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Typed columns, `raw` (staged texts, NULL words gone), `spelled` (exact numbers as written) and `findings`, at most one per cell.
+
+    Separators are settled by the column's scale, then the document's own convention, else the cell is
+    refused. infer=False takes no document-wide convention (streams of single rows). codes adds code__<column>
+    per column: 0, or LACKING, UNCLEAR, WRONG_TYPE, NO_LABEL. keep carries further columns of the staged rows along.
+    """
+    keep = keep or {}
+    return _outcome(_cells(staged, spec, conventions, infer, keep), spec, list(keep), [], codes)
 
 
-def _refused(name: str) -> Column:
-    """Whether coercion refused the cell: fixed before the rules, so they do not silence each other."""
-    return F.col(f"`bad__{name}`")
+def _sound(*columns: Field) -> Column:
+    """Coercion let all of the cells through and they have values: fixed before the rules, so they do not silence each other."""
+    return reduce(lambda a, b: a & b, ((_code(c) == 0) & _value(c).isNotNull() for c in columns))
 
 
-def check_length(spec: TableSpec) -> list[Column]:
+def check_length(c: Field) -> tuple[Column, Column]:
     """E2."""
-    out = []
-    for c in spec.extractable:
-        if c.max_length is not None and c.element is None and spec.column(c.name).data_type in TEXTS and not c.enum_labels:
-            size = F.char_length(F.col(c.name))
-            out.append(F.when((size > c.max_length) & ~_refused(c.name), finding(c.name, "length", F.concat(size.cast("string"), F.lit(f" characters, but {c.name!r} is {c.data_type}({c.max_length})")), F.col(c.name))))
-    return out
+    size = F.char_length(_value(c))
+    said = F.concat(size.cast("string"), F.lit(f" characters, but {c.name!r} is {c.kind}({c.size})"))
+    return (size > c.size) & (_code(c) == 0), finding(c.name, "length", said, _value(c))
+
+
+def check_sum(rule: Arithmetic, members: Sequence[Field], target: Field) -> tuple[Column, Column]:
+    """(broken, what the members come to). Whole parts and fractions are added apart, so no sum of storable numbers overflows."""
+    whole = lambda c: F.when(_value(c) < 0, F.ceil(_value(c))).otherwise(F.floor(_value(c)))
+    part = lambda c: _value(c) % 1
+    plus = lambda xs: reduce(lambda a, b: a + b, xs)
+    wholes, parts = plus(map(whole, members)), plus(map(part, members))
+    # the fractions differ by less than their number: where the whole parts lie 18 digits apart nothing can make up for it
+    apart = (wholes - whole(target)).try_cast("decimal(18,0)")
+    off = F.abs(apart + (parts - part(target)))
+    shown = F.coalesce(F.try_add(wholes.try_cast("decimal(27,0)"), parts).cast("string"), wholes.cast("string"))
+    return apart.isNull() | (off > F.lit(rule.tolerance)), shown
+
+
+def check_product(rule: Arithmetic, members: Sequence[Field], target: Field) -> tuple[Column, Column]:
+    """(broken, what the members come to). Up to 18 digits a number the product is exact; longer ones are multiplied at the width
+    of a decimal and compared at six digits, and a product that no decimal holds cannot be the target.
+    """
+    times = lambda xs: reduce(F.try_multiply, xs)
+    narrow = lambda c: _value(c).try_cast(f"decimal(18,{min(c.decimal_scale, 8)})")
+    lossless = reduce(lambda a, b: a & b, (narrow(c) == _value(c) for c in (*members, target)))
+    exact, wide = times(map(narrow, members)), times(map(_value, members))
+    off = F.when(lossless, F.abs(exact - narrow(target))).otherwise(F.abs(F.try_subtract(wide, _value(target))))
+    shown = F.coalesce(F.when(lossless, exact.cast("string")).otherwise(wide.cast("string")), F.lit("more than fits"))
+    return off.isNull() | (off > F.lit(rule.tolerance)), shown
 
 
-def _arithmetic(rule: Sum | Product, computed: Column, spec: TableSpec) -> Column | None:
-    if not all(spec.column(n).data_type in EXACT for n in rule.columns):
-        return None  # only exact numbers qualify
-    sound = reduce(lambda a, b: a & b, (F.col(n).isNotNull() & ~_refused(n) for n in rule.columns))
-    target = F.col(rule.equals)
-    shown = F.bround(computed, max(0, -rule.tolerance.as_tuple().exponent)).cast("string")
-    text = F.concat(F.lit(f"{', '.join(rule.columns[:-1])} come to "), shown, F.lit(", the document says "), target.cast("string"))
-    return F.when(sound & (F.abs(computed - target) > F.lit(rule.tolerance)), finding(rule.equals, "arithmetic", text, target.cast("string")))
+_OPERATIONS = {"sum": check_sum, "product": check_product}
 
 
-def check_sum(rule: Sum, spec: TableSpec) -> Column | None:
-    """E3."""
-    scale = max(spec.column(n).decimal_scale for n in rule.columns)
-    return _arithmetic(rule, reduce(lambda a, b: a + b, (F.col(n).cast(f"decimal(36,{scale})") for n in rule.terms)), spec)
+def check_arithmetic(rule: Arithmetic, spec: TableSpec) -> tuple[Column, Column] | None:
+    """A finding on the target; only exact numbers qualify, and rows that lack one of them are left alone."""
+    members, target = [spec.column(n) for n in rule.members], spec.column(rule.target)
+    if not all(c.is_exact for c in (*members, target)):
+        return None
+    broken, shown = _OPERATIONS[rule.operation](rule, members, target)
+    said = F.concat(F.lit(f"{', '.join(rule.members)} come to "), X.trimmed(shown), F.lit(", the document says "), _spelled(target))
+    return _sound(*members, target) & broken, finding(target.name, "arithmetic", said, _spelled(target))
 
 
-def check_product(rule: Product, spec: TableSpec) -> Column | None:
-    """Two factors multiply at 19 digits each, so their product is exact; more are multiplied in turn."""
-    scale = lambda n: min(spec.column(n).decimal_scale, 8)
-    factors = [F.col(n).try_cast(f"decimal(19,{scale(n)})") for n in rule.factors]
-    computed = factors[0]
-    for factor in factors[1:]:
-        computed = F.try_multiply(computed, factor)
-    return _arithmetic(rule, computed, spec)
+def check_reject(rule: ValueRule, c: Field) -> tuple[Column, Column]:
+    """E5."""
+    bad = sorted({"".join(v.split()).lower() for v in rule.values})
+    return X.folded(_spelled(c)).isin(*bad) & _sound(c), _rejected(c)
 
 
-def check_reject(rule: Reject, spec: TableSpec) -> Column:
-    """E5."""
-    value = F.col(rule.column).cast("string")
-    bad = sorted({"".join(v.split()).lower() for v in rule.reject})
-    return F.when(X.folded(value).isin(*bad) & ~_refused(rule.column), finding(rule.column, "rejected_value", F.concat(value, F.lit(f" can never be right for {rule.column!r}")), value))
+def _rejected(c: Field) -> Column:
+    return finding(c.name, "rejected_value", F.concat(_spelled(c), F.lit(f" can never be right for {c.name!r}")), _spelled(c))
 
 
-def check_pattern(rule: Pattern, spec: TableSpec) -> Column:
+def check_pattern(rule: ValueRule, c: Field) -> tuple[Column, Column]:
     """E6."""
-    value = F.col(rule.column).cast("string")
-    return F.when(~value.rlike(rf"\A(?:{rule.pattern})\z") & ~_refused(rule.column), finding(rule.column, "pattern", F.concat(value, F.lit(f" does not have the shape {rule.pattern}")), value))
+    said = F.concat(_spelled(c), F.lit(f" does not have the shape {rule.pattern}"))
+    return ~_spelled(c).rlike(rf"\A(?:{rule.pattern})\z") & _sound(c), finding(c.name, "pattern", said, _spelled(c))
 
 
-def check_require(rule: Require, spec: TableSpec) -> Column:
+def check_require(rule: ValueRule, c: Field) -> tuple[Column, Column]:
     """E7."""
-    return F.when(F.col(rule.column).isNull() & ~_refused(rule.column), finding(rule.column, "required", f"column {rule.column!r} is expected and the document gave no value"))
+    return _value(c).isNull() & (_code(c) == 0), finding(c.name, "required", f"column {c.name!r} is expected and the document gave no value")
 
 
-def check_range(rule: Range, spec: TableSpec) -> Column | None:
+def check_range(rule: ValueRule, c: Field) -> tuple[Column, Column] | None:
     """E8."""
-    if not spec.column(rule.column).is_number:
+    if not c.is_number:
         return None
-    value = F.col(rule.column)
-    outside = F.lit(False)
-    if rule.minimum is not None:
-        outside = outside | (value < F.lit(rule.minimum))
-    if rule.maximum is not None:
-        outside = outside | (value > F.lit(rule.maximum))
-    return F.when(outside & ~_refused(rule.column), finding(rule.column, "range", F.concat(value.cast("string"), F.lit(f" is outside {rule.minimum} to {rule.maximum}")), value.cast("string")))
-
-
-_CHECKS = {Sum: check_sum, Product: check_product, Reject: check_reject, Pattern: check_pattern, Require: check_require, Range: check_range}
-
-
-def apply_rules(coerced: DataFrame, spec: TableSpec, rules: Sequence[Rule]) -> DataFrame:
-    """E9, second half, on what coerce(flags=True) gives: length, then arithmetic, then value rules, on cells that coercion let through."""
-    kept = [c for c in coerced.columns if not c.startswith("bad__")]
-    names = {c.name for c in spec.extractable}
-    used = [r for r in rules if names >= set(getattr(r, "columns", None) or (r.column,))]
-    ordered = [r for r in used if isinstance(r, Sum | Product)] + [r for r in used if not isinstance(r, Sum | Product)]
-    long_lists = [r for r in ordered if isinstance(r, Reject) and len(r.reject) > LONGEST_LIST]
-    out = coerced
-    flags = {}
-    for k, rule in enumerate(long_lists):
-        listed = coerced.sparkSession.createDataFrame([("".join(v.split()).lower(),) for v in sorted(set(rule.reject))], f"bad{k}__ string").distinct()
-        out = out.withColumn(f"key{k}__", X.folded(F.col(rule.column).cast("string"))).join(listed, F.col(f"key{k}__") == F.col(f"bad{k}__"), "left")
-        flags[id(rule)] = F.when(F.col(f"bad{k}__").isNotNull() & ~_refused(rule.column), finding(rule.column, "rejected_value", F.concat(F.col(rule.column).cast("string"), F.lit(f" can never be right for {rule.column!r}")), F.col(rule.column).cast("string")))
-    checks = check_length(spec) + [flags[id(r)] if id(r) in flags else _CHECKS[type(r)](r, spec) for r in ordered]
-    checks = [c for c in checks if c is not None]
-    if not checks:
-        return coerced.select(*kept)
-    more = F.filter(F.array(*checks), lambda f: f.isNotNull())
-    return out.withColumn("findings", _held(F.concat("findings", more))).select(*kept)
+    outside = [_value(c) < F.lit(rule.low)] if rule.low is not None else []
+    outside += [_value(c) > F.lit(rule.high)] if rule.high is not None else []
+    said = F.concat(_spelled(c), F.lit(f" is outside {rule.low} to {rule.high}"))
+    return reduce(lambda a, b: a | b, outside) & _sound(c), finding(c.name, "range", said, _spelled(c))
+
+
+_TESTS = {"reject": check_reject, "pattern": check_pattern, "require": check_require, "range": check_range}
+
+
+def _rule_cases(cells: DataFrame, spec: TableSpec, rules: Sequence[Rule]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """(cells with what long lists match, cases): length, then arithmetic, then value rules, on cells that coercion let through."""
+    columns = {c.name: c for c in spec.extractable}
+    used = [r for r in rules if columns.keys() >= set(r.columns)]
+    cases = [check_length(c) for c in columns.values() if c.size is not None and c.is_text and c.element is None]
+    cases += [check_arithmetic(r, spec) for r in used if isinstance(r, Arithmetic)]
+    for k, rule in enumerate(r for r in used if isinstance(r, ValueRule)):
+        c = columns[rule.column]
+        if rule.test == "reject" and len(rule.values) > LONGEST_LIST:
+            bad = sorted({"".join(v.split()).lower() for v in rule.values})
+            listed = cells.sparkSession.createDataFrame([(v,) for v in bad], f"bad{k}__ string")
+            listed = F.broadcast(listed) if sum(map(len, bad)) <= BROADCAST_BYTES else listed
+            cells = cells.withColumn(f"key{k}__", X.folded(_spelled(c))).join(listed, F.col(f"key{k}__") == F.col(f"bad{k}__"), "left")
+            cases.append((F.col(f"bad{k}__").isNotNull() & _sound(c), _rejected(c)))
+        else:
+            cases.append(_TESTS[rule.test](rule, c))
+    return cells, [case for case in cases if case is not None]
 
 
 def gate(staged: DataFrame, spec: TableSpec, rules: Sequence[Rule] = (), conventions: DataFrame | None = None, infer: bool = True) -> DataFrame:
     """Every staged row, typed, with all its findings."""
-    return apply_rules(coerce(staged, spec, conventions, infer, flags=True), spec, rules)
+    cells, cases = _rule_cases(_cells(staged, spec, conventions, infer, {}), spec, rules)
+    hits = {f"hit{k}__": hit for k, (hit, _) in enumerate(cases)}
+    cells = cells.withColumns(hits) if hits else cells
+    return _outcome(cells, spec, [], [(F.col(f"hit{k}__"), said) for k, (_, said) in enumerate(cases)], False)
 
 
 def findings(gated: DataFrame) -> DataFrame:
     """One row per finding; sort by (doc_id, row_idx, column, position) to show them."""
-    out = gated.select("doc_id", "row_idx", F.posexplode_outer("findings").alias("position", "f")).where("f is not null")
-    return out.select("doc_id", "row_idx", "position", "f.*")
+    found = gated.where(F.size("findings") > 0).select("doc_id", "row_idx", F.posexplode("findings").alias("position", "f"))
+    return found.select("doc_id", "row_idx", "position", "f.*")
 
 
 def ordered_findings(gated: DataFrame) -> DataFrame:
@@ -255,12 +336,14 @@ def ordered_findings(gated: DataFrame) -> DataFrame:
 def document_status(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, status: flagged if it has a finding."""
     counts = found.groupBy("doc_id").agg(F.count("*").alias("failures"))
-    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.when(F.col("failures") > 0, "flagged").otherwise("ok").alias("status"))
+    flagged = F.when(F.col("failures") > 0, "flagged").otherwise("ok")
+    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", flagged.alias("status"))
 
 
 def check_summary(gated: DataFrame) -> DataFrame:
     """Per document rows, failures and the sorted distinct rule names, in one aggregate."""
-    rules = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.transform("findings", lambda f: f["rule"]))))))
+    names = F.array_distinct(F.transform("findings", lambda f: f["rule"]))
+    rules = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.size("findings") > 0, names)))))
     return gated.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.size("findings")).alias("failures"), rules.alias("rules"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.functions.text import strip
+
 
 def default_is_computed(c: Column) -> Column:
-    """B2: text that starts like a literal (quote, digit, sign, dot) or is true/false/null before :: is literal; else, or unknown, computed."""
-    literal = c.rlike(r"^\s*['0-9+.-]") | F.lower(F.trim(F.split_part(c, F.lit("::"), F.lit(1)))).isin("true", "false", "null")
+    """B2: text that starts like a literal (either quote, digit, sign, dot) or is true/false/null before :: is literal; else, or unknown, computed."""
+    literal = strip(c).rlike(r"""^['"0-9+.-]""") | F.lower(strip(F.split_part(c, F.lit("::"), F.lit(1)))).isin("true", "false", "null")
     return F.coalesce(~literal, F.lit(True))
 
 

@@ -7,27 +7,50 @@ columns are never joined one by one.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from rowcheck.operators.gate import coerce
-from rowcheck.plans.spec import TEXTS, Product, Rule, Sum, TableSpec
+from rowcheck.functions import text as X
+from rowcheck.operators.gate import LACKING, NO_LABEL, UNCLEAR, WRONG_TYPE, coerce
+from rowcheck.plans.spec import Arithmetic, Rule, TableSpec
 
 OUTCOMES = ("correct", "flagged", "held", "rejected", "missing", "left_blank", "invented", "wrong_silent")
 _NUMBERS = ("numeric", "int2", "int4", "int8")
 
 
+def written(df: DataFrame, name: str) -> Column:
+    """A cell in the spelling rows leave in (A9): exact numbers as the document wrote them where the gate kept that, ISO dates and times."""
+    held = dict(df.dtypes)
+    if name not in held:
+        return F.lit(None).cast("string")
+    kind, cell = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.DecimalType):
+        known = "spelled" in held and name in df.schema["spelled"].dataType.names
+        return F.coalesce(F.col(f"spelled.`{name}`"), X.trimmed(cell)) if known else X.trimmed(cell)
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return X.iso_timestamp(cell)
+    if isinstance(kind, T.ArrayType | T.StructType | T.MapType):
+        return F.to_json(cell)
+    return cell.cast("string")
+
+
 def _wide(df: DataFrame, columns: Sequence[str], name: str) -> Column:
-    held = set(df.columns)
-    return F.struct(*(F.col(c).cast("string").alias(c) if c in held else F.lit(None).cast("string").alias(c) for c in columns)).alias(name)
+    return F.struct(*(written(df, c).alias(c) for c in columns)).alias(name)
 
 
 def score_cells(expected: DataFrame, actual: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """doc_id, row_idx, position, column, wanted, got, correct: row i against row i; an absent row is all NULL."""
-    both = expected.select("doc_id", "row_idx", _wide(expected, columns, "e")).join(actual.select("doc_id", "row_idx", _wide(actual, columns, "a")), ["doc_id", "row_idx"], "left")
-    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), F.col(f"e.`{c}`").alias("wanted"), F.col(f"a.`{c}`").alias("got")) for k, c in enumerate(columns)))
+    """doc_id, row_idx, position, column, wanted, got, correct: row i against row i; an absent row is all NULL.
+
+    Both sides are compared in the spelling of written, so rows of the gate can be given as they are.
+    """
+    found = actual.select("doc_id", "row_idx", _wide(actual, columns, "a"))
+    both = expected.select("doc_id", "row_idx", _wide(expected, columns, "e")).join(found, ["doc_id", "row_idx"], "left")
+    sides = lambda c: (F.col(f"e.`{c}`").alias("wanted"), F.col(f"a.`{c}`").alias("got"))
+    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), *sides(c)) for k, c in enumerate(columns)))
     long = both.select("doc_id", "row_idx", F.explode(cells).alias("c")).select("doc_id", "row_idx", "c.*")
     return long.withColumn("correct", F.col("wanted").eqNullSafe(F.col("got")))
 
@@ -105,14 +128,14 @@ def same_value(a: Column, b: Column, data_type: str) -> Column:
     elif data_type == "date":
         equal = F.substring(a, 1, 10) == F.substring(b, 1, 10)
     else:
-        fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+        fold = lambda c: F.lower(X.strip(F.regexp_replace(c, r"(?U)\s+", " ")))
         equal = fold(a) == fold(b)
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(equal)
 
 
 def widen_flags(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """doc_id, row_idx, column: an arithmetic finding flags every column of the rules whose target it names."""
-    pairs = [(r.equals, c) for r in rules if isinstance(r, Sum | Product) for c in r.columns]
+    pairs = [(r.target, c) for r in rules if isinstance(r, Arithmetic) for c in r.columns]
     own = found.where("column is not null").select("doc_id", "row_idx", "column")
     if not pairs:
         return own.distinct()
@@ -121,6 +144,23 @@ def widen_flags(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return own.unionByName(more).distinct()
 
 
+#: A key that very many rows share is dealt to so many tasks before its first row is picked.
+_SPREAD = 64
+
+
+def _later_of_key(df: DataFrame, key: Sequence[str], competing: Column) -> DataFrame:
+    """df with later__: a competing row that is not the first of its key. Rows that do not compete are spread by their own place."""
+    own = F.xxhash64("doc_id", "row_idx")
+    alone = lambda fights: F.when(~fights, own)
+    place = ["doc_id", "row_idx"]
+    dealt = W.partitionBy(*key, alone(competing), F.pmod(own, F.lit(_SPREAD))).orderBy(*place)
+    out = df.withColumn("nth__", F.when(competing, F.row_number().over(dealt)))
+    best = F.coalesce(F.col("nth__") == 1, F.lit(False))
+    whole = W.partitionBy(*key, alone(best)).orderBy(*place)
+    out = out.withColumn("first__", F.when(best, F.row_number().over(whole)))
+    return out.withColumn("later__", F.coalesce(F.col("nth__") > 1, F.lit(False)) | F.coalesce(F.col("first__") > 1, F.lit(False))).drop("nth__", "first__")
+
+
 def dry_run_load(rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[str]] = (), checks: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows (doc_id, row_idx, text columns, optionally an array `phantoms`) with `refusal`: NULL if the table would take the row.
 
@@ -128,29 +168,26 @@ def dry_run_load(rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[st
     """
     wanted = spec.extractable
     held = set(rows.columns)
-    refused = lambda rule: F.exists("findings", lambda f: f["rule"].isin(*rule))
-    too_long = F.lit(False)
-    for c in wanted:
-        if c.max_length is not None and c.data_type in TEXTS:
-            too_long = too_long | F.coalesce(F.char_length(F.col(c.name)) > c.max_length, F.lit(False))
+    some = lambda cases: reduce(lambda a, b: a | b, cases, F.lit(False))
+    refused = lambda *codes: some(F.col(f"`code__{c.name}`").isin(*codes) for c in wanted)
+    too_long = some(F.coalesce(F.char_length(F.col(c.name)) > c.size, F.lit(False)) for c in wanted if c.size is not None and c.is_text)
     given = [c for c in spec.columns if not c.extractable and c.name in held]
     keep = {"identity__": F.coalesce(*(F.col(c.name).isNotNull() for c in given))} if given else {}
-    joined = coerce(rows, spec, infer=False, keep=keep | ({"phantoms": F.col("phantoms")} if "phantoms" in held else {}))
-    empty = ~F.exists(F.array(*(F.col(f"raw.`{c.name}`").isNotNull() for c in wanted)), lambda x: x)
-    ladder = F.when(empty, "empty")
+    keep |= {"phantoms": F.col("phantoms")} if "phantoms" in held else {}
+    coerced = coerce(rows, spec, infer=False, codes=True, keep=keep)
+    ladder = F.when(~some(F.col(f"raw.`{c.name}`").isNotNull() for c in wanted), "empty")
     if "phantoms" in held:
         ladder = ladder.when(F.size("phantoms") > 0, "unknown_column")
     if given:
         ladder = ladder.when(F.col("identity__"), "identity")
-    ladder = ladder.when(refused(["type", "ambiguous_number"]), "type").when(refused(["enum"]), "enum").when(refused(["not_null"]), "not_null").when(too_long, "length")
+    ladder = ladder.when(refused(WRONG_TYPE, UNCLEAR), "type").when(refused(NO_LABEL), "enum").when(refused(LACKING), "not_null").when(too_long, "length")
     for holds in (checks or {}).values():
         ladder = ladder.when(~holds, "check")
-    out = joined.withColumn("refusal", ladder)
+    out = coerced.withColumn("refusal", ladder)
     for key in uniques:
-        # only rows that would be taken so far compete; partitioned by the full key
-        competing = F.col("refusal").isNull() & F.forall(F.array(*(F.col(k).isNotNull() for k in key)), lambda x: x)
-        nth = F.row_number().over(W.partitionBy(*key, competing).orderBy("doc_id", "row_idx"))
-        out = out.withColumn("nth__", nth).withColumn("refusal", F.when(competing & (F.col("nth__") > 1), "duplicate").otherwise(F.col("refusal"))).drop("nth__")
+        # only rows that would be taken so far compete, and only with values in all of the key
+        competing = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key), F.col("refusal").isNull())
+        out = _later_of_key(out, key, competing).withColumn("refusal", F.when(F.col("later__"), "duplicate").otherwise(F.col("refusal"))).drop("later__")
     return out.select("doc_id", "row_idx", *(c.name for c in wanted), "refusal")
 
 
@@ -176,7 +213,7 @@ def cell_outcomes(expected: DataFrame, stored: DataFrame, flags: DataFrame, repo
             .when(same_value(got, wanted, data_type), "correct").when(own, "flagged").when(got.isNull(), "left_blank").when(wanted.isNull(), "invented").otherwise("wrong_silent")
         )
 
-    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), F.col(f"e.`{c}`").alias("wanted"), F.col(f"s.`{c}`").alias("stored"), outcome(c, spec.column(c).data_type).alias("outcome")) for k, c in enumerate(columns)))
+    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), F.col(f"e.`{c}`").alias("wanted"), F.col(f"s.`{c}`").alias("stored"), outcome(c, spec.column(c).kind).alias("outcome")) for k, c in enumerate(columns)))
     return full.select("doc_id", "e_idx", "r_idx", F.explode(cells).alias("c")).select("doc_id", "e_idx", "r_idx", "c.*")
 
 
@@ -241,7 +278,7 @@ def perfect_run(expected: DataFrame, spec: TableSpec, table: str, uniques: Seque
     """Outcomes of the expected rows loaded as if they had been returned: all must be `correct`."""
     columns = [c.name for c in spec.extractable]
     landed = dry_run_load(expected, spec, uniques)
-    text = landed.select("doc_id", "row_idx", *(F.col(c).cast("string").alias(c) for c in columns), "refusal")
+    text = landed.select("doc_id", "row_idx", *(written(landed, c).alias(c) for c in columns), "refusal")
     keyed = text.withColumn("key", row_key(text, table))
     none = expected.select("doc_id").where("false")
     return cell_outcomes(expected.withColumn("key", row_key(expected, table)), keyed, none.selectExpr("doc_id", "0 as row_idx", "'' as column"), none, spec, columns)

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowcheck.functions import text as X
 from rowcheck.operators.gate import findings
-from rowcheck.plans.spec import JSONS, TableSpec
+from rowcheck.plans.spec import JSONS, Field, TableSpec
 
 
 def write_gated(gated: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows by status (ok, flagged) and the findings as a table of their own; no shuffle."""
+    """Rows by status (ok, flagged) with their findings, and the findings as a table of their own; no shuffle.
+
+    The gate runs once: the findings table is drawn from the flagged rows that were written.
+    """
     status = F.when(F.size("findings") > 0, "flagged").otherwise("ok")
-    gated.withColumn("status", status).drop("findings", "raw").write.mode(mode).partitionBy("status").parquet(f"{path}/rows")
-    findings(gated).write.mode(mode).parquet(f"{path}/findings")
+    rows = gated.withColumn("status", status).drop("raw", "spelled")
+    rows.write.mode(mode).partitionBy("status").parquet(f"{path}/rows")
+    written = gated.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows").where("status = 'flagged'")
+    findings(written).write.mode("overwrite").parquet(f"{path}/findings")
 
 
 def run_log(documents: DataFrame, found: DataFrame, spend: DataFrame) -> DataFrame:
@@ -26,22 +32,31 @@ def run_log(documents: DataFrame, found: DataFrame, spend: DataFrame) -> DataFra
 
 
 def rendered(c: Column, kind: T.DataType) -> Column:
-    """Exact numbers, dates, times and uuids as text; arrays element by element."""
+    """Exact numbers and times as text, arrays element by element."""
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda x: rendered(x, kind.elementType))
     if isinstance(kind, T.DecimalType):
-        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        return X.trimmed(c)
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return X.iso_timestamp(c)
     if isinstance(kind, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     return c
 
 
 def to_json_rows(gated: DataFrame, spec: TableSpec) -> DataFrame:
-    """doc_id, row_idx, json: rows with exact numbers as text and json columns as structure."""
-    cells = []
-    for c in spec.extractable:
-        value = F.parse_json(F.col(c.name)) if c.data_type in JSONS else rendered(F.col(c.name), c.spark_type())
-        cells.append(value.alias(c.name))
-    return gated.select("doc_id", "row_idx", F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("json"))
+    """doc_id, row_idx, json: exact numbers as they were written, dates and times in ISO form, json columns as structure.
+
+    Numbers inside arrays are spelled by their value, without trailing zeros.
+    """
+    held = dict(gated.dtypes)
+
+    def cell(c: Field) -> Column:
+        if c.kind in JSONS:
+            return F.parse_json(F.col(c.name))
+        if c.is_exact and "spelled" in held:
+            return F.when(F.col(c.name).isNotNull(), F.col(f"spelled.`{c.name}`"))
+        return rendered(F.col(c.name), c.spark_type())
+
+    cells = F.struct(*(cell(c).alias(c.name) for c in spec.extractable))
+    return gated.select("doc_id", "row_idx", F.to_json(cells, {"ignoreNullFields": "false"}).alias("json"))

@@ -5,38 +5,47 @@ Each frame is a projection of its table (no window, no shuffle), so it grows wit
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowcheck.plans.spec import ColumnSpec, Product, Range, TableSpec
 from rowcheck.functions.text import render_date, render_number
-from decimal import Decimal
+from rowcheck.plans.spec import Field, TableSpec, multiplies_to, within
 
 LOCALES = ("plain", "point", "comma", "space")
 
 LINES = TableSpec(
     "invoice_lines",
     (
-        ColumnSpec("id", "int8", False, 1, is_identity=True),
-        ColumnSpec("order_no", "int8", False, 2),
-        ColumnSpec("ref", "varchar", True, 3, max_length=12),
-        ColumnSpec("quantity", "numeric", False, 4, numeric_scale=3),
-        ColumnSpec("unit_price", "numeric", False, 5, numeric_scale=2),
-        ColumnSpec("line_total", "numeric", False, 6, numeric_scale=2),
-        ColumnSpec("weight", "numeric", True, 7),
-        ColumnSpec("status", "text", False, 8, enum_labels=("A", "N", "R")),
-        ColumnSpec("shipped", "date", True, 9),
-        ColumnSpec("paid", "bool", True, 10),
-        ColumnSpec("created_at", "timestamptz", False, 11, default="now()"),
+        Field("id", "int8", 1, required=True, made="identity"),
+        Field("order_no", "int8", 2, required=True),
+        Field("ref", "varchar", 3, size=12),
+        Field("quantity", "numeric", 4, required=True, scale=3),
+        Field("unit_price", "numeric", 5, required=True, scale=2),
+        Field("line_total", "numeric", 6, required=True, scale=2),
+        Field("weight", "numeric", 7),
+        Field("status", "text", 8, required=True, labels=("A", "N", "R")),
+        Field("shipped", "date", 9),
+        Field("paid", "bool", 10),
+        Field("created_at", "timestamptz", 11, required=True, default="now()"),
     ),
 )
-LINE_RULES = (Product(("quantity", "unit_price"), "line_total"), Range("quantity", Decimal(1), Decimal(45)))
+LINE_RULES = (multiplies_to(("quantity", "unit_price"), "line_total"), within("quantity", Decimal(1), Decimal(45)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to all cores where it is read in fewer splits than there are cores: rendering and gating cost far more
+    than moving the rows. A larger table already is in many splits and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores, *keys)
+
+
 def by_locale(doc: Column, make) -> Column:
     """make(locale) for the document's locale: its number modulo four."""
     out = make(LOCALES[0])
@@ -52,7 +61,7 @@ def cents(c: Column) -> Column:
 
 def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc (file number), planted (0..96), exact quantity, price, total, weight and date of every line item."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     price = F.col("l_partkey") * 37 % 90000 + 100
     quantity = F.col("l_quantity").cast("bigint")
     return li.select(
@@ -80,7 +89,7 @@ def staged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATEMENT = TableSpec("invoices", (ColumnSpec("invoice_number", "varchar", False, 1, max_length=32), ColumnSpec("status", "text", True, 2), ColumnSpec("total", "numeric", True, 3, numeric_scale=2)))
+STATEMENT = TableSpec("invoices", (Field("invoice_number", "varchar", 1, required=True, size=32), Field("status", "text", 2), Field("total", "numeric", 3, scale=2)))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +115,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.join(F.broadcast(last), F.col("model") != F.col("last")).select("model", n.cast("decimal(8,2)").alias("input"), (n * 4).cast("decimal(8,2)").alias("output"), F.when(n % 2 == 0, (n * F.lit(Decimal("0.5"))).cast("decimal(8,2)")).alias("cached_input"))
 
 
-ORDERS = TableSpec("orders", (ColumnSpec("invoice_number", "varchar", False, 1, max_length=32), ColumnSpec("status", "text", True, 2), ColumnSpec("total", "numeric", True, 3, numeric_scale=2), ColumnSpec("issued_on", "date", True, 4), ColumnSpec("note", "text", True, 5)))
+ORDERS = TableSpec("orders", (Field("invoice_number", "varchar", 1, required=True, size=32), Field("status", "text", 2), Field("total", "numeric", 3, scale=2), Field("issued_on", "date", 4), Field("note", "text", 5)))
 ORDER_COLUMNS = [c.name for c in ORDERS.columns]
 
 
