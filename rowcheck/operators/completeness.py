@@ -2,71 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rowcheck.plans.spec import TEXTS, TableSpec
+from rowcheck.functions.text import strip
+from rowcheck.plans.spec import TableSpec
 
-#: Trimmed text of this many characters must have given a row.
+# Text of so many characters must have given a row; identifiers shown; how a key is spelled, what its
+# column is called, and how it stands in a text.
 ENOUGH_TEXT = 80
 SHOWN = 6
-KEY_SHAPE = r"^([A-Za-z]{1,4}[-/]?)([0-9]{4,})$"
+KEY_SHAPE = r"^([A-Za-z]{1,4}[-/]?)([0-9]{4,})\z"
 KEY_NAME = r"(number|_no|nr|_id|ref|code|key)$"
-MENTION = r"(?<![A-Za-z0-9])[A-Za-z]{1,4}[-/]?[0-9]{4,}(?![0-9A-Za-z])"
-_FINDING = ["doc_id", "row_idx", "column", "rule", "detail", "value"]
+MENTION = r"(?<![A-Za-z0-9])[A-Za-z]{1,4}[-/]?[0-9]{4,}"
 
 
 def find_empty(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """a finding for each document with enough text and no row."""
-    long_enough = texts.where(F.char_length(F.trim("text")) >= ENOUGH_TEXT).select("doc_id", F.char_length(F.trim("text")).alias("n"))
+    size = F.char_length(strip(F.col("text")))
+    long_enough = texts.where(size >= ENOUGH_TEXT).select("doc_id", size.alias("n"))
     said = F.concat(F.lit("no rows came from "), F.col("n").cast("string"), F.lit(" characters of text"))
     none = F.lit(None).cast("string")
-    return long_enough.join(rows.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("row_idx"), none.alias("column"), F.lit("empty").alias("rule"), said.alias("detail"), none.alias("value"))
+    found = (F.lit(-1).alias("row_idx"), none.alias("column"), F.lit("empty").alias("rule"), said.alias("detail"), none.alias("value"))
+    return long_enough.join(rows.select("doc_id"), "doc_id", "left_anti").select("doc_id", *found)
+
+
+def _key_columns(spec: TableSpec) -> list[str]:
+    return [c.name for c in spec.extractable if c.is_text and c.element is None]
 
 
 def discover_key(rows: DataFrame, spec: TableSpec) -> DataFrame:
     """doc_id, column, prefix, digits, n_rows of the first text column whose values are all distinct keys of one shape.
 
-    Shapes are aggregated for all columns at once; distinctness is a count of rows against a count of distinct values.
+    Equal values are counted first (doc_id, column, value), so what is grouped by document are counts that combine
+    before the shuffle: a document that holds very many rows is no group of its own anywhere.
     """
-    names = [c.name for c in spec.extractable if c.data_type in TEXTS and not c.enum_labels]
-    part = lambda n, k: F.regexp_extract(F.col(n), KEY_SHAPE, k)
-    aggs: list[Column] = [F.count("*").alias("n_rows")]
-    for n in names:
-        shaped = F.when(F.col(n).rlike(KEY_SHAPE), F.lit(1))
-        aggs += [F.count(shaped).alias(f"{n}__shaped"), F.size(F.collect_set(F.when(shaped == 1, F.xxhash64(n)))).alias(f"{n}__distinct")]
-        aggs += [f(F.when(shaped == 1, x)).alias(f"{n}__{a}") for f, a in ((F.min, "low"), (F.max, "high")) for x, a in ((F.struct(part(n, 1).alias("prefix"), F.length(part(n, 2)).alias("digits")), a),)]
-        aggs += [F.min(F.when(shaped == 1, F.length(part(n, 2)))).alias(f"{n}__short"), F.max(F.when(shaped == 1, F.length(part(n, 2)))).alias(f"{n}__long")]
+    names = _key_columns(spec)
     if not names:
         return rows.select("doc_id").where("false").selectExpr("doc_id", "'' as column", "'' as prefix", "0 as digits", "0L as n_rows")
-    grouped = rows.groupBy("doc_id").agg(*aggs)
-    choices = []
-    for n in names:
-        whole = (F.col(f"{n}__shaped") == F.col("n_rows")) & (F.col(f"{n}__distinct") == F.col("n_rows")) & (F.col(f"{n}__low.prefix") == F.col(f"{n}__high.prefix")) & (F.col(f"{n}__short") == F.col(f"{n}__long"))
-        named = F.lit(bool(__import__("re").search(KEY_NAME, n.lower())))
-        choices.append(F.when(whole & ((F.col("n_rows") > 1) | named), F.struct(F.lit(n).alias("column"), F.col(f"{n}__low.prefix").alias("prefix"), F.col(f"{n}__short").alias("digits"))))
-    return grouped.select("doc_id", "n_rows", F.coalesce(*choices).alias("k")).where("k is not null").select("doc_id", "k.column", "k.prefix", "k.digits", "n_rows")
+    cells = rows.select("doc_id", F.posexplode(F.array(*(F.col(f"`{n}`").cast("string") for n in names))).alias("k", "value"))
+    counted = cells.groupBy("doc_id", "k", "value").agg(F.count("*").alias("n"))
+    part = lambda k: F.regexp_extract("value", KEY_SHAPE, k)
+    shaped = F.coalesce(F.col("value").rlike(KEY_SHAPE), F.lit(False))
+    keyed = counted.select("doc_id", "k", "n", shaped.alias("shaped"), F.when(shaped, part(1)).alias("prefix"), F.when(shaped, F.length(part(2))).alias("digits"))
+    sums = keyed.groupBy("doc_id", "k").agg(
+        F.sum("n").alias("n_rows"),
+        F.count_if("shaped").alias("keys"),
+        *(f(c).alias(f"{name}_{c}") for c in ("prefix", "digits") for f, name in ((F.min, "low"), (F.max, "high"))),
+    )
+    one_shape = (F.col("low_prefix") == F.col("high_prefix")) & (F.col("low_digits") == F.col("high_digits"))
+    named = [k for k, n in enumerate(names) if re.search(KEY_NAME, n.lower())]
+    enough = (F.col("n_rows") > 1) | F.col("k").isin(named)
+    keys = sums.where((F.col("keys") == F.col("n_rows")) & one_shape & enough)
+    first = F.min(F.struct("k", F.col("low_prefix").alias("prefix"), F.col("low_digits").alias("digits"), "n_rows")).alias("first")
+    column = F.element_at(F.array(*map(F.lit, names)), F.col("first.k") + 1).alias("column")
+    return keys.groupBy("doc_id").agg(first).select("doc_id", column, "first.prefix", "first.digits", "first.n_rows")
 
 
 def mentioned(texts: DataFrame) -> DataFrame:
-    """doc_id, identifier, prefix, digits: every distinct identifier of key shape that stands alone in the text."""
+    """doc_id, identifier, prefix, digits: every distinct identifier of key shape in the text; no letter or digit stands
+    before it and no digit behind it.
+    """
     found = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)))).alias("identifier"))
-    found = found.distinct()
-    return found.select("doc_id", "identifier", F.regexp_extract("identifier", KEY_SHAPE, 1).alias("prefix"), F.length(F.regexp_extract("identifier", KEY_SHAPE, 2)).alias("digits"))
+    part = lambda k: F.regexp_extract("identifier", KEY_SHAPE, k)
+    return found.distinct().select("doc_id", "identifier", part(1).alias("prefix"), F.length(part(2)).alias("digits"))
 
 
 def find_incomplete(texts: DataFrame, rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """a finding for each document that mentions identifiers of its key's shape which no row has."""
+    """a finding for each document that mentions identifiers of its key's shape which no row has; of the missing ones the
+    first few are shown, picked by rank, and the others only counted.
+    """
     keys = discover_key(rows, spec)
-    names = [c.name for c in spec.extractable if c.data_type in TEXTS and not c.enum_labels]
     named = mentioned(texts).join(keys, ["doc_id", "prefix", "digits"])
-    value = F.coalesce(*(F.when(F.col("column") == n, F.col(n)) for n in names))
+    value = F.coalesce(*(F.when(F.col("column") == n, F.col(f"`{n}`").cast("string")) for n in _key_columns(spec)))
     returned = rows.join(keys.select("doc_id", "column"), "doc_id").select("doc_id", value.alias("identifier"), F.lit(True).alias("returned"))
     both = named.join(returned, ["doc_id", "identifier"], "left")
-    counted = both.groupBy("doc_id", "column", "n_rows").agg(
-        F.count("*").alias("n_mentioned"), F.count_if(F.col("returned").isNull()).alias("n_missing"), F.array_sort(F.collect_list(F.when(F.col("returned").isNull(), F.col("identifier")))).alias("missing")
-    )
+    missing = F.col("returned").isNull()
+    counted = both.groupBy("doc_id", "column", "n_rows").agg(F.count("*").alias("n_mentioned"), F.count_if(missing).alias("n_missing"))
     short = counted.where((F.col("n_missing") > 0) & ((F.col("n_rows") > 1) | (F.col("n_missing") >= 2)))
-    listed = F.concat(F.array_join(F.slice("missing", 1, SHOWN), ", "), F.when(F.col("n_missing") > SHOWN, ", ...").otherwise(""))
-    said = F.concat(F.lit("the document names "), F.col("n_mentioned").cast("string"), F.lit(" and "), F.col("n_rows").cast("string"), F.lit(" came back; missing: "), listed)
-    return short.select("doc_id", F.lit(-1).alias("row_idx"), "column", F.lit("incomplete").alias("rule"), said.alias("detail"), F.lit(None).cast("string").alias("value"))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("identifier"))
+    first = both.where(missing).select("doc_id", "identifier").withColumn("rank", rank).where(F.col("rank") <= SHOWN)
+    shown = first.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("identifier")), ", ").alias("shown"))
+    text = lambda c: F.col(c).cast("string")
+    more = F.when(F.col("n_missing") > SHOWN, ", ...").otherwise("")
+    said = F.concat(F.lit("the document names "), text("n_mentioned"), F.lit(" and "), text("n_rows"), F.lit(" came back; missing: "), "shown", more)
+    none = F.lit(None).cast("string")
+    found = (F.lit(-1).alias("row_idx"), "column", F.lit("incomplete").alias("rule"), said.alias("detail"), none.alias("value"))
+    return short.join(shown, "doc_id").select("doc_id", *found)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.functions.text import strip
+
 
 def compose(text: Column, instructions: Column | None = None) -> Column:
     """H1: an instructions block, if any, then the document block; a closing tag inside a body is defused."""
@@ -19,35 +21,41 @@ def compose(text: Column, instructions: Column | None = None) -> Column:
     document = block("document", F.coalesce(text, F.lit("")))
     if instructions is None:
         return document
-    return F.when(F.trim(F.coalesce(instructions, F.lit(""))) != "", F.concat(block("instructions", instructions), F.lit("\n\n"), document)).otherwise(document)
+    return F.when(strip(F.coalesce(instructions, F.lit(""))) != "", F.concat(block("instructions", instructions), F.lit("\n\n"), document)).otherwise(document)
 
 
 _ROWS = "array<map<string,string>>"
 
 
+def _unfenced(c: Column) -> Column:
+    """An answer without white space and code fence around it."""
+    return strip(F.regexp_replace(strip(c), r"^```[A-Za-z]*\s*|\s*```$", ""))
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """H2: answers (doc_id, text) to doc_id, row_idx, row (map), error: one row per JSON object; what is not JSON has an error."""
-    body = F.trim(F.regexp_replace(F.trim("text"), r"^```[A-Za-z]*\s*|\s*```$", ""))
+    """H2: answers (doc_id, text) to doc_id, row_idx, row (map), error: one row per JSON object; what is not JSON has an error.
+
+    The first member of an object that is a list stands for the object; by its type, not by how its text begins.
+    """
     cut = F.regexp_extract("body", r"(?s)(\[.*\])", 1)
-    staged = answers.select("doc_id", body.alias("body")).select("doc_id", "body", F.coalesce(F.try_parse_json("body"), F.try_parse_json(F.nullif(cut, F.lit("")))).alias("v"))
+    parsed = F.coalesce(F.try_parse_json("body"), F.try_parse_json(F.nullif(cut, F.lit(""))))
+    staged = answers.select("doc_id", _unfenced(F.col("text")).alias("body")).select("doc_id", parsed.alias("v"))
     kind = F.schema_of_variant("v")
-    text = F.to_json("v")
-    # an object that holds a list of objects stands for that list; a lone object is one row
-    held = F.from_json(text, "map<string,string>")
-    lists = F.filter(F.map_values(held), lambda x: x.startswith("["))
-    listed = F.when(kind.startswith("ARRAY"), text).when(kind.startswith("OBJECT") & (F.size(lists) > 0), lists[0]).when(kind.startswith("OBJECT"), F.concat(F.lit("["), text, F.lit("]")))
-    items = F.filter(F.from_json(listed, "array<string>"), lambda x: x.startswith("{"))
-    rows = F.transform(items, lambda x: F.from_json(x, "map<string,string>"))
-    error = F.when(F.col("v").isNull() | listed.isNull(), F.lit("not JSON"))
-    out = staged.select("doc_id", rows.alias("rows"), error.alias("error"))
+    members = F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))
+    inner = F.get(F.filter(members, lambda x: F.schema_of_variant(x).startswith("ARRAY")), F.lit(0))
+    lone = F.array("v")
+    objects = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    listed = F.when(kind.startswith("ARRAY"), objects(F.col("v"))).when(kind.startswith("OBJECT"), F.coalesce(objects(inner), lone))
+    items = F.filter(listed, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    rows = F.transform(items, lambda x: F.from_json(F.to_json(x), "map<string,string>"))
+    out = staged.select("doc_id", rows.alias("rows"), F.when(listed.isNull(), F.lit("not JSON")).alias("error"))
     return out.select("doc_id", F.posexplode_outer("rows").alias("row_idx", "row"), "error")
 
 
 def split_inserts(answers: DataFrame) -> DataFrame:
     """H3: doc_id, position, statement: the INSERT statements of SQL answers."""
-    body = F.regexp_replace(F.trim("text"), r"^```[A-Za-z]*\s*|\s*```$", "")
-    parts = F.filter(F.transform(F.split(body, r";\s*(\n|$)"), F.trim), lambda s: F.upper(s).startswith("INSERT"))
-    return answers.select("doc_id", F.posexplode(parts).alias("position", "statement"))
+    parts = F.transform(F.split(_unfenced(F.col("text")), r";\s*(\n|$)"), strip)
+    return answers.select("doc_id", F.posexplode(F.filter(parts, lambda s: F.upper(s).startswith("INSERT"))).alias("position", "statement"))
 
 
 def extract_with(docs: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None, schema: str) -> DataFrame:

@@ -6,43 +6,61 @@ header: invoice, discount (percent), shipping, misprint (added to the printed to
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+MONEY = "decimal(18,2)"
+
+
 def line_totals(lines: DataFrame) -> DataFrame:
-    total = F.round(F.col("quantity").cast("decimal(16,3)") * F.col("unit_price").cast("decimal(16,4)"), 2).cast("decimal(18,2)")
-    return lines.withColumn("line_total", F.coalesce(F.col("lump_sum").cast("decimal(18,2)"), total))
+    total = F.round(F.col("quantity").cast("decimal(16,3)") * F.col("unit_price").cast("decimal(16,4)"), 2).cast(MONEY)
+    return lines.withColumn("line_total", F.coalesce(F.col("lump_sum").cast(MONEY), total))
 
 
 def invoice_totals(lines: DataFrame, header: DataFrame) -> DataFrame:
     """L1: invoice, net, discount_amount, subtotal (net less discount, half up)."""
-    net = line_totals(lines).groupBy("invoice").agg(F.sum("line_total").cast("decimal(18,2)").alias("net"))
-    off = F.round(F.col("net") * F.col("discount").cast("decimal(5,2)") / 100, 2).cast("decimal(18,2)")
+    net = line_totals(lines).groupBy("invoice").agg(F.sum("line_total").cast(MONEY).alias("net"))
+    off = F.round(F.col("net") * F.col("discount").cast("decimal(5,2)") / 100, 2).cast(MONEY)
+    given = lambda c: F.coalesce(c, F.lit(0)).cast(MONEY).alias(c)
+    subtotal = (F.col("net") - F.col("discount_amount")).cast(MONEY).alias("subtotal")
     joined = net.join(header, "invoice").withColumn("discount_amount", off)
-    return joined.select("invoice", "net", "discount_amount", (F.col("net") - F.col("discount_amount")).cast("decimal(18,2)").alias("subtotal"), F.coalesce("shipping", F.lit(0)).cast("decimal(18,2)").alias("shipping"), F.coalesce("misprint", F.lit(0)).cast("decimal(18,2)").alias("misprint"))
+    return joined.select("invoice", "net", "discount_amount", subtotal, given("shipping"), given("misprint"))
 
 
 def tax_by_rate(lines: DataFrame, header: DataFrame) -> DataFrame:
-    """L2: invoice, tax_rate, base, tax: each rate's share after discount, shipping on the highest rate; products first, one division, one rounding per rate."""
-    by_rate = line_totals(lines).groupBy("invoice", "tax_rate").agg(F.sum("line_total").cast("decimal(18,2)").alias("gross"))
+    """L2: invoice, tax_rate, gross, tax: each rate's share after discount, shipping on the highest rate, one rounding per rate.
+
+    In whole cents tax = (gross subtotal + shipping net) rate / net. The division is taken in steps of whole numbers and
+    remainders, so all amounts that MONEY holds are exact; half a cent is rounded away from zero. An invoice of net 0 has no tax.
+    """
+    by_rate = line_totals(lines).groupBy("invoice", "tax_rate").agg(F.sum("line_total").cast(MONEY).alias("gross"))
     joined = by_rate.join(invoice_totals(lines, header), "invoice").withColumn("top", F.max("tax_rate").over(W.partitionBy("invoice")))
-    ship = F.when(F.col("tax_rate") == F.col("top"), F.col("shipping")).otherwise(F.lit(0).cast("decimal(18,2)"))
-    # cents as whole numbers: tax = (gross*subtotal + shipping*net) * rate / (net * 100)
-    cents = lambda c: (c * 100).cast("decimal(18,0)").cast("decimal(12,0)")
+    ship = F.when(F.col("tax_rate") == F.col("top"), F.col("shipping")).otherwise(F.lit(0).cast(MONEY))
+    cents = lambda c: (c * 100).cast("decimal(18,0)")
+    whole = lambda c: c.cast("decimal(38,0)")
+    quotient = lambda a, b: whole((a - a % b) / b)
     rate = (F.col("tax_rate").cast("decimal(5,2)") * 100).cast("decimal(5,0)")
-    above = cents(F.col("gross")) * cents(F.col("subtotal")) + cents(ship) * cents(F.col("net"))
-    tax = F.when(F.col("net") != 0, F.round((above * rate).cast("decimal(36,0)") / (cents(F.col("net")) * F.lit(1_000_000)).cast("decimal(20,0)"), 2)).otherwise(F.lit(0))
-    return joined.select("invoice", "tax_rate", "gross", tax.cast("decimal(18,2)").alias("tax"))
+    above = whole(cents(F.col("gross")) * cents(F.col("subtotal"))) + whole(cents(ship) * cents(F.col("net")))
+    sign = F.when((above < 0) != (F.col("net") < 0), -1).otherwise(1)
+    steps = joined.withColumn("rate__", rate).withColumn("below__", whole(F.abs(cents(F.col("net"))))).withColumn("above__", whole(F.abs(above)))
+    steps = steps.withColumn("sign__", sign).withColumn("below__", F.when(F.col("below__") != 0, F.col("below__")))
+    steps = steps.withColumn("whole__", quotient(F.col("above__"), F.col("below__"))).withColumn("rest__", F.col("above__") % F.col("below__"))
+    # hundredths of a hundredth of a cent, the fraction left out: it cannot change a half-up rounding of whole steps
+    fine = whole(F.col("whole__").cast("decimal(20,0)") * F.col("rate__")) + quotient(whole(F.col("rest__").cast("decimal(20,0)") * F.col("rate__")), F.col("below__"))
+    tax = quotient(whole(fine) + 5000, whole(F.lit(10000))).cast("decimal(16,0)") * F.lit(Decimal("0.01")) * F.col("sign__")
+    return steps.select("invoice", "tax_rate", "gross", F.coalesce(tax.cast(MONEY), F.lit(0).cast(MONEY)).alias("tax"))
 
 
 def invoice_header(lines: DataFrame, header: DataFrame) -> DataFrame:
     """L2, L3: subtotal, shipping, tax, total and the printed total."""
-    tax = tax_by_rate(lines, header).groupBy("invoice").agg(F.sum("tax").cast("decimal(18,2)").alias("tax"))
-    total = (F.col("subtotal") + F.col("shipping") + F.col("tax")).cast("decimal(18,2)")
+    tax = tax_by_rate(lines, header).groupBy("invoice").agg(F.sum("tax").cast(MONEY).alias("tax"))
+    total = (F.col("subtotal") + F.col("shipping") + F.col("tax")).cast(MONEY)
     out = invoice_totals(lines, header).join(tax, "invoice").withColumn("total", total)
-    return out.select("invoice", "subtotal", "shipping", "tax", "total", (F.col("total") + F.col("misprint")).cast("decimal(18,2)").alias("printed_total"))
+    return out.select("invoice", "subtotal", "shipping", "tax", "total", (F.col("total") + F.col("misprint")).cast(MONEY).alias("printed_total"))
 
 
 def expected_rows(lines: DataFrame) -> DataFrame:

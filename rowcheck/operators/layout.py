@@ -7,11 +7,14 @@ anchored on their first piece, blocks on their tightest step); everything else i
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rowcheck.functions.text import strip
+
 # Fixed values of the layout.
 LINE_LEAST, LINE_SHARE = 2.0, 0.4
 CELL_GAP, CELL_FONT = 1.2, 6.0
@@ -19,17 +22,46 @@ BLOCK_GAP, BLOCK_LINES, BLOCK_COLUMNS = 1.35, 3, 3
 OCR_LEAST = 40
 
 
+_KEY = ["doc_id", "page"]
+
+
+def _runs(*columns: pd.Series) -> np.ndarray:
+    """Where, in sorted rows, another value of the columns begins."""
+    opens = np.zeros(len(columns[0]), bool)
+    opens[:1] = True
+    for c in columns:
+        opens[1:] |= c.to_numpy()[1:] != c.to_numpy()[:-1]
+    return opens
+
+
 def _lines(pages: pd.DataFrame) -> pd.DataFrame:
-    pages = pages.sort_values(["doc_id", "page", "y", "x"], ascending=[True, True, False, True], kind="stable")
-    lines, baselines, own, line, anchor = [], [], None, -1, 0.0
-    for doc, page, y, font in zip(pages["doc_id"], pages["page"], pages["y"], pages["font_size"], strict=True):
-        if (doc, page) != own:
-            own, line, anchor = (doc, page), 0, y
-        elif abs(y - anchor) > max(LINE_LEAST, LINE_SHARE * font):
-            line, anchor = line + 1, y
-        lines.append(line)
-        baselines.append(anchor)
-    return pages.assign(line=lines, baseline=baselines).drop(columns="part")
+    """line and baseline: a piece within reach of its line's first piece belongs to it.
+
+    All pages of a part advance together, a line a step: of each page the pieces near the first that is not yet in a
+    line are compared with it, and those up to the first that is out of reach are that line.
+    """
+    pages = pages.sort_values([*_KEY, "y", "x"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
+    y, reach = pages["y"].to_numpy(), np.maximum(LINE_LEAST, LINE_SHARE * pages["font_size"].to_numpy())
+    opens = _runs(pages["doc_id"], pages["page"])
+    at = np.flatnonzero(opens)
+    ends = np.append(at[1:], len(pages))
+    # a place down all pages of the part, one below the other: nothing further off than the widest reach joins a line
+    most = reach.max(initial=0.0) + 1.0
+    down = (np.cumsum(opens) - 1) * (np.ptp(y) + 2 * most if len(y) else 0.0) - y
+    line, first = np.zeros(len(pages), np.int32), np.zeros(len(pages), np.int64)
+    number = 0
+    while len(at):
+        sizes = np.minimum(ends, np.searchsorted(down, down[at] + most, "right") + 1) - at
+        begin = np.cumsum(sizes) - sizes
+        place = np.repeat(at - begin, sizes) + np.arange(sizes.sum())
+        anchor = np.repeat(at, sizes)
+        out = np.append(0, np.cumsum(np.abs(y[place] - y[anchor]) > reach[place]))
+        own = out[1:] == np.repeat(out[begin], sizes)
+        line[place[own]], first[place[own]] = number, anchor[own]
+        at, number = at + np.add.reduceat(own.astype(np.int64), begin), number + 1
+        more = at < ends
+        at, ends = at[more], ends[more]
+    return pages.assign(line=line, baseline=y[first]).drop(columns="part")
 
 
 def _by_page(df: DataFrame):
@@ -38,70 +70,75 @@ def _by_page(df: DataFrame):
     return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts))).groupBy("part")
 
 
-_LINE = "doc_id string, page int, x double, y double, width double, font_size double, text string, line int, baseline double"
+_TYPES = {"doc_id": "string", "page": "int", "x": "double", "y": "double", "width": "double", "font_size": "double", "text": "string"}
+_LINE = ", ".join(f"{n} {t}" for n, t in _TYPES.items()) + ", line int, baseline double"
 
 
 def assign_lines(pieces: DataFrame) -> DataFrame:
     """G1: line and baseline of every piece that is not blank."""
-    solid = pieces.where("trim(text) <> ''").select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "string"), ("page", "int"), ("x", "double"), ("y", "double"), ("width", "double"), ("font_size", "double"), ("text", "string"))))
+    solid = pieces.where(strip(F.col("text")) != "").select(*(F.col(c).cast(t).alias(c) for c, t in _TYPES.items()))
     return _by_page(solid).applyInPandas(_lines, _LINE)
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
     """Cells of each line with their span: a wide gap after the piece before starts a new one."""
-    w = W.partitionBy("doc_id", "page", "line").orderBy("x", "text")
+    w = W.partitionBy(*_KEY, "line").orderBy("x", "text")
     gap = F.col("x") - (F.lag("x").over(w) + F.lag("width").over(w))
     opens = F.when(gap > CELL_GAP * F.greatest(F.lag("font_size").over(w), F.lit(CELL_FONT)), 1).otherwise(0)
-    numbered = lines.withColumn("opens", opens).withColumn("cell", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    so_far = F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))
+    numbered = lines.withColumn("opens", opens).withColumn("cell", so_far)
     ordered = F.array_sort(F.collect_list(F.struct("x", "text", "width")))
-    out = numbered.groupBy("doc_id", "page", "line", "cell").agg(F.first("baseline").alias("baseline"), ordered.alias("p"))
-    words = F.array_join(F.transform("p", lambda p: F.trim(p["text"])), " ")
+    out = numbered.groupBy(*_KEY, "line", "cell").agg(F.first("baseline").alias("baseline"), ordered.alias("p"))
+    words = F.array_join(F.transform("p", lambda p: strip(p["text"])), " ")
     last = F.element_at("p", -1)
-    return out.select("doc_id", "page", "line", "cell", "baseline", F.col("p")[0]["x"].alias("left"), (last["x"] + last["width"]).alias("right"), words.alias("text"))
+    span = (F.col("p")[0]["x"].alias("left"), (last["x"] + last["width"]).alias("right"))
+    return out.select(*_KEY, "line", "cell", "baseline", *span, words.alias("text"))
 
 
 def _blocks(pages: pd.DataFrame) -> pd.DataFrame:
-    pages = pages.sort_values(["doc_id", "page", "line"], kind="stable")
-    blocks, block, start, pitch, before, own = [-1] * len(pages), -1, None, 0.0, 0.0, None
-
-    def close(stop: int) -> None:
-        nonlocal block
-        if start is not None and stop - start >= BLOCK_LINES:
-            block += 1
-            blocks[start:stop] = [block] * (stop - start)
-
-    for k, (doc, page, y, cells) in enumerate(zip(pages["doc_id"], pages["page"], pages["baseline"], pages["n_cells"], strict=True)):
-        if (doc, page) != own:
-            close(k)
-            own, block, start = (doc, page), -1, None
-        step = before - y
-        if cells < 2:
-            close(k)
-            start = None
-        elif start is None:
-            start, pitch = k, 0.0
-        elif pitch and step > BLOCK_GAP * pitch:
-            close(k)
-            start, pitch = k, 0.0
-        else:
-            pitch = min(pitch, step) if pitch else step
-        before = y
-    close(len(pages))
-    return pages.assign(block=blocks)[["doc_id", "page", "line", "block"]]
+    """block: runs of lines of two cells or more are islands; an island is cut again where a step down is wider than the
+    tightest step of the stretch before allows, and stretches of too few lines are no block.
+    """
+    pages = pages.sort_values([*_KEY, "line"], kind="stable").reset_index(drop=True)
+    wide = (pages["n_cells"] >= 2).to_numpy()
+    opens = _runs(pages["doc_id"], pages["page"], pd.Series(wide))
+    step = np.append(0.0, -np.diff(pages["baseline"].to_numpy()))
+    bounds = np.append(np.flatnonzero(opens), len(pages))
+    cuts = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        while wide[a] and b - a > 2:
+            # tightest of the steps before each line; the first step of a stretch has none before it
+            tightest = np.minimum.accumulate(np.where(step[a + 1 : b] != 0, step[a + 1 : b], np.inf))
+            over = np.flatnonzero(step[a + 2 : b] > BLOCK_GAP * tightest[:-1])
+            if not len(over):
+                break
+            a += 2 + int(over[0])
+            cuts.append(a)
+    opens[cuts] = True
+    stretch = np.cumsum(opens) - 1
+    table = wide & (np.bincount(stretch)[stretch] >= BLOCK_LINES)
+    page = np.cumsum(_runs(pages["doc_id"], pages["page"]))
+    # blocks are numbered on their page
+    begins = table & opens
+    number = np.cumsum(begins) - 1
+    before = np.concatenate(([0], np.bincount(page, weights=begins).cumsum()))[page]
+    return pages.assign(block=np.where(table, number - before, -1).astype(np.int32))[[*_KEY, "line", "block"]]
 
 
 def table_blocks(cells: DataFrame) -> DataFrame:
     """Block number of each line, -1 outside tables."""
-    lines = cells.groupBy("doc_id", "page", "line").agg(F.first("baseline").alias("baseline"), F.count("*").alias("n_cells"))
+    lines = cells.groupBy(*_KEY, "line").agg(F.first("baseline").alias("baseline"), F.count("*").alias("n_cells"))
     return _by_page(lines).applyInPandas(_blocks, "doc_id string, page int, line int, block int")
 
 
 def column_spans(blocked: DataFrame) -> DataFrame:
     """Merged spans of each block's cells; touching spans are one."""
-    w = W.partitionBy("doc_id", "page", "block").orderBy("left", "right")
+    w = W.partitionBy(*_KEY, "block").orderBy("left", "right")
     reach = F.max("right").over(w.rowsBetween(W.unboundedPreceding, -1))
-    islands = blocked.where("block >= 0").withColumn("opens", F.when(F.col("left") <= reach, 0).otherwise(1)).withColumn("col_no", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    return islands.groupBy("doc_id", "page", "block", "col_no").agg(F.min("left").alias("col_left"), F.max("right").alias("col_right"))
+    opens = F.when(F.col("left") <= reach, 0).otherwise(1)
+    so_far = F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))
+    islands = blocked.where("block >= 0").withColumn("opens", opens).withColumn("col_no", so_far - 1)
+    return islands.groupBy(*_KEY, "block", "col_no").agg(F.min("left").alias("col_left"), F.max("right").alias("col_right"))
 
 
 def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
@@ -109,17 +146,18 @@ def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
 
     An interval-overlap join inside the equal key (doc_id, page, block).
     """
-    keys = ["doc_id", "page", "block"]
+    keys = [*_KEY, "block"]
     spans_n = spans.withColumn("n_columns", F.count("*").over(W.partitionBy(*keys)))
     cell_keys = [*keys, "line", "cell"]
     met = blocked.where("block >= 0").join(spans_n, keys).where((F.col("left") < F.col("col_right")) & (F.col("col_left") < F.col("right")))
     placed = met.groupBy(*cell_keys).agg(F.min("col_no").alias("col_no"), F.first("n_columns").alias("n_columns"))
     full = blocked.where("block >= 0").select(*cell_keys).join(placed, cell_keys, "left")
-    by_line = W.partitionBy(*keys, "line")
-    fits = (F.count("*").over(by_line) == F.size(F.collect_set("col_no").over(by_line)))
-    lined = full.withColumn("fits", fits).withColumn("n_columns", F.max("n_columns").over(W.partitionBy(*keys)))
-    used = lined.withColumn("filled", F.when(F.col("fits") & (F.size(F.collect_set("col_no").over(by_line)) == F.col("n_columns")), 1).otherwise(0))
-    used = used.withColumn("some_filled", F.max("filled").over(W.partitionBy(*keys)))
+    by_line, by_block = W.partitionBy(*keys, "line"), W.partitionBy(*keys)
+    columns = F.size(F.collect_set("col_no").over(by_line))
+    lined = full.withColumn("columns", columns).withColumn("fits", F.count("*").over(by_line) == F.col("columns"))
+    lined = lined.withColumn("n_columns", F.max("n_columns").over(by_block))
+    filled = F.when(F.col("fits") & (F.col("columns") == F.col("n_columns")), 1).otherwise(0)
+    used = lined.withColumn("some_filled", F.max(filled).over(by_block))
     good = F.col("fits") & (F.col("n_columns") >= BLOCK_COLUMNS) & (F.col("some_filled") == 1)
     return used.select(*cell_keys, F.when(good, F.col("col_no")).alias("col_no"), "n_columns")
 
@@ -127,27 +165,34 @@ def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
 def layout_text(pieces: DataFrame) -> DataFrame:
     """doc_id, text: cells joined by ` | `, inner empty columns kept; pages parted by a blank line."""
     cells = split_cells(assign_lines(pieces))
-    blocked = cells.join(table_blocks(cells), ["doc_id", "page", "line"])
+    blocked = cells.join(table_blocks(cells), [*_KEY, "line"])
     placed = place_cells(blocked, column_spans(blocked))
-    full = blocked.join(placed, ["doc_id", "page", "block", "line", "cell"], "left")
-    by_line = full.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))).alias("c"), F.max("col_no").isNotNull().alias("tabular"))
+    full = blocked.join(placed, [*_KEY, "block", "line", "cell"], "left")
+    in_order = F.array_sort(F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))).alias("c")
+    by_line = full.groupBy(*_KEY, "line").agg(in_order, F.max("col_no").isNotNull().alias("tabular"))
     first, last = F.col("c")[0]["at"], F.element_at("c", -1)["at"]
-    grid = F.transform(F.sequence(first, last), lambda k: F.coalesce(F.try_element_at(F.filter(F.col("c"), lambda x: x["at"] == k), F.lit(1))["text"], F.lit("")))
+    cell_at = lambda k: F.get(F.filter(F.col("c"), lambda x: x["at"] == k), F.lit(0))["text"]
+    grid = F.transform(F.sequence(first, last), lambda k: F.coalesce(cell_at(k), F.lit("")))
     spelled = F.array_join(F.when(F.col("tabular"), grid).otherwise(F.transform("c", lambda x: x["text"])), " | ")
-    pages = by_line.select("doc_id", "page", "line", spelled.alias("t")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("l"))
-    paged = pages.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("t"))
-    return paged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
+    joined = lambda struct, mark: F.array_join(F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["t"]), mark)
+    lines = by_line.select(*_KEY, "line", spelled.alias("t"))
+    paged = lines.groupBy(*_KEY).agg(joined(F.struct("line", "t"), "\n").alias("t"))
+    return paged.groupBy("doc_id").agg(joined(F.struct("page", "t"), "\n\n").alias("text"))
 
 
 def needs_ocr(docs: DataFrame) -> DataFrame:
     """Docs (doc_id, kind, encoding_issues, text) with needs_ocr."""
-    return docs.withColumn("needs_ocr", (F.col("kind") == "image") | F.coalesce("encoding_issues", F.lit(False)) | (F.trim(F.coalesce("text", F.lit(""))) == ""))
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
+    return docs.withColumn("needs_ocr", (F.col("kind") == "image") | F.coalesce("encoding_issues", F.lit(False)) | blank)
 
 
 def pages_to_reread(docs: DataFrame) -> DataFrame:
-    """Docs (doc_id, n_pages, ocr_text, flagged array<int>): flagged pages first, then all others where the text is under 40 characters a page."""
-    thin = F.char_length(F.trim(F.coalesce("ocr_text", F.lit("")))) < OCR_LEAST * F.col("n_pages")
-    flagged = F.coalesce("flagged", F.array().cast("array<int>"))
+    """Docs (doc_id, n_pages, ocr_text, flagged array<int>): flagged pages first, then all others where the text is under
+    40 characters a page.
+    """
+    thin = F.char_length(strip(F.coalesce("ocr_text", F.lit("")))) < OCR_LEAST * F.col("n_pages")
+    none = F.array().cast("array<int>")
+    flagged = F.coalesce("flagged", none)
     every = F.sequence(F.lit(1), F.col("n_pages").cast("int"))
-    order = F.concat(flagged, F.when(thin, F.array_except(every, flagged)).otherwise(F.array().cast("array<int>")))
+    order = F.concat(flagged, F.when(thin, F.array_except(every, flagged)).otherwise(none))
     return docs.select("doc_id", F.posexplode(order).alias("rank", "page"))

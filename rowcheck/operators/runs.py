@@ -7,28 +7,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Models times approaches, both lists that a person writes.
+MOST_PAIRS = 10_000
+
+
 def pending(models: DataFrame, approaches: DataFrame, cases: DataFrame, done: DataFrame, max_rows: int, only: str) -> DataFrame:
     """K1: (model, approach, case) without a stored result; tabular cases of more than max_rows only for the approach `only`.
 
-    The plan is the product of three short lists (models, approaches, benchmark cases), as it is defined.
+    The plan is the product of three lists, as it is defined. Models and approaches are each a list that a person wrote, so they are
+    read into one array of pairs (an error beyond MOST_PAIRS of them) and every case is exploded by it: no join, no shuffle.
     """
-    plan = cases.select("case", "kind", "n_rows").crossJoin(F.broadcast(models.select("model"))).crossJoin(F.broadcast(approaches.select("approach")))
+    names = [[r[0] for r in df.select(c).distinct().orderBy(c).limit(MOST_PAIRS + 1).collect()] for df, c in ((models, "model"), (approaches, "approach"))]
+    if len(names[0]) * len(names[1]) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of model and approach")
+    pairs = [F.struct(F.lit(m).alias("model"), F.lit(a).alias("approach")) for m in names[0] for a in names[1]]
+    if not pairs:
+        return done.select("model", "approach", "case").where("false")
+    plan = cases.select("case", "kind", "n_rows", F.explode(F.array(*pairs)).alias("p")).select("case", "kind", "n_rows", "p.*")
     wanted = plan.where(~((F.col("kind") == "tabular") & (F.col("n_rows") > max_rows)) | (F.col("approach") == only))
     return wanted.join(done, ["model", "approach", "case"], "left_anti").select("model", "approach", "case")
 
 
-def within_budget(plan: DataFrame, budget: str, blocks: int = 64) -> DataFrame:
+#: The running sum is taken over at most so many ranges of the plan.
+MOST_RANGES = 256
+
+
+def within_budget(plan: DataFrame, budget: str) -> DataFrame:
     """K2: the calls (n, cost) before which less than the budget was spent; an unknown cost counts 0.
 
-    The running sum is taken in two steps, sums of ranges of n first, so no task sees the whole plan.
+    The running sum is taken in two steps, sums of ranges of n first, so no task sees the whole plan. The ranges lie between
+    quantiles of n, so they hold about as many calls each however n is spread; their bounds are at most MOST_RANGES numbers.
     """
     cost = F.coalesce(F.col("cost"), F.lit(0)).cast("decimal(38,6)")
-    bounds = plan.agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    ranged = plan.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((F.col("n") - F.col("low")) * blocks / (F.col("high") - F.col("low") + 1)).cast("int")).drop("low", "high")
-    sums = ranged.groupBy("part").agg(F.sum(cost).alias("own"))  # `blocks` rows
-    before = sums.select("part", (F.sum("own").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("own")).alias("base"))
-    inside = F.coalesce(F.sum(cost).over(W.partitionBy("part").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spent = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("spent_before", (F.col("inside") + F.col("base")).cast("decimal(38,6)"))
+    ranges = min(MOST_RANGES, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = plan.agg(F.percentile_approx("n", [k / ranges for k in range(1, ranges)] or [0.5])).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda bound: bound < F.col("n"))) if bounds else F.lit(0)
+    ranged = plan.withColumn("part__", part)
+    sums = ranged.groupBy("part__").agg(F.sum(cost).alias("own"))
+    before = sums.select("part__", (F.sum("own").over(W.partitionBy(F.lit(0)).orderBy("part__")) - F.col("own")).alias("base"))
+    so_far = W.partitionBy("part__").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(cost).over(so_far), F.lit(0))
+    spent = ranged.withColumn("inside", inside).join(F.broadcast(before), "part__")
+    spent = spent.withColumn("spent_before", (F.col("inside") + F.col("base")).cast("decimal(38,6)"))
     return spent.where(F.col("spent_before") < F.lit(budget).cast("decimal(38,6)")).select(*plan.columns, "spent_before")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowcheck import staging as S
 from rowcheck.functions import text as X
 from rowcheck.operators import completeness, gate, headers, inference, invoices, layout, runs, schema, scoring, spend
-from rowcheck.plans.spec import ColumnSpec, Pattern, Reject, Require, Sum, TableSpec
-from rowcheck.sources import sinks
+from rowcheck.plans.spec import Field, TableSpec, multiplies_to, rejects, requires, shaped, sums_to
+from rowcheck.sources import files, sinks
 from rowcheck.streaming import streams
 
 QUERIES: dict = {}
@@ -100,23 +101,23 @@ def c08_blank_to_null(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").select("o_orderkey", X.blank_to_null(F.expr(_BLANKS)).alias("cell"))
 
 
-_WORDS = ["null", " N/A ", "None", "nan", "NIL", "na", "", "Nullmeyer GmbH", "none of it", "0"]
+_WORDS = ["null", " N/A ", "None", "nan", "NIL", "na", "", "Nonesuch Ltd", "none of it", "0"]
 
 
-@query("SELECT event_id, CASE event_id % 10 WHEN 7 THEN 'Nullmeyer GmbH' WHEN 8 THEN 'none of it' WHEN 9 THEN '0' END AS cell, CASE event_id % 10 WHEN 2 THEN 'None' WHEN 7 THEN 'Nullmeyer GmbH' WHEN 8 THEN 'none of it' WHEN 9 THEN '0' END AS labelled FROM events")
+@query("SELECT event_id, CASE event_id % 10 WHEN 7 THEN 'Nonesuch Ltd' WHEN 8 THEN 'none of it' WHEN 9 THEN '0' END AS cell, CASE event_id % 10 WHEN 2 THEN 'None' WHEN 7 THEN 'Nonesuch Ltd' WHEN 8 THEN 'none of it' WHEN 9 THEN '0' END AS labelled FROM events")
 def d01_null_words(spark, sf_dir):
     word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("event_id") % 10 + 1).cast("int"))
     return S.table(spark, sf_dir, "events").select("event_id", X.null_words(word).alias("cell"), X.null_words(word, ("none",)).alias("labelled"))
 
 
-@query("""SELECT o_orderkey, CAST(k AS VARCHAR) || '.' || lpad(CAST(c AS VARCHAR), 2, '0') AS body, o_orderkey % 6 IN (2, 4) AS negative
-FROM (SELECT o_orderkey, o_orderkey % 900 + 100 AS k, o_custkey % 100 AS c FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN '(' || b || ')' ELSE b END AS body, o_orderkey % 7 IN (2, 4) AS negative
+FROM (SELECT o_orderkey, CAST(o_orderkey % 900 + 100 AS VARCHAR) || '.' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS b FROM orders)""")
 def d03_strip_number(spark, sf_dir):
     plain = F.concat((F.col("o_orderkey") % 900 + 100).cast("string"), F.lit("."), F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"))
-    forms = [plain, F.concat(F.lit("USD "), plain), F.concat(F.lit("("), plain, F.lit(") SEK")), F.concat(F.lit("€ "), plain), F.concat(F.lit("-"), plain, F.lit(" %")), F.concat(F.lit("+"), plain, F.lit(" Std."))]
+    forms = [plain, F.concat(F.lit("USD "), plain), F.concat(F.lit("("), plain, F.lit(") SEK")), F.concat(F.lit("€ "), plain), F.concat(F.lit("-"), plain, F.lit(" %")), F.concat(F.lit("+"), plain, F.lit(" Std.")), F.concat(F.lit("€ ("), plain, F.lit(")"))]
     text = forms[0]
     for k, form in enumerate(forms[1:], start=1):
-        text = F.when(F.col("o_orderkey") % 6 == k, form).otherwise(text)
+        text = F.when(F.col("o_orderkey") % 7 == k, form).otherwise(text)
     s = X.strip_number(text)
     return S.table(spark, sf_dir, "orders").select("o_orderkey", s["body"].alias("body"), s["negative"].alias("negative"))
 
@@ -163,17 +164,22 @@ def d10_to_date(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").select("o_orderkey", X.to_date_strict(F.upper(text)).alias("d"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS t FROM events")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 3 THEN NULL WHEN 2 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('hour', ts) WHEN 6 THEN date_trunc('minute', ts)
+ELSE date_trunc('second', ts) END AS t FROM events""")
 def d11_to_timestamp(spark, sf_dir):
-    n = F.col("event_id") % 4
-    text = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(n == 1, F.date_format("ts", "d MMMM yyyy HH:mm:ss")).when(n == 2, F.date_format("ts", "MMMM d, yyyy")).otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm"))
+    forms = ("yyyy-MM-dd'T'HH:mm:ss", "d MMMM yyyy HH:mm:ss", "MMMM d, yyyy", "dd/MM/yyyy HH:mm", "yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd HHmm")
+    n, text = F.col("event_id") % 7, F.date_format("ts", forms[0])
+    for k, form in enumerate(forms[1:], start=1):
+        text = F.when(n == k, F.date_format("ts", form)).otherwise(text)
     return S.table(spark, sf_dir, "events").select("event_id", X.to_timestamp_strict(text, False).alias("t"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(CASE event_id % 3 WHEN 0 THEN date_trunc('minute', ts) ELSE ts END, '%H:%M:%S') END AS t FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(date_trunc('minute', ts), '%H:%M:%S') WHEN 1 THEN strftime(ts, '%H:%M:%S') WHEN 3 THEN strftime(ts, '%H') || ':00:00'
+WHEN 4 THEN strftime(date_trunc('minute', ts), '%H:%M:%S') WHEN 5 THEN strftime(ts, '%H:%M:%S') || '+02:00' END AS t FROM events""")
 def d12_to_time(spark, sf_dir):
-    n = F.col("event_id") % 3
-    text = F.when(n == 0, F.date_format("ts", "HH:mm")).when(n == 1, F.date_format("ts", "HH:mm:ss")).otherwise("25:00")
+    n, at = F.col("event_id") % 6, lambda form: F.date_format("ts", form)
+    text = F.when(n == 0, at("HH:mm")).when(n == 1, at("HH:mm:ss")).when(n == 3, at("HH")).when(n == 4, at("HHmm"))
+    text = text.when(n == 5, F.concat(at("HH:mm:ss"), F.lit("+02:00"))).otherwise("25:00")
     return S.table(spark, sf_dir, "events").select("event_id", X.to_time_strict(text).alias("t"))
 
 
@@ -206,7 +212,7 @@ def d16_to_array(spark, sf_dir):
 
 @query("SELECT o_orderkey AS row_idx, CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even, '[' || o_custkey || ',' || o_orderkey || ']' AS pair FROM orders")
 def d17_as_text(spark, sf_dir):
-    spec = TableSpec("t", (ColumnSpec("k", "int8", ordinal=1), ColumnSpec("even", "bool", ordinal=2), ColumnSpec("pair", "_int8", ordinal=3)))
+    spec = TableSpec("t", (Field("k", "int8", at=1), Field("even", "bool", at=2), Field("pair", "_int8", at=3)))
     df = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 2 == 0).alias("even"), F.array("o_custkey", "o_orderkey").alias("pair"))
     return gate.as_text(df, spec)
 
@@ -223,22 +229,44 @@ def l04_render(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").select("o_orderkey", S.by_locale(F.col("o_custkey"), lambda n: X.render_number(amount, 2, n)).alias("money"))
 
 
-_RULE_SPEC = TableSpec("orders", (ColumnSpec("status", "text", True, 1), ColumnSpec("priority", "text", True, 2), ColumnSpec("a", "numeric", True, 3, numeric_scale=2), ColumnSpec("b", "numeric", True, 4, numeric_scale=2), ColumnSpec("c", "numeric", True, 5, numeric_scale=2)))
+_RULE_SPEC = TableSpec("orders", (Field("status", "text", 1), Field("priority", "text", 2), Field("a", "numeric", 3, scale=2), Field("b", "numeric", 4, scale=2), Field("c", "numeric", 5, scale=2)))
 
 
-@query("""SELECT o_orderkey AS row_idx, 'c' AS "column", 'arithmetic' AS rule FROM orders WHERE o_orderkey % 31 = 0 UNION ALL SELECT o_orderkey, 'status', 'rejected_value' FROM orders WHERE o_orderstatus = 'P'
+@query("""SELECT o_orderkey AS row_idx, 'c' AS "column", 'arithmetic' AS rule FROM orders WHERE o_orderkey % 31 = 0 OR o_orderkey % 29 IN (1, 2) UNION ALL SELECT o_orderkey, 'status', 'rejected_value' FROM orders WHERE o_orderstatus = 'P'
 UNION ALL SELECT o_orderkey, 'priority', 'pattern' FROM orders WHERE o_orderkey % 7 <> 0 AND NOT regexp_full_match(o_orderpriority, '[12]-.*') UNION ALL SELECT o_orderkey, 'priority', 'required' FROM orders WHERE o_orderkey % 7 = 0""")
 def e03_e07_rules(spark, sf_dir):
-    k = F.col("o_orderkey")
+    # keys 29k+1 and 29k+2 hold amounts that only just fit the column; 29k+2's parts and sum differ by 2 in the last places, 29k+3's agree
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    large = lambda other, otherwise: F.when(k % 29 == 1, "1e31").when(k % 29 == 2, other).when(k % 29 == 3, "5" + "0" * 31).otherwise(otherwise)
+    text = lambda c: S.cents(c).cast("string")
     staged = S.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), F.concat(F.lit(" "), F.lower("o_orderstatus")).alias("status"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("priority"), S.cents(k).cast("string").alias("a"),
-        S.cents(F.col("o_custkey")).cast("string").alias("b"), S.cents(k + F.col("o_custkey") + F.when(k % 31 == 0, 2).otherwise(1)).cast("string").alias("c"),
-    )
-    rules = (Sum(("a", "b"), "c"), Reject("status", ("P",)), Pattern("priority", "[12]-.*"), Require("priority"))
+        cust.alias("doc_id"),
+        k.alias("row_idx"),
+        F.concat(F.lit(" "), F.lower("o_orderstatus")).alias("status"),
+        F.when(k % 7 != 0, F.col("o_orderpriority")).alias("priority"),
+        large("20000000000000000000000000000000", text(k)).alias("a"),
+        F.when(k % 29 == 3, "49999999999999999999999999999999.50").otherwise(large("20000000000000000000000000000000", text(cust))).alias("b"),
+        F.when(k % 29 == 1, "1e31").when(k % 29 == 2, "40000000000000000000000000000002").when((k % 29 == 3) & (k % 31 != 0), "99999999999999999999999999999999.50")
+        .otherwise(text(k + cust + F.when(k % 31 == 0, 2).otherwise(1))).alias("c"),
+    )
+    rules = (sums_to(("a", "b"), "c"), rejects("status", ("P",)), shaped("priority", "[12]-.*"), requires("priority"))
     return gate.findings(gate.gate(staged, _RULE_SPEC, rules, infer=False)).select("row_idx", "column", "rule")
 
 
-@query("""SELECT o_custkey AS doc_id, o_orderkey AS row_idx, '{"invoice_number":"INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '","status":"' || o_orderstatus || '","total":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderkey || '.5"' END || '}' AS json FROM orders""")
+@query("""SELECT o_orderkey AS row_idx, CASE WHEN o_orderkey % 5 IN (1, 3) THEN 'total' END AS "column" FROM orders""")
+def e04_large_products(spark, sf_dir):
+    """Products far beyond 18 digits, true and false ones; the finding's column or none for every row."""
+    k = F.col("o_orderkey")
+    total = F.when(k % 5 == 0, "40000000000000").when(k % 5 == 1, "7").when(k % 5 == 2, F.concat((k * 4).cast("string"), F.lit("00000000000.00"))).when(k % 5 == 3, "1e31").otherwise("6.00")
+    left = F.when(k % 5 < 2, "20000000000000").when(k % 5 == 2, F.concat(k.cast("string"), F.lit("00000000000"))).when(k % 5 == 3, "1e31").otherwise("1.5")
+    right = F.when(k % 5 < 2, "2").when(k % 5 == 2, "4").when(k % 5 == 3, "1e31").otherwise("4")
+    spec = TableSpec("lines", tuple(Field(n, "numeric", at, scale=2) for at, n in enumerate(("quantity", "price", "total"))))
+    staged = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), left.alias("quantity"), right.alias("price"), total.alias("total"))
+    held = gate.gate(staged, spec, (multiplies_to(("quantity", "price"), "total"),), infer=False)
+    return held.select("row_idx", F.get(F.col("findings"), F.lit(0))["column"].alias("column"))
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderkey AS row_idx, '{"invoice_number":"INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '","status":"' || o_orderstatus || '","total":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderkey || '.50"' END || '}' AS json FROM orders""")
 def a09_json_rows(spark, sf_dir):
     k = F.col("o_orderkey")
     staged = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_number"), F.col("o_orderstatus").alias("status"), F.when(k % 3 != 0, F.concat(k.cast("string"), F.lit(".50"))).alias("total"))
@@ -247,7 +275,7 @@ def a09_json_rows(spark, sf_dir):
 
 # --- headers: every customer is a file with four headings ---
 
-_HEAD_SPEC = TableSpec("invoices", (ColumnSpec("id", "int8", False, 1, is_identity=True), ColumnSpec("invoice_number", "varchar", False, 2), ColumnSpec("issued_on", "date", True, 3), ColumnSpec("total", "numeric", True, 4, numeric_scale=2)))
+_HEAD_SPEC = TableSpec("invoices", (Field("id", "int8", 1, required=True, made="identity"), Field("invoice_number", "varchar", 2, required=True), Field("issued_on", "date", 3), Field("total", "numeric", 4, scale=2)))
 
 
 def _headers(spark, sf_dir):
@@ -303,12 +331,12 @@ def c06_clean_aliases(spark, sf_dir):
     return headers.clean_aliases(proposed, _headers(spark, sf_dir), _HEAD_SPEC)
 
 
-@query("""SELECT c_custkey AS doc_id, c_custkey AS row_idx, 'INV-' || c_custkey AS invoice_number, CASE WHEN c_custkey % 3 <> 0 THEN '2026-01-05' END AS issued_on, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 7 = 0 THEN 'x' END AS total FROM customer WHERE NOT (c_custkey % 7 = 0 AND (c_custkey % 5 = 0 OR c_custkey % 2 = 0))""")
+@query("""SELECT c_custkey AS doc_id, c_custkey AS row_idx, 'INV-' || c_custkey AS invoice_number, CASE WHEN c_custkey % 3 <> 0 THEN '2026-01-05' END AS issued_on, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 7 = 0 THEN 'x' END AS total FROM customer""")
 def c07_to_staged(spark, sf_dir):
-    clear = F.expr("not (doc_id % 7 = 0 and (doc_id % 5 = 0 or doc_id % 2 = 0))")
     k = F.col("c_custkey")
-    grid = S.table(spark, sf_dir, "customer").select(k.alias("doc_id"), k.alias("row_idx"), F.array(F.concat(F.lit(" INV-"), k.cast("string")), F.when(k % 3 == 0, "").otherwise("2026-01-05"), F.col("c_mktsegment"), F.lit("x")).alias("cells"))
-    return headers.to_staged(grid.where(clear), headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)).where(clear), _HEAD_SPEC)
+    cells = F.array(F.concat(F.lit(" INV-"), k.cast("string")), F.when(k % 3 == 0, "").otherwise("2026-01-05"), F.col("c_mktsegment"), F.lit("x"))
+    grid = S.table(spark, sf_dir, "customer").select(k.alias("doc_id"), k.alias("row_idx"), cells.alias("cells"))
+    return headers.to_staged(grid, headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)), _HEAD_SPEC)
 
 
 @query(f"""WITH {_HEADS} SELECT doc_id, count("column") AS matched, 3 AS wanted, coalesce(string_agg(CASE WHEN "column" IS NULL THEN header END, ', ' ORDER BY position), '') AS ignored, 'id' AS database_fills, coalesce(string_agg(CASE WHEN header = 'Att betala' AND "column" IS NOT NULL THEN header END, ', ' ORDER BY position), '') AS aliased FROM a GROUP BY doc_id""")
@@ -329,7 +357,7 @@ def c10_phantom_columns(spark, sf_dir):
 
 def _columns(spark, sf_dir):
     k = F.col("p_partkey")
-    default = F.when(k % 5 == 0, "'draft'::text").when(k % 5 == 1, "now()").when(k % 5 == 2, "-1").when(k % 5 == 3, "TRUE")
+    default = F.when(k % 5 == 0, "'draft'::text").when(k % 5 == 1, "now()").when(k % 5 == 2, F.when(k % 2 == 0, "-1").otherwise('"draft"')).when(k % 5 == 3, "TRUE")
     return S.table(spark, sf_dir, "part").select(
         F.lit("public").alias("schema"), F.col("p_brand").alias("name"), k.cast("int").alias("ordinal"), F.col("p_name").alias("column"), F.when(F.col("p_size") % 2 == 0, "text").otherwise("int4").alias("data_type"), (k % 3 == 0).alias("nullable"),
         (default.isNotNull() | (k % 35 == 4)).alias("has_default"), default.alias("default_expr"), (k % 11 == 0).alias("is_generated"), (k % 13 == 0).alias("is_identity"),
@@ -368,9 +396,21 @@ def a05_column_specs(spark, sf_dir):
 # --- completeness ---
 
 
-@query("SELECT d.doc_id, -1 AS row_idx, 'empty' AS rule FROM documents d ANTI JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE length(trim(d.text)) >= 80")
+#: DuckDB: the characters that X.strip takes off.
+_BLANK = " || ".join(f"chr({ord(c)})" for c in X.WHITE)
+
+
+def _blanked(column: str) -> F.Column:
+    """Every tenth document is nothing but line breaks and tabs, one in seven has them around its text."""
+    k, text = F.col("doc_id"), F.col(column)
+    return F.when(k % 10 == 0, F.repeat(F.lit("\n\t\u00a0"), 60)).when(k % 7 == 0, F.concat(F.lit("\n\t\n"), text, F.lit("\u00a0\n"))).otherwise(text)
+
+
+@query(f"""SELECT d.doc_id, -1 AS row_idx, 'empty' AS rule FROM documents d ANTI JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id
+WHERE d.doc_id % 10 <> 0 AND length(trim(d.text, {_BLANK})) >= 80""")
 def f01_empty(spark, sf_dir):
-    return completeness.find_empty(S.table(spark, sf_dir, "documents").select("doc_id", "text"), S.table(spark, sf_dir, "labels")).select("doc_id", "row_idx", "rule")
+    texts = S.table(spark, sf_dir, "documents").select("doc_id", _blanked("text").alias("text"))
+    return completeness.find_empty(texts, S.table(spark, sf_dir, "labels")).select("doc_id", "row_idx", "rule")
 
 
 @query("SELECT o_custkey AS doc_id, 'invoice_number' AS \"column\", 'INV-' AS prefix, 9 AS digits, count(*) AS n_rows FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY o_custkey")
@@ -379,9 +419,14 @@ def f02_discover_key(spark, sf_dir):
     return completeness.discover_key(rows, S.STATEMENT)
 
 
-@query(r"""SELECT DISTINCT doc_id, identifier FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' ', '  '), '(?:^|[^A-Za-z0-9])([A-Za-z]{1,4}[-/]?[0-9]{4,})(?:$|[^A-Za-z0-9])', 1)) AS identifier FROM documents)""")
+@query(r"""SELECT DISTINCT doc_id, identifier FROM (SELECT doc_id, unnest(regexp_extract_all(text || CASE doc_id % 3 WHEN 0 THEN ' INV-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || 'X, INV-2' WHEN 1 THEN ' xINV-123456' ELSE '' END,
+'(?:^|[^A-Za-z0-9])([A-Za-z]{1,4}[-/]?[0-9]{4,})', 1)) AS identifier FROM documents)""")
 def f03_mentioned(spark, sf_dir):
-    return completeness.mentioned(S.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "identifier")
+    # a letter may follow an identifier, none may stand before it
+    k = F.col("doc_id")
+    more = F.when(k % 3 == 0, F.concat(F.lit(" INV-"), F.lpad(k.cast("string"), 6, "0"), F.lit("X, INV-2"))).when(k % 3 == 1, " xINV-123456").otherwise("")
+    texts = S.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    return completeness.mentioned(texts).select("doc_id", "identifier")
 
 
 @query("""WITH t AS (SELECT o_custkey AS doc_id, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS i, o_orderkey % 11 = 0 AS gone FROM orders),
@@ -408,15 +453,44 @@ def g06_layout_text(spark, sf_dir):
     return layout.layout_text(_pieces(spark, sf_dir))
 
 
-@query("SELECT doc_id, (source = 'src1' OR doc_id % 9 = 0 OR trim(text) = '') AS needs_ocr FROM documents")
+@query("""WITH l AS (SELECT l_orderkey AS o, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, min(CAST(l_partkey AS VARCHAR)) AS a, min(l_returnflag) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber),
+n AS (SELECT o, max(r) AS m FROM l GROUP BY o),
+t AS (SELECT o, r * 2 AS place, CASE WHEN r <> 2 THEN a || ' | b | ' || c WHEN m >= 3 AND o % 4 IN (0, 3) THEN a || ' |  | ' || c ELSE a || ' | ' || c END AS x FROM l JOIN n USING (o)
+  UNION ALL SELECT o, 5, 'a note between' FROM n WHERE o % 4 = 2)
+SELECT CAST(o AS VARCHAR) AS doc_id, string_agg(x, chr(10) ORDER BY place) AS text FROM t GROUP BY o""")
+def g05_broken_grids(spark, sf_dir):
+    """Orders as pages whose second line lacks its middle cell. By the order's number: a full table; a table in which a wide cell joins two
+    columns; one that a line of text cuts above its third line; one whose third line has two cells in one column.
+    """
+    li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(F.min(F.col("l_partkey").cast("string")).alias("a"), F.min("l_returnflag").alias("c"))
+    li = li.withColumn("r", F.dense_rank().over(Window.partitionBy("o").orderBy("l_linenumber")))
+    form = F.col("o") % 4
+    cell = lambda x, width, text: F.struct(F.lit(x).cast("double").alias("x"), F.lit(width).cast("double").alias("width"), text.alias("text"))
+    plain = lambda b, c: F.array(cell(50, 20, F.col("a")), cell(300, b, F.lit("b")), cell(c, 4 if c < 400 else 20, F.col("c")))
+    third = F.col("r") == 3
+    cells = (
+        F.when(F.col("r") == 2, F.array(cell(50, 20, F.col("a")), cell(400, 20, F.col("c"))))
+        .when(third & (form == 1), plain(150, 470)).when(third & (form == 3), plain(4, 316)).otherwise(plain(20, 400))
+    )
+    # form 1: the third line's middle cell reaches the last column, which so joins it; form 2: the lines from the third on stand lower
+    y = 700.0 - F.col("r") * 12.0 - F.when((form == 2) & (F.col("r") >= 3), 12.0).otherwise(0.0)
+    pieces = li.select(F.col("o").cast("string").alias("doc_id"), y.alias("y"), F.explode(cells).alias("c")).select("doc_id", "y", "c.*")
+    note = li.where("o % 4 = 2").select(F.col("o").cast("string").alias("doc_id")).distinct().select("doc_id", F.lit(664.0).alias("y"), F.lit(50.0).alias("x"), F.lit(90.0).alias("width"), F.lit("a note between").alias("text"))
+    return layout.layout_text(pieces.unionByName(note).select("doc_id", F.lit(1).alias("page"), "y", "x", "width", F.lit(9.0).alias("font_size"), "text"))
+
+
+@query("SELECT doc_id, (source = 'src1' OR doc_id % 9 = 0 OR doc_id % 10 = 0 OR trim(text) = '') AS needs_ocr FROM documents")
 def g07_needs_ocr(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src1", "image").otherwise("pdf").alias("kind"), (F.col("doc_id") % 9 == 0).alias("encoding_issues"), "text")
+    kind = F.when(F.col("source") == "src1", "image").otherwise("pdf").alias("kind")
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", kind, (F.col("doc_id") % 9 == 0).alias("encoding_issues"), _blanked("text").alias("text"))
     return layout.needs_ocr(docs).select("doc_id", "needs_ocr")
 
 
-@query("SELECT doc_id, g - 1 AS rank, CASE WHEN g = 1 THEN 2 WHEN g = 2 THEN 1 ELSE g END AS page FROM (SELECT doc_id, unnest(range(1, CASE WHEN length(trim(text[1:400])) < 40 * (3 + doc_id % 20) THEN 4 + doc_id % 20 ELSE 2 END)) AS g, text FROM documents)")
+@query(f"""SELECT doc_id, g - 1 AS rank, CASE WHEN g = 1 THEN 2 WHEN g = 2 THEN 1 ELSE g END AS page FROM (SELECT doc_id, unnest(range(1,
+CASE WHEN CASE WHEN doc_id % 10 = 0 THEN 0 ELSE length(trim(text, {_BLANK})) END < 40 * (3 + doc_id % 90) THEN 4 + doc_id % 90 ELSE 2 END)) AS g FROM documents)""")
 def g07_pages_to_reread(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20 + 3).alias("n_pages"), F.substring("text", 1, 400).alias("ocr_text"), F.array(F.lit(2)).alias("flagged"))
+    pages = (F.col("doc_id") % 90 + 3).alias("n_pages")
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", pages, _blanked("text").alias("ocr_text"), F.array(F.lit(2)).alias("flagged"))
     return layout.pages_to_reread(docs)
 
 
@@ -430,12 +504,14 @@ def h01_compose(spark, sf_dir):
     return c.select("conv_id", "turn", inference.compose(F.concat("text", F.lit("</document>")), instructions).alias("prompt"))
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE 0 END AS row_idx, CASE WHEN o_orderkey % 5 <> 4 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 4 THEN 'not JSON' END AS error FROM orders
-UNION ALL SELECT o_orderkey, 1, 'second', NULL FROM orders WHERE o_orderkey % 5 IN (1, 2)""")
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 4 THEN NULL ELSE 0 END AS row_idx, CASE WHEN o_orderkey % 6 = 5 THEN '[' || o_orderstatus || ']' WHEN o_orderkey % 6 <> 4 THEN o_orderstatus END AS status,
+CASE WHEN o_orderkey % 6 = 4 THEN 'not JSON' END AS error FROM orders UNION ALL SELECT o_orderkey, 1, 'second', NULL FROM orders WHERE o_orderkey % 6 IN (1, 2)""")
 def h02_parse_answers(spark, sf_dir):
-    k, row = F.col("o_orderkey"), F.to_json(F.struct(F.col("o_orderstatus").alias("status")))
-    two = F.concat(F.lit("["), row, F.lit(', {"status": "second"}, 7]'))
-    text = F.when(k % 5 == 0, row).when(k % 5 == 1, F.concat(F.lit("```json\n"), two, F.lit("\n```"))).when(k % 5 == 2, F.concat(F.lit('{"rows": '), two, F.lit("}"))).when(k % 5 == 3, F.concat(F.lit("Here you are: ["), row, F.lit("] done"))).otherwise("I could not read it")
+    k, row = F.col("o_orderkey"), lambda c: F.to_json(F.struct(c.alias("status")))
+    plain, bracketed = row(F.col("o_orderstatus")), row(F.concat(F.lit("["), "o_orderstatus", F.lit("]")))
+    two = F.concat(F.lit("["), plain, F.lit(', {"status": "second"}, 7]'))
+    text = F.when(k % 6 == 0, plain).when(k % 6 == 1, F.concat(F.lit("```json\n"), two, F.lit("\n```"))).when(k % 6 == 2, F.concat(F.lit('{"rows": '), two, F.lit("}")))
+    text = text.when(k % 6 == 3, F.concat(F.lit("Here you are: ["), plain, F.lit("] done"))).when(k % 6 == 5, bracketed).otherwise("I could not read it")
     parsed = inference.parse_answers(S.table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text")))
     return parsed.select("doc_id", "row_idx", F.element_at("row", "status").alias("status"), "error")
 
@@ -487,6 +563,11 @@ def i03_tally(spark, sf_dir):
     return spend.tally(S.usage(spark, sf_dir), S.prices(spark, sf_dir)).withColumn("n_models", F.size("by_model")).drop("by_model")
 
 
+@query(f"WITH {_USAGE} SELECT doc_id, model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(c AS BIGINT) AS cached_input_tokens, CAST(CAST(round(micro, 0) AS DECIMAL(30,0)) * 0.000001 AS DECIMAL(18,6)) AS cost FROM m")
+def i04_spend_by_model(spark, sf_dir):
+    return spend.tally(S.usage(spark, sf_dir), S.prices(spark, sf_dir)).select("doc_id", F.explode("by_model").alias("m")).select("doc_id", "m.*")
+
+
 # --- scoring ---
 
 _ORDERS = """
@@ -516,6 +597,14 @@ def j01_score_cells(spark, sf_dir):
     return scoring.score_cells(e, actual, S.ORDER_COLUMNS).select("doc_id", "row_idx", "column", "correct")
 
 
+@query(f"WITH {_ORDERS} SELECT doc_id, k AS row_idx, c.n AS \"column\", c.n <> 'total' OR k % 3 <> 0 AS correct FROM e, (VALUES ('invoice_number'), ('status'), ('total'), ('issued_on'), ('note')) c(n)")
+def j01_score_gated_rows(spark, sf_dir):
+    """Rows as the gate returns them against their texts: an amount counts in the spelling it was written in."""
+    e = S.expected_orders(spark, sf_dir)
+    staged = e.withColumn("total", F.when(F.col("k") % 3 == 0, F.concat("total", F.lit("0"))).otherwise(F.col("total")))
+    return scoring.score_cells(e, gate.gate(staged, S.ORDERS, infer=False), S.ORDER_COLUMNS).select("doc_id", "row_idx", "column", "correct")
+
+
 @query(f"WITH {_ORDERS}, w AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM e WHERE k % 3 = 0) SELECT doc_id, n, k AS row_idx, 'total' AS \"column\" FROM w WHERE n <= 8")
 def j03_wrong_examples(spark, sf_dir):
     e = S.expected_orders(spark, sf_dir)
@@ -633,18 +722,25 @@ def j14_approach_examples(spark, sf_dir):
 
 
 
-@query(f"""WITH {_SCORES} SELECT 'a' || (doc_id % 3) AS approach, CAST(greatest(sum(cells), 1) AS BIGINT) AS cells, CAST(median(doc_id % 101) * 2 AS BIGINT) AS ms2 FROM d WHERE doc_id % 10 <> 0 AND doc_id % 77 <> 0 GROUP BY 1""")
+_SHARED = ("correct", "rejected", "missing", "left_blank", "invented", "wrong_silent")
+_SHARES = ", ".join(f"CAST(round(CAST(sum({c}) AS DOUBLE) / greatest(sum(cells), 1) * 10000) AS BIGINT) AS {c}" for c in (*_SHARED, "flagged + held")).replace("AS flagged + held", "AS flagged")
+
+
+@query(f"""WITH {_SCORES} SELECT 'a' || (doc_id % 3) AS approach, CAST(greatest(sum(cells), 1) AS BIGINT) AS cells, CAST(median(doc_id % 101) * 2 AS BIGINT) AS ms2, CAST(round(avg(doc_id * 4)) AS BIGINT) AS tokens, {_SHARES}
+FROM d WHERE doc_id % 10 <> 0 AND doc_id % 77 <> 0 GROUP BY 1""")
 def j15_outcome_shares(spark, sf_dir):
-    return scoring.outcome_shares(_run_scores(spark, sf_dir)).select("approach", "cells", (F.col("ms") * 2).cast("bigint").alias("ms2"))
+    shares = scoring.outcome_shares(_run_scores(spark, sf_dir))
+    per_myriad = (F.round(F.col(c).cast("double") * 10000).cast("bigint").alias(c) for c in (*_SHARED, "flagged"))
+    return shares.select("approach", "cells", (F.col("ms") * 2).cast("bigint").alias("ms2"), F.round("tokens").cast("bigint").alias("tokens"), *per_myriad)
 
 
-@query("SELECT o_orderpriority AS approach, o_custkey AS \"case\", min(o_orderkey % 5) * 20 AS low, max(o_orderkey % 5) * 20 AS high FROM orders GROUP BY ALL")
+@query("SELECT o_orderpriority AS approach, o_custkey AS \"case\", min(o_orderkey % 5) * 20 AS low, max(o_orderkey % 5) * 20 AS high, CAST(round(avg(o_orderkey % 5) * 20000) AS BIGINT) AS mean1000 FROM orders GROUP BY ALL")
 def j15_run_spread(spark, sf_dir):
     s = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("approach"), F.col("o_custkey").alias("case"), (F.col("o_orderkey") % 5).alias("correct"), F.lit(5).alias("cells"))
-    return scoring.run_spread(s).select("approach", "case", F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"))
+    return scoring.run_spread(s).select("approach", "case", F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"), F.round(F.col("mean") * 1000).cast("bigint").alias("mean1000"))
 
 
-_LOAD = TableSpec("lines", (ColumnSpec("id", "int8", False, 1, is_identity=True), ColumnSpec("order_no", "int8", False, 2), ColumnSpec("line_no", "int2", False, 3), ColumnSpec("flag", "text", True, 4, enum_labels=("A", "N", "R")), ColumnSpec("code", "varchar", True, 5, max_length=3)))
+_LOAD = TableSpec("lines", (Field("id", "int8", 1, required=True, made="identity"), Field("order_no", "int8", 2, required=True), Field("line_no", "int2", 3, required=True), Field("flag", "text", 4, labels=("A", "N", "R")), Field("code", "varchar", 5, size=3)))
 
 
 @query("""WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_idx FROM lineitem),
@@ -703,14 +799,14 @@ def k03_rate_limit_counts(spark, sf_dir):
 def _invoices(spark, sf_dir):
     lines = S.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("invoice"), ((F.col("l_linenumber") * 1_000_003 + F.col("l_partkey")) * 1_009 + F.col("l_suppkey")).alias("line_no"), F.col("l_returnflag").alias("description"), F.col("l_quantity").cast("decimal(12,3)").alias("quantity"), S.cents(F.col("l_partkey") % 9000 + 100).cast("decimal(12,4)").alias("unit_price"),
-        F.when(F.col("l_linenumber") % 2 == 0, 25).otherwise(12).cast("decimal(5,2)").alias("tax_rate"), F.when(F.col("l_partkey") % 20 == 0, S.cents(F.col("l_partkey"))).alias("lump_sum"),
+        F.when(F.col("l_linenumber") % 2 == 0, 25).otherwise(12).cast("decimal(5,2)").alias("tax_rate"), F.when(F.col("l_partkey") % 20 == 0, S.cents(F.col("l_partkey") + F.when(F.col("l_partkey") % 60 == 0, 2_000_000_000_000).otherwise(0))).alias("lump_sum"),
     )
     header = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice"), F.when(F.col("o_orderkey") % 4 == 0, 10).otherwise(0).cast("decimal(5,2)").alias("discount"), S.cents(F.col("o_custkey") % 5000).alias("shipping"), F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0).alias("misprint"))
     return lines, header
 
 
 _INVOICE = """
-l AS (SELECT l_orderkey AS invoice, CASE WHEN l_linenumber % 2 = 0 THEN 25 ELSE 12 END AS rate, CASE WHEN l_partkey % 20 = 0 THEN l_partkey ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS c FROM lineitem),
+l AS (SELECT l_orderkey AS invoice, CASE WHEN l_linenumber % 2 = 0 THEN 25 ELSE 12 END AS rate, CASE WHEN l_partkey % 60 = 0 THEN l_partkey + 2000000000000 WHEN l_partkey % 20 = 0 THEN l_partkey ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS c FROM lineitem),
 n AS (SELECT invoice, sum(c) AS net, max(rate) AS top FROM l GROUP BY invoice),
 h AS (SELECT n.*, CASE WHEN o_orderkey % 4 = 0 THEN (net * 10 * 2 + 100) // 200 ELSE 0 END AS off, o_custkey % 5000 AS ship, CASE WHEN o_orderkey % 50 = 0 THEN 100 ELSE 0 END AS misprint FROM n JOIN orders ON o_orderkey = invoice),
 g AS (SELECT invoice, rate, sum(c) AS gross FROM l GROUP BY ALL),
@@ -733,7 +829,7 @@ def l02_invoice_header(spark, sf_dir):
     return invoices.invoice_header(*_invoices(spark, sf_dir)).select("invoice", "total", "printed_total")
 
 
-@query("""SELECT l_orderkey AS invoice, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 1000003 + l_partkey) * 1009 + l_suppkey) AS line_no, CASE WHEN l_partkey % 20 <> 0 THEN CAST(l_quantity AS DECIMAL(12,3)) END AS quantity, CAST(CAST(CASE WHEN l_partkey % 20 = 0 THEN l_partkey ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS line_total FROM lineitem""")
+@query("""SELECT l_orderkey AS invoice, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 1000003 + l_partkey) * 1009 + l_suppkey) AS line_no, CASE WHEN l_partkey % 20 <> 0 THEN CAST(l_quantity AS DECIMAL(12,3)) END AS quantity, CAST(CAST(CASE WHEN l_partkey % 60 = 0 THEN l_partkey + 2000000000000 WHEN l_partkey % 20 = 0 THEN l_partkey ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS line_total FROM lineitem""")
 def l03_expected_rows(spark, sf_dir):
     lines, _ = _invoices(spark, sf_dir)
     return invoices.expected_rows(lines).select("invoice", F.col("line_no").cast("bigint").alias("line_no"), "quantity", "line_total")
@@ -749,22 +845,117 @@ def a08_run_log(spark, sf_dir):
     return log.select("doc_id", "table", "route", F.col("rows").alias("n_rows"), "failures", "outcome", "calls")
 
 
+# --- files: the given tables written as landing files under the session's shared folder, and read back ---
+
+
+@query("""SELECT c_custkey // 500 AS file, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS VARCHAR) AS "key", c_name || '; "' || c_mktsegment || '"' AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer""")
+def a01_read_delimited(spark, sf_dir):
+    """Customers in files of 500, odd files with tabs and even ones with semicolons between cells; names hold a semicolon and quotes."""
+    folder, file = streams.scratch(spark), F.floor(F.col("c_custkey") / 500).cast("int")
+    name = F.concat("c_name", F.lit('; "'), "c_mktsegment", F.lit('"'))
+    rows = S.table(spark, sf_dir, "customer").select(file.alias("file"), F.col("c_custkey").alias("key"), name.alias("name"), F.col("c_nationkey").alias("nation"))
+    for odd, mark in ((0, ";"), (1, "\t")):
+        part = rows.where(F.col("file") % 2 == odd).repartition("file").sortWithinPartitions("file", "key")
+        part.write.partitionBy("file").option("header", True).option("sep", mark).option("escape", '"').mode("append").csv(folder)
+    heads, grid, errors = files.read_delimited(spark, folder)
+    at = lambda header: F.max(F.when(F.col("header") == header, F.col("position")))
+    layout_ = heads.groupBy("doc_id").agg(*(at(h).alias(f"{h}_at") for h in ("key", "name", "nation")))
+    cell = lambda h: F.get(F.col("cells"), F.col(f"{h}_at")).alias(h)
+    number = F.regexp_extract("doc_id", "file=([0-9]+)", 1).cast("bigint").alias("file")
+    return grid.join(layout_, "doc_id").join(errors.select("doc_id"), "doc_id", "left_anti").select(number, F.col("row_idx").cast("bigint").alias("row_idx"), cell("key"), cell("name"), cell("nation"))
+
+
+_LATIN = r"^[\x00-\x7f\u00a0-\u00ff]*\z"
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def a02_decode_text(spark, sf_dir):
+    """Every text as bytes of some charset, decoded again: UTF-16 with a mark, Latin-1 where it can be (read as cp1252), UTF-8 with and without a mark."""
+    k, text = F.col("doc_id"), F.col("text")
+    # a Latin-1 text of letters beyond ASCII in a row may be UTF-8 by chance: only a lone one is kept
+    latin = text.rlike(_LATIN) & text.rlike(r"[\u00c0-\u00ff]") & ~text.rlike(r"[\u0080-\u00ff]{2}")
+    raw = F.when(k % 4 == 0, F.encode(text, "UTF-16")).when((k % 4 == 1) & latin, F.encode(text, "ISO-8859-1"))
+    raw = raw.when(k % 4 == 2, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.sha2(files.decode_text(raw), 256).alias("text_sha256"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'spreadsheet' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'text' WHEN 5 THEN 'image' WHEN 6 THEN 'unsupported' ELSE 'text' END AS kind FROM documents""")
+def a03_classify_files(spark, sf_dir):
+    """Documents behind the first bytes of some kind of file: PDF, PNG, OLE2, a NUL byte, a UTF-16 mark, JPEG, a broken archive, none."""
+    k, body = F.col("doc_id"), F.encode(F.concat(F.lit("T:"), F.coalesce("text", F.lit(""))), "UTF-8")
+    fronts = (b"%PDF-1.7 ", files.IMAGES[0], files.OLE2, b"a\x00b", b"\xff\xfe", files.IMAGES[1], b"PK\x03\x04", b"")
+    content = body
+    for n, front in enumerate(fronts):
+        content = F.when(k % 8 == n, F.concat(F.lit(front), body)).otherwise(content)
+    return files.classify_files(S.table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))).select("doc_id", "kind")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_idx, CAST(o_orderkey AS VARCHAR) AS "key", CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders""")
+def a04_read_cases(spark, sf_dir):
+    """A case a customer, its orders the expected rows; keys are JSON numbers and every third status is null."""
+    folder = streams.scratch(spark)
+    row = F.struct(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
+    cases = S.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list(row)).alias("expected"))
+    cases.write.option("ignoreNullFields", False).json(folder)
+    _, expected = files.read_cases(spark, folder, multiline=False)
+    cell = lambda name: F.try_element_at("row", F.lit(name)).alias(name)
+    return expected.select("doc_id", F.col("row_idx").cast("bigint").alias("row_idx"), cell("key"), cell("status"))
+
+
+@query(f"""WITH {_FACTS}, n AS (SELECT row_idx, count(*) AS k FROM found GROUP BY row_idx)
+SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, CASE WHEN k > 0 THEN 'flagged' ELSE 'ok' END AS status, count(*) AS n_rows, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_findings FROM f LEFT JOIN n USING (row_idx) GROUP BY 1, 2""")
+def a07_write_gated(spark, sf_dir):
+    """The split tables, read back: rows by document and status, and the findings written for them."""
+    folder = streams.scratch(spark)
+    sinks.write_gated(_gated(spark, sf_dir), folder)
+    rows = spark.read.parquet(f"{folder}/rows").groupBy("doc_id", "status").agg(F.count("*").alias("n_rows"))
+    found = spark.read.parquet(f"{folder}/findings").groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = F.when(F.col("status") == "flagged", F.col("n")).otherwise(0)
+    return rows.join(found, "doc_id", "left").select("doc_id", "status", "n_rows", F.coalesce(n, F.lit(0)).cast("bigint").alias("n_findings"))
+
+
+def _first_lines(batches):
+    """A caller's extractor: one row a document, its first 12 characters, and what the call used."""
+    for batch in batches:
+        text = batch["text"].fillna("")
+        yield batch[["doc_id"]].assign(row_idx=0, said=text.str.slice(0, 12), input_tokens=text.str.len().astype("int64"))
+
+
+@query("SELECT doc_id, 0 AS row_idx, substring(coalesce(text, ''), 1, 12) AS said, length(coalesce(text, '')) AS input_tokens FROM documents")
+def h04_extract_with(spark, sf_dir):
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return inference.extract_with(docs, _first_lines, "doc_id long, row_idx int, said string, input_tokens long")
+
+
 # --- streams ---
 
 
-@query("SELECT user_id AS who, CAST(date_trunc('day', ts) AS DATE) AS day, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused FROM (SELECT user_id, date_trunc('day', ts) AS ts, count(*) AS n FROM events GROUP BY ALL)")
+@query(f'WITH {_FACTS} SELECT "column", rule, count(*) AS n FROM found GROUP BY ALL')
+def m01_stream_gate(spark, sf_dir):
+    """Staged lines land as files, whole documents each, and are gated as they arrive: the findings are those of the batch."""
+    folder = streams.scratch(spark)
+    staged = S.staged_lines(spark, sf_dir)
+    staged.repartition("doc_id").write.parquet(f"{folder}/landing")
+    stream = streams.landing(spark, f"{folder}/landing", staged.schema)
+    streams.stream_gate(stream, S.LINES, S.LINE_RULES, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/findings").groupBy("column", "rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT user_id AS who, CAST(date_trunc('day', ts) AS DATE) AS day, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused
+FROM (SELECT user_id, date_trunc('day', ts) AS ts, count(*) AS n FROM events GROUP BY ALL)"""
+)
 def m03_stream_rate_limit(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(sf_dir).select(F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
-    counts = streams.stream_rate_limit(stream, 2, 86400)
+    events = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = streams.stream_rate_limit(events, 2, 86400)
     return streams.totals(counts, streams.scratch(spark)).select("who", F.to_date("start").alias("day"), "n", "allowed", "refused")
 
 
 @query(f'WITH {_ORDERS} SELECT doc_id, k AS row_idx, \'status\' AS "column", \'pattern\' AS rule FROM e WHERE status = \'P\'')
 def m02_stream_checks(spark, sf_dir):
-    path = f"{sf_dir}/orders.parquet"
-    k = F.col("o_orderkey")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(sf_dir).select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total"))
+    total = F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total")
+    orders = streams.table_stream(spark, f"{sf_dir}/orders.parquet")
+    stream = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderstatus").alias("status"), total)
     folder = streams.scratch(spark)
-    found = gate.findings(streams.stream_checks(stream, S.STATEMENT, [Pattern("status", "[FO]")]))
+    found = gate.findings(streams.stream_checks(stream, S.STATEMENT, [shaped("status", "[FO]")]))
     return streams.drained(found, f"{folder}/out", f"{folder}/checkpoint").where("rule <> 'not_null'").select("doc_id", "row_idx", "column", "rule")

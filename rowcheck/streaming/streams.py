@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rowcheck.operators.gate import findings, gate
@@ -24,8 +26,11 @@ def stream_gate(staged: DataFrame, spec: TableSpec, rules: Sequence[Rule], out:
     def batch(df: DataFrame, number: int) -> None:
         held = gate(df, spec, rules)
         status = F.when(F.size("findings") > 0, "flagged").otherwise("ok")
-        held.withColumn("status", status).drop("raw", "findings").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        findings(held).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
+        rows = held.withColumn("status", status).drop("raw", "spelled")
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        # the gate runs once a batch: its findings are drawn from what was written
+        written = df.sparkSession.read.schema(rows.schema).parquet(f"{out}/rows/batch={number}").where("status = 'flagged'")
+        findings(written).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
 
     writer = staged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -45,20 +50,38 @@ def stream_rate_limit(stream: DataFrame, per_minute: int, seconds: int = 60, lat
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All that a finished run of `stream` appends, read back from `path`."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def landing(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of staged rows that arrive as parquet files."""
+def landing(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A stream of staged rows that arrive as parquet files in the folder `path`."""
     return spark.readStream.schema(schema).parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table as a stream, be it one file or a folder of part files: a file is found in its folder by its name."""
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rpartition("/")
+    parts = spark.read.parquet(path).select("_metadata.file_name").limit(1).collect()
+    if not parts or parts[0][0] != name:
+        return landing(spark, path, schema)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under the session's checkpoint folder, which is only set here where none is (local tests)."""
+    """A new folder that driver and executors share: under the session's checkpoint folder. Where none is set a local session
+    takes a temporary one; a cluster has no folder of its own that all of its hosts see, so there it must be set.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
