@@ -15,10 +15,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where none is set a local session (tests) takes
+    a temporary one; on a cluster that would be unreadable from other hosts, so there it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -47,3 +54,24 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: A key with more than one in so many of all rows is heavy: there are fewer heavy keys than this, whatever the input.
+HEAVY = 10_000
+
+
+def join_back(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of facts, which has one row a key, all keys of rows, and in `count` the number of rows of each.
+
+    Facts of heavy keys (fewer than HEAVY, about 100 bytes each) are broadcast and their rows dealt by all of their
+    columns, so a key that a third of all rows share lands in no one task. facts is read twice: write it before.
+    """
+    own = [c for c in facts.columns if c != key]
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    heavy = facts.where(F.col(count) * HEAVY > total).select(key, F.struct(*own).alias("heavy__"))
+    marked = rows.join(F.broadcast(heavy), key, "left")
+    apart = F.when(F.col("heavy__").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
+    light = facts.where(F.col(count) * HEAVY <= total).select(key, F.struct(*own).alias("light__"), F.lit(0).cast("long").alias("apart__"))
+    joined = marked.withColumn("apart__", apart).join(light, [key, "apart__"], "left")
+    found = F.coalesce("light__", "heavy__")
+    return joined.select(*rows.columns, *(found[c].alias(c) for c in own))

@@ -7,7 +7,8 @@
    temporary folder and splits each file again, by further bits of the hash, until a file fits
    `table_bytes`; then an open-addressing table (linear probing) compares complete contents.
    Spill files live and die inside one task, so a lost executor only means that the task runs again.
-3. The decision for each content goes back to its rows by the SHA-256 of the content. Equality was
+3. The decision for each content goes back to its rows by the SHA-256 of the content; decisions on contents that very
+   many rows share are broadcast and their rows spread. Equality was
    settled by the content itself; two contents of one SHA-256 would raise an error.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import bounded_batches, partitions
+from rowcheck.llm.common import bounded_batches, cut, join_back, partitions
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import texts_of
 
@@ -199,9 +200,10 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     rows = texts_only(docs).mapInArrow(_digests, "doc_id long, text_sha256 string")
     classes = content_classes(docs, table_bytes)
     # a digest met twice among the classes would mean two contents of one SHA-256
-    checked = classes.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("contents"))
-    checked = checked.withColumn("group_size", F.when(F.col("contents") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two contents have one SHA-256"))))
-    joined = rows.join(checked, "text_sha256")
+    once = classes.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("contents"))
+    size = F.when(F.col("contents") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two contents have one SHA-256")))
+    decided = cut(once.select("text_sha256", "keep_id", size.alias("group_size")))  # a digest and two numbers for each distinct text
+    joined = join_back(rows, decided, "text_sha256", "group_size")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -93,15 +93,19 @@ FROM t LEFT JOIN kept USING (doc_id)
 """
 
 _URLS = r"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH u AS (SELECT page_id, html, url LIKE '%://%' AS whole, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/|\.html?)$', '') AS url,
+s AS (SELECT *, array_to_string(list_transform(str_split(path, '%'), lambda x, i: CASE WHEN i = 1 THEN x
+        WHEN regexp_full_match(x[1:2], '[2-7][0-9A-Fa-f]') AND regexp_full_match(chr(TRY_CAST('0x' || x[1:2] AS INTEGER)), '[A-Za-z0-9._~-]') THEN chr(TRY_CAST('0x' || x[1:2] AS INTEGER)) || x[3:]
+        WHEN regexp_full_match(x[1:2], '[0-9A-Fa-f]{2}') THEN '%' || upper(x[1:2]) || x[3:] ELSE '%' || x END), '') AS spelled FROM u),
+d AS (SELECT *, CASE WHEN contains(spelled, '/.') THEN list_reduce(str_split(spelled[2:], '/'), lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END, '') ELSE spelled END AS plain FROM s),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:(80|443)?)?$', ''), '^www\.', '') || regexp_replace(plain, '(/|\.html?)$', '') AS url,
       CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
            WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-           WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u),
-listed AS (SELECT DISTINCT url FROM c WHERE regexp_matches(host, '(^|[.-])(ads?|track(er|ing)?)([.-]|$)'))
+           WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM d),
+listed AS (SELECT DISTINCT url FROM c WHERE whole AND regexp_matches(html, '(%%%|\*\*\*|\$\$\$|&amp;&amp;&amp;|###|@@@|~~~|\^\^\^)'))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM c
 """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rowcheck.llm.common import cut
+from rowcheck.llm.common import cut, join_back, partitions
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.components import components
 from rowcheck.llm.text import texts_of
@@ -80,7 +80,9 @@ def ball(radius: int) -> np.ndarray:
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) that connect every two fingerprints within `radius` bits (directly or through the smallest at their number)."""
     masks = [int(m) for m in ball((radius + 1) // 2)]
-    sent = distinct.select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    # few bytes now, very many after the explode: dealt to all tasks before it
+    dealt = distinct.repartition(partitions(distinct.sparkSession), "fp")
+    sent = dealt.select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     if radius % 2:  # an odd radius rounds up, so those that meet may be one bit too far apart: verify all of the bounded group
         met = sent.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
         pairs = met.select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v")).where("u < v")
@@ -99,13 +101,13 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
     An empty table gives an empty result.
     """
     made = cut(fingerprints(docs, shingle))  # small: 16 bytes a document; the texts are read once
-    firsts = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = cut(made.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(firsts.select("fp"), radius))
-    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    classes = cut(rooted.join(least, "root").select("fp", "component_id", "n"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return made.join(classes, "fp").select("doc_id", hexed, "component_id")
+    return join_back(made, classes, "fp", "n").select("doc_id", hexed, "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:

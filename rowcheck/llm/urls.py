@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowcheck.llm.common import cut
+
 #: 40 bytes a row: the broadcast filter stays under 42 MB.
 MOST_BLOCKS = 1 << 20
 KEYS_A_BLOCK = 20
@@ -20,22 +22,47 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The production rules: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Hosts with such a label are listed when the list is drawn from the pages themselves.
-LISTED_LABELS = r"(^|[.-])(ads?|track(er|ing)?)([.-]|$)"
+#: A page is listed if its text holds a run of three such signs: titles and paragraphs padded with them.
+SPAM = r"(%%%|\*\*\*|\$\$\$|&amp;&amp;&amp;|###|@@@|~~~|\^\^\^)"
+_PARTS = r"://([^/?#]*)([^?#]*)"
 
 
 def host(url: Column) -> Column:
     """After the first ://, up to / ? # or the end, A-Z lower-cased; null or no :// gives the empty text."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)([^?#]*)", 1), _UPPER, _LOWER)
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 1), _UPPER, _LOWER)
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)([^?#]*)", 2)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 2)
+
+
+def _escapes(path_: Column) -> Column:
+    """Percent escapes in one form: letters, digits and - . _ ~ stand for themselves, other escapes have capitals; a % without two hex digits stays."""
+    hexed = lambda x: F.substring(x, 1, 2)
+    sign = lambda x: F.chr(F.conv(hexed(x), 16, 10).try_cast("int"))
+    rest = lambda x: F.substring(x, 3, 1 << 30)
+
+    def one(x: Column, k: Column) -> Column:
+        plain = hexed(x).rlike("^[2-7][0-9A-Fa-f]$") & sign(x).rlike("^[A-Za-z0-9._~-]$")
+        whole = F.concat(F.lit("%"), F.when(hexed(x).rlike("^[0-9A-Fa-f]{2}$"), F.concat(F.upper(hexed(x)), rest(x))).otherwise(x))
+        return F.when(k == 0, x).when(plain, F.concat(sign(x), rest(x))).otherwise(whole)
+
+    return F.when(path_.contains("%"), F.array_join(F.transform(F.split(path_, "%"), one), "")).otherwise(path_)
+
+
+def _no_dots(path_: Column) -> Column:
+    """Path without . and .. segments; .. takes the segment before it along."""
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    folded = F.aggregate(F.split(F.substring(path_, 2, 1 << 30), "/"), F.lit(""), step)
+    return F.when(path_.contains("/."), folded).otherwise(path_)
 
 
 def canonical(host_: Column, path_: Column) -> Column:
-    """host without www., path without a closing / or .html; scheme, query and fragment are gone."""
-    return F.concat(F.regexp_replace(host_, r"^www\.", ""), F.regexp_replace(path_, r"(/|\.html?)$", ""))
+    """One text for all spellings of a page: host without user, default port, closing full stop and www.; path with escapes in one
+    form, without . and .. segments and without a closing / or .html. Scheme, query and fragment are gone.
+    """
+    bare = F.regexp_replace(F.regexp_replace(host_, r"^.*@", ""), r"\.?(:(80|443)?)?$", "")
+    return F.concat(F.regexp_replace(bare, r"^www\.", ""), F.regexp_replace(_no_dots(_escapes(path_)), r"(/|\.html?)$", ""))
 
 
 def fitting_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -69,23 +96,26 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     has empty host and path, fits no rule and is listed only if the empty text is. Null entries of the list are ignored, repeated ones
     count once. Repeated rows give repeated results; an empty table gives an empty result, an empty list lists nothing.
     """
-    listed = listed.select(F.col("listed").cast("string").alias("listed")).where("listed is not null").distinct()
+    # the list and what pages are probed by are each written once: small beside the pages, and read several times
+    listed = cut(listed.select(F.col("listed").cast("string").alias("listed")).where("listed is not null").distinct())
     own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    ruled = own.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule__"), canonical(F.col("host"), F.col("path")).alias("url__"))
+    ruled = own.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule__"))
+    free = F.col("by_rule__").isNull()
+    asked = ruled.withColumn("url__", F.when(free, canonical(F.col("host"), F.col("path"))))
     table, blocks = bloom(listed)
-    probed = ruled.select("*", *_bits(F.col("url__"), blocks)).join(F.broadcast(table), "block__", "left")
-    passes = F.lit(True)
+    probed = asked.select("*", *_bits(F.col("url__"), blocks)).join(F.broadcast(table), "block__", "left")
+    passes = free
     for k in range(4):
         passes = passes & (F.col(f"f{k}__").bitwiseAND(F.col(f"w{k}__")) != 0)
-    passes = F.coalesce(passes, F.lit(False)) & F.col("by_rule__").isNull()
     columns = ["page_id", "host", "path", "rule"]
-    possible = probed.where(passes).select(*columns, "url__").join(listed.withColumn("hit__", F.lit(True)), F.col("url__") == F.col("listed"), "left")
-    judged = possible.select(*columns, F.when(F.col("hit__"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
-    return judged.unionByName(probed.where(~passes).select(*columns, F.coalesce("by_rule__", F.lit("allow")).alias("verdict")))
+    judged = cut(probed.select(*columns, "by_rule__", F.when(F.coalesce(passes, F.lit(False)), F.col("url__")).alias("possible__")))
+    settled = judged.where("possible__ is null").select(*columns, F.coalesce("by_rule__", F.lit("allow")).alias("verdict"))
+    possible = judged.where("possible__ is not null").join(listed, F.col("possible__") == F.col("listed"), "left")
+    return settled.unionByName(possible.select(*columns, F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict")))
 
 
-def listed_in(pages: DataFrame, labels: str = LISTED_LABELS) -> DataFrame:
-    """Canonical URLs of the pages whose host has an advertising or tracking label."""
-    named = pages.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).where(F.col("host").rlike(labels))
-    return named.select(canonical(F.col("host"), F.col("path")).alias("listed")).distinct()
+def listed_in(pages: DataFrame, spam: str = SPAM) -> DataFrame:
+    """Canonical URLs of the pages whose html shows a run of signs; every other page of such a URL is then listed with it."""
+    shown = pages.where(F.col("html").rlike(spam) & F.col("url").contains("://"))
+    return shown.select(canonical(host(F.col("url")), path(F.col("url"))).alias("listed")).distinct()
