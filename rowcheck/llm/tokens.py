@@ -5,8 +5,8 @@ programming carries, per place, the best score and the number of pieces that rea
 U+2581, one is put in front, words start at each; a later candidate replaces a place's best only if its score is
 strictly larger, and candidates come in the order of their starts (so of equal scores the longest piece wins); a
 character that is no piece itself may be passed at the smallest score of the vocabulary minus 10 and then counts as its UTF-8 bytes.
-Scores are whole numbers, so sums are exact and a word's best path does not depend on what stands before it: each
-distinct word is worked out once per task.
+Scores are doubles, added from the start of a word on as the tokenizer adds them, so equal and nearly equal paths are told
+apart as it does. A word's best path does not depend on what stands before it: each distinct word is worked out once per worker.
 """
 
 from __future__ import annotations
@@ -30,10 +30,8 @@ class Counter(dict):
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
 
-        if any(score != int(score) for _, score in pieces):
-            raise ValueError("scores must be whole numbers")
         self.automaton = ahocorasick.Automaton()
-        for piece, score in reversed(pieces):  # of a repeated piece the first counts
+        for piece, score in pieces:  # of a repeated piece the last counts
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
@@ -93,9 +91,19 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+_HELD: dict[str, Counter] = {}
+
+
+def _counter(path: str) -> Counter:
+    """One automaton per worker process and model file."""
+    if path not in _HELD:
+        _HELD[path] = Counter(pieces_of(path))
+    return _HELD[path]
+
+
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(pieces_of(path))
+        counter = _counter(path)
         for batch in batches:
             found = [counter.text(t) for t in texts_of(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for _, c in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names=["doc_id", "n_tokens", "best_score"])

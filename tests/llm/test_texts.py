@@ -92,6 +92,22 @@ def test_counts_equal_the_library(unigram):
         assert counter.text(text)[1] == len(library.encode(text, add_special_tokens=False).ids), text
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_counts_with_fractional_scores_equal_the_library(seed):
+    """Random vocabularies: scores with none to all digits, ties, repeated pieces, unknown characters."""
+    rng, letters = random.Random(seed), "abcé한"
+    piece = lambda: ("▁" if rng.random() < 0.4 else "") + "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+    own = [(piece(), round(-rng.random() * 6, rng.choice((0, 1, 2, 15)))) for _ in range(rng.randint(5, 60))]
+    own = own if seed % 3 == 0 else list(dict(own).items())
+    pieces = [("<unk>", 0.0), *((f"<0x{b:02X}>", -rng.random() * 10 - 5) for b in range(256)), *own]
+    library = Tokenizer(Unigram(pieces, unk_id=0, byte_fallback=True))
+    library.pre_tokenizer = Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    counter = Counter(pieces)
+    for _ in range(150):
+        text = " ".join("".join(rng.choice(letters + "xЖ") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6)))
+        assert counter.text(text)[1] == len(library.encode(text, add_special_tokens=False).ids), text
+
+
 def test_count_query(spark, unigram):
     rows = [(1, None), (2, ""), (3, "Hello there"), (None, "x")]
     got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(frame(spark, rows), PIECES).collect()}
@@ -123,10 +139,14 @@ def edit_distance_in(item, text):
     return min(row)
 
 
+def codes(text):
+    return np.array(list(map(ord, text)), np.uint16)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("ab", min_size=8, max_size=20), st.text("ab", max_size=40))
 def test_banded_with_a_wide_band_is_the_edit_distance(item, text):
-    assert banded(item.encode(), text.encode(), -len(item) - 1, len(text) + 1)[0] == edit_distance_in(item, text)
+    assert banded(codes(item), codes(text), -len(item) - 1, len(text) + 1)[0] == edit_distance_in(item, text)
 
 
 def test_leaks_find_edited_items_and_nothing_else(spark):
@@ -147,7 +167,7 @@ def test_leaks_find_edited_items_and_nothing_else(spark):
             rows.append((doc, f"{body[:at]} {form} {body[at:]}"))
             planted.add((doc, i))
     rows += [(1, None), (2, ""), (None, "x"), (200_000, "the " * 50_000)]
-    table = spark.createDataFrame([(i, t) for i, t in items.items()] + [(None, "x" * 99), (-1, None), (-2, "short")], "item_id long, text string")
+    table = spark.createDataFrame([(i, t) for i, t in items.items()] + [(None, "x" * 99), (-1, None), (-2, "qzxwv")], "item_id long, text string")
     got = leaks(frame(spark, rows), table).collect()
     found = {(r["doc_id"], r["item_id"]) for r in got}
     assert planted <= found
@@ -164,7 +184,8 @@ def test_leaks_find_edited_items_and_nothing_else(spark):
 
 
 def test_items_without_any():
-    assert not Items([], []).ids and not Items([1], ["tiny"]).ids
+    for none in (Items([], []), Items([1], ["... !"])):
+        assert not none.groups and not none.short
 
 
 def test_forward_is_the_sum_over_paths():
