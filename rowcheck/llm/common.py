@@ -46,6 +46,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have (names differ by more than case)."""
+    held = {c.lower() for c in df.columns}
+    while stem.lower() in held:
+        stem += "_"
+    return stem
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string of docs; other columns, whatever their names, are left."""
     bounded_batches(docs.sparkSession)

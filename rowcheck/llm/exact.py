@@ -147,9 +147,11 @@ def _local(table_bytes: int, extra: list[str]):
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
                 rows = batch.select(extra).to_pylist() if extra else [None] * len(ids)
-                for doc, text, row in zip(ids, texts.cast(pa.large_binary()).to_pylist(), rows, strict=True):
+                null = batch.column("text").is_null().to_pylist()
+                for doc, text, row, none in zip(ids, texts.cast(pa.large_binary()).to_pylist(), rows, null, strict=True):
                     content = fold(text)
-                    row = pickle.dumps((row, None if content == text else text)) if extra else b""
+                    # the text itself only where it is not its folded form; a null one is told from an empty one
+                    row = pickle.dumps((row, none, None if content == text else text)) if extra else b""
                     yield int.from_bytes(hashlib.sha256(content).digest()[:8], "big"), content, (doc, 1, row)
 
         rows = ((h - (1 << 63), v[0], v[1], content, v[2]) for h, content, v in grace(records(), _best, table_bytes))
@@ -223,8 +225,8 @@ def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
         for batch in batches:
             rows = []
             for packed in batch.column("row").to_pylist():
-                row, text, content = pickle.loads(packed)
-                rows.append(row["row__"] | {"text": (content if text is None else text).decode()})
+                row, none, text, content = pickle.loads(packed)
+                rows.append(row["row__"] | {"text": None if none else (content if text is None else text).decode()})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     dealt = folded.repartition(partitions(docs.sparkSession), "route")

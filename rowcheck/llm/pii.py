@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rowcheck.llm.common import cut
+from rowcheck.llm.common import cut, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns, tried only where a match can begin: they find the same spans without
@@ -174,7 +174,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """docs (unique doc_id) with base spans and disclosing terms of text replaced by [EMAIL], [IP], [CARD], [PHONE], [TERM]."""
-    spans = find(docs, alpha, prior).where("spans <> ''").select(F.col("doc_id").alias("id__"), F.col("spans").alias("spans__"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["id__"], "left")
-    text = F.when(F.col("spans__").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("spans__")))
-    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    # names that docs does not have, so what is joined cannot be taken for its own columns
+    own, spans = fresh(docs, "found_id"), fresh(docs, "found_spans")
+    found = find(docs, alpha, prior).where("spans <> ''").select(F.col("doc_id").alias(own), F.col("spans").alias(spans))
+    joined = docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(spans)))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import bounded_batches
+from rowcheck.llm.common import bounded_batches, fresh
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import buffers, lower, slices, texts_of, word_hashes, words
 
@@ -33,7 +33,7 @@ BINS, PAIR_BINS, ROUNDS, RATE, PAIRS = 48, 8, 120, 0.15, 8
 FEATURES = [
     "log_bytes", "log_words", "bytes_a_word", "upper_share", "digit_share", "punctuation_share", "symbol_share", "blank_share", "other_share",
     "line_words", "distinct_words", "top_word_share", "same_as_before", "same_as_before_last", "distinct_lines", "long_words", "marked_words", "title_words", "stops_a_word", "bars_a_word", "commas_a_word",
-    "short_words", "byte_entropy", "distinct_triples",
+    "short_words", "low_bits_entropy", "distinct_triples",
 ]
 
 _UPPER, _DIGIT, _STOP, _MARK, _SYMBOL = (np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(48, 58), b".,;:?!", b"!$%&*#|@~^", b"$%&*#|@~^<>{}[]\\/=+_"))
@@ -89,6 +89,7 @@ def features(texts: pa.Array) -> np.ndarray:
     triple = (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:] if len(h) > 2 else h[:0]
     same = text[:-2] == text[2:] if len(h) > 2 else np.empty(0, bool)
     distinct_triples, _ = _distinct(triple[same], text[2:][same] if len(h) > 2 else text[:0], n)
+    # entropy of the low five bits of the folded bytes: letters apart, a bounded table per text
     hist = np.bincount(np.repeat(np.arange(n) * 32, np.diff(offsets)) + (folded & 31), minlength=n * 32).reshape(n, 32)
     share = hist / own[:, None]
     entropy = -(share * np.log2(np.maximum(share, 1e-12))).sum(axis=1)
@@ -226,23 +227,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(x[order], y[order])
 
 
-def _scored(model: Additive):
+def _scored(model: Additive, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             scores = [model.score(features(texts.slice(a, b - a))) for a, b in slices(texts)]
             score = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(score)], names=[*batch.schema.names, "score__"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(score)], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Additive) -> DataFrame:
-    """docs with a last column score__: the model's probability of label 1."""
+def score(docs: DataFrame, model: Additive, name: str) -> DataFrame:
+    """docs with a last column `name`, which docs does not have: the model's probability of label 1."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(_scored(model), StructType([*docs.schema.fields, StructField("score__", DoubleType())]))
+    return docs.mapInArrow(_scored(model, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MOST_LABELLED) -> DataFrame:
@@ -254,14 +255,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     Without labels of both classes the score is the smoothed share of class 1. An empty table gives an empty result.
     """
     plain = texts_only(docs)
-    scored = score(plain, train(docs, labels, most=most))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("score__").alias("score"), (F.col("score__") >= threshold).cast("int").alias("predicted"))
+    scored = score(plain, train(docs, labels, most=most), "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MOST_LABELLED) -> DataFrame:
-    """The rows of docs that the classifier keeps (score >= threshold), all columns as they were; rows do not move."""
-    kept = score(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels, most=most))
-    return kept.where(F.col("score__") >= threshold).drop("score__")
+    """The rows of docs that the classifier keeps (score >= threshold), all columns as they were; rows do not move. Cases as in
+    classify; the names of other columns do not matter.
+    """
+    name = fresh(docs, "score")
+    kept = score(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels, most=most), name)
+    return kept.where(F.col(name) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def crc_held_out(doc_id: int, folds: int = 5) -> bool:

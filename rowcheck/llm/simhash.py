@@ -18,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from rowcheck.llm.common import cut, join_back, partitions
+from rowcheck.llm.common import bounded_batches, cut, fresh, join_back, partitions
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.components import components
 from rowcheck.llm.text import texts_of
@@ -55,20 +56,26 @@ def majority(hashes: np.ndarray) -> int:
     return sum(1 << (8 * byte + shift) for shift in range(8) for byte in range(8) if bits[shift, byte])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text")).cast(pa.large_binary()).to_pylist()
             made = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            yield batch.append_column(name, pa.array(made, pa.int64()))
 
     return run
 
 
+def with_fingerprints(docs: DataFrame, name: str, shingle: int = 3) -> DataFrame:
+    """docs with a last column `name`, which docs does not have: 64 bits as a signed long. Null text: 0, as any text without words."""
+    bounded_batches(docs.sparkSession)
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    return plain.mapInArrow(_fingerprints(shingle, name), T.StructType([*plain.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long). Null text: 0, as any text without words."""
-    plain = texts_only(docs)
-    return plain.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """doc_id, fp of every row."""
+    return with_fingerprints(texts_only(docs), "fp", shingle).select("doc_id", "fp")
 
 
 def ball(radius: int) -> np.ndarray:
@@ -92,6 +99,13 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
+def _rooted(made: DataFrame, radius: int) -> DataFrame:
+    """fp, first (smallest doc_id), n (rows), root (of its component) of every distinct fingerprint; written once."""
+    firsts = cut(made.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    roots = components(links(firsts.select("fp"), radius))
+    return cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+
+
 def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links of `radius` bits or fewer).
 
@@ -101,9 +115,7 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
     An empty table gives an empty result.
     """
     made = cut(fingerprints(docs, shingle))  # small: 16 bytes a document; the texts are read once
-    firsts = cut(made.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    roots = components(links(firsts.select("fp"), radius))
-    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(made, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut(rooted.join(least, "root").select("fp", "component_id", "n"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -111,6 +123,13 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, all columns kept."""
-    stay = near_groups(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("stay__")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay__")), "left_semi")
+    """The rows of docs that stay, all columns kept: of each component the row with the smallest doc_id, one without an id only where no
+    row of the component has one. Rows of one doc_id (or none) and one fingerprint cannot be told apart here and stay together.
+    """
+    made = cut(fingerprints(docs, shingle))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")
+    stay = made.join(_rooted(made, radius).select("fp", "root"), "fp").groupBy("root").agg(best)
+    name, stay_id, stay_fp = (fresh(docs, stem) for stem in ("fp", "stay_id", "stay_fp"))
+    stay = stay.select(F.col("best.doc_id").alias(stay_id), F.col("best.fp").alias(stay_fp))
+    same = (F.col(name) == F.col(stay_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id))
+    return with_fingerprints(docs, name, shingle).join(stay, same, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

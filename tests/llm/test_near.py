@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+from rowcheck.llm import near, simhash
 from rowcheck.llm.near import shingled, similar_groups
 
 
@@ -40,3 +41,54 @@ def test_edited_copies_are_near_and_others_are_not(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
     assert kept == {3 * k for k in range(30)} | {3 * k + 2 for k in range(30)} | {1000, 1002}
     assert similar_groups(docs.where("false")).count() == 0
+
+
+def test_rows_without_ids_and_clashing_names(spark):
+    """A row without an id goes where its component has one, also while another such row stays; names of other columns do not matter."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (None, text + " x"), (None, "quite another text of its own"), (None, "quite another text  of its own"), (7, text + " y"), (8, None), (9, "")]
+    odd = "doc_id long, text string, stay_id int, stay_mark string, node long, keys string, fp int, mark int, score long, found_id int"
+    docs = spark.createDataFrame([(i, t, 1, "m", 2, "k", 3, 4, 5, 6) for i, t in rows], odd)
+    for drop in (near.drop_near_copies, simhash.drop_near_copies):
+        left = drop(docs)
+        assert left.schema == docs.schema and drop(docs.where("false")).count() == 0
+    left = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in near.drop_near_copies(docs).collect())
+    assert left == [(0, "quite another text of its own"), (1, text), (8, "")]
+
+
+def test_links_lose_no_pair(spark):
+    """Groups of copies each edited on its own, against all pairs: the components are the same."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for size in (1, 2, 5, 40, 200):
+        text = [word() for _ in range(150)]
+        for _ in range(size):
+            own = list(text)
+            for at in rng.sample(range(5, 145), rng.randint(0, 3)):
+                own[at] = word()
+            rows.append((len(rows), " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in range(len(rows))}
+
+
+def test_fingerprints_are_majorities():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, 50)
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    hashes = rng.integers(0, 2**64, bounds[-1], np.uint64)
+    want = [simhash.majority(hashes[a:b]) if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert near.fingerprints(hashes, bounds).tolist() == want

@@ -3,9 +3,10 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from rowcheck.llm.decontaminate import leaks
+from rowcheck.llm.decontaminate import edits_allowed
 from rowcheck.llm.quality import classify
-from test_dedup import brute_fingerprint
+from test_leaks import distance, folded, truth
+from test_near import shingles
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def test_run_against_plain_steps(spark):
         best[key] = max(best.get(key, i), i)
     rows = {i: rows[i] for i in best.values()}
     ids = sorted(rows)
-    fps, root = {i: brute_fingerprint(rows[i]) for i in ids}, {i: i for i in ids}
+    sets, root = {i: shingles(rows[i]) for i in ids}, {i: i for i in ids}
 
     def find(x):
         while root[x] != x:
@@ -30,11 +31,16 @@ def test_run_against_plain_steps(spark):
 
     for a in ids:
         for b in ids:
-            if b < a and (fps[a] ^ fps[b]).bit_count() <= 2:
+            if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     rows = {i: rows[i] for i in ids if find(i) == i}
-    dirty = {r["doc_id"] for r in leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    # items far from all texts together are far from each: only the others are aligned with every text
+    whole = " ".join(map(folded, rows.values()))
+    near = [i for i in items if distance(folded(i), whole) <= edits_allowed(len(folded(i)))]
+    at = sorted(rows)
+    dirty = {at[t] for t, _ in truth([rows[i] for i in at], near)}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = set()
     for i in set(rows) - dirty:
@@ -45,15 +51,20 @@ def test_run_against_plain_steps(spark):
 
 
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score__ string"
-    rows = [(1, None, None, None, None, "z"), (2, "", "en", None, 0, None), (None, "x y", "en", "s", 3, "z"), (3, "w " * 60_000, "en", "s", 1, "z"), (3, "w " * 60_000, "en", "s", 1, "z")]
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    """Nulls, repeats, long texts, and columns that are called what the stages call their own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, stay_id long, row__ int, node string, fp string, keys int"
+    more = ("z", 4, 5, "n", "f", 6)
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (None, "x y", "en", "s", 3), (3, "w " * 60_000, "en", "s", 1), (3, "w " * 60_000, "en", "s", 1), (None, None, "en", "s", 1)]
     for data in (rows, []):
-        docs = spark.createDataFrame(data, schema).select(columns)
+        docs = first = spark.createDataFrame([(*r, *more) for r in data], schema)
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = stage(spark, docs, SF)
             if k < 4:
-                assert docs.columns == columns
+                assert docs.columns == first.columns and [f.dataType for f in docs.schema] == [f.dataType for f in first.schema]
                 docs.write.parquet(str(tmp_path / f"{len(data)}-{k}"))
                 docs = spark.read.parquet(str(tmp_path / f"{len(data)}-{k}"))
         assert docs.count() <= len(data)
+    kept = corpus_pipeline.exact(spark, spark.createDataFrame([(*r, *more) for r in rows], schema), SF).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in kept) == [(0, "x y"), (2, ""), (3, "w w")] and {r["keys"] for r in kept} == {6}
+    lone = corpus_pipeline.exact(spark, spark.createDataFrame([(*rows[0], *more)], schema), SF).first()
+    assert lone["text"] is None and lone["score"] == "z"
