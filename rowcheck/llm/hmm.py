@@ -33,8 +33,8 @@ from rowcheck.llm.text import U64, buffers, lower, slices, texts_of, word_hashes
 STATES, MOST_WORDS, CLASSES, ROUNDS = 6, 4096, 512, 4
 BLOCKS_PER_PARTITION = 2
 SMOOTH = 0.1
-#: Training cuts token sequences into stretches of this length (scores never do).
-STRETCH = 64
+#: Longer token sequences are trained on in stretches of this length, whose ends are settled exactly first.
+STRETCH = 1024
 _END = U64(0)  # both hashes of the end token; words hash to mixed values
 
 _UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
@@ -205,37 +205,99 @@ def initial(words_: np.ndarray, counts: np.ndarray, class_mass: np.ndarray, clas
     return Model(words_, tokens, distinct, class_mass, np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
+def _active(size: np.ndarray) -> list[int]:
+    """For each place the number of pieces that are longer, of pieces from the longest on."""
+    return [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))] if len(size) else []
+
+
+def _transfers(model: Model, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """piece x state x state: how much of the probability that is in a state before a piece's first symbol leaves its last in another, up to a factor."""
+    states = len(model.start)
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    now = np.zeros((len(begin), states, states))
+    for t, n in enumerate(_active(size)):
+        like = model.emit[symbols[begin[:n] + t]][:, None, :]
+        now[:n] = (np.eye(states) if t == 0 else (now[:n].reshape(-1, states) @ model.move).reshape(n, states, states)) * like
+        if t % 8 == 7:
+            now[:n] /= now[:n].max((1, 2), keepdims=True)
+    out = np.empty_like(now)
+    out[order] = now / now.max((1, 2), keepdims=True)
+    return out
+
+
+@dataclass
+class Pieces:
+    """Sequences in pieces of up to STRETCH tokens; what the rest of its sequence says of a piece is in prior, before and behind."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    opens: np.ndarray  # whether the piece begins its sequence
+    prior: np.ndarray  # of states, before the first symbol
+    before: np.ndarray  # of states at the symbol before the piece
+    behind: np.ndarray  # weight of states at the last symbol by what follows, up to a factor
+
+    def take(self, which: np.ndarray) -> Pieces:
+        return Pieces(*(x[which] for x in (self.begin, self.size, self.opens, self.prior, self.before, self.behind)))
+
+
+def pieces(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> Pieces:
+    """The pieces of all sequences. Ends of pieces are carried on exactly, by one matrix for each piece of a longer sequence."""
+    states, length = len(model.start), np.diff(bounds)
+    many = -(-length // STRETCH)
+    first = np.cumsum(many) - many
+    number = np.arange(many.sum()) - np.repeat(first, many)
+    begin = np.repeat(bounds[:-1], many) + number * STRETCH
+    size = np.minimum(np.repeat(bounds[1:], many) - begin, STRETCH)
+    prior, before, behind = np.tile(model.start, (len(begin), 1)), np.zeros((len(begin), states)), np.ones((len(begin), states))
+    cut_up = np.flatnonzero(np.repeat(many, many) > 1)
+    moves = np.empty((len(begin), states, states))
+    if len(cut_up):
+        moves[cut_up] = _transfers(model, symbols, begin[cut_up], size[cut_up])
+    for k in range(1, int(many.max(initial=0))):
+        now = first[many > k] + k
+        gone = np.einsum("ni,nij->nj", prior[now - 1], moves[now - 1])
+        before[now] = gone / gone.sum(1, keepdims=True)
+        prior[now] = before[now] @ model.move
+    for k in range(int(many.max(initial=0)) - 2, -1, -1):
+        now = first[many > k + 1] + k
+        ahead = np.einsum("nij,nj->ni", moves[now + 1], behind[now + 1]) @ model.move.T
+        behind[now] = ahead / ahead.sum(1, keepdims=True)
+    return Pieces(begin, size, number == 0, prior, before, behind)
+
+
 def expected(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward counts (emit, move, start) of token sequences, cut into stretches."""
+    """Forward-backward counts (emit, move, start) of whole token sequences."""
     states = len(model.start)
-    pieces_begin = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]) if len(bounds) > 1 else np.empty(0, np.int64)
-    stops = np.repeat(bounds[1:], -(-np.diff(bounds) // STRETCH))
-    length = np.minimum(stops - pieces_begin, STRETCH)
-    order = np.argsort(-length, kind="stable")
-    pieces_begin, length = pieces_begin[order], length[order]
+    every = pieces(model, symbols, bounds)
+    every = every.take(np.argsort(-every.size, kind="stable"))
     emit, move, start = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros(states)
-    for lo in range(0, len(length), 8192):
-        begin, size = pieces_begin[lo : lo + 8192], length[lo : lo + 8192]
-        active = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))]  # longer than t
+    for lo in range(0, len(every.size), 8192):
+        part = every.take(np.arange(lo, min(lo + 8192, len(every.size))))
+        active = _active(part.size)  # longer than t
         alphas, likes, syms, scales = [], [], [], []
         for t, n in enumerate(active):
-            sym = symbols[begin[:n] + t]
+            sym = symbols[part.begin[:n] + t]
             like = model.emit[sym]
-            now = like * (model.start if t == 0 else alphas[-1][:n] @ model.move)
+            now = like * (part.prior if t == 0 else alphas[-1][:n] @ model.move)
             scale = now.sum(1, keepdims=True)
             alphas.append(now / scale)
             likes.append(like)
             syms.append(sym)
             scales.append(scale)
-        beta, gammas = np.ones((active[-1], states)), [None] * len(active)
+        beta, gammas = np.empty((0, states)), [None] * len(active)
         for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            if t < len(active) - 1:
+            n, more = active[t], len(beta)
+            ended = part.behind[more:n] / (alphas[t][more:] * part.behind[more:n]).sum(1, keepdims=True)
+            if more:
                 ahead = likes[t + 1] * beta / scales[t + 1]
-                move += model.move * (alphas[t][: active[t + 1]].T @ ahead)
-                beta = np.concatenate((ahead @ model.move.T, np.ones((n - active[t + 1], states))))
+                move += model.move * (alphas[t][:more].T @ ahead)
+                ended = np.concatenate((ahead @ model.move.T, ended))
+            beta = ended
             gammas[t] = alphas[t] * beta
-        start += gammas[0].sum(0)
+        start += gammas[0][part.opens].sum(0)
+        inner = ~part.opens  # the step into a piece from the one before it
+        move += model.move * (part.before[inner].T @ (likes[0] * beta / scales[0])[inner])
         flat, weight = np.concatenate(syms), np.concatenate(gammas)
         for k in range(states):
             emit[:, k] += np.bincount(flat, weight[:, k], len(emit))
@@ -278,7 +340,7 @@ def _expect(held):
         emit, move, start = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.start)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 3 << 20):
                 tokens = Tokens(texts.slice(a, b - a))
                 for total, more in zip((emit, move, start), expected(model, model.symbols(tokens), tokens.bounds), strict=True):
                     total += more

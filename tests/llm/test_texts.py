@@ -255,5 +255,5 @@ def test_urls(spark):
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[4] == ("www.example.com", "/en/1.html", "www.example.com/en/", "allow")
     assert got[5][2:] == ("net/es/", "block") and got[6] == ("x.net", "", None, "allow") and got[7][2:] == (None, "block") and got[8][2:] == (None, "block")
-    assert got[9] == ("u:p@shop.org:80", "/a.html", None, "allow") and got[10][:2] == ("y:", "//z/w") and got[11][2:] == ("com/", "allow") and got[12][2:] == ("com/", "allow") and got[13][3] == "block"
+    assert got[9] == ("u:p@shop.org:80", "/a.html", None, "block") and got[10][:2] == ("y:", "//z/w") and got[11][2:] == ("com/", "allow") and got[12][2:] == ("com/", "allow") and got[13][3] == "block"
     assert judge(pages.where("false"), listed).count() == 0 and {r["verdict"] for r in judge(pages.where("page_id > 6 and page_id < 10"), listed.where("false")).collect()} == {"allow"}
