@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import partitions
+from rowcheck.llm.common import blocks, partitions
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import texts_of
 
@@ -34,7 +34,6 @@ from rowcheck.llm.text import texts_of
 CHUNK_BITS = 10
 SHORTEST = 256
 CACHE_BYTES = 64 << 20
-BLOCKS_PER_PARTITION = 2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -302,6 +301,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str | None = None, wi
     Takes doc_id and text (other columns are not read); returns doc_id, n_tokens, ids_sha256 (ids as little-endian
     unsigned 32-bit integers), decoded_sha256 and, with_ids, the ids: one row per input row, null doc_id included.
     Null and empty texts have no ids. An empty table gives an empty result. The file must be readable at `path` on every executor.
+    A text without a space between visible ASCII characters (Chinese, say) has no safe place, so its chunks are not reused but it is
+    encoded whole.
     """
     if pattern is None:
         import public_tokenizers
@@ -310,8 +311,9 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str | None = None, wi
     n = partitions(docs.sparkSession)
     buckets, kind = -(-n // 2), _tokenizer(path, pattern).kind
     # rows without an id, or many of one id, are spread by their text
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS_PER_PARTITION * n)).cast("int")
-    dealt = texts_only(docs).withColumn("block", place).repartition(n, "block")
+    plain = texts_only(docs)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks(plain))).cast("int")
+    dealt = plain.withColumn("block", place).repartition(n, "block")
     by_block = dealt.groupBy("block")
     assigned = by_block.applyInArrow(_ask(path, pattern, buckets), _UP_SQL).groupBy("bucket").applyInArrow(_assign, _DOWN_SQL)
     encoded = by_block.cogroup(assigned.where("octet_length(own) > 0").groupBy("block")).applyInArrow(_encode_own(path, pattern), _UP_SQL)

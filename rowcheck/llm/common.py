@@ -46,6 +46,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Text of one block of documents: what one call of a helper holds, several times over.
+BLOCK_BYTES = 32 << 20
+BLOCKS_PER_PARTITION = 2
+
+
+def blocks(docs: DataFrame) -> int:
+    """Number of blocks to deal docs (with a column text) into: two a shuffle partition, more where those would be over BLOCK_BYTES."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+    return max(BLOCKS_PER_PARTITION * partitions(docs.sparkSession), -(-int(size) // BLOCK_BYTES))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names differ by more than case)."""
     held = {c.lower() for c in df.columns}

@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import cut, partitions
+from rowcheck.llm.common import blocks, cut, partitions
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import U64, buffers, lower, slices, texts_of, word_hashes, words
 
 STATES, MOST_WORDS, CLASSES, ROUNDS = 6, 4096, 512, 4
-BLOCKS_PER_PARTITION = 2
 SMOOTH = 0.1
 #: Longer token sequences are trained on in stretches of this length, whose ends are settled exactly first.
 STRETCH = 1024
@@ -438,7 +437,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     n = partitions(docs.sparkSession)
     plain = texts_only(docs).fillna("", ["text"])
     # rows without an id are spread by their text
-    block = F.pmod(F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)), F.lit(BLOCKS_PER_PARTITION * n)).cast("int")
+    block = F.pmod(F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)), F.lit(blocks(plain))).cast("int")
     dealt = plain.withColumn("train", training()).withColumn("block", block).repartition(n, "block")
     known = cut(counted(dealt, -(-n // 2)))
     model = train(plain.where(training()), known, rounds)

@@ -95,12 +95,16 @@ def _ranked(order: int, kind: str):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, counts, spans (start, order of kind, end, kind, entity) of every row; text where there are spans, else null."""
+    """row, doc_id, counts, spans (start, order of kind, end, kind, entity) of every row; text where there are spans, else null; clean: SHA-256 of the
+    text where there are none, else null.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = plain.select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     spans = F.concat(*(F.transform(kind, _ranked(n, kind)) for n, kind in enumerate(KINDS)))
-    listed = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), spans.alias("spans"))
-    return listed.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
+    counts = (F.size(k).cast("long").alias(f"n_{k}") for k in KINDS)
+    listed = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *counts, spans.alias("spans"))
+    some = F.size("spans") > 0
+    return listed.withColumn("clean", F.when(~some, F.sha2("text", 256))).withColumn("text", F.when(some, F.col("text")))
 
 
 def _terms(text: Column) -> Column:
@@ -136,11 +140,10 @@ def _occurrences(holding: DataFrame) -> DataFrame:
     return pieces.withColumn("end", ends).where("value is not null").select("row", (F.col("end") - length).alias("start"), "end", F.lower("value").alias("term"))
 
 
-_COLUMNS = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_sha256 (of the sanitised text) for every row.
 
     Takes doc_id and text (other columns are not read). Spans are kind:start:end in code points, end exclusive, by start
     and then kind in the order email, ip, card, phone, term; base_sha256 is of the base spans alone. Null and empty texts have none
@@ -155,7 +158,9 @@ def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFra
     joined = scanned.join(terms, "row", "left")
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
     every = F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))
-    return joined.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(_spelled(base), 256).alias("base_sha256"), _spelled(every).alias("spans"))
+    listed = joined.select("doc_id", "text", "clean", *(f"n_{k}" for k in KINDS), F.sha2(_spelled(base), 256).alias("base_sha256"), _spelled(every).alias("spans"))
+    clean = F.coalesce("clean", F.sha2(masked(F.col("text"), F.col("spans")), 256))
+    return listed.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", clean.alias("clean_sha256"))
 
 
 def masked(text: Column, spans: Column) -> Column:

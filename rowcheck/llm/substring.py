@@ -16,6 +16,7 @@ Keys of longer levels have 128 bits. The first level's have 64: a false match th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -23,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import partitions
+from rowcheck.llm.common import blocks, partitions
 from rowcheck.llm.common import texts as texts_only
 from rowcheck.llm.text import U64, buffers, texts_of, windows, word_hashes, words
 
 #: No level is shorter than this many words.
 SHORTEST = 7
-#: Two blocks a partition and half as many buckets as partitions: blocks times buckets is the most messages a level sends.
-BLOCKS_PER_PARTITION = 2
 _UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("keys", pa.binary())])
 _DOWN = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -210,21 +209,37 @@ def _cut_out(window: int, with_text: bool):
     return cut_out
 
 
+def _untouched(with_text: bool):
+    """Rows that keep all of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [t.split() for t in texts_of(batch.column("text")).cast(pa.large_binary()).to_pylist()]
+            joined = [b" ".join(w) for w in kept]
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(map(len, kept), pa.int64()), "n_removed": pa.array([0] * len(kept), pa.int64())}
+            columns["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string())
+            if with_text:
+                columns["kept_text"] = pa.array([x.decode() for x in joined], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
 def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
     """Remove every word covered by a window of `window` words that also starts in a document of smaller doc_id.
 
     Takes doc_id and text (other columns are not read); returns doc_id, n_words, n_removed, kept_sha256
     (kept words joined by one space) and, with_text, kept_text: one row per input row with a doc_id.
-    A null text has no words. Rows without a doc_id are left out: they have no place in the order.
+    A null text has no words. Rows without a doc_id have no place in the order: they keep all of their words and take none from others.
     Texts shorter than the window lose nothing. Rows that share a doc_id never remove each other's words,
     nor does a document its own repeats. An empty table gives an empty result.
     """
     if window < 2 * SHORTEST - 1:
         raise ValueError(f"a window has {2 * SHORTEST - 1} words or more")
     n = partitions(docs.sparkSession)
-    blocks, buckets = BLOCKS_PER_PARTITION * n, -(-n // 2)
-    dealt = texts_only(docs).where("doc_id is not null")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(n, "block")
+    buckets, plain = -(-n // 2), texts_only(docs)
+    placed = F.pmod(F.xxhash64("doc_id"), F.lit(blocks(plain))).cast("int")
+    dealt = plain.where("doc_id is not null").withColumn("block", placed).repartition(n, "block")
     up, down = "bucket int, block int, level int, keys binary", "block int, level int, bucket int, bits binary"
     last, known = len(levels(window)) - 1, None
     for level in range(last + 1):
@@ -232,4 +247,6 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
         asked = (by_block if known is None else by_block.cogroup(known.groupBy("block"))).applyInArrow(_ask(level, window, buckets), up)
         said = asked.groupBy("bucket").applyInArrow(_answer(last), down)
         known = said if known is None else known.union(said)
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_cut_out(window, with_text), _OUT + (", kept_text string" if with_text else ""))
+    schema = _OUT + (", kept_text string" if with_text else "")
+    cut_out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_cut_out(window, with_text), schema)
+    return cut_out.unionByName(plain.where("doc_id is null").mapInArrow(_untouched(with_text), schema))

@@ -89,8 +89,11 @@ def test_substring_against_plain(spark, window):
     rows = [(k, text(int(rng.integers(0, 90)), 5000)) for k in range(60)]
     rows += [(100 + k, f"{text(20, 999)} {passage}\n{text(9, 999)}") for k in range(5)] + [(200 + k, other.replace(" ", " \t")) for k in range(3)]
     rows += [(300, passage[5:]), (301, passage), (301, passage), (302, ("a b " * 40)), (303, ("a b " * 40)), (304, None), (305, ""), (306, "x " * 20000 + passage), (-7, passage)]
-    got = dedup_substrings(frame(spark, rows), window)
-    assert sorted(tuple(r)[:4] for r in got.collect()) == brute_substring(rows, window)
+    alone = [(None, passage), (None, passage), (None, None), (None, f"{passage}  x")]  # no place in the order: they keep all and take none
+    got = [tuple(r)[:4] for r in dedup_substrings(frame(spark, rows + alone), window).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute_substring(rows, window)
+    want = [(None, len(w), 0, hashlib.sha256(b" ".join(w)).hexdigest()) for w in ((t or "").encode().split() for _, t in alone)]
+    assert sorted(map(str, (r for r in got if r[0] is None))) == sorted(map(str, want))
     assert dedup_substrings(frame(spark, []), window).count() == 0
 
 
