@@ -1,8 +1,7 @@
 """Lines, cells and tables from positioned text.
 
-pieces: doc_id, page, x, y, width, font_size, text. A page is the unit of the two sequential folds (lines are
-anchored on their first piece, blocks on their tightest step); everything else is windows and joins inside
-(doc_id, page).
+pieces: doc_id, page, x, y, width, font_size, text. A page is the unit of the folds (lines are anchored on their first piece,
+cells on the gap before, blocks on their tightest step), done in one pass; everything else is windows and joins inside (doc_id, page).
 """
 
 from __future__ import annotations
@@ -64,35 +63,21 @@ def _lines(pages: pd.DataFrame) -> pd.DataFrame:
     return pages.assign(line=line, baseline=y[first]).drop(columns="part")
 
 
-def _by_page(df: DataFrame):
-    """Whole pages dealt to parts, several times as many as there are partitions: one call of a helper folds many small pages."""
-    parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts))).groupBy("part")
-
-
-_TYPES = {"doc_id": "string", "page": "int", "x": "double", "y": "double", "width": "double", "font_size": "double", "text": "string"}
-_LINE = ", ".join(f"{n} {t}" for n, t in _TYPES.items()) + ", line int, baseline double"
-
-
-def assign_lines(pieces: DataFrame) -> DataFrame:
-    """G1: line and baseline of every piece that is not blank."""
-    solid = pieces.where(strip(F.col("text")) != "").select(*(F.col(c).cast(t).alias(c) for c, t in _TYPES.items()))
-    return _by_page(solid).applyInPandas(_lines, _LINE)
-
-
-def split_cells(lines: DataFrame) -> DataFrame:
-    """Cells of each line with their span: a wide gap after the piece before starts a new one."""
-    w = W.partitionBy(*_KEY, "line").orderBy("x", "text")
-    gap = F.col("x") - (F.lag("x").over(w) + F.lag("width").over(w))
-    opens = F.when(gap > CELL_GAP * F.greatest(F.lag("font_size").over(w), F.lit(CELL_FONT)), 1).otherwise(0)
-    so_far = F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))
-    numbered = lines.withColumn("opens", opens).withColumn("cell", so_far)
-    ordered = F.array_sort(F.collect_list(F.struct("x", "text", "width")))
-    out = numbered.groupBy(*_KEY, "line", "cell").agg(F.first("baseline").alias("baseline"), ordered.alias("p"))
-    words = F.array_join(F.transform("p", lambda p: strip(p["text"])), " ")
-    last = F.element_at("p", -1)
-    span = (F.col("p")[0]["x"].alias("left"), (last["x"] + last["width"]).alias("right"))
-    return out.select(*_KEY, "line", "cell", "baseline", *span, words.alias("text"))
+def _cells(pieces: pd.DataFrame) -> pd.DataFrame:
+    """One row a cell of pieces with line and baseline: a wide gap after the piece before starts a new one."""
+    pieces = pieces.sort_values([*_KEY, "line", "x", "text"], kind="stable").reset_index(drop=True)
+    new_line = _runs(pieces["doc_id"], pieces["page"], pieces["line"])
+    x, end, font = pieces["x"].to_numpy(), (pieces["x"] + pieces["width"]).to_numpy(), pieces["font_size"].to_numpy()
+    opens = new_line.copy()
+    opens[1:] |= x[1:] - end[:-1] > CELL_GAP * np.maximum(font[:-1], CELL_FONT)
+    first = np.flatnonzero(opens)
+    stop = np.append(first[1:], len(pieces))
+    words = [t.strip() for t in pieces["text"]]
+    out = pieces.loc[first, [*_KEY, "line", "baseline"]].reset_index(drop=True)
+    number = np.cumsum(opens) - 1
+    in_line = number - np.repeat(number[new_line], np.diff(np.append(np.flatnonzero(new_line), len(pieces))))
+    texts = [" ".join(words[i:j]) for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+    return out.assign(cell=in_line[first].astype(np.int32), left=x[first], right=end[stop - 1], text=texts)
 
 
 def _blocks(pages: pd.DataFrame) -> pd.DataFrame:
@@ -125,10 +110,28 @@ def _blocks(pages: pd.DataFrame) -> pd.DataFrame:
     return pages.assign(block=np.where(table, number - before, -1).astype(np.int32))[[*_KEY, "line", "block"]]
 
 
-def table_blocks(cells: DataFrame) -> DataFrame:
-    """Block number of each line, -1 outside tables."""
-    lines = cells.groupBy(*_KEY, "line").agg(F.first("baseline").alias("baseline"), F.count("*").alias("n_cells"))
-    return _by_page(lines).applyInPandas(_blocks, "doc_id string, page int, line int, block int")
+def _page_cells(pages: pd.DataFrame) -> pd.DataFrame:
+    cells = _cells(_lines(pages))
+    heads = cells["cell"] == 0
+    lines = cells.loc[heads, [*_KEY, "line", "baseline"]].reset_index(drop=True)
+    many = np.diff(np.append(np.flatnonzero(heads), len(cells)))
+    blocks = _blocks(lines.assign(n_cells=many))["block"].to_numpy()
+    return cells.assign(block=np.repeat(blocks, many))
+
+
+_TYPES = {"doc_id": "string", "page": "int", "x": "double", "y": "double", "width": "double", "font_size": "double", "text": "string"}
+_CELL = "doc_id string, page int, line int, baseline double, cell int, left double, right double, text string, block int"
+
+
+def page_cells(pieces: DataFrame) -> DataFrame:
+    """The cells of every line (left, right, text) with the line's baseline and block, -1 outside tables; blank pieces go.
+
+    Whole pages are dealt to parts, several times as many as there are partitions: one call of a helper folds many small pages.
+    """
+    parts = 8 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solid = pieces.where(strip(F.col("text")) != "").select(*(F.col(c).cast(t).alias(c) for c, t in _TYPES.items()))
+    dealt = solid.withColumn("part", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts)))
+    return dealt.groupBy("part").applyInPandas(_page_cells, _CELL)
 
 
 def column_spans(blocked: DataFrame) -> DataFrame:
@@ -164,8 +167,7 @@ def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
 
 def layout_text(pieces: DataFrame) -> DataFrame:
     """doc_id, text: cells joined by ` | `, inner empty columns kept; pages parted by a blank line."""
-    cells = split_cells(assign_lines(pieces))
-    blocked = cells.join(table_blocks(cells), [*_KEY, "line"])
+    blocked = page_cells(pieces)
     placed = place_cells(blocked, column_spans(blocked))
     full = blocked.join(placed, [*_KEY, "block", "line", "cell"], "left")
     in_order = F.array_sort(F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))).alias("c")

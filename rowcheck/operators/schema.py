@@ -51,7 +51,7 @@ def column_specs(attributes: DataFrame, types: DataFrame, enums: DataFrame, defa
     types: oid, typname; enums: enumtypid, enumsortorder, enumlabel; defaults: adrelid, adnum, expr.
     """
     labels = enums.groupBy(F.col("enumtypid").alias("oid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("enumsortorder", "enumlabel"))), lambda x: x["enumlabel"]).alias("enum_labels"))
-    live = attributes.where("attnum > 0 and not attisdropped").join(F.broadcast(types), F.col("atttypid") == types["oid"]).drop(types["oid"])
+    live = attributes.where("attnum > 0 and not attisdropped").join(types, F.col("atttypid") == types["oid"]).drop(types["oid"])
     live = live.join(labels, live["atttypid"] == labels["oid"], "left").drop(labels["oid"])
     full = live.join(defaults, (live["attrelid"] == defaults["adrelid"]) & (live["attnum"] == defaults["adnum"]), "left")
     sized, kind = F.col("atttypmod") >= 4, F.col("typname")

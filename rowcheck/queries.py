@@ -769,8 +769,9 @@ def k01_pending(spark, sf_dir):
     approaches = S.table(spark, sf_dir, "region").select(F.col("r_name").alias("approach"))
     k = F.col("page_id")
     cases = S.table(spark, sf_dir, "pages").select(k.alias("case"), F.when(k % 3 == 0, "tabular").otherwise("invoice").alias("kind"), (k % 100).alias("n_rows"))
-    first = models.agg(F.min("model").alias("model"))
-    done = cases.where("case % 2 = 0").crossJoin(F.broadcast(first)).crossJoin(F.broadcast(approaches)).select("model", "approach", "case")
+    first = models.agg(F.min("model")).first()[0]
+    names = F.array(*(F.lit(r[0]) for r in approaches.collect()))  # the regions
+    done = cases.where("case % 2 = 0").select(F.lit(first).alias("model"), F.explode(names).alias("approach"), "case")
     return runs.pending(models, approaches, cases, done, 50, "ASIA")
 
 
