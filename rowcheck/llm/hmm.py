@@ -333,20 +333,41 @@ def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
 _COUNTS = "symbol int, " + ", ".join(f"s{k} double" for k in range(STATES))
 
 
-def _expect(held):
+def _sequences(held):
+    """The symbols of each text, two bytes each (there are fewer than 2^16)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
-        emit, move, start = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.start)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in slices(texts, 3 << 20):
+            for a, b in slices(texts):
                 tokens = Tokens(texts.slice(a, b - a))
-                for total, more in zip((emit, move, start), expected(model, model.symbols(tokens), tokens.bounds), strict=True):
+                flat, ends = model.symbols(tokens).astype("<u2"), (2 * tokens.bounds).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), tokens.texts, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([column], names=["symbols"])
+
+    return run
+
+
+#: Symbols worked on at once, in bytes.
+_SEQUENCE_BYTES = 1 << 20
+
+
+def _expect(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = held.value
+        emit, move, start = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.start)
+        for batch in batches:
+            held_symbols = batch.column("symbols").cast(pa.large_binary())
+            for a, b in slices(held_symbols, _SEQUENCE_BYTES):
+                data, ends = buffers(held_symbols.slice(a, b - a))
+                for total, more in zip((emit, move, start), expected(model, data.view("<u2").astype(np.int64), ends // 2), strict=True):
                     total += more
         used = np.flatnonzero(emit.sum(1) > 0)
         names = np.concatenate((used, -1 - np.arange(len(move)), [-1 - len(move)]))
         values = np.concatenate((emit[used], move, start[None]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(values.shape[1]))], names=["symbol", *(f"s{k}" for k in range(values.shape[1]))])
+        columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(values.shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], names=["symbol", *(f"s{k}" for k in range(len(columns)))])
 
     return run
 
@@ -387,9 +408,12 @@ def train(docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
     order = np.argsort(hashes)
     # each class also holds one unseen word of count zero
     model = initial(hashes[order], counts[order], rare + SMOOTH * (rare_kinds + 1), rare, ends, tokens, distinct)
+    # texts become symbols once, a third of their size; the rounds read those
+    named = spark.sparkContext.broadcast(model)
+    sequences = cut(docs.select("text").mapInArrow(_sequences(named), "symbols binary"))
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        found = docs.select("text").mapInArrow(_expect(held), _COUNTS).groupBy("symbol").agg(*(F.sum(f"s{k}") for k in range(STATES)))
+        found = sequences.mapInArrow(_expect(held), _COUNTS).groupBy("symbol").agg(*(F.sum(f"s{k}") for k in range(STATES)))
         model = _improved(model, found.collect())  # MOST_WORDS + CLASSES + STATES + 2 rows at most
         held.unpersist()
     return model
