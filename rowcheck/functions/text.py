@@ -11,12 +11,36 @@ TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 CURRENCY = "€$£¥₹₽₩"
 MONTHS = {
-    "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6, "jun": 6, "july": 7, "jul": 7,
-    "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9, "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
-}
+    "january": 1,
+    "jan": 1,
+    "february": 2,
+    "feb": 2,
+    "march": 3,
+    "mar": 3,
+    "april": 4,
+    "apr": 4,
+    "may": 5,
+    "june": 6,
+    "jun": 6,
+    "july": 7,
+    "jul": 7,
+    "august": 8,
+    "aug": 8,
+    "september": 9,
+    "sep": 9,
+    "sept": 9,
+    "october": 10,
+    "oct": 10,
+    "november": 11,
+    "nov": 11,
+    "december": 12,
+    "dec": 12,
+}
 
 # White space as documents hold it: ASCII, its separators, no-break and typographic spaces.
-_SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACES = [
+    *range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000
+]
 WHITE = "".join(map(chr, _SPACES))
 _WHITE = "[" + "".join(rf"\u{n:04x}" for n in _SPACES) + "]"
 _LONGEST_WORD = max(map(len, NULL_WORDS))
@@ -142,12 +166,9 @@ def normalise_number(body: Column, scale: int | None = None, convention: Column
     else:
         settled = F.lit(None).cast("string")
     return (
-        F.when(~body.contains(".") & ~body.contains(","), body)
-        .when(body.rlike(_POINT_SURE), pointed)
-        .when((dots > 0) & (commas > 0), F.when(_last_is_dot(body), no_commas).otherwise(F.translate(no_dots, ",", ".")))
-        .when(dots + commas > 1, bare)
-        .when(~unclear, pointed)
-        .otherwise(settled)
+        F.when(~body.contains(".") & ~body.contains(","), body).when(body.rlike(_POINT_SURE), pointed).when(
+            (dots > 0) & (commas > 0), F.when(_last_is_dot(body), no_commas).otherwise(F.translate(no_dots, ",", "."))
+        ).when(dots + commas > 1, bare).when(~unclear, pointed).otherwise(settled)
     )
 
 
@@ -180,7 +201,9 @@ def trimmed(c: Column) -> Column:
 
 def to_integer(number: Column, kind: str) -> Column:
     """Digits only; out of range is NULL."""
-    return F.when(number.rlike(r"^-?[0-9]+$"), number.try_cast({"int2": "smallint", "int4": "int", "int8": "bigint"}[kind]))
+    return F.when(
+        number.rlike(r"^-?[0-9]+$"), number.try_cast({"int2": "smallint", "int4": "int", "int8": "bigint"}[kind])
+    )
 
 
 def to_float(number: Column, kind: str) -> Column:
@@ -270,7 +293,9 @@ def to_time_strict(c: Column) -> Column:
     whole = rf"^T?({_CLOCK})({_OFFSET})?\z"
     clock, offset = (F.regexp_extract(text, whole, k) for k in (1, 2))
     made = F.concat(_clock(clock), _offset(offset))
-    sound = made.rlike(r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{6})?(?:[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])?\z")
+    sound = made.rlike(
+        r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{6})?(?:[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])?\z"
+    )
     return F.when(text.rlike(whole), F.when(sound, made))
 
 
@@ -283,7 +308,9 @@ def to_json_container(c: Column) -> Column:
 def to_uuid(c: Column) -> Column:
     """Lower case with hyphens."""
     digits = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"^urn:uuid:|[{}]", ""), "-", "")
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    return F.when(
+        digits.rlike("^[0-9a-f]{32}$"), F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    )
 
 
 def to_enum(c: Column, labels: tuple[str, ...]) -> Column:
@@ -333,4 +360,6 @@ def render_number(c: Column, digits: int, locale: str) -> Column:
 
 def render_date(c: Column, locale: str) -> Column:
     """L4: ISO for `plain`, `1 March 2026` for `point` and `space`, `March 1, 2026` for `comma`."""
-    return F.date_format(c, {"plain": "yyyy-MM-dd", "comma": "MMMM d, yyyy", "point": "d MMMM yyyy", "space": "d MMM yyyy"}[locale])
+    return F.date_format(
+        c, {"plain": "yyyy-MM-dd", "comma": "MMMM d, yyyy", "point": "d MMMM yyyy", "space": "d MMM yyyy"}[locale]
+    )

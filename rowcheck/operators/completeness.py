@@ -26,7 +26,13 @@ def find_empty(texts: DataFrame, rows: DataFrame) -> DataFrame:
     long_enough = texts.where(size >= ENOUGH_TEXT).select("doc_id", size.alias("n"))
     said = F.concat(F.lit("no rows came from "), F.col("n").cast("string"), F.lit(" characters of text"))
     none = F.lit(None).cast("string")
-    found = (F.lit(-1).alias("row_idx"), none.alias("column"), F.lit("empty").alias("rule"), said.alias("detail"), none.alias("value"))
+    found = (
+        F.lit(-1).alias("row_idx"),
+        none.alias("column"),
+        F.lit("empty").alias("rule"),
+        said.alias("detail"),
+        none.alias("value"),
+    )
     return long_enough.join(rows.select("doc_id"), "doc_id", "left_anti").select("doc_id", *found)
 
 
@@ -42,12 +48,23 @@ def discover_key(rows: DataFrame, spec: TableSpec) -> DataFrame:
     """
     names = _key_columns(spec)
     if not names:
-        return rows.select("doc_id").where("false").selectExpr("doc_id", "'' as column", "'' as prefix", "0 as digits", "0L as n_rows")
-    cells = rows.select("doc_id", F.posexplode(F.array(*(F.col(f"`{n}`").cast("string") for n in names))).alias("k", "value"))
+        return rows.select("doc_id").where("false").selectExpr(
+            "doc_id", "'' as column", "'' as prefix", "0 as digits", "0L as n_rows"
+        )
+    cells = rows.select(
+        "doc_id", F.posexplode(F.array(*(F.col(f"`{n}`").cast("string") for n in names))).alias("k", "value")
+    )
     counted = cells.groupBy("doc_id", "k", "value").agg(F.count("*").alias("n"))
     part = lambda k: F.regexp_extract("value", KEY_SHAPE, k)
     shaped = F.coalesce(F.col("value").rlike(KEY_SHAPE), F.lit(False))
-    keyed = counted.select("doc_id", "k", "n", shaped.alias("shaped"), F.when(shaped, part(1)).alias("prefix"), F.when(shaped, F.length(part(2))).alias("digits"))
+    keyed = counted.select(
+        "doc_id",
+        "k",
+        "n",
+        shaped.alias("shaped"),
+        F.when(shaped, part(1)).alias("prefix"),
+        F.when(shaped, F.length(part(2))).alias("digits"),
+    )
     sums = keyed.groupBy("doc_id", "k").agg(
         F.sum("n").alias("n_rows"),
         F.count_if("shaped").alias("keys"),
@@ -57,7 +74,9 @@ def discover_key(rows: DataFrame, spec: TableSpec) -> DataFrame:
     named = [k for k, n in enumerate(names) if re.search(KEY_NAME, n.lower())]
     enough = (F.col("n_rows") > 1) | F.col("k").isin(named)
     keys = sums.where((F.col("keys") == F.col("n_rows")) & one_shape & enough)
-    first = F.min(F.struct("k", F.col("low_prefix").alias("prefix"), F.col("low_digits").alias("digits"), "n_rows")).alias("first")
+    first = F.min(
+        F.struct("k", F.col("low_prefix").alias("prefix"), F.col("low_digits").alias("digits"), "n_rows")
+    ).alias("first")
     column = F.element_at(F.array(*map(F.lit, names)), F.col("first.k") + 1).alias("column")
     return keys.groupBy("doc_id").agg(first).select("doc_id", column, "first.prefix", "first.digits", "first.n_rows")
 
@@ -66,7 +85,10 @@ def mentioned(texts: DataFrame) -> DataFrame:
     """doc_id, identifier, prefix, digits: every distinct identifier of key shape in the text; no letter or digit stands
     before it and no digit behind it.
     """
-    found = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)))).alias("identifier"))
+    found = texts.select(
+        "doc_id",
+        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)))).alias("identifier"),
+    )
     part = lambda k: F.regexp_extract("identifier", KEY_SHAPE, k)
     return found.distinct().select("doc_id", "identifier", part(1).alias("prefix"), F.length(part(2)).alias("digits"))
 
@@ -78,17 +100,35 @@ def find_incomplete(texts: DataFrame, rows: DataFrame, spec: TableSpec) -> DataF
     keys = discover_key(rows, spec)
     named = mentioned(texts).join(keys, ["doc_id", "prefix", "digits"])
     value = F.coalesce(*(F.when(F.col("column") == n, F.col(f"`{n}`").cast("string")) for n in _key_columns(spec)))
-    returned = rows.join(keys.select("doc_id", "column"), "doc_id").select("doc_id", value.alias("identifier"), F.lit(True).alias("returned"))
+    returned = rows.join(keys.select("doc_id", "column"), "doc_id").select(
+        "doc_id", value.alias("identifier"), F.lit(True).alias("returned")
+    )
     both = named.join(returned, ["doc_id", "identifier"], "left")
     missing = F.col("returned").isNull()
-    counted = both.groupBy("doc_id", "column", "n_rows").agg(F.count("*").alias("n_mentioned"), F.count_if(missing).alias("n_missing"))
+    counted = both.groupBy("doc_id", "column", "n_rows").agg(
+        F.count("*").alias("n_mentioned"), F.count_if(missing).alias("n_missing")
+    )
     short = counted.where((F.col("n_missing") > 0) & ((F.col("n_rows") > 1) | (F.col("n_missing") >= 2)))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("identifier"))
     first = both.where(missing).select("doc_id", "identifier").withColumn("rank", rank).where(F.col("rank") <= SHOWN)
     shown = first.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("identifier")), ", ").alias("shown"))
     text = lambda c: F.col(c).cast("string")
     more = F.when(F.col("n_missing") > SHOWN, ", ...").otherwise("")
-    said = F.concat(F.lit("the document names "), text("n_mentioned"), F.lit(" and "), text("n_rows"), F.lit(" came back; missing: "), "shown", more)
+    said = F.concat(
+        F.lit("the document names "),
+        text("n_mentioned"),
+        F.lit(" and "),
+        text("n_rows"),
+        F.lit(" came back; missing: "),
+        "shown",
+        more,
+    )
     none = F.lit(None).cast("string")
-    found = (F.lit(-1).alias("row_idx"), "column", F.lit("incomplete").alias("rule"), said.alias("detail"), none.alias("value"))
+    found = (
+        F.lit(-1).alias("row_idx"),
+        "column",
+        F.lit("incomplete").alias("rule"),
+        said.alias("detail"),
+        none.alias("value"),
+    )
     return short.join(shown, "doc_id").select("doc_id", *found)

@@ -29,7 +29,9 @@ LACKING, UNCLEAR, WRONG_TYPE, NO_LABEL = 1, 2, 3, 4
 def finding(column: str, rule: str, detail: Column | str, value: Column | None = None) -> Column:
     text = F.lit(detail) if isinstance(detail, str) else detail
     shown = F.lit(None).cast("string") if value is None else value.cast("string")
-    return F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule"), text.alias("detail"), shown.alias("value"))
+    return F.struct(
+        F.lit(column).alias("column"), F.lit(rule).alias("rule"), text.alias("detail"), shown.alias("value")
+    )
 
 
 def _held(c: Column) -> Column:
@@ -46,7 +48,9 @@ def number_conventions(staged: DataFrame, spec: TableSpec, columns: Sequence[Fie
     point, 2 for a comma), which combines before the shuffle, so one giant file is no hot key.
     """
     texts = dict(staged.dtypes)
-    numbers = [c for c in (spec.extractable if columns is None else columns) if c.is_number and texts.get(c.name) == "string"]
+    numbers = [
+        c for c in (spec.extractable if columns is None else columns) if c.is_number and texts.get(c.name) == "string"
+    ]
     if not numbers:
         return staged.select("doc_id").distinct()
     cell = lambda c: F.col(f"`{c.name}`")
@@ -100,7 +104,13 @@ def _scalar(c: Field, text: Column, number: Column | None) -> Column:
         return X.to_float(number, c.kind)
     if c.kind in JSONS:
         return X.to_json_container(text)
-    simple = {"bool": X.to_boolean, "date": X.to_date_strict, "uuid": X.to_uuid, "time": X.to_time_strict, "timetz": X.to_time_strict}
+    simple = {
+        "bool": X.to_boolean,
+        "date": X.to_date_strict,
+        "uuid": X.to_uuid,
+        "time": X.to_time_strict,
+        "timetz": X.to_time_strict,
+    }
     if c.kind in simple:
         return simple[c.kind](text)
     if c.kind in ("timestamp", "timestamptz"):
@@ -114,7 +124,9 @@ def _step(step: str):
     return lambda c: F.col(f"`{step}__{c.name}`")
 
 
-_raw, _core, _text, _body, _plain, _value, _code, _point = map(_step, ("raw", "core", "text", "body", "plain", "value", "code", "point"))
+_raw, _core, _text, _body, _plain, _value, _code, _point = map(
+    _step, ("raw", "core", "text", "body", "plain", "value", "code", "point")
+)
 
 
 def _number(c: Field) -> Column:
@@ -132,21 +144,35 @@ def _code_of(c: Field) -> Column:
     code = F.when(_raw(c).isNull(), absent)
     if c.is_text and c.element is None:
         return code.otherwise(0)
-    wrong = F.coalesce(F.exists(_value(c), lambda x: x.isNull()), F.lit(True)) if c.element is not None else _value(c).isNull()
+    wrong = F.coalesce(
+        F.exists(_value(c), lambda x: x.isNull()), F.lit(True)
+    ) if c.element is not None else _value(c).isNull()
     if c.is_number:
         code = code.when(_plain(c).isNull(), UNCLEAR)
     return code.when(wrong, NO_LABEL if c.labels else WRONG_TYPE).otherwise(0)
 
 
 def _cell_finding(c: Field) -> Column:
-    said = F.when(_code(c) == LACKING, finding(c.name, "not_null", f"column {c.name!r} must have a value and the document gave none"))
+    said = F.when(
+        _code(c) == LACKING,
+        finding(c.name, "not_null", f"column {c.name!r} must have a value and the document gave none"),
+    )
     unclear = f" could be grouped or decimal in {c.name!r}: neither a scale nor another value of the column settles it"
-    said = said.when(_code(c) == UNCLEAR, finding(c.name, "ambiguous_number", F.concat(_raw(c), F.lit(unclear)), _raw(c)))
-    said = said.when(_code(c) == NO_LABEL, finding(c.name, "enum", F.concat(_raw(c), F.lit(f" is not one of {', '.join(c.labels)}")), _raw(c)))
-    return said.when(_code(c) == WRONG_TYPE, finding(c.name, "type", F.concat(_raw(c), F.lit(f" is not a valid {c.kind}")), _raw(c)))
+    said = said.when(
+        _code(c) == UNCLEAR, finding(c.name, "ambiguous_number", F.concat(_raw(c), F.lit(unclear)), _raw(c))
+    )
+    said = said.when(
+        _code(c) == NO_LABEL,
+        finding(c.name, "enum", F.concat(_raw(c), F.lit(f" is not one of {', '.join(c.labels)}")), _raw(c)),
+    )
+    return said.when(
+        _code(c) == WRONG_TYPE, finding(c.name, "type", F.concat(_raw(c), F.lit(f" is not a valid {c.kind}")), _raw(c))
+    )
 
 
-def _cells(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None, infer: bool, keep: Mapping[str, Column]) -> DataFrame:
+def _cells(
+    staged: DataFrame, spec: TableSpec, conventions: DataFrame | None, infer: bool, keep: Mapping[str, Column]
+) -> DataFrame:
     """doc_id, row_idx, keep and the steps of every extractable column: raw, text, plain, value, code."""
     columns = spec.extractable
     numbers = [c for c in columns if c.is_number]
@@ -166,7 +192,9 @@ def _cells(staged: DataFrame, spec: TableSpec, conventions: DataFrame | None, in
         cells = cells.withColumns({f"core__{c.name}": X.number_core(_raw(c)) for c in numbers})
         cells = cells.withColumns({f"text__{c.name}": X.number_signed(_core(c)) for c in numbers})
         cells = cells.withColumns({f"body__{c.name}": X.number_body(_text(c)) for c in numbers})
-        cells = cells.withColumns({f"plain__{c.name}": X.normalise_number(_body(c), c.scale, point(c)) for c in numbers})
+        cells = cells.withColumns(
+            {f"plain__{c.name}": X.normalise_number(_body(c), c.scale, point(c)) for c in numbers}
+        )
     number = lambda c: _number(c) if c.is_number else None
     cells = cells.withColumns({f"value__{c.name}": _converted(c, _raw(c), number(c)) for c in columns})
     return cells.withColumns({f"code__{c.name}": _code_of(c) for c in columns})
@@ -182,9 +210,13 @@ def _listed(cases: Sequence[tuple[Column, Column]]) -> Column:
     return _held(F.when(some, found).otherwise(none))
 
 
-def _outcome(cells: DataFrame, spec: TableSpec, kept: Sequence[str], cases: Sequence[tuple[Column, Column]], codes: bool) -> DataFrame:
+def _outcome(
+    cells: DataFrame, spec: TableSpec, kept: Sequence[str], cases: Sequence[tuple[Column, Column]], codes: bool
+) -> DataFrame:
     columns = spec.extractable
-    whole = lambda c: F.when(~F.exists(_value(c), lambda x: x.isNull()), _value(c)) if c.element is not None else _value(c)
+    whole = lambda c: F.when(
+        ~F.exists(_value(c), lambda x: x.isNull()), _value(c)
+    ) if c.element is not None else _value(c)
     exact = [_spelled(c).alias(c.name) for c in columns if c.is_exact]
     return cells.select(
         "doc_id",
@@ -199,7 +231,12 @@ def _outcome(cells: DataFrame, spec: TableSpec, kept: Sequence[str], cases: Sequ
 
 
 def coerce(
-    staged: DataFrame, spec: TableSpec, conventions: DataFrame | None = None, infer: bool = True, codes: bool = False, keep: Mapping[str, Column] | None = None
+    staged: DataFrame,
+    spec: TableSpec,
+    conventions: DataFrame | None = None,
+    infer: bool = True,
+    codes: bool = False,
+    keep: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Typed columns, `raw` (staged texts, NULL words gone), `spelled` (exact numbers as written) and `findings`, at most one per cell.
 
@@ -258,7 +295,9 @@ def check_arithmetic(rule: Arithmetic, spec: TableSpec) -> tuple[Column, Column]
     if not all(c.is_exact for c in (*members, target)):
         return None
     broken, shown = _OPERATIONS[rule.operation](rule, members, target)
-    said = F.concat(F.lit(f"{', '.join(rule.members)} come to "), X.trimmed(shown), F.lit(", the document says "), _spelled(target))
+    said = F.concat(
+        F.lit(f"{', '.join(rule.members)} come to "), X.trimmed(shown), F.lit(", the document says "), _spelled(target)
+    )
     return _sound(*members, target) & broken, finding(target.name, "arithmetic", said, _spelled(target))
 
 
@@ -269,7 +308,9 @@ def check_reject(rule: ValueRule, c: Field) -> tuple[Column, Column]:
 
 
 def _rejected(c: Field) -> Column:
-    return finding(c.name, "rejected_value", F.concat(_spelled(c), F.lit(f" can never be right for {c.name!r}")), _spelled(c))
+    return finding(
+        c.name, "rejected_value", F.concat(_spelled(c), F.lit(f" can never be right for {c.name!r}")), _spelled(c)
+    )
 
 
 def check_pattern(rule: ValueRule, c: Field) -> tuple[Column, Column]:
@@ -280,7 +321,9 @@ def check_pattern(rule: ValueRule, c: Field) -> tuple[Column, Column]:
 
 def check_require(rule: ValueRule, c: Field) -> tuple[Column, Column]:
     """E7."""
-    return _value(c).isNull() & (_code(c) == 0), finding(c.name, "required", f"column {c.name!r} is expected and the document gave no value")
+    return _value(c).isNull() & (_code(c) == 0), finding(
+        c.name, "required", f"column {c.name!r} is expected and the document gave no value"
+    )
 
 
 def check_range(rule: ValueRule, c: Field) -> tuple[Column, Column] | None:
@@ -296,7 +339,9 @@ def check_range(rule: ValueRule, c: Field) -> tuple[Column, Column] | None:
 _TESTS = {"reject": check_reject, "pattern": check_pattern, "require": check_require, "range": check_range}
 
 
-def _rule_cases(cells: DataFrame, spec: TableSpec, rules: Sequence[Rule]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+def _rule_cases(
+    cells: DataFrame, spec: TableSpec, rules: Sequence[Rule]
+) -> tuple[DataFrame, list[tuple[Column, Column]]]:
     """(cells with what long lists match, cases): length, then arithmetic, then value rules, on cells that coercion let through."""
     columns = {c.name: c for c in spec.extractable}
     used = [r for r in rules if columns.keys() >= set(r.columns)]
@@ -308,14 +353,22 @@ def _rule_cases(cells: DataFrame, spec: TableSpec, rules: Sequence[Rule]) -> tup
             bad = sorted({"".join(v.split()).lower() for v in rule.values})
             listed = cells.sparkSession.createDataFrame([(v,) for v in bad], f"bad{k}__ string")
             listed = F.broadcast(listed) if sum(map(len, bad)) <= BROADCAST_BYTES else listed
-            cells = cells.withColumn(f"key{k}__", X.folded(_spelled(c))).join(listed, F.col(f"key{k}__") == F.col(f"bad{k}__"), "left")
+            cells = cells.withColumn(f"key{k}__", X.folded(_spelled(c))).join(
+                listed, F.col(f"key{k}__") == F.col(f"bad{k}__"), "left"
+            )
             cases.append((F.col(f"bad{k}__").isNotNull() & _sound(c), _rejected(c)))
         else:
             cases.append(_TESTS[rule.test](rule, c))
     return cells, [case for case in cases if case is not None]
 
 
-def gate(staged: DataFrame, spec: TableSpec, rules: Sequence[Rule] = (), conventions: DataFrame | None = None, infer: bool = True) -> DataFrame:
+def gate(
+    staged: DataFrame,
+    spec: TableSpec,
+    rules: Sequence[Rule] = (),
+    conventions: DataFrame | None = None,
+    infer: bool = True,
+) -> DataFrame:
     """Every staged row, typed, with all its findings."""
     cells, cases = _rule_cases(_cells(staged, spec, conventions, infer, {}), spec, rules)
     hits = {f"hit{k}__": hit for k, (hit, _) in enumerate(cases)}
@@ -325,7 +378,9 @@ def gate(staged: DataFrame, spec: TableSpec, rules: Sequence[Rule] = (), convent
 
 def findings(gated: DataFrame) -> DataFrame:
     """One row per finding; sort by (doc_id, row_idx, column, position) to show them."""
-    found = gated.where(F.size("findings") > 0).select("doc_id", "row_idx", F.posexplode("findings").alias("position", "f"))
+    found = gated.where(F.size("findings") > 0).select(
+        "doc_id", "row_idx", F.posexplode("findings").alias("position", "f")
+    )
     return found.select("doc_id", "row_idx", "position", "f.*")
 
 
@@ -344,7 +399,9 @@ def check_summary(gated: DataFrame) -> DataFrame:
     """Per document rows, failures and the sorted distinct rule names, in one aggregate."""
     names = F.array_distinct(F.transform("findings", lambda f: f["rule"]))
     rules = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.size("findings") > 0, names)))))
-    return gated.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.size("findings")).alias("failures"), rules.alias("rules"))
+    return gated.groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.sum(F.size("findings")).alias("failures"), rules.alias("rules")
+    )
 
 
 def flagged_cells(found: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ def compose(text: Column, instructions: Column | None = None) -> Column:
     document = block("document", F.coalesce(text, F.lit("")))
     if instructions is None:
         return document
-    return F.when(strip(F.coalesce(instructions, F.lit(""))) != "", F.concat(block("instructions", instructions), F.lit("\n\n"), document)).otherwise(document)
+    return F.when(
+        strip(F.coalesce(instructions, F.lit(""))) != "",
+        F.concat(block("instructions", instructions), F.lit("\n\n"), document),
+    ).otherwise(document)
 
 
 _ROWS = "array<map<string,string>>"
@@ -45,7 +48,9 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     inner = F.get(F.filter(members, lambda x: F.schema_of_variant(x).startswith("ARRAY")), F.lit(0))
     lone = F.array("v")
     objects = lambda x: F.try_variant_get(x, "$", "array<variant>")
-    listed = F.when(kind.startswith("ARRAY"), objects(F.col("v"))).when(kind.startswith("OBJECT"), F.coalesce(objects(inner), lone))
+    listed = F.when(kind.startswith("ARRAY"), objects(F.col("v"))).when(
+        kind.startswith("OBJECT"), F.coalesce(objects(inner), lone)
+    )
     items = F.filter(listed, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     rows = F.transform(items, lambda x: F.from_json(F.to_json(x), "map<string,string>"))
     out = staged.select("doc_id", rows.alias("rows"), F.when(listed.isNull(), F.lit("not JSON")).alias("error"))
@@ -55,10 +60,15 @@ def parse_answers(answers: DataFrame) -> DataFrame:
 def split_inserts(answers: DataFrame) -> DataFrame:
     """H3: doc_id, position, statement: the INSERT statements of SQL answers."""
     parts = F.transform(F.split(_unfenced(F.col("text")), r";\s*(\n|$)"), strip)
-    return answers.select("doc_id", F.posexplode(F.filter(parts, lambda s: F.upper(s).startswith("INSERT"))).alias("position", "statement"))
+    return answers.select(
+        "doc_id",
+        F.posexplode(F.filter(parts, lambda s: F.upper(s).startswith("INSERT"))).alias("position", "statement"),
+    )
 
 
-def extract_with(docs: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None, schema: str) -> DataFrame:
+def extract_with(
+    docs: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None, schema: str
+) -> DataFrame:
     """H4: the caller's function maps batches of documents to rows (and usage) of `schema`."""
     if fn is None:
         raise ValueError("no extractor was given: pass a function from document batches to row batches")

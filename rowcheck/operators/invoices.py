@@ -38,7 +38,9 @@ def tax_by_rate(lines: DataFrame, header: DataFrame) -> DataFrame:
     remainders, so all amounts that MONEY holds are exact; half a cent is rounded away from zero. An invoice of net 0 has no tax.
     """
     by_rate = line_totals(lines).groupBy("invoice", "tax_rate").agg(F.sum("line_total").cast(MONEY).alias("gross"))
-    joined = by_rate.join(invoice_totals(lines, header), "invoice").withColumn("top", F.max("tax_rate").over(W.partitionBy("invoice")))
+    joined = by_rate.join(invoice_totals(lines, header), "invoice").withColumn(
+        "top", F.max("tax_rate").over(W.partitionBy("invoice"))
+    )
     ship = F.when(F.col("tax_rate") == F.col("top"), F.col("shipping")).otherwise(F.lit(0).cast(MONEY))
     cents = lambda c: (c * 100).cast("decimal(18,0)")
     whole = lambda c: c.cast("decimal(38,0)")
@@ -46,12 +48,20 @@ def tax_by_rate(lines: DataFrame, header: DataFrame) -> DataFrame:
     rate = (F.col("tax_rate").cast("decimal(5,2)") * 100).cast("decimal(5,0)")
     above = whole(cents(F.col("gross")) * cents(F.col("subtotal"))) + whole(cents(ship) * cents(F.col("net")))
     sign = F.when((above < 0) != (F.col("net") < 0), -1).otherwise(1)
-    steps = joined.withColumn("rate__", rate).withColumn("below__", whole(F.abs(cents(F.col("net"))))).withColumn("above__", whole(F.abs(above)))
+    steps = joined.withColumn("rate__", rate).withColumn(
+        "below__", whole(F.abs(cents(F.col("net"))))
+    ).withColumn("above__", whole(F.abs(above)))
     steps = steps.withColumn("sign__", sign).withColumn("below__", F.when(F.col("below__") != 0, F.col("below__")))
-    steps = steps.withColumn("whole__", quotient(F.col("above__"), F.col("below__"))).withColumn("rest__", F.col("above__") % F.col("below__"))
+    steps = steps.withColumn(
+        "whole__", quotient(F.col("above__"), F.col("below__"))
+    ).withColumn("rest__", F.col("above__") % F.col("below__"))
     # hundredths of a hundredth of a cent, the fraction left out: it cannot change a half-up rounding of whole steps
-    fine = whole(F.col("whole__").cast("decimal(20,0)") * F.col("rate__")) + quotient(whole(F.col("rest__").cast("decimal(20,0)") * F.col("rate__")), F.col("below__"))
-    tax = quotient(whole(fine) + 5000, whole(F.lit(10000))).cast("decimal(16,0)") * F.lit(Decimal("0.01")) * F.col("sign__")
+    fine = whole(F.col("whole__").cast("decimal(20,0)") * F.col("rate__")) + quotient(
+        whole(F.col("rest__").cast("decimal(20,0)") * F.col("rate__")), F.col("below__")
+    )
+    tax = quotient(
+        whole(fine) + 5000, whole(F.lit(10000))
+    ).cast("decimal(16,0)") * F.lit(Decimal("0.01")) * F.col("sign__")
     return steps.select("invoice", "tax_rate", "gross", F.coalesce(tax.cast(MONEY), F.lit(0).cast(MONEY)).alias("tax"))
 
 
@@ -60,7 +70,14 @@ def invoice_header(lines: DataFrame, header: DataFrame) -> DataFrame:
     tax = tax_by_rate(lines, header).groupBy("invoice").agg(F.sum("tax").cast(MONEY).alias("tax"))
     total = (F.col("subtotal") + F.col("shipping") + F.col("tax")).cast(MONEY)
     out = invoice_totals(lines, header).join(tax, "invoice").withColumn("total", total)
-    return out.select("invoice", "subtotal", "shipping", "tax", "total", (F.col("total") + F.col("misprint")).cast(MONEY).alias("printed_total"))
+    return out.select(
+        "invoice",
+        "subtotal",
+        "shipping",
+        "tax",
+        "total",
+        (F.col("total") + F.col("misprint")).cast(MONEY).alias("printed_total"),
+    )
 
 
 def expected_rows(lines: DataFrame) -> DataFrame:
@@ -68,4 +85,12 @@ def expected_rows(lines: DataFrame) -> DataFrame:
     lump = F.col("lump_sum").isNotNull()
     number = F.row_number().over(W.partitionBy("invoice").orderBy("line_no"))
     kept = line_totals(lines)
-    return kept.select("invoice", number.alias("line_no"), "description", F.when(~lump, F.col("quantity")).alias("quantity"), F.when(~lump, F.col("unit_price")).alias("unit_price"), "line_total", "tax_rate")
+    return kept.select(
+        "invoice",
+        number.alias("line_no"),
+        "description",
+        F.when(~lump, F.col("quantity")).alias("quantity"),
+        F.when(~lump, F.col("unit_price")).alias("unit_price"),
+        "line_total",
+        "tax_rate",
+    )

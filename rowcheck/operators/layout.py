@@ -39,7 +39,9 @@ def _lines(pages: pd.DataFrame) -> pd.DataFrame:
     All pages of a part advance together, a line a step: of each page the pieces near the first that is not yet in a
     line are compared with it, and those up to the first that is out of reach are that line.
     """
-    pages = pages.sort_values([*_KEY, "y", "x"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
+    pages = pages.sort_values(
+        [*_KEY, "y", "x"], ascending=[True, True, False, True], kind="stable"
+    ).reset_index(drop=True)
     y, reach = pages["y"].to_numpy(), np.maximum(LINE_LEAST, LINE_SHARE * pages["font_size"].to_numpy())
     opens = _runs(pages["doc_id"], pages["page"])
     at = np.flatnonzero(opens)
@@ -119,7 +121,15 @@ def _page_cells(pages: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(block=np.repeat(blocks, many))
 
 
-_TYPES = {"doc_id": "string", "page": "int", "x": "double", "y": "double", "width": "double", "font_size": "double", "text": "string"}
+_TYPES = {
+    "doc_id": "string",
+    "page": "int",
+    "x": "double",
+    "y": "double",
+    "width": "double",
+    "font_size": "double",
+    "text": "string",
+}
 _CELL = "doc_id string, page int, line int, baseline double, cell int, left double, right double, text string, block int"
 
 
@@ -141,7 +151,9 @@ def column_spans(blocked: DataFrame) -> DataFrame:
     opens = F.when(F.col("left") <= reach, 0).otherwise(1)
     so_far = F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))
     islands = blocked.where("block >= 0").withColumn("opens", opens).withColumn("col_no", so_far - 1)
-    return islands.groupBy(*_KEY, "block", "col_no").agg(F.min("left").alias("col_left"), F.max("right").alias("col_right"))
+    return islands.groupBy(*_KEY, "block", "col_no").agg(
+        F.min("left").alias("col_left"), F.max("right").alias("col_right")
+    )
 
 
 def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
@@ -152,7 +164,9 @@ def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
     keys = [*_KEY, "block"]
     spans_n = spans.withColumn("n_columns", F.count("*").over(W.partitionBy(*keys)))
     cell_keys = [*keys, "line", "cell"]
-    met = blocked.where("block >= 0").join(spans_n, keys).where((F.col("left") < F.col("col_right")) & (F.col("col_left") < F.col("right")))
+    met = blocked.where("block >= 0").join(spans_n, keys).where(
+        (F.col("left") < F.col("col_right")) & (F.col("col_left") < F.col("right"))
+    )
     placed = met.groupBy(*cell_keys).agg(F.min("col_no").alias("col_no"), F.first("n_columns").alias("n_columns"))
     full = blocked.where("block >= 0").select(*cell_keys).join(placed, cell_keys, "left")
     by_line, by_block = W.partitionBy(*keys, "line"), W.partitionBy(*keys)
@@ -170,13 +184,17 @@ def layout_text(pieces: DataFrame) -> DataFrame:
     blocked = page_cells(pieces)
     placed = place_cells(blocked, column_spans(blocked))
     full = blocked.join(placed, [*_KEY, "block", "line", "cell"], "left")
-    in_order = F.array_sort(F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))).alias("c")
+    in_order = F.array_sort(
+        F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))
+    ).alias("c")
     by_line = full.groupBy(*_KEY, "line").agg(in_order, F.max("col_no").isNotNull().alias("tabular"))
     first, last = F.col("c")[0]["at"], F.element_at("c", -1)["at"]
     cell_at = lambda k: F.get(F.filter(F.col("c"), lambda x: x["at"] == k), F.lit(0))["text"]
     grid = F.transform(F.sequence(first, last), lambda k: F.coalesce(cell_at(k), F.lit("")))
     spelled = F.array_join(F.when(F.col("tabular"), grid).otherwise(F.transform("c", lambda x: x["text"])), " | ")
-    joined = lambda struct, mark: F.array_join(F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["t"]), mark)
+    joined = lambda struct, mark: F.array_join(
+        F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["t"]), mark
+    )
     lines = by_line.select(*_KEY, "line", spelled.alias("t"))
     paged = lines.groupBy(*_KEY).agg(joined(F.struct("line", "t"), "\n").alias("t"))
     return paged.groupBy("doc_id").agg(joined(F.struct("page", "t"), "\n\n").alias("text"))
@@ -185,7 +203,9 @@ def layout_text(pieces: DataFrame) -> DataFrame:
 def needs_ocr(docs: DataFrame) -> DataFrame:
     """Docs (doc_id, kind, encoding_issues, text) with needs_ocr."""
     blank = strip(F.coalesce("text", F.lit(""))) == ""
-    return docs.withColumn("needs_ocr", (F.col("kind") == "image") | F.coalesce("encoding_issues", F.lit(False)) | blank)
+    return docs.withColumn(
+        "needs_ocr", (F.col("kind") == "image") | F.coalesce("encoding_issues", F.lit(False)) | blank
+    )
 
 
 def pages_to_reread(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 MOST_PAIRS = 10_000
 
 
-def pending(models: DataFrame, approaches: DataFrame, cases: DataFrame, done: DataFrame, max_rows: int, only: str) -> DataFrame:
+def pending(
+    models: DataFrame, approaches: DataFrame, cases: DataFrame, done: DataFrame, max_rows: int, only: str
+) -> DataFrame:
     """K1: (model, approach, case) without a stored result; tabular cases of more than max_rows only for the approach `only`.
 
     The plan is the product of three lists, as it is defined. Models and approaches are each a list that a person wrote, so they are
@@ -23,7 +25,9 @@ def pending(models: DataFrame, approaches: DataFrame, cases: DataFrame, done: Da
     pairs = [F.struct(F.lit(m).alias("model"), F.lit(a).alias("approach")) for m in names[0] for a in names[1]]
     if not pairs:
         return done.select("model", "approach", "case").where("false")
-    plan = cases.select("case", "kind", "n_rows", F.explode(F.array(*pairs)).alias("p")).select("case", "kind", "n_rows", "p.*")
+    plan = cases.select(
+        "case", "kind", "n_rows", F.explode(F.array(*pairs)).alias("p")
+    ).select("case", "kind", "n_rows", "p.*")
     wanted = plan.where(~((F.col("kind") == "tabular") & (F.col("n_rows") > max_rows)) | (F.col("approach") == only))
     return wanted.join(done, ["model", "approach", "case"], "left_anti").select("model", "approach", "case")
 
@@ -41,15 +45,21 @@ def within_budget(plan: DataFrame, budget: str) -> DataFrame:
     cost = F.coalesce(F.col("cost"), F.lit(0)).cast("decimal(38,6)")
     ranges = min(MOST_RANGES, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = plan.agg(F.percentile_approx("n", [k / ranges for k in range(1, ranges)] or [0.5])).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda bound: bound < F.col("n"))) if bounds else F.lit(0)
+    part = F.size(
+        F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda bound: bound < F.col("n"))
+    ) if bounds else F.lit(0)
     ranged = plan.withColumn("part__", part)
     sums = ranged.groupBy("part__").agg(F.sum(cost).alias("own"))
-    before = sums.select("part__", (F.sum("own").over(W.partitionBy(F.lit(0)).orderBy("part__")) - F.col("own")).alias("base"))
+    before = sums.select(
+        "part__", (F.sum("own").over(W.partitionBy(F.lit(0)).orderBy("part__")) - F.col("own")).alias("base")
+    )
     so_far = W.partitionBy("part__").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(cost).over(so_far), F.lit(0))
     spent = ranged.withColumn("inside", inside).join(F.broadcast(before), "part__")
     spent = spent.withColumn("spent_before", (F.col("inside") + F.col("base")).cast("decimal(38,6)"))
-    return spent.where(F.col("spent_before") < F.lit(budget).cast("decimal(38,6)")).select(*plan.columns, "spent_before")
+    return spent.where(
+        F.col("spent_before") < F.lit(budget).cast("decimal(38,6)")
+    ).select(*plan.columns, "spent_before")
 
 
 def rate_limit(requests: DataFrame, per_minute: int, seconds: int = 60) -> DataFrame:

@@ -48,9 +48,13 @@ def score_cells(expected: DataFrame, actual: DataFrame, columns: Sequence[str])
     Both sides are compared in the spelling of written, so rows of the gate can be given as they are.
     """
     found = actual.select("doc_id", "row_idx", _wide(actual, columns, "a"))
-    both = expected.select("doc_id", "row_idx", _wide(expected, columns, "e")).join(found, ["doc_id", "row_idx"], "left")
+    both = expected.select(
+        "doc_id", "row_idx", _wide(expected, columns, "e")
+    ).join(found, ["doc_id", "row_idx"], "left")
     sides = lambda c: (F.col(f"e.`{c}`").alias("wanted"), F.col(f"a.`{c}`").alias("got"))
-    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), *sides(c)) for k, c in enumerate(columns)))
+    cells = F.array(
+        *(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), *sides(c)) for k, c in enumerate(columns))
+    )
     long = both.select("doc_id", "row_idx", F.explode(cells).alias("c")).select("doc_id", "row_idx", "c.*")
     return long.withColumn("correct", F.col("wanted").eqNullSafe(F.col("got")))
 
@@ -58,7 +62,9 @@ def score_cells(expected: DataFrame, actual: DataFrame, columns: Sequence[str])
 def wrong_examples(cells: DataFrame, k: int = 8) -> DataFrame:
     """The first k misses of each document, in row and column order."""
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("row_idx", "position"))
-    return cells.where(~F.col("correct")).withColumn("n", n).where(F.col("n") <= k).select("doc_id", "n", "row_idx", "column", "wanted", "got")
+    return cells.where(~F.col("correct")).withColumn("n", n).where(F.col("n") <= k).select(
+        "doc_id", "n", "row_idx", "column", "wanted", "got"
+    )
 
 
 def case_results(cases: DataFrame, cells: DataFrame, flags: DataFrame) -> DataFrame:
@@ -66,9 +72,22 @@ def case_results(cases: DataFrame, cells: DataFrame, flags: DataFrame) -> DataFr
     counted = cells.groupBy("doc_id").agg(F.count("*").alias("cells"), F.count_if("correct").alias("correct"))
     flagged = flags.groupBy("doc_id").agg(F.count("*").alias("flags"))
     out = cases.join(counted, "doc_id", "left").join(flagged, "doc_id", "left").fillna(0, ["cells", "correct", "flags"])
-    accuracy = F.when(F.col("cells") > 0, F.round(F.col("correct").cast("decimal(20,0)") / F.col("cells"), 6).cast("decimal(8,6)")).otherwise(F.lit(0).cast("decimal(8,6)"))
-    clean = F.col("error").isNull() & (F.col("cells") > 0) & (F.col("correct") == F.col("cells")) & (F.col("flags") == F.col("expected_flags"))
-    return out.select("doc_id", "error", "cells", "correct", accuracy.alias("accuracy"), "flags", "expected_flags", clean.alias("clean"))
+    accuracy = F.when(
+        F.col("cells") > 0, F.round(F.col("correct").cast("decimal(20,0)") / F.col("cells"), 6).cast("decimal(8,6)")
+    ).otherwise(F.lit(0).cast("decimal(8,6)"))
+    clean = F.col("error").isNull() & (F.col("cells") > 0) & (F.col("correct") == F.col("cells")) & (
+        F.col("flags") == F.col("expected_flags")
+    )
+    return out.select(
+        "doc_id",
+        "error",
+        "cells",
+        "correct",
+        accuracy.alias("accuracy"),
+        "flags",
+        "expected_flags",
+        clean.alias("clean"),
+    )
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -81,9 +100,15 @@ def evaluation_report(results: DataFrame) -> DataFrame:
     """One line per case and a total line (case NULL): cells, ms, tokens, cost (NULL if any is), passed of total."""
     unpriced = F.count_if(F.col("cost").isNull())
     out = results.rollup("doc_id").agg(
-        F.grouping("doc_id").alias("is_total"), F.sum("correct").alias("correct"), F.sum("cells").alias("cells"), F.sum("ms").alias("ms"), F.sum("tokens").alias("tokens"),
-        F.when(unpriced == 0, F.sum("cost")).alias("cost"), F.count_if("clean").alias("passed"), F.count("*").alias("total"),
-    )
+        F.grouping("doc_id").alias("is_total"),
+        F.sum("correct").alias("correct"),
+        F.sum("cells").alias("cells"),
+        F.sum("ms").alias("ms"),
+        F.sum("tokens").alias("tokens"),
+        F.when(unpriced == 0, F.sum("cost")).alias("cost"),
+        F.count_if("clean").alias("passed"),
+        F.count("*").alias("total"),
+    )
     return out.withColumn("share", share(F.col("correct"), F.col("cells")))
 
 
@@ -114,10 +139,18 @@ def pair_rows(expected: DataFrame, returned: DataFrame) -> DataFrame:
 
 def pair_counts(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """doc_id, n_expected, n_returned, n_matched, n_extra."""
-    e = pair_rows(expected, returned).groupBy("doc_id").agg(F.count("*").alias("n_expected"), F.count("r_idx").alias("n_matched"))
+    e = pair_rows(expected, returned).groupBy("doc_id").agg(
+        F.count("*").alias("n_expected"), F.count("r_idx").alias("n_matched")
+    )
     r = returned.groupBy("doc_id").agg(F.count("*").alias("n_returned"))
     out = e.join(r, "doc_id", "full").fillna(0, ["n_expected", "n_matched", "n_returned"])
-    return out.select("doc_id", "n_expected", "n_returned", "n_matched", F.greatest(F.col("n_returned") - F.col("n_matched"), F.lit(0)).alias("n_extra"))
+    return out.select(
+        "doc_id",
+        "n_expected",
+        "n_returned",
+        "n_matched",
+        F.greatest(F.col("n_returned") - F.col("n_matched"), F.lit(0)).alias("n_extra"),
+    )
 
 
 def same_value(a: Column, b: Column, data_type: str) -> Column:
@@ -140,7 +173,9 @@ def widen_flags(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if not pairs:
         return own.distinct()
     touched = found.sparkSession.createDataFrame(sorted(set(pairs)), "column string, other string")
-    more = found.where("rule = 'arithmetic'").join(F.broadcast(touched), "column").select("doc_id", "row_idx", F.col("other").alias("column"))
+    more = found.where("rule = 'arithmetic'").join(F.broadcast(touched), "column").select(
+        "doc_id", "row_idx", F.col("other").alias("column")
+    )
     return own.unionByName(more).distinct()
 
 
@@ -158,10 +193,14 @@ def _later_of_key(df: DataFrame, key: Sequence[str], competing: Column) -> DataF
     best = F.coalesce(F.col("nth__") == 1, F.lit(False))
     whole = W.partitionBy(*key, alone(best)).orderBy(*place)
     out = out.withColumn("first__", F.when(best, F.row_number().over(whole)))
-    return out.withColumn("later__", F.coalesce(F.col("nth__") > 1, F.lit(False)) | F.coalesce(F.col("first__") > 1, F.lit(False))).drop("nth__", "first__")
+    return out.withColumn(
+        "later__", F.coalesce(F.col("nth__") > 1, F.lit(False)) | F.coalesce(F.col("first__") > 1, F.lit(False))
+    ).drop("nth__", "first__")
 
 
-def dry_run_load(rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[str]] = (), checks: Mapping[str, Column] | None = None) -> DataFrame:
+def dry_run_load(
+    rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[str]] = (), checks: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Rows (doc_id, row_idx, text columns, optionally an array `phantoms`) with `refusal`: NULL if the table would take the row.
 
     Ladder: empty, unknown_column, identity, type or enum, not_null, length, check, duplicate (the first row of a unique key wins).
@@ -170,7 +209,11 @@ def dry_run_load(rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[st
     held = set(rows.columns)
     some = lambda cases: reduce(lambda a, b: a | b, cases, F.lit(False))
     refused = lambda *codes: some(F.col(f"`code__{c.name}`").isin(*codes) for c in wanted)
-    too_long = some(F.coalesce(F.char_length(F.col(c.name)) > c.size, F.lit(False)) for c in wanted if c.size is not None and c.is_text)
+    too_long = some(
+        F.coalesce(
+            F.char_length(F.col(c.name)) > c.size, F.lit(False)
+        ) for c in wanted if c.size is not None and c.is_text
+    )
     given = [c for c in spec.columns if not c.extractable and c.name in held]
     keep = {"identity__": F.coalesce(*(F.col(c.name).isNotNull() for c in given))} if given else {}
     keep |= {"phantoms": F.col("phantoms")} if "phantoms" in held else {}
@@ -180,18 +223,29 @@ def dry_run_load(rows: DataFrame, spec: TableSpec, uniques: Sequence[Sequence[st
         ladder = ladder.when(F.size("phantoms") > 0, "unknown_column")
     if given:
         ladder = ladder.when(F.col("identity__"), "identity")
-    ladder = ladder.when(refused(WRONG_TYPE, UNCLEAR), "type").when(refused(NO_LABEL), "enum").when(refused(LACKING), "not_null").when(too_long, "length")
+    ladder = ladder.when(
+        refused(WRONG_TYPE, UNCLEAR), "type"
+    ).when(refused(NO_LABEL), "enum").when(refused(LACKING), "not_null").when(too_long, "length")
     for holds in (checks or {}).values():
         ladder = ladder.when(~holds, "check")
     out = coerced.withColumn("refusal", ladder)
     for key in uniques:
         # only rows that would be taken so far compete, and only with values in all of the key
         competing = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key), F.col("refusal").isNull())
-        out = _later_of_key(out, key, competing).withColumn("refusal", F.when(F.col("later__"), "duplicate").otherwise(F.col("refusal"))).drop("later__")
+        out = _later_of_key(out, key, competing).withColumn(
+            "refusal", F.when(F.col("later__"), "duplicate").otherwise(F.col("refusal"))
+        ).drop("later__")
     return out.select("doc_id", "row_idx", *(c.name for c in wanted), "refusal")
 
 
-def cell_outcomes(expected: DataFrame, stored: DataFrame, flags: DataFrame, reported: DataFrame, spec: TableSpec, columns: Sequence[str]) -> DataFrame:
+def cell_outcomes(
+    expected: DataFrame,
+    stored: DataFrame,
+    flags: DataFrame,
+    reported: DataFrame,
+    spec: TableSpec,
+    columns: Sequence[str],
+) -> DataFrame:
     """One outcome per expected cell.
 
     expected: doc_id, row_idx, key, columns; stored: doc_id, row_idx, key, columns, refusal; flags: doc_id, row_idx, column;
@@ -200,48 +254,92 @@ def cell_outcomes(expected: DataFrame, stored: DataFrame, flags: DataFrame, repo
     pairs = pair_rows(expected, stored)
     flagged = flags.groupBy("doc_id", F.col("row_idx").alias("r_idx")).agg(F.collect_set("column").alias("flagged"))
     e = expected.select("doc_id", F.col("row_idx").alias("e_idx"), _wide(expected, columns, "e"))
-    s = stored.select("doc_id", F.col("row_idx").alias("r_idx"), _wide(stored, columns, "s"), F.col("refusal").isNotNull().alias("refused"))
+    s = stored.select(
+        "doc_id",
+        F.col("row_idx").alias("r_idx"),
+        _wide(stored, columns, "s"),
+        F.col("refusal").isNotNull().alias("refused"),
+    )
     said = reported.select("doc_id").distinct().withColumn("said", F.lit(True))
-    full = e.join(pairs, ["doc_id", "e_idx"]).join(s, ["doc_id", "r_idx"], "left").join(flagged, ["doc_id", "r_idx"], "left").join(said, "doc_id", "left")
+    full = e.join(pairs, ["doc_id", "e_idx"]).join(s, ["doc_id", "r_idx"], "left").join(
+        flagged, ["doc_id", "r_idx"], "left"
+    ).join(said, "doc_id", "left")
 
     def outcome(column: str, data_type: str) -> Column:
         own = F.coalesce(F.array_contains("flagged", column), F.lit(False))
         wanted, got = F.col(f"e.`{column}`"), F.col(f"s.`{column}`")
         return (
-            F.when(F.col("r_idx").isNull(), F.when(F.col("said"), "held").otherwise("missing"))
-            .when(F.col("refused"), F.when(own, "flagged").when(F.size("flagged") > 0, "held").otherwise("rejected"))
-            .when(same_value(got, wanted, data_type), "correct").when(own, "flagged").when(got.isNull(), "left_blank").when(wanted.isNull(), "invented").otherwise("wrong_silent")
-        )
+            F.when(F.col("r_idx").isNull(), F.when(F.col("said"), "held").otherwise("missing")).when(
+                F.col("refused"), F.when(own, "flagged").when(F.size("flagged") > 0, "held").otherwise("rejected")
+            ).when(
+                same_value(got, wanted, data_type), "correct"
+            ).when(own, "flagged").when(got.isNull(), "left_blank").when(
+                wanted.isNull(), "invented"
+            ).otherwise("wrong_silent")
+        )
 
     cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), F.col(f"e.`{c}`").alias("wanted"), F.col(f"s.`{c}`").alias("stored"), outcome(c, spec.column(c).kind).alias("outcome")) for k, c in enumerate(columns)))
-    return full.select("doc_id", "e_idx", "r_idx", F.explode(cells).alias("c")).select("doc_id", "e_idx", "r_idx", "c.*")
+    return full.select(
+        "doc_id", "e_idx", "r_idx", F.explode(cells).alias("c")
+    ).select("doc_id", "e_idx", "r_idx", "c.*")
 
 
-def document_scores(outcomes: DataFrame, expected: DataFrame, stored: DataFrame, flags: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+def document_scores(
+    outcomes: DataFrame, expected: DataFrame, stored: DataFrame, flags: DataFrame, found: DataFrame, docs: DataFrame
+) -> DataFrame:
     """Docs (doc_id, expected_flags) with counts per outcome and of rows, flags (cells and arithmetic) and caught."""
-    cells = outcomes.groupBy("doc_id").agg(F.count("*").alias("cells"), *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES))
+    cells = outcomes.groupBy("doc_id").agg(
+        F.count("*").alias("cells"), *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES)
+    )
     rows = pair_counts(expected, stored)
-    landed = stored.groupBy("doc_id").agg(F.count_if(F.col("refusal").isNull()).alias("n_inserted"), F.count("refusal").alias("n_rejected"))
+    landed = stored.groupBy("doc_id").agg(
+        F.count_if(F.col("refusal").isNull()).alias("n_inserted"), F.count("refusal").alias("n_rejected")
+    )
     flagged = flags.groupBy("doc_id").agg(F.count("*").alias("n_flags"))
     arithmetic = found.groupBy("doc_id").agg(F.count_if(F.col("rule") == "arithmetic").alias("n_arithmetic"))
     out = docs
     for part in (cells, rows, landed, flagged, arithmetic):
         out = out.join(part, "doc_id", "left")
-    counts = ["cells", *OUTCOMES, "n_expected", "n_returned", "n_matched", "n_extra", "n_inserted", "n_rejected", "n_flags", "n_arithmetic"]
+    counts = [
+        "cells",
+        *OUTCOMES,
+        "n_expected",
+        "n_returned",
+        "n_matched",
+        "n_extra",
+        "n_inserted",
+        "n_rejected",
+        "n_flags",
+        "n_arithmetic",
+    ]
     out = out.fillna(0, counts)
     caught = F.when(F.col("expected_flags") > 0, F.col("n_arithmetic") > 0)
-    return out.select(*docs.columns, *counts[:-2], (F.col("n_flags") + F.col("n_arithmetic")).alias("flags"), caught.alias("caught"))
+    return out.select(
+        *docs.columns, *counts[:-2], (F.col("n_flags") + F.col("n_arithmetic")).alias("flags"), caught.alias("caught")
+    )
 
 
 def benchmark_report(scores: DataFrame) -> DataFrame:
     """Per part (documents, tabular, unsupported), model and approach; the median is exact, in whole ms."""
-    part = F.when(F.col("unsupported"), "unsupported").when(F.col("kind") == "tabular", "tabular").otherwise("documents")
+    part = F.when(F.col("unsupported"), "unsupported").when(
+        F.col("kind") == "tabular", "tabular"
+    ).otherwise("documents")
     total = lambda c: F.sum(c).alias(c)
     out = scores.withColumn("part", part).groupBy("part", "model", "approach").agg(
-        F.count("*").alias("docs"), total("cells"), *(total(o) for o in OUTCOMES), total("n_inserted"), total("n_expected"),
-        F.count_if(F.col("caught")).alias("caught"), F.count_if(F.col("expected_flags") > 0).alias("broken"), F.floor(F.median("ms")).cast("bigint").alias("median_ms"),
-        total("input_tokens"), total("output_tokens"), F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum("cost").cast("string")).otherwise("unpriced").alias("cost"),
-    )
+        F.count("*").alias("docs"),
+        total("cells"),
+        *(total(o) for o in OUTCOMES),
+        total("n_inserted"),
+        total("n_expected"),
+        F.count_if(F.col("caught")).alias("caught"),
+        F.count_if(F.col("expected_flags") > 0).alias("broken"),
+        F.floor(F.median("ms")).cast("bigint").alias("median_ms"),
+        total("input_tokens"),
+        total("output_tokens"),
+        F.when(
+            F.count_if(F.col("cost").isNull()) == 0, F.sum("cost").cast("string")
+        ).otherwise("unpriced").alias("cost"),
+    )
     return out.withColumn("share", share(F.col("correct"), F.col("cells")))
 
 
@@ -263,15 +361,22 @@ def outcome_shares(scores: DataFrame) -> DataFrame:
     part = lambda c: F.round(c.cast("decimal(20,0)") / cells, 6).cast("decimal(8,6)")
     read = scores.where((F.col("kind") != "tabular") & ~F.col("unsupported"))
     return read.groupBy("approach").agg(
-        cells.alias("cells"), *(part(F.sum(o)).alias(o) for o in OUTCOMES if o not in ("flagged", "held")), part(F.sum(F.col("flagged") + F.col("held"))).alias("flagged"),
-        F.avg(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.median("ms").alias("ms"),
-    )
+        cells.alias("cells"),
+        *(part(F.sum(o)).alias(o) for o in OUTCOMES if o not in ("flagged", "held")),
+        part(F.sum(F.col("flagged") + F.col("held"))).alias("flagged"),
+        F.avg(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
+        F.median("ms").alias("ms"),
+    )
 
 
 def run_spread(scores: DataFrame) -> DataFrame:
     """Scores (run, approach, case, correct, cells) to min, max and mean of each case's percentage across runs."""
-    pct = F.when(F.col("cells") > 0, F.col("correct").cast("decimal(12,0)") * 100 / F.col("cells")).otherwise(F.lit(0)).cast("decimal(9,6)")
-    return scores.withColumn("pct", pct).groupBy("approach", "case").agg(F.min("pct").alias("low"), F.max("pct").alias("high"), F.avg("pct").cast("decimal(9,6)").alias("mean"))
+    pct = F.when(
+        F.col("cells") > 0, F.col("correct").cast("decimal(12,0)") * 100 / F.col("cells")
+    ).otherwise(F.lit(0)).cast("decimal(9,6)")
+    return scores.withColumn("pct", pct).groupBy("approach", "case").agg(
+        F.min("pct").alias("low"), F.max("pct").alias("high"), F.avg("pct").cast("decimal(9,6)").alias("mean")
+    )
 
 
 def perfect_run(expected: DataFrame, spec: TableSpec, table: str, uniques: Sequence[Sequence[str]] = ()) -> DataFrame:
@@ -281,4 +386,11 @@ def perfect_run(expected: DataFrame, spec: TableSpec, table: str, uniques: Seque
     text = landed.select("doc_id", "row_idx", *(written(landed, c).alias(c) for c in columns), "refusal")
     keyed = text.withColumn("key", row_key(text, table))
     none = expected.select("doc_id").where("false")
-    return cell_outcomes(expected.withColumn("key", row_key(expected, table)), keyed, none.selectExpr("doc_id", "0 as row_idx", "'' as column"), none, spec, columns)
+    return cell_outcomes(
+        expected.withColumn("key", row_key(expected, table)),
+        keyed,
+        none.selectExpr("doc_id", "0 as row_idx", "'' as column"),
+        none,
+        spec,
+        columns,
+    )

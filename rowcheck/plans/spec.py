@@ -116,7 +116,9 @@ class TableSpec:
         wanted = self.extractable
         if not wanted:
             raise ValueError(f"table {self.name!r} has no column that a document can supply")
-        return T.StructType([T.StructField(c.name, c.spark_type(), True, {"ordinal": c.at, "data_type": c.kind}) for c in wanted])
+        return T.StructType(
+            [T.StructField(c.name, c.spark_type(), True, {"ordinal": c.at, "data_type": c.kind}) for c in wanted]
+        )
 
 
 @dataclass(frozen=True)
@@ -189,7 +191,9 @@ _SHAPES = {
     ("factors", "equals"): (("tolerance",), multiplies_to),
     ("column", "reject"): ((), rejects),
     ("column", "pattern"): ((), shaped),
-    ("column", "require"): ((), lambda column, asked: requires(column) if asked is True else _refuse("require must be true")),
+    ("column", "require"): (
+        (), lambda column, asked: requires(column) if asked is True else _refuse("require must be true")
+    ),
     ("column",): (("min", "max"), lambda column, low=None, high=None: within(column, _number(low), _number(high))),
 }
 

@@ -29,12 +29,18 @@ def query(sql: str | None = None):
 
 
 _FACTS = """
-f AS (SELECT l_suppkey % 40 AS doc, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_idx, (l_orderkey * 7 + l_linenumber) % 97 AS p, l_orderkey AS order_no,
-  CAST(l_quantity AS BIGINT) AS quantity, l_partkey * 37 % 90000 + 100 AS price, CAST(l_quantity AS BIGINT) * (l_partkey * 37 % 90000 + 100) AS total, l_partkey * 1000 + l_linenumber AS weight,
+f AS (SELECT l_suppkey % 40 AS doc,
+  ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_idx,
+  (l_orderkey * 7 + l_linenumber) % 97 AS p, l_orderkey AS order_no,
+  CAST(l_quantity AS BIGINT) AS quantity, l_partkey * 37 % 90000 + 100 AS price,
+  CAST(l_quantity AS BIGINT) * (l_partkey * 37 % 90000 + 100) AS total, l_partkey * 1000 + l_linenumber AS weight,
   l_returnflag AS status, CAST(l_shipdate AS DATE) AS shipped, l_linenumber % 2 = 0 AS paid FROM lineitem),
-found AS (SELECT doc, row_idx, 'line_total' AS "column", 'arithmetic' AS rule FROM f WHERE p = 0 UNION ALL SELECT doc, row_idx, 'line_total', 'not_null' FROM f WHERE p = 1
-  UNION ALL SELECT doc, row_idx, 'quantity', 'type' FROM f WHERE p = 2 UNION ALL SELECT doc, row_idx, 'status', 'enum' FROM f WHERE p = 3 UNION ALL SELECT doc, row_idx, 'shipped', 'type' FROM f WHERE p = 4
-  UNION ALL SELECT doc, row_idx, 'ref', 'length' FROM f WHERE p = 5 UNION ALL SELECT doc, row_idx, 'quantity', 'range' FROM f WHERE p <> 2 AND quantity > 45)
+found AS (SELECT doc, row_idx, 'line_total' AS "column", 'arithmetic' AS rule FROM f WHERE p = 0 UNION ALL
+  SELECT doc, row_idx, 'line_total', 'not_null' FROM f WHERE p = 1
+  UNION ALL SELECT doc, row_idx, 'quantity', 'type' FROM f WHERE p = 2 UNION ALL SELECT doc, row_idx, 'status',
+  'enum' FROM f WHERE p = 3 UNION ALL SELECT doc, row_idx, 'shipped', 'type' FROM f WHERE p = 4
+  UNION ALL SELECT doc, row_idx, 'ref', 'length' FROM f WHERE p = 5 UNION ALL SELECT doc, row_idx, 'quantity',
+  'range' FROM f WHERE p <> 2 AND quantity > 45)
 """
 
 
@@ -42,44 +48,82 @@ def _gated(spark, sf_dir):
     return gate.gate(S.staged_lines(spark, sf_dir), S.LINES, S.LINE_RULES)
 
 
-@query(f'WITH {_FACTS} SELECT "column", rule, count(*) AS n FROM found GROUP BY ALL')
+@query(
+    f"""WITH {_FACTS} SELECT "column", rule, count(*) AS n FROM found GROUP BY ALL"""
+)
 def e10_findings_by_rule(spark, sf_dir):
     return gate.findings(_gated(spark, sf_dir)).groupBy("column", "rule").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_FACTS} SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx, order_no, CASE WHEN p <> 2 THEN CAST(quantity AS DECIMAL(18,3)) END AS quantity, CAST(CAST(price AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS unit_price,
-  CASE WHEN p <> 1 THEN CAST(CAST(total + CASE WHEN p = 0 THEN 100 ELSE 0 END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) END AS line_total, CAST(weight AS DECIMAL(18,1)) AS weight, CASE WHEN p <> 3 THEN status END AS status, CASE WHEN p <> 4 THEN shipped END AS shipped, paid FROM f""")
+@query(f"""WITH {_FACTS} SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx, order_no, CASE
+  WHEN p <> 2 THEN CAST(quantity AS DECIMAL(18,3)) END AS quantity,
+  CAST(CAST(price AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS unit_price,
+  CASE WHEN p <> 1 THEN CAST(CAST(total + CASE WHEN p = 0 THEN 100 ELSE 0
+  END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) END AS line_total, CAST(weight AS DECIMAL(18,1)) AS weight, CASE
+  WHEN p <> 3 THEN status END AS status, CASE WHEN p <> 4 THEN shipped END AS shipped, paid FROM f""")
 def e09_gate(spark, sf_dir):
     g = _gated(spark, sf_dir)
     exact = {"quantity": 3, "unit_price": 2, "line_total": 2, "weight": 1}
-    return g.select("doc_id", "row_idx", "order_no", *(F.col(c).cast(f"decimal(18,{s})").alias(c) for c, s in exact.items()), "status", "shipped", "paid")
+    return g.select(
+        "doc_id",
+        "row_idx",
+        "order_no",
+        *(F.col(c).cast(f"decimal(18,{s})").alias(c) for c, s in exact.items()),
+        "status",
+        "shipped",
+        "paid",
+    )
 
 
-@query(f"""WITH {_FACTS} SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, CASE doc % 4 WHEN 0 THEN '.' WHEN 1 THEN ',' WHEN 2 THEN '.' ELSE ',' END AS decimal_point FROM f GROUP BY ALL""")
+@query(
+    f"""WITH {_FACTS} SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, CASE doc % 4 WHEN 0 THEN '.'
+  WHEN 1 THEN ',' WHEN 2 THEN '.' ELSE ',' END AS decimal_point FROM f GROUP BY ALL"""
+)
 def d05_number_conventions(spark, sf_dir):
     # the locale with spaces writes decimals with a comma
-    return gate.number_conventions(S.staged_lines(spark, sf_dir), S.LINES).select("doc_id", F.col("weight").alias("decimal_point"))
+    return gate.number_conventions(S.staged_lines(spark, sf_dir), S.LINES).select(
+        "doc_id", F.col("weight").alias("decimal_point")
+    )
 
 
-@query(f"""WITH {_FACTS}, n AS (SELECT doc, count(*) AS failures, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM found GROUP BY doc)
-SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, count(*) AS n_rows, coalesce(max(failures), 0) AS failures, coalesce(max(rules), '') AS rules, CASE WHEN max(failures) > 0 THEN 'flagged' ELSE 'ok' END AS status FROM f LEFT JOIN n USING (doc) GROUP BY doc""")
+@query(f"""WITH {_FACTS}, n AS (SELECT doc, count(*) AS failures, string_agg(DISTINCT rule, ','
+  ORDER BY rule) AS rules FROM found GROUP BY doc)
+SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, count(*) AS n_rows, coalesce(max(failures),
+  0) AS failures, coalesce(max(rules), '') AS rules, CASE WHEN max(failures) > 0 THEN 'flagged' ELSE 'ok'
+  END AS status FROM f LEFT JOIN n USING (doc) GROUP BY doc""")
 def e12_check_summary(spark, sf_dir):
     s = gate.check_summary(_gated(spark, sf_dir))
-    return s.select("doc_id", F.col("rows").alias("n_rows"), "failures", F.array_join("rules", ",").alias("rules"), F.when(F.col("failures") > 0, "flagged").otherwise("ok").alias("status"))
+    return s.select(
+        "doc_id",
+        F.col("rows").alias("n_rows"),
+        "failures",
+        F.array_join("rules", ",").alias("rules"),
+        F.when(F.col("failures") > 0, "flagged").otherwise("ok").alias("status"),
+    )
 
 
-@query(f"""WITH {_FACTS}, n AS (SELECT DISTINCT doc FROM found) SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, CASE WHEN n.doc IS NULL THEN 'ok' ELSE 'flagged' END AS status FROM (SELECT DISTINCT doc FROM f) d LEFT JOIN n USING (doc)""")
+@query(
+    f"""WITH {_FACTS}, n AS (SELECT DISTINCT doc FROM found) SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3,
+  '0') AS doc_id, CASE WHEN n.doc IS NULL THEN 'ok' ELSE 'flagged' END AS status FROM (SELECT DISTINCT doc FROM f) d
+  LEFT JOIN n USING (doc)"""
+)
 def e11_document_status(spark, sf_dir):
     g = _gated(spark, sf_dir)
     return gate.document_status(S.staged_lines(spark, sf_dir).select("doc_id").distinct(), gate.findings(g))
 
 
-@query(f'WITH {_FACTS} SELECT DISTINCT \'f\' || lpad(CAST(doc AS VARCHAR), 3, \'0\') AS doc_id, row_idx, "column" FROM found')
+@query(
+    f"""WITH {_FACTS} SELECT DISTINCT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx, "column"
+  FROM found"""
+)
 def e13_flagged_cells(spark, sf_dir):
     return gate.flagged_cells(gate.findings(_gated(spark, sf_dir)))
 
 
-@query(f"WITH {_FACTS} SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx FROM f WHERE p > 5 AND quantity <= 45")
+@query(
+    f"""WITH {_FACTS} SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx FROM f WHERE p > 5
+  AND quantity <= 45"""
+)
 def e13_clean_rows(spark, sf_dir):
     return gate.clean_rows(_gated(spark, sf_dir)).select("doc_id", "row_idx")
 
@@ -87,16 +131,25 @@ def e13_clean_rows(spark, sf_dir):
 # --- single cells ---
 
 
-@query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ') / ' || p_type), '[^0-9a-z]+', '_', 'g'), '_') AS header FROM part""")
+@query(
+    r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ') / ' || p_type), '[^0-9a-z]+',
+  '_', 'g'), '_') AS header FROM part"""
+)
 def c01_normalise_header(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
-    return p.select("p_partkey", X.normalise_header(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") / "), "p_type")).alias("header"))
+    return p.select(
+        "p_partkey",
+        X.normalise_header(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") / "), "p_type")).alias("header"),
+    )
 
 
 _BLANKS = "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN '  ' || o_orderstatus || ' ' ELSE o_orderpriority END"
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN o_orderstatus WHEN 3 THEN o_orderpriority END AS cell FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN o_orderstatus WHEN 3 THEN o_orderpriority END AS cell
+  FROM orders"""
+)
 def c08_blank_to_null(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").select("o_orderkey", X.blank_to_null(F.expr(_BLANKS)).alias("cell"))
 
@@ -104,58 +157,116 @@ def c08_blank_to_null(spark, sf_dir):
 _WORDS = ["null", " N/A ", "None", "nan", "NIL", "na", "", "Nonesuch Ltd", "none of it", "0"]
 
 
-@query("SELECT event_id, CASE event_id % 10 WHEN 7 THEN 'Nonesuch Ltd' WHEN 8 THEN 'none of it' WHEN 9 THEN '0' END AS cell, CASE event_id % 10 WHEN 2 THEN 'None' WHEN 7 THEN 'Nonesuch Ltd' WHEN 8 THEN 'none of it' WHEN 9 THEN '0' END AS labelled FROM events")
+@query(
+    """SELECT event_id, CASE event_id % 10 WHEN 7 THEN 'Nonesuch Ltd' WHEN 8 THEN 'none of it' WHEN 9 THEN '0'
+  END AS cell, CASE event_id % 10 WHEN 2 THEN 'None' WHEN 7 THEN 'Nonesuch Ltd' WHEN 8 THEN 'none of it' WHEN 9
+  THEN '0' END AS labelled FROM events"""
+)
 def d01_null_words(spark, sf_dir):
     word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("event_id") % 10 + 1).cast("int"))
-    return S.table(spark, sf_dir, "events").select("event_id", X.null_words(word).alias("cell"), X.null_words(word, ("none",)).alias("labelled"))
+    return S.table(spark, sf_dir, "events").select(
+        "event_id", X.null_words(word).alias("cell"), X.null_words(word, ("none",)).alias("labelled")
+    )
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN '(' || b || ')' ELSE b END AS body, o_orderkey % 7 IN (2, 4) AS negative
-FROM (SELECT o_orderkey, CAST(o_orderkey % 900 + 100 AS VARCHAR) || '.' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS b FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN '(' || b || ')' ELSE b END AS body,
+  o_orderkey % 7 IN (2, 4) AS negative
+FROM (SELECT o_orderkey, CAST(o_orderkey % 900 + 100 AS VARCHAR) || '.' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2,
+  '0') AS b FROM orders)""")
 def d03_strip_number(spark, sf_dir):
-    plain = F.concat((F.col("o_orderkey") % 900 + 100).cast("string"), F.lit("."), F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"))
-    forms = [plain, F.concat(F.lit("USD "), plain), F.concat(F.lit("("), plain, F.lit(") SEK")), F.concat(F.lit("€ "), plain), F.concat(F.lit("-"), plain, F.lit(" %")), F.concat(F.lit("+"), plain, F.lit(" Std.")), F.concat(F.lit("€ ("), plain, F.lit(")"))]
+    plain = F.concat(
+        (F.col("o_orderkey") % 900 + 100).cast("string"),
+        F.lit("."),
+        F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"),
+    )
+    forms = [
+        plain,
+        F.concat(F.lit("USD "), plain),
+        F.concat(F.lit("("), plain, F.lit(") SEK")),
+        F.concat(F.lit("€ "), plain),
+        F.concat(F.lit("-"), plain, F.lit(" %")),
+        F.concat(F.lit("+"), plain, F.lit(" Std.")),
+        F.concat(F.lit("€ ("), plain, F.lit(")")),
+    ]
     text = forms[0]
     for k, form in enumerate(forms[1:], start=1):
         text = F.when(F.col("o_orderkey") % 7 == k, form).otherwise(text)
     s = X.strip_number(text)
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", s["body"].alias("body"), s["negative"].alias("negative"))
+    return S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", s["body"].alias("body"), s["negative"].alias("negative")
+    )
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 4 WHEN 3 THEN NULL ELSE CAST(CAST(c AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) END AS amount, CASE l_partkey % 4 WHEN 3 THEN c * 1000 + 234 END AS grouped
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 4 WHEN 3 THEN NULL
+  ELSE CAST(CAST(c AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) END AS amount, CASE l_partkey % 4 WHEN 3
+  THEN c * 1000 + 234 END AS grouped
 FROM (SELECT *, l_partkey * 37 % 90000 + 100 AS c FROM lineitem)""")
 def d04_normalise_number(spark, sf_dir):
     c = F.col("l_partkey") * 37 % 90000 + 100
     text = F.col("t")
-    forms = F.when(F.col("l_partkey") % 4 == 0, X.render_number(S.cents(c), 2, "plain")).when(F.col("l_partkey") % 4 == 1, X.render_number(S.cents(c), 2, "point")).when(F.col("l_partkey") % 4 == 2, X.render_number(S.cents(c), 2, "comma")).otherwise(F.concat(c.cast("string"), F.lit(".234")))
+    forms = F.when(
+        F.col("l_partkey") % 4 == 0, X.render_number(S.cents(c), 2, "plain")
+    ).when(
+        F.col("l_partkey") % 4 == 1, X.render_number(S.cents(c), 2, "point")
+    ).when(
+        F.col("l_partkey") % 4 == 2, X.render_number(S.cents(c), 2, "comma")
+    ).otherwise(F.concat(c.cast("string"), F.lit(".234")))
     df = S.table(spark, sf_dir, "lineitem").withColumn("t", forms)
     unclear = X.normalise_number(text).isNull()
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(~unclear, X.normalise_number(text).try_cast("decimal(18,2)")).alias("amount"), F.when(unclear, X.normalise_number(text, 2).try_cast("bigint")).alias("grouped"))
+    return df.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.when(~unclear, X.normalise_number(text).try_cast("decimal(18,2)")).alias("amount"),
+        F.when(unclear, X.normalise_number(text, 2).try_cast("bigint")).alias("grouped"),
+    )
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN CAST(CAST(o_orderkey AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) END AS exact, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 100 = 0 THEN o_orderkey // 100 WHEN o_orderkey % 5 = 4 AND o_orderkey <= 32767 THEN o_orderkey END AS small FROM orders""")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3
+  THEN CAST(CAST(o_orderkey AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) END AS exact, CASE WHEN o_orderkey % 5 = 0
+  AND o_orderkey % 100 = 0 THEN o_orderkey // 100 WHEN o_orderkey % 5 = 4 AND o_orderkey <= 32767 THEN o_orderkey
+  END AS small FROM orders"""
+)
 def d06_d07_exact_and_integer(spark, sf_dir):
     k = F.col("o_orderkey")
-    text = F.when(k % 5 < 3, F.regexp_replace(S.cents(k).cast("string"), r"\.00$", "")).when(k % 5 == 3, F.concat(k.cast("string"), F.lit("x"))).otherwise(k.cast("string"))
+    text = F.when(
+        k % 5 < 3, F.regexp_replace(S.cents(k).cast("string"), r"\.00$", "")
+    ).when(k % 5 == 3, F.concat(k.cast("string"), F.lit("x"))).otherwise(k.cast("string"))
     exact = F.when(k % 5 != 4, X.to_decimal(text, 6).cast("decimal(18,2)"))
     small = F.when((k % 5 == 4) | (k % 5 == 0), X.to_integer(text, "int2").cast("bigint"))
     return S.table(spark, sf_dir, "orders").select("o_orderkey", exact.alias("exact"), small.alias("small"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey // 1 * 1.0 WHEN 1 THEN -(o_orderkey // 1) * 1.0 END::DECIMAL(18,1) AS number FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey // 1 * 1.0 WHEN 1
+  THEN -(o_orderkey // 1) * 1.0 END::DECIMAL(18,1) AS number FROM orders"""
+)
 def d08_to_float(spark, sf_dir):
     k = F.col("o_orderkey")
-    text = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("-"), k.cast("string"), F.lit("e0"))).otherwise("1.2.3")
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", X.to_float(text, "float8").cast("decimal(18,1)").alias("number"))
+    text = F.when(k % 3 == 0, k.cast("string")).when(
+        k % 3 == 1, F.concat(F.lit("-"), k.cast("string"), F.lit("e0"))
+    ).otherwise("1.2.3")
+    return S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", X.to_float(text, "float8").cast("decimal(18,1)").alias("number")
+    )
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN true WHEN event_id % 7 IN (3, 4, 5) THEN false END AS flag FROM events")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN true WHEN event_id % 7 IN (3, 4, 5) THEN false
+  END AS flag FROM events"""
+)
 def d09_to_boolean(spark, sf_dir):
     words = F.array(*map(F.lit, ("Yes", " t ", "1", "NO", "f", "0", "maybe")))
-    return S.table(spark, sf_dir, "events").select("event_id", X.to_boolean(F.element_at(words, (F.col("event_id") % 7 + 1).cast("int"))).alias("flag"))
+    return S.table(spark, sf_dir, "events").select(
+        "event_id", X.to_boolean(F.element_at(words, (F.col("event_id") % 7 + 1).cast("int"))).alias("flag")
+    )
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS d FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS d FROM orders"""
+)
 def d10_to_date(spark, sf_dir):
     forms = ("yyyy-MM-dd", "yyyyMMdd", "d MMMM yyyy", "MMM d, yyyy", "dd MMM yyyy", "dd/MM/yyyy")
     k, text = F.col("o_orderkey"), F.date_format("o_orderdate", forms[0])
@@ -164,18 +275,29 @@ def d10_to_date(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").select("o_orderkey", X.to_date_strict(F.upper(text)).alias("d"))
 
 
-@query("""SELECT event_id, CASE event_id % 7 WHEN 3 THEN NULL WHEN 2 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('hour', ts) WHEN 6 THEN date_trunc('minute', ts)
+@query("""SELECT event_id, CASE event_id % 7 WHEN 3 THEN NULL WHEN 2 THEN date_trunc('day', ts) WHEN 4
+  THEN date_trunc('hour', ts) WHEN 6 THEN date_trunc('minute', ts)
 ELSE date_trunc('second', ts) END AS t FROM events""")
 def d11_to_timestamp(spark, sf_dir):
-    forms = ("yyyy-MM-dd'T'HH:mm:ss", "d MMMM yyyy HH:mm:ss", "MMMM d, yyyy", "dd/MM/yyyy HH:mm", "yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd HHmm")
+    forms = (
+        "yyyy-MM-dd'T'HH:mm:ss",
+        "d MMMM yyyy HH:mm:ss",
+        "MMMM d, yyyy",
+        "dd/MM/yyyy HH:mm",
+        "yyyy-MM-dd'T'HH",
+        "yyyyMMdd'T'HHmmss",
+        "yyyy-MM-dd HHmm",
+    )
     n, text = F.col("event_id") % 7, F.date_format("ts", forms[0])
     for k, form in enumerate(forms[1:], start=1):
         text = F.when(n == k, F.date_format("ts", form)).otherwise(text)
     return S.table(spark, sf_dir, "events").select("event_id", X.to_timestamp_strict(text, False).alias("t"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(date_trunc('minute', ts), '%H:%M:%S') WHEN 1 THEN strftime(ts, '%H:%M:%S') WHEN 3 THEN strftime(ts, '%H') || ':00:00'
-WHEN 4 THEN strftime(date_trunc('minute', ts), '%H:%M:%S') WHEN 5 THEN strftime(ts, '%H:%M:%S') || '+02:00' END AS t FROM events""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(date_trunc('minute', ts), '%H:%M:%S') WHEN 1
+  THEN strftime(ts, '%H:%M:%S') WHEN 3 THEN strftime(ts, '%H') || ':00:00'
+WHEN 4 THEN strftime(date_trunc('minute', ts), '%H:%M:%S') WHEN 5 THEN strftime(ts, '%H:%M:%S') || '+02:00' END AS t
+  FROM events""")
 def d12_to_time(spark, sf_dir):
     n, at = F.col("event_id") % 6, lambda form: F.date_format("ts", form)
     text = F.when(n == 0, at("HH:mm")).when(n == 1, at("HH:mm:ss")).when(n == 3, at("HH")).when(n == 4, at("HHmm"))
@@ -190,54 +312,110 @@ def d13_to_json(spark, sf_dir):
     return S.table(spark, sf_dir, "events").select("event_id", X.to_json_container(text).alias("j"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] END AS u FROM (SELECT c_custkey, md5(c_name) AS m FROM customer)""")
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 < 3
+  THEN m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] END AS u
+  FROM (SELECT c_custkey, md5(c_name) AS m FROM customer)"""
+)
 def d14_to_uuid(spark, sf_dir):
     n, m = F.col("c_custkey") % 4, F.md5(F.col("c_name").cast("binary"))
-    text = F.when(n == 0, m).when(n == 1, F.concat(F.lit("urn:uuid:"), m)).when(n == 2, F.concat(F.lit("{"), F.upper(m), F.lit("}"))).otherwise(F.substring(m, 2, 31))
+    text = F.when(n == 0, m).when(n == 1, F.concat(F.lit("urn:uuid:"), m)).when(
+        n == 2, F.concat(F.lit("{"), F.upper(m), F.lit("}"))
+    ).otherwise(F.substring(m, 2, 31))
     return S.table(spark, sf_dir, "customer").select("c_custkey", X.to_uuid(text).alias("u"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS label FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS label FROM orders"""
+)
 def d15_to_enum(spark, sf_dir):
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", X.to_enum(F.col("o_orderstatus"), ("F", "O")).alias("label"))
+    return S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", X.to_enum(F.col("o_orderstatus"), ("F", "O")).alias("label")
+    )
 
 
-@query("SELECT p_partkey, concat_ws('|', p_brand, p_type, CAST(p_size AS VARCHAR)) AS items FROM part")
+@query(
+    """SELECT p_partkey, concat_ws('|', p_brand, p_type, CAST(p_size AS VARCHAR)) AS items FROM part"""
+)
 def d16_to_array(spark, sf_dir):
     size = F.col("p_size").cast("string")
     plain = F.concat(F.lit("{"), "p_brand", F.lit(" , "), "p_type", F.lit(",,"), size, F.lit("}"))
     json = F.to_json(F.array("p_brand", "p_type", size))
-    return S.table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.array_items(F.when(F.col("p_partkey") % 2 == 0, plain).otherwise(json)), "|").alias("items"))
+    return S.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.array_join(X.array_items(F.when(F.col("p_partkey") % 2 == 0, plain).otherwise(json)), "|").alias("items"),
+    )
 
 
-@query("SELECT o_orderkey AS row_idx, CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even, '[' || o_custkey || ',' || o_orderkey || ']' AS pair FROM orders")
+@query(
+    """SELECT o_orderkey AS row_idx, CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) AS k, CASE
+  WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even, '[' || o_custkey || ',' || o_orderkey || ']' AS pair
+  FROM orders"""
+)
 def d17_as_text(spark, sf_dir):
     spec = TableSpec("t", (Field("k", "int8", at=1), Field("even", "bool", at=2), Field("pair", "_int8", at=3)))
-    df = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 2 == 0).alias("even"), F.array("o_custkey", "o_orderkey").alias("pair"))
+    df = S.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("doc_id"),
+        F.col("o_orderkey").alias("row_idx"),
+        F.col("o_orderkey").alias("k"),
+        (F.col("o_orderkey") % 2 == 0).alias("even"),
+        F.array("o_custkey", "o_orderkey").alias("pair"),
+    )
     return gate.as_text(df, spec)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, strftime(l_shipdate, '%Y-%m-%d') AS shipped, CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS even FROM lineitem")
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, strftime(l_shipdate, '%Y-%m-%d') AS shipped, CASE
+  WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS even FROM lineitem"""
+)
 def d19_render_cells(spark, sf_dir):
-    return S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.render_cell(F.col("l_quantity"), "double").alias("quantity"), X.render_cell(F.col("l_shipdate").cast("date"), "date").alias("shipped"), X.render_cell(F.col("l_linenumber") % 2 == 0, "boolean").alias("even"))
+    return S.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        X.render_cell(F.col("l_quantity"), "double").alias("quantity"),
+        X.render_cell(F.col("l_shipdate").cast("date"), "date").alias("shipped"),
+        X.render_cell(F.col("l_linenumber") % 2 == 0, "boolean").alias("even"),
+    )
 
 
-@query("""SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN w || '.' || c WHEN 1 THEN replace(g, ',', '.') || ',' || c WHEN 2 THEN g || '.' || c ELSE replace(g, ',', chr(160)) || ',' || c END AS money
-FROM (SELECT o_orderkey, o_custkey, CAST(o_orderkey * 37 AS VARCHAR) AS w, format('{:,}', o_orderkey * 37) AS g, lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS c FROM orders)""")
+@query("""SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN w || '.' || c WHEN 1 THEN replace(g, ',',
+  '.') || ',' || c WHEN 2 THEN g || '.' || c ELSE replace(g, ',', chr(160)) || ',' || c END AS money
+FROM (SELECT o_orderkey, o_custkey, CAST(o_orderkey * 37 AS VARCHAR) AS w, format('{:,}', o_orderkey * 37) AS g,
+  lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS c FROM orders)""")
 def l04_render(spark, sf_dir):
     amount = S.cents(F.col("o_orderkey") * 3700 + F.col("o_custkey") % 100)
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", S.by_locale(F.col("o_custkey"), lambda n: X.render_number(amount, 2, n)).alias("money"))
+    return S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", S.by_locale(F.col("o_custkey"), lambda n: X.render_number(amount, 2, n)).alias("money")
+    )
 
 
-_RULE_SPEC = TableSpec("orders", (Field("status", "text", 1), Field("priority", "text", 2), Field("a", "numeric", 3, scale=2), Field("b", "numeric", 4, scale=2), Field("c", "numeric", 5, scale=2)))
+_RULE_SPEC = TableSpec(
+    "orders",
+    (
+        Field("status", "text", 1),
+        Field("priority", "text", 2),
+        Field("a", "numeric", 3, scale=2),
+        Field("b", "numeric", 4, scale=2),
+        Field("c", "numeric", 5, scale=2),
+    ),
+)
 
 
-@query("""SELECT o_orderkey AS row_idx, 'c' AS "column", 'arithmetic' AS rule FROM orders WHERE o_orderkey % 31 = 0 OR o_orderkey % 29 IN (1, 2) UNION ALL SELECT o_orderkey, 'status', 'rejected_value' FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT o_orderkey, 'priority', 'pattern' FROM orders WHERE o_orderkey % 7 <> 0 AND NOT regexp_full_match(o_orderpriority, '[12]-.*') UNION ALL SELECT o_orderkey, 'priority', 'required' FROM orders WHERE o_orderkey % 7 = 0""")
+@query("""SELECT o_orderkey AS row_idx, 'c' AS "column", 'arithmetic' AS rule FROM orders WHERE o_orderkey % 31 = 0
+  OR o_orderkey % 29 IN (1, 2) UNION ALL SELECT o_orderkey, 'status', 'rejected_value' FROM orders
+  WHERE o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, 'priority', 'pattern' FROM orders WHERE o_orderkey % 7 <> 0
+  AND NOT regexp_full_match(o_orderpriority, '[12]-.*') UNION ALL SELECT o_orderkey, 'priority', 'required'
+  FROM orders WHERE o_orderkey % 7 = 0""")
 def e03_e07_rules(spark, sf_dir):
     # keys 29k+1 and 29k+2 hold amounts that only just fit the column; 29k+2's parts and sum differ by 2 in the last places, 29k+3's agree
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
-    large = lambda other, otherwise: F.when(k % 29 == 1, "1e31").when(k % 29 == 2, other).when(k % 29 == 3, "5" + "0" * 31).otherwise(otherwise)
+    large = lambda other, otherwise: F.when(k % 29 == 1, "1e31").when(k % 29 == 2, other).when(
+        k % 29 == 3, "5" + "0" * 31
+    ).otherwise(otherwise)
     text = lambda c: S.cents(c).cast("string")
     staged = S.table(spark, sf_dir, "orders").select(
         cust.alias("doc_id"),
@@ -245,9 +423,12 @@ def e03_e07_rules(spark, sf_dir):
         F.concat(F.lit(" "), F.lower("o_orderstatus")).alias("status"),
         F.when(k % 7 != 0, F.col("o_orderpriority")).alias("priority"),
         large("20000000000000000000000000000000", text(k)).alias("a"),
-        F.when(k % 29 == 3, "49999999999999999999999999999999.50").otherwise(large("20000000000000000000000000000000", text(cust))).alias("b"),
-        F.when(k % 29 == 1, "1e31").when(k % 29 == 2, "40000000000000000000000000000002").when((k % 29 == 3) & (k % 31 != 0), "99999999999999999999999999999999.50")
-        .otherwise(text(k + cust + F.when(k % 31 == 0, 2).otherwise(1))).alias("c"),
+        F.when(k % 29 == 3, "49999999999999999999999999999999.50").otherwise(
+            large("20000000000000000000000000000000", text(cust))
+        ).alias("b"),
+        F.when(k % 29 == 1, "1e31").when(k % 29 == 2, "40000000000000000000000000000002").when(
+            (k % 29 == 3) & (k % 31 != 0), "99999999999999999999999999999999.50"
+        ).otherwise(text(k + cust + F.when(k % 31 == 0, 2).otherwise(1))).alias("c"),
     )
     rules = (sums_to(("a", "b"), "c"), rejects("status", ("P",)), shaped("priority", "[12]-.*"), requires("priority"))
     return gate.findings(gate.gate(staged, _RULE_SPEC, rules, infer=False)).select("row_idx", "column", "rule")
@@ -257,45 +438,91 @@ def e03_e07_rules(spark, sf_dir):
 def e04_large_products(spark, sf_dir):
     """Products far beyond 18 digits, true and false ones; the finding's column or none for every row."""
     k = F.col("o_orderkey")
-    total = F.when(k % 5 == 0, "40000000000000").when(k % 5 == 1, "7").when(k % 5 == 2, F.concat((k * 4).cast("string"), F.lit("00000000000.00"))).when(k % 5 == 3, "1e31").otherwise("6.00")
-    left = F.when(k % 5 < 2, "20000000000000").when(k % 5 == 2, F.concat(k.cast("string"), F.lit("00000000000"))).when(k % 5 == 3, "1e31").otherwise("1.5")
+    total = F.when(k % 5 == 0, "40000000000000").when(k % 5 == 1, "7").when(
+        k % 5 == 2, F.concat((k * 4).cast("string"), F.lit("00000000000.00"))
+    ).when(k % 5 == 3, "1e31").otherwise("6.00")
+    left = F.when(k % 5 < 2, "20000000000000").when(
+        k % 5 == 2, F.concat(k.cast("string"), F.lit("00000000000"))
+    ).when(k % 5 == 3, "1e31").otherwise("1.5")
     right = F.when(k % 5 < 2, "2").when(k % 5 == 2, "4").when(k % 5 == 3, "1e31").otherwise("4")
-    spec = TableSpec("lines", tuple(Field(n, "numeric", at, scale=2) for at, n in enumerate(("quantity", "price", "total"))))
-    staged = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), left.alias("quantity"), right.alias("price"), total.alias("total"))
+    spec = TableSpec(
+        "lines", tuple(Field(n, "numeric", at, scale=2) for at, n in enumerate(("quantity", "price", "total")))
+    )
+    staged = S.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"),
+        k.alias("row_idx"),
+        left.alias("quantity"),
+        right.alias("price"),
+        total.alias("total"),
+    )
     held = gate.gate(staged, spec, (multiplies_to(("quantity", "price"), "total"),), infer=False)
     return held.select("row_idx", F.get(F.col("findings"), F.lit(0))["column"].alias("column"))
 
 
-@query("""SELECT o_custkey AS doc_id, o_orderkey AS row_idx, '{"invoice_number":"INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '","status":"' || o_orderstatus || '","total":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderkey || '.50"' END || '}' AS json FROM orders""")
+@query(
+    """SELECT o_custkey AS doc_id, o_orderkey AS row_idx,
+  '{"invoice_number":"INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9,
+  '0') || '","status":"' || o_orderstatus || '","total":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null'
+  ELSE '"' || o_orderkey || '.50"' END || '}' AS json FROM orders"""
+)
 def a09_json_rows(spark, sf_dir):
     k = F.col("o_orderkey")
-    staged = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_number"), F.col("o_orderstatus").alias("status"), F.when(k % 3 != 0, F.concat(k.cast("string"), F.lit(".50"))).alias("total"))
+    staged = S.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"),
+        k.alias("row_idx"),
+        F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_number"),
+        F.col("o_orderstatus").alias("status"),
+        F.when(k % 3 != 0, F.concat(k.cast("string"), F.lit(".50"))).alias("total"),
+    )
     return sinks.to_json_rows(gate.gate(staged, S.STATEMENT, infer=False), S.STATEMENT)
 
 
 # --- headers: every customer is a file with four headings ---
 
-_HEAD_SPEC = TableSpec("invoices", (Field("id", "int8", 1, required=True, made="identity"), Field("invoice_number", "varchar", 2, required=True), Field("issued_on", "date", 3), Field("total", "numeric", 4, scale=2)))
+_HEAD_SPEC = TableSpec(
+    "invoices",
+    (
+        Field("id", "int8", 1, required=True, made="identity"),
+        Field("invoice_number", "varchar", 2, required=True),
+        Field("issued_on", "date", 3),
+        Field("total", "numeric", 4, scale=2),
+    ),
+)
 
 
 def _headers(spark, sf_dir):
     k = F.col("c_custkey")
-    names = F.array(F.when(k % 2 == 0, "Invoice Number").otherwise("INVOICE-number"), F.when(k % 3 == 0, "Datum").otherwise(" issued_on "), F.when(k % 5 == 0, "Total").otherwise("Att betala"), F.when(k % 7 == 0, "total").otherwise("id"))
+    names = F.array(
+        F.when(k % 2 == 0, "Invoice Number").otherwise("INVOICE-number"),
+        F.when(k % 3 == 0, "Datum").otherwise(" issued_on "),
+        F.when(k % 5 == 0, "Total").otherwise("Att betala"),
+        F.when(k % 7 == 0, "total").otherwise("id"),
+    )
     return S.table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.posexplode(names).alias("position", "header"))
 
 
 def _aliases(spark, sf_dir):
-    return S.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("doc_id"), F.lit("Att betala").alias("header"), F.lit("total").alias("column"))
+    return S.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("doc_id"), F.lit("Att betala").alias("header"), F.lit("total").alias("column")
+    )
 
 
 _HEADS = """
-h AS (SELECT c_custkey AS doc_id, 0 AS position, CASE WHEN c_custkey % 2 = 0 THEN 'Invoice Number' ELSE 'INVOICE-number' END AS header FROM customer UNION ALL SELECT c_custkey, 1, CASE WHEN c_custkey % 3 = 0 THEN 'Datum' ELSE ' issued_on ' END FROM customer
-  UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 5 = 0 THEN 'Total' ELSE 'Att betala' END FROM customer UNION ALL SELECT c_custkey, 3, CASE WHEN c_custkey % 7 = 0 THEN 'total' ELSE 'id' END FROM customer),
-a AS (SELECT *, CASE WHEN header = 'Att betala' AND doc_id % 2 = 0 THEN 'total' WHEN header IN ('Invoice Number', 'INVOICE-number') THEN 'invoice_number' WHEN header = ' issued_on ' THEN 'issued_on' WHEN lower(header) = 'total' THEN 'total' END AS "column" FROM h)
+h AS (SELECT c_custkey AS doc_id, 0 AS position, CASE WHEN c_custkey % 2 = 0 THEN 'Invoice Number'
+  ELSE 'INVOICE-number' END AS header FROM customer UNION ALL SELECT c_custkey, 1, CASE WHEN c_custkey % 3 = 0
+  THEN 'Datum' ELSE ' issued_on ' END FROM customer
+  UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 5 = 0 THEN 'Total' ELSE 'Att betala' END FROM customer
+  UNION ALL SELECT c_custkey, 3, CASE WHEN c_custkey % 7 = 0 THEN 'total' ELSE 'id' END FROM customer),
+a AS (SELECT *, CASE WHEN header = 'Att betala' AND doc_id % 2 = 0 THEN 'total' WHEN header IN ('Invoice Number',
+  'INVOICE-number') THEN 'invoice_number' WHEN header = ' issued_on ' THEN 'issued_on' WHEN lower(header) = 'total'
+  THEN 'total' END AS "column" FROM h)
 """
 
 
-@query(f"""WITH {_HEADS} SELECT doc_id, position, header, "column", CASE WHEN header = 'Att betala' AND "column" IS NOT NULL THEN 'alias' WHEN "column" IS NOT NULL THEN 'spelling' END AS via FROM a""")
+@query(
+    f"""WITH {_HEADS} SELECT doc_id, position, header, "column", CASE WHEN header = 'Att betala'
+  AND "column" IS NOT NULL THEN 'alias' WHEN "column" IS NOT NULL THEN 'spelling' END AS via FROM a"""
+)
 def c02_align(spark, sf_dir):
     return headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir))
 
@@ -305,50 +532,93 @@ def c03_unmatched_headers(spark, sf_dir):
     return headers.unmatched_headers(headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)))
 
 
-@query(f"""WITH {_HEADS}, w AS (SELECT c_custkey AS doc_id, c.o AS ordinal, c.n AS "column" FROM customer, (VALUES (2, 'invoice_number'), (3, 'issued_on'), (4, 'total')) c(o, n)) SELECT w.* FROM w ANTI JOIN a ON w.doc_id = a.doc_id AND w."column" = a."column" """)
+@query(
+    f"""WITH {_HEADS}, w AS (SELECT c_custkey AS doc_id, c.o AS ordinal, c.n AS "column" FROM customer, (VALUES (2,
+  'invoice_number'), (3, 'issued_on'), (4, 'total')) c(o, n)) SELECT w.* FROM w ANTI JOIN a ON w.doc_id = a.doc_id
+  AND w."column" = a."column" """
+)
 def c03_missing_columns(spark, sf_dir):
-    return headers.missing_columns(headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)), _HEAD_SPEC)
+    return headers.missing_columns(
+        headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)), _HEAD_SPEC
+    )
 
 
-@query(f"""WITH {_HEADS} SELECT doc_id, 'claimed twice' AS problem, "column" AS name, string_agg(header, ', ' ORDER BY position) AS headers FROM a WHERE "column" IS NOT NULL GROUP BY doc_id, "column" HAVING count(*) > 1
-UNION ALL SELECT doc_id, 'repeated', lower(trim(header)), string_agg(header, ', ' ORDER BY position) FROM a GROUP BY doc_id, lower(trim(header)) HAVING count(*) > 1""")
+@query(f"""WITH {_HEADS} SELECT doc_id, 'claimed twice' AS problem, "column" AS name, string_agg(header, ', '
+  ORDER BY position) AS headers FROM a WHERE "column" IS NOT NULL GROUP BY doc_id, "column" HAVING count(*) > 1
+UNION ALL SELECT doc_id, 'repeated', lower(trim(header)), string_agg(header, ', ' ORDER BY position) FROM a
+  GROUP BY doc_id, lower(trim(header)) HAVING count(*) > 1""")
 def c04_header_conflicts(spark, sf_dir):
     return headers.header_conflicts(headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)))
 
 
-@query(f"""WITH {_HEADS}, u AS (SELECT doc_id, string_agg(header, '/' ORDER BY position) AS k FROM h WHERE header IN ('Datum', 'Att betala', 'id') GROUP BY doc_id) SELECT doc_id, 'Att betala' AS header, 'total' AS "column" FROM u WHERE k = 'Att betala/id'""")
+@query(
+    f"""WITH {_HEADS}, u AS (SELECT doc_id, string_agg(header, '/' ORDER BY position) AS k FROM h
+  WHERE header IN ('Datum', 'Att betala', 'id') GROUP BY doc_id) SELECT doc_id, 'Att betala' AS header,
+  'total' AS "column" FROM u WHERE k = 'Att betala/id'"""
+)
 def c05_lookup_aliases(spark, sf_dir):
     unmatched = headers.unmatched_headers(headers.align(_headers(spark, sf_dir), _HEAD_SPEC))
     seen = spark.createDataFrame([(-1, 0, "Att betala"), (-1, 1, "id")], "doc_id long, position int, header string")
-    learned = headers.heading_keys(seen, "t1").select("key", F.lit("Att betala").alias("header"), F.lit("total").alias("column"))
+    learned = headers.heading_keys(seen, "t1").select(
+        "key", F.lit("Att betala").alias("header"), F.lit("total").alias("column")
+    )
     return headers.lookup_aliases(unmatched, learned, "t1")
 
 
-@query("""SELECT c_custkey AS doc_id, 1 AS pair_no, 'Att betala' AS header, 'total' AS "column" FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 2, 'Datum', 'issued_on' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 3, 'id', 'total' FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 = 0""")
+@query(
+    """SELECT c_custkey AS doc_id, 1 AS pair_no, 'Att betala' AS header, 'total' AS "column" FROM customer
+  WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 2, 'Datum', 'issued_on' FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, 3, 'id', 'total' FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 = 0"""
+)
 def c06_clean_aliases(spark, sf_dir):
     pairs = F.array(*(F.struct(F.lit(n).alias("pair_no"), F.lit(h).alias("header"), F.lit(c).alias("column")) for n, h, c in ((1, "Att betala", "total"), (2, "Datum", "issued_on"), (3, "id", "total"), (4, "Datum", "none"), (5, "Nowhere", "total"), (6, "Datum", "nothing"))))
-    proposed = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(pairs).alias("p")).select("doc_id", "p.*")
+    proposed = S.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), F.explode(pairs).alias("p")
+    ).select("doc_id", "p.*")
     return headers.clean_aliases(proposed, _headers(spark, sf_dir), _HEAD_SPEC)
 
 
-@query("""SELECT c_custkey AS doc_id, c_custkey AS row_idx, 'INV-' || c_custkey AS invoice_number, CASE WHEN c_custkey % 3 <> 0 THEN '2026-01-05' END AS issued_on, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 7 = 0 THEN 'x' END AS total FROM customer""")
+@query(
+    """SELECT c_custkey AS doc_id, c_custkey AS row_idx, 'INV-' || c_custkey AS invoice_number, CASE
+  WHEN c_custkey % 3 <> 0 THEN '2026-01-05' END AS issued_on, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 2 = 0
+  THEN c_mktsegment WHEN c_custkey % 7 = 0 THEN 'x' END AS total FROM customer"""
+)
 def c07_to_staged(spark, sf_dir):
     k = F.col("c_custkey")
-    cells = F.array(F.concat(F.lit(" INV-"), k.cast("string")), F.when(k % 3 == 0, "").otherwise("2026-01-05"), F.col("c_mktsegment"), F.lit("x"))
+    cells = F.array(
+        F.concat(F.lit(" INV-"), k.cast("string")),
+        F.when(k % 3 == 0, "").otherwise("2026-01-05"),
+        F.col("c_mktsegment"),
+        F.lit("x"),
+    )
     grid = S.table(spark, sf_dir, "customer").select(k.alias("doc_id"), k.alias("row_idx"), cells.alias("cells"))
-    return headers.to_staged(grid, headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)), _HEAD_SPEC)
+    return headers.to_staged(
+        grid, headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)), _HEAD_SPEC
+    )
 
 
-@query(f"""WITH {_HEADS} SELECT doc_id, count("column") AS matched, 3 AS wanted, coalesce(string_agg(CASE WHEN "column" IS NULL THEN header END, ', ' ORDER BY position), '') AS ignored, 'id' AS database_fills, coalesce(string_agg(CASE WHEN header = 'Att betala' AND "column" IS NOT NULL THEN header END, ', ' ORDER BY position), '') AS aliased FROM a GROUP BY doc_id""")
+@query(
+    f"""WITH {_HEADS} SELECT doc_id, count("column") AS matched, 3 AS wanted, coalesce(string_agg(CASE
+  WHEN "column" IS NULL THEN header END, ', ' ORDER BY position), '') AS ignored, 'id' AS database_fills,
+  coalesce(string_agg(CASE WHEN header = 'Att betala' AND "column" IS NOT NULL THEN header END, ', '
+  ORDER BY position), '') AS aliased FROM a GROUP BY doc_id"""
+)
 def c09_match_report(spark, sf_dir):
     return headers.match_report(headers.align(_headers(spark, sf_dir), _HEAD_SPEC, _aliases(spark, sf_dir)), _HEAD_SPEC)
 
 
-@query("SELECT o_custkey AS doc_id, o_orderkey AS row_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'extra,k' ELSE 'extra' END AS phantoms, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_phantoms FROM orders")
+@query(
+    """SELECT o_custkey AS doc_id, o_orderkey AS row_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'extra,k' ELSE 'extra'
+  END AS phantoms, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_phantoms FROM orders"""
+)
 def c10_phantom_columns(spark, sf_dir):
     k = F.col("o_orderkey")
-    row = F.when(k % 2 == 0, F.create_map(F.lit("k"), F.lit("1"), F.lit("total"), F.lit("2"), F.lit("extra"), F.lit("3"))).otherwise(F.create_map(F.lit("extra"), F.lit("3"), F.lit("id"), F.lit("2")))
-    answers = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), row.alias("row"))
+    row = F.when(
+        k % 2 == 0, F.create_map(F.lit("k"), F.lit("1"), F.lit("total"), F.lit("2"), F.lit("extra"), F.lit("3"))
+    ).otherwise(F.create_map(F.lit("extra"), F.lit("3"), F.lit("id"), F.lit("2")))
+    answers = S.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), row.alias("row")
+    )
     return headers.phantom_columns(answers, _HEAD_SPEC).withColumn("phantoms", F.array_join("phantoms", ","))
 
 
@@ -357,40 +627,82 @@ def c10_phantom_columns(spark, sf_dir):
 
 def _columns(spark, sf_dir):
     k = F.col("p_partkey")
-    default = F.when(k % 5 == 0, "'draft'::text").when(k % 5 == 1, "now()").when(k % 5 == 2, F.when(k % 2 == 0, "-1").otherwise('"draft"')).when(k % 5 == 3, "TRUE")
+    default = F.when(k % 5 == 0, "'draft'::text").when(k % 5 == 1, "now()").when(
+        k % 5 == 2, F.when(k % 2 == 0, "-1").otherwise('"draft"')
+    ).when(k % 5 == 3, "TRUE")
     return S.table(spark, sf_dir, "part").select(
-        F.lit("public").alias("schema"), F.col("p_brand").alias("name"), k.cast("int").alias("ordinal"), F.col("p_name").alias("column"), F.when(F.col("p_size") % 2 == 0, "text").otherwise("int4").alias("data_type"), (k % 3 == 0).alias("nullable"),
-        (default.isNotNull() | (k % 35 == 4)).alias("has_default"), default.alias("default_expr"), (k % 11 == 0).alias("is_generated"), (k % 13 == 0).alias("is_identity"),
-    )
+        F.lit("public").alias("schema"),
+        F.col("p_brand").alias("name"),
+        k.cast("int").alias("ordinal"),
+        F.col("p_name").alias("column"),
+        F.when(F.col("p_size") % 2 == 0, "text").otherwise("int4").alias("data_type"),
+        (k % 3 == 0).alias("nullable"),
+        (default.isNotNull() | (k % 35 == 4)).alias("has_default"),
+        default.alias("default_expr"),
+        (k % 11 == 0).alias("is_generated"),
+        (k % 13 == 0).alias("is_identity"),
+    )
 
 
-@query("""SELECT 'public' AS "schema", p_brand AS name, CAST(p_partkey AS INTEGER) AS ordinal, p_name AS "column" FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 5 <> 1 AND p_partkey % 35 <> 4""")
+@query(
+    """SELECT 'public' AS "schema", p_brand AS name, CAST(p_partkey AS INTEGER) AS ordinal, p_name AS "column"
+  FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 5 <> 1 AND p_partkey % 35 <> 4"""
+)
 def b01_b02_extractable(spark, sf_dir):
     return schema.extractable(_columns(spark, sf_dir)).select("schema", "name", "ordinal", "column")
 
 
-@query("""SELECT 'public' AS "schema", p_brand AS name, 'changed' AS drift FROM part GROUP BY p_brand HAVING count_if(p_partkey % 100 = 7) > 0""")
+@query(
+    """SELECT 'public' AS "schema", p_brand AS name, 'changed' AS drift FROM part
+  GROUP BY p_brand HAVING count_if(p_partkey % 100 = 7) > 0"""
+)
 def b03_schema_drift(spark, sf_dir):
     old = _columns(spark, sf_dir)
     new = old.withColumn("data_type", F.when(F.col("ordinal") % 100 == 7, "json").otherwise(F.col("data_type")))
     return schema.schema_drift(old, new)
 
 
-@query("SELECT page_id AS id, 'org' AS kind FROM pages WHERE url LIKE '%.org/%' ORDER BY page_id LIMIT 20")
+@query(
+    """SELECT page_id AS id, 'org' AS kind FROM pages WHERE url LIKE '%.org/%' ORDER BY page_id LIMIT 20"""
+)
 def b05_select_cases(spark, sf_dir):
-    cases = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("url").like("%.org/%"), "org").otherwise("other").alias("kind"))
+    cases = S.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.when(F.col("url").like("%.org/%"), "org").otherwise("other").alias("kind")
+    )
     return schema.select_cases(cases, ["org"], None, 20)
 
 
-@query("""SELECT p_brand AS name, p_name AS "column", CASE p_partkey % 3 WHEN 0 THEN 'varchar' WHEN 1 THEN 'numeric' ELSE 'int4' END AS data_type, CAST(p_partkey AS INTEGER) AS ordinal, CASE p_partkey % 3 WHEN 0 THEN p_size END AS max_length, CASE p_partkey % 3 WHEN 1 THEN p_size % 7 WHEN 2 THEN 0 END AS numeric_scale FROM part WHERE p_partkey % 10 <> 0""")
+@query(
+    """SELECT p_brand AS name, p_name AS "column", CASE p_partkey % 3 WHEN 0 THEN 'varchar' WHEN 1 THEN 'numeric'
+  ELSE 'int4' END AS data_type, CAST(p_partkey AS INTEGER) AS ordinal, CASE p_partkey % 3 WHEN 0 THEN p_size
+  END AS max_length, CASE p_partkey % 3 WHEN 1 THEN p_size % 7 WHEN 2 THEN 0 END AS numeric_scale FROM part
+  WHERE p_partkey % 10 <> 0"""
+)
 def a05_column_specs(spark, sf_dir):
     k, p = F.col("p_partkey"), S.table(spark, sf_dir, "part")
-    mod = F.when(k % 3 == 0, F.col("p_size") + 4).when(k % 3 == 1, F.lit(12 * 65536) + F.col("p_size") % 7 + 4).otherwise(-1)
-    attributes = p.select(k.alias("attrelid"), F.lit("public").alias("schema"), F.col("p_brand").alias("name"), F.col("p_name").alias("attname"), k.alias("attnum"), (k % 3).alias("atttypid"), mod.cast("int").alias("atttypmod"), F.lit(True).alias("attnotnull"), (k % 10 == 0).alias("attisdropped"), F.lit("").alias("attidentity"), F.lit("").alias("attgenerated"), F.lit(None).cast("string").alias("description"))
+    mod = F.when(k % 3 == 0, F.col("p_size") + 4).when(
+        k % 3 == 1, F.lit(12 * 65536) + F.col("p_size") % 7 + 4
+    ).otherwise(-1)
+    attributes = p.select(
+        k.alias("attrelid"),
+        F.lit("public").alias("schema"),
+        F.col("p_brand").alias("name"),
+        F.col("p_name").alias("attname"),
+        k.alias("attnum"),
+        (k % 3).alias("atttypid"),
+        mod.cast("int").alias("atttypmod"),
+        F.lit(True).alias("attnotnull"),
+        (k % 10 == 0).alias("attisdropped"),
+        F.lit("").alias("attidentity"),
+        F.lit("").alias("attgenerated"),
+        F.lit(None).cast("string").alias("description"),
+    )
     types = spark.createDataFrame([(0, "varchar"), (1, "numeric"), (2, "int4")], "oid long, typname string")
     enums = spark.createDataFrame([], "enumtypid long, enumsortorder float, enumlabel string")
     defaults = p.where("p_partkey % 4 = 0").select(k.alias("adrelid"), k.alias("adnum"), F.lit("0").alias("expr"))
-    return schema.column_specs(attributes, types, enums, defaults).select("name", "column", "data_type", "ordinal", "max_length", "numeric_scale")
+    return schema.column_specs(attributes, types, enums, defaults).select(
+        "name", "column", "data_type", "ordinal", "max_length", "numeric_scale"
+    )
 
 
 # --- completeness ---
@@ -403,35 +715,48 @@ _BLANK = " || ".join(f"chr({ord(c)})" for c in X.WHITE)
 def _blanked(column: str) -> F.Column:
     """Every tenth document is nothing but line breaks and tabs, one in seven has them around its text."""
     k, text = F.col("doc_id"), F.col(column)
-    return F.when(k % 10 == 0, F.repeat(F.lit("\n\t\u00a0"), 60)).when(k % 7 == 0, F.concat(F.lit("\n\t\n"), text, F.lit("\u00a0\n"))).otherwise(text)
+    return F.when(k % 10 == 0, F.repeat(F.lit("\n\t\u00a0"), 60)).when(
+        k % 7 == 0, F.concat(F.lit("\n\t\n"), text, F.lit("\u00a0\n"))
+    ).otherwise(text)
 
 
-@query(f"""SELECT d.doc_id, -1 AS row_idx, 'empty' AS rule FROM documents d ANTI JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id
+@query(f"""SELECT d.doc_id, -1 AS row_idx, 'empty' AS rule FROM documents d ANTI JOIN (SELECT doc_id
+  FROM labels) l ON d.doc_id = l.doc_id
 WHERE d.doc_id % 10 <> 0 AND length(trim(d.text, {_BLANK})) >= 80""")
 def f01_empty(spark, sf_dir):
     texts = S.table(spark, sf_dir, "documents").select("doc_id", _blanked("text").alias("text"))
     return completeness.find_empty(texts, S.table(spark, sf_dir, "labels")).select("doc_id", "row_idx", "rule")
 
 
-@query("SELECT o_custkey AS doc_id, 'invoice_number' AS \"column\", 'INV-' AS prefix, 9 AS digits, count(*) AS n_rows FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY o_custkey")
+@query(
+    """SELECT o_custkey AS doc_id, 'invoice_number' AS \"column\", 'INV-' AS prefix, 9 AS digits, count(*) AS n_rows
+  FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY o_custkey"""
+)
 def f02_discover_key(spark, sf_dir):
     _, rows = S.statements(spark, sf_dir)
     return completeness.discover_key(rows, S.STATEMENT)
 
 
-@query(r"""SELECT DISTINCT doc_id, identifier FROM (SELECT doc_id, unnest(regexp_extract_all(text || CASE doc_id % 3 WHEN 0 THEN ' INV-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || 'X, INV-2' WHEN 1 THEN ' xINV-123456' ELSE '' END,
+@query(r"""SELECT DISTINCT doc_id, identifier FROM (SELECT doc_id, unnest(regexp_extract_all(text || CASE doc_id % 3
+  WHEN 0 THEN ' INV-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || 'X, INV-2' WHEN 1 THEN ' xINV-123456' ELSE '' END,
 '(?:^|[^A-Za-z0-9])([A-Za-z]{1,4}[-/]?[0-9]{4,})', 1)) AS identifier FROM documents)""")
 def f03_mentioned(spark, sf_dir):
     # a letter may follow an identifier, none may stand before it
     k = F.col("doc_id")
-    more = F.when(k % 3 == 0, F.concat(F.lit(" INV-"), F.lpad(k.cast("string"), 6, "0"), F.lit("X, INV-2"))).when(k % 3 == 1, " xINV-123456").otherwise("")
+    more = F.when(
+        k % 3 == 0, F.concat(F.lit(" INV-"), F.lpad(k.cast("string"), 6, "0"), F.lit("X, INV-2"))
+    ).when(k % 3 == 1, " xINV-123456").otherwise("")
     texts = S.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", more).alias("text"))
     return completeness.mentioned(texts).select("doc_id", "identifier")
 
 
-@query("""WITH t AS (SELECT o_custkey AS doc_id, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS i, o_orderkey % 11 = 0 AS gone FROM orders),
-c AS (SELECT doc_id, count(*) AS n, count_if(NOT gone) AS n_rows, count_if(gone) AS n_missing, list_sort(list(i) FILTER (WHERE gone)) AS m FROM t GROUP BY doc_id)
-SELECT doc_id, -1 AS row_idx, 'invoice_number' AS "column", 'incomplete' AS rule, 'the document names ' || n || ' and ' || n_rows || ' came back; missing: ' || array_to_string(m[1:6], ', ') || CASE WHEN n_missing > 6 THEN ', ...' ELSE '' END AS detail
+@query("""WITH t AS (SELECT o_custkey AS doc_id, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS i,
+  o_orderkey % 11 = 0 AS gone FROM orders),
+c AS (SELECT doc_id, count(*) AS n, count_if(NOT gone) AS n_rows, count_if(gone) AS n_missing,
+  list_sort(list(i) FILTER (WHERE gone)) AS m FROM t GROUP BY doc_id)
+SELECT doc_id, -1 AS row_idx, 'invoice_number' AS "column", 'incomplete' AS rule,
+  'the document names ' || n || ' and ' || n_rows || ' came back; missing: ' || array_to_string(m[1:6],
+  ', ') || CASE WHEN n_missing > 6 THEN ', ...' ELSE '' END AS detail
 FROM c WHERE n_missing > 0 AND (n_rows > 1 OR (n_rows = 1 AND n_missing >= 2))""")
 def f04_incomplete(spark, sf_dir):
     texts, rows = S.statements(spark, sf_dir)
@@ -442,31 +767,52 @@ def f04_incomplete(spark, sf_dir):
 
 
 def _pieces(spark, sf_dir):
-    f = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("a"), F.col("l_quantity").cast("bigint").cast("string").alias("b"), F.col("l_returnflag").alias("c"))
+    f = S.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("doc_id"),
+        F.col("l_linenumber").alias("n"),
+        F.col("l_partkey").cast("string").alias("a"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("b"),
+        F.col("l_returnflag").alias("c"),
+    )
     f = f.groupBy("doc_id", "n").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("c").alias("c"))
     cells = F.array(*(F.struct(F.lit(x).cast("double").alias("x"), F.col(c).alias("text")) for x, c in ((50, "a"), (300, "b"), (400, "c"))))
-    return f.select("doc_id", F.lit(1).alias("page"), (F.lit(700.0) - F.col("n") * 12.0).alias("y"), F.explode(cells).alias("c")).select("doc_id", "page", "y", "c.x", F.lit(20.0).alias("width"), F.lit(9.0).alias("font_size"), "c.text")
+    return f.select(
+        "doc_id", F.lit(1).alias("page"), (F.lit(700.0) - F.col("n") * 12.0).alias("y"), F.explode(cells).alias("c")
+    ).select("doc_id", "page", "y", "c.x", F.lit(20.0).alias("width"), F.lit(9.0).alias("font_size"), "c.text")
 
 
-@query("""SELECT doc_id, string_agg(a || ' | ' || b || ' | ' || c, chr(10) ORDER BY n) AS text FROM (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS n, min(CAST(l_partkey AS VARCHAR)) AS a, min(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS b, min(l_returnflag) AS c FROM lineitem GROUP BY 1, 2) GROUP BY doc_id""")
+@query(
+    """SELECT doc_id, string_agg(a || ' | ' || b || ' | ' || c, chr(10) ORDER BY n) AS text
+  FROM (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS n, min(CAST(l_partkey AS VARCHAR)) AS a,
+  min(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS b, min(l_returnflag) AS c FROM lineitem GROUP BY 1, 2)
+  GROUP BY doc_id"""
+)
 def g06_layout_text(spark, sf_dir):
     return layout.layout_text(_pieces(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS o, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, min(CAST(l_partkey AS VARCHAR)) AS a, min(l_returnflag) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber),
+@query("""WITH l AS (SELECT l_orderkey AS o, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r,
+  min(CAST(l_partkey AS VARCHAR)) AS a, min(l_returnflag) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber),
 n AS (SELECT o, max(r) AS m FROM l GROUP BY o),
-t AS (SELECT o, r * 2 AS place, CASE WHEN r <> 2 THEN a || ' | b | ' || c WHEN m >= 3 AND o % 4 IN (0, 3) THEN a || ' |  | ' || c ELSE a || ' | ' || c END AS x FROM l JOIN n USING (o)
+t AS (SELECT o, r * 2 AS place, CASE WHEN r <> 2 THEN a || ' | b | ' || c WHEN m >= 3 AND o % 4 IN (0, 3)
+  THEN a || ' |  | ' || c ELSE a || ' | ' || c END AS x FROM l JOIN n USING (o)
   UNION ALL SELECT o, 5, 'a note between' FROM n WHERE o % 4 = 2)
 SELECT CAST(o AS VARCHAR) AS doc_id, string_agg(x, chr(10) ORDER BY place) AS text FROM t GROUP BY o""")
 def g05_broken_grids(spark, sf_dir):
     """Orders as pages whose second line lacks its middle cell. By the order's number: a full table; a table in which a wide cell joins two
     columns; one that a line of text cuts above its third line; one whose third line has two cells in one column.
     """
-    li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(F.min(F.col("l_partkey").cast("string")).alias("a"), F.min("l_returnflag").alias("c"))
+    li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(
+        F.min(F.col("l_partkey").cast("string")).alias("a"), F.min("l_returnflag").alias("c")
+    )
     li = li.withColumn("r", F.dense_rank().over(Window.partitionBy("o").orderBy("l_linenumber")))
     form = F.col("o") % 4
-    cell = lambda x, width, text: F.struct(F.lit(x).cast("double").alias("x"), F.lit(width).cast("double").alias("width"), text.alias("text"))
-    plain = lambda b, c: F.array(cell(50, 20, F.col("a")), cell(300, b, F.lit("b")), cell(c, 4 if c < 400 else 20, F.col("c")))
+    cell = lambda x, width, text: F.struct(
+        F.lit(x).cast("double").alias("x"), F.lit(width).cast("double").alias("width"), text.alias("text")
+    )
+    plain = lambda b, c: F.array(
+        cell(50, 20, F.col("a")), cell(300, b, F.lit("b")), cell(c, 4 if c < 400 else 20, F.col("c"))
+    )
     third = F.col("r") == 3
     cells = (
         F.when(F.col("r") == 2, F.array(cell(50, 20, F.col("a")), cell(400, 20, F.col("c"))))
@@ -474,110 +820,201 @@ def g05_broken_grids(spark, sf_dir):
     )
     # form 1: the third line's middle cell reaches the last column, which so joins it; form 2: the lines from the third on stand lower
     y = 700.0 - F.col("r") * 12.0 - F.when((form == 2) & (F.col("r") >= 3), 12.0).otherwise(0.0)
-    pieces = li.select(F.col("o").cast("string").alias("doc_id"), y.alias("y"), F.explode(cells).alias("c")).select("doc_id", "y", "c.*")
-    note = li.where("o % 4 = 2").select(F.col("o").cast("string").alias("doc_id")).distinct().select("doc_id", F.lit(664.0).alias("y"), F.lit(50.0).alias("x"), F.lit(90.0).alias("width"), F.lit("a note between").alias("text"))
-    return layout.layout_text(pieces.unionByName(note).select("doc_id", F.lit(1).alias("page"), "y", "x", "width", F.lit(9.0).alias("font_size"), "text"))
+    pieces = li.select(
+        F.col("o").cast("string").alias("doc_id"), y.alias("y"), F.explode(cells).alias("c")
+    ).select("doc_id", "y", "c.*")
+    note = li.where("o % 4 = 2").select(F.col("o").cast("string").alias("doc_id")).distinct().select(
+        "doc_id",
+        F.lit(664.0).alias("y"),
+        F.lit(50.0).alias("x"),
+        F.lit(90.0).alias("width"),
+        F.lit("a note between").alias("text"),
+    )
+    return layout.layout_text(
+        pieces.unionByName(note).select(
+            "doc_id", F.lit(1).alias("page"), "y", "x", "width", F.lit(9.0).alias("font_size"), "text"
+        )
+    )
 
 
-@query("SELECT doc_id, (source = 'src1' OR doc_id % 9 = 0 OR doc_id % 10 = 0 OR trim(text) = '') AS needs_ocr FROM documents")
+@query(
+    """SELECT doc_id, (source = 'src1' OR doc_id % 9 = 0 OR doc_id % 10 = 0 OR trim(text) = '') AS needs_ocr
+  FROM documents"""
+)
 def g07_needs_ocr(spark, sf_dir):
     kind = F.when(F.col("source") == "src1", "image").otherwise("pdf").alias("kind")
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", kind, (F.col("doc_id") % 9 == 0).alias("encoding_issues"), _blanked("text").alias("text"))
+    docs = S.table(spark, sf_dir, "documents").select(
+        "doc_id", kind, (F.col("doc_id") % 9 == 0).alias("encoding_issues"), _blanked("text").alias("text")
+    )
     return layout.needs_ocr(docs).select("doc_id", "needs_ocr")
 
 
-@query(f"""SELECT doc_id, g - 1 AS rank, CASE WHEN g = 1 THEN 2 WHEN g = 2 THEN 1 ELSE g END AS page FROM (SELECT doc_id, unnest(range(1,
-CASE WHEN CASE WHEN doc_id % 10 = 0 THEN 0 ELSE length(trim(text, {_BLANK})) END < 40 * (3 + doc_id % 90) THEN 4 + doc_id % 90 ELSE 2 END)) AS g FROM documents)""")
+@query(f"""SELECT doc_id, g - 1 AS rank, CASE WHEN g = 1 THEN 2 WHEN g = 2 THEN 1 ELSE g END AS page
+  FROM (SELECT doc_id, unnest(range(1,
+CASE WHEN CASE WHEN doc_id % 10 = 0 THEN 0 ELSE length(trim(text, {_BLANK})) END < 40 * (3 + doc_id % 90)
+  THEN 4 + doc_id % 90 ELSE 2 END)) AS g FROM documents)""")
 def g07_pages_to_reread(spark, sf_dir):
     pages = (F.col("doc_id") % 90 + 3).alias("n_pages")
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", pages, _blanked("text").alias("ocr_text"), F.array(F.lit(2)).alias("flagged"))
+    docs = S.table(spark, sf_dir, "documents").select(
+        "doc_id", pages, _blanked("text").alias("ocr_text"), F.array(F.lit(2)).alias("flagged")
+    )
     return layout.pages_to_reread(docs)
 
 
 # --- around inference ---
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND trim(role) <> '' THEN '<instructions>' || chr(10) || role || '<\/instructions>' || chr(10) || '</instructions>' || chr(10) || chr(10) ELSE '' END || '<document>' || chr(10) || text || '<\/document>' || chr(10) || '</document>' AS prompt FROM conversations""")
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND trim(role) <> ''
+  THEN '<instructions>' || chr(10) || role || '<\/instructions>' || chr(10) || '</instructions>' || chr(10) || chr(10)
+  ELSE '' END || '<document>' || chr(10) || text || '<\/document>' || chr(10) || '</document>' AS prompt
+  FROM conversations"""
+)
 def h01_compose(spark, sf_dir):
     c = S.table(spark, sf_dir, "conversations")
     instructions = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit("</instructions>")))
-    return c.select("conv_id", "turn", inference.compose(F.concat("text", F.lit("</document>")), instructions).alias("prompt"))
+    return c.select(
+        "conv_id", "turn", inference.compose(F.concat("text", F.lit("</document>")), instructions).alias("prompt")
+    )
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 4 THEN NULL ELSE 0 END AS row_idx, CASE WHEN o_orderkey % 6 = 5 THEN '[' || o_orderstatus || ']' WHEN o_orderkey % 6 <> 4 THEN o_orderstatus END AS status,
-CASE WHEN o_orderkey % 6 = 4 THEN 'not JSON' END AS error FROM orders UNION ALL SELECT o_orderkey, 1, 'second', NULL FROM orders WHERE o_orderkey % 6 IN (1, 2)""")
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 4 THEN NULL ELSE 0 END AS row_idx, CASE
+  WHEN o_orderkey % 6 = 5 THEN '[' || o_orderstatus || ']' WHEN o_orderkey % 6 <> 4 THEN o_orderstatus
+  END AS status,
+CASE WHEN o_orderkey % 6 = 4 THEN 'not JSON' END AS error FROM orders UNION ALL SELECT o_orderkey, 1, 'second', NULL
+  FROM orders WHERE o_orderkey % 6 IN (1, 2)""")
 def h02_parse_answers(spark, sf_dir):
     k, row = F.col("o_orderkey"), lambda c: F.to_json(F.struct(c.alias("status")))
     plain, bracketed = row(F.col("o_orderstatus")), row(F.concat(F.lit("["), "o_orderstatus", F.lit("]")))
     two = F.concat(F.lit("["), plain, F.lit(', {"status": "second"}, 7]'))
-    text = F.when(k % 6 == 0, plain).when(k % 6 == 1, F.concat(F.lit("```json\n"), two, F.lit("\n```"))).when(k % 6 == 2, F.concat(F.lit('{"rows": '), two, F.lit("}")))
-    text = text.when(k % 6 == 3, F.concat(F.lit("Here you are: ["), plain, F.lit("] done"))).when(k % 6 == 5, bracketed).otherwise("I could not read it")
+    text = F.when(k % 6 == 0, plain).when(
+        k % 6 == 1, F.concat(F.lit("```json\n"), two, F.lit("\n```"))
+    ).when(k % 6 == 2, F.concat(F.lit('{"rows": '), two, F.lit("}")))
+    text = text.when(
+        k % 6 == 3, F.concat(F.lit("Here you are: ["), plain, F.lit("] done"))
+    ).when(k % 6 == 5, bracketed).otherwise("I could not read it")
     parsed = inference.parse_answers(S.table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text")))
     return parsed.select("doc_id", "row_idx", F.element_at("row", "status").alias("status"), "error")
 
 
-@query("""SELECT o_orderkey AS doc_id, g AS position, CASE g WHEN 0 THEN 'INSERT INTO t VALUES (' || o_orderkey || ')' ELSE 'insert into t values (2)' END AS statement FROM orders, (VALUES (0), (1)) v(g)""")
+@query(
+    """SELECT o_orderkey AS doc_id, g AS position, CASE g WHEN 0 THEN 'INSERT INTO t VALUES (' || o_orderkey || ')'
+  ELSE 'insert into t values (2)' END AS statement FROM orders, (VALUES (0), (1)) v(g)"""
+)
 def h03_split_inserts(spark, sf_dir):
-    text = F.concat(F.lit("```sql\nINSERT INTO t VALUES ("), F.col("o_orderkey").cast("string"), F.lit(");\nSELECT 1;\ninsert into t values (2);\n```"))
-    return inference.split_inserts(S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    text = F.concat(
+        F.lit("```sql\nINSERT INTO t VALUES ("),
+        F.col("o_orderkey").cast("string"),
+        F.lit(");\nSELECT 1;\ninsert into t values (2);\n```"),
+    )
+    return inference.split_inserts(
+        S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    )
 
 
-@query("""SELECT user_id AS doc_id, event_type AS model, event_id % 3 AS dialect_no, CAST(sum(CASE event_id % 3 WHEN 0 THEN a + 5 WHEN 1 THEN a - least(a, 7) ELSE a END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 3 END) AS BIGINT) AS output_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 7 WHEN 1 THEN least(a, 7) ELSE 0 END) AS BIGINT) AS cached_input_tokens, count(*) AS calls
+@query("""SELECT user_id AS doc_id, event_type AS model, event_id % 3 AS dialect_no, CAST(sum(CASE event_id % 3
+  WHEN 0 THEN a + 5 WHEN 1 THEN a - least(a, 7) ELSE a END) AS BIGINT) AS input_tokens, CAST(sum(CASE
+  WHEN event_id % 4 = 0 THEN 0 ELSE 3 END) AS BIGINT) AS output_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 7
+  WHEN 1 THEN least(a, 7) ELSE 0 END) AS BIGINT) AS cached_input_tokens, count(*) AS calls
 FROM (SELECT *, event_id * 13 % 5000 AS a FROM events) GROUP BY ALL""")
 def h05_normalise_usage(spark, sf_dir):
     n, a = F.col("event_id") % 3, F.col("event_id") * 13 % 5000
     out = F.when(F.col("event_id") % 4 == 0, -1).otherwise(3)
     raw = S.table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("doc_id"), F.col("event_type").alias("model"), F.when(n == 0, "blocks").when(n == 1, "chat").otherwise("local").alias("dialect"), F.when(n == 0, a).alias("input_tokens"), F.when(n == 0, out).alias("output_tokens"), F.lit(7).alias("cache_read"), F.lit(5).alias("cache_write"),
-        F.when(n == 1, a).alias("prompt_tokens"), F.when(n == 1, out).alias("completion_tokens"), F.lit(7).alias("cached_tokens"), F.when(n == 2, a).alias("prompt_eval_count"), F.when(n == 2, out).alias("eval_count"), n.alias("dialect_no"),
-    )
+        F.col("user_id").alias("doc_id"),
+        F.col("event_type").alias("model"),
+        F.when(n == 0, "blocks").when(n == 1, "chat").otherwise("local").alias("dialect"),
+        F.when(n == 0, a).alias("input_tokens"),
+        F.when(n == 0, out).alias("output_tokens"),
+        F.lit(7).alias("cache_read"),
+        F.lit(5).alias("cache_write"),
+        F.when(n == 1, a).alias("prompt_tokens"),
+        F.when(n == 1, out).alias("completion_tokens"),
+        F.lit(7).alias("cached_tokens"),
+        F.when(n == 2, a).alias("prompt_eval_count"),
+        F.when(n == 2, out).alias("eval_count"),
+        n.alias("dialect_no"),
+    )
     out = None
     for k in range(3):  # one pass each keeps the dialect beside the normalised record
-        part = spend.normalise_usage(raw.where(F.col("dialect_no") == k)).withColumn("dialect_no", F.lit(k).cast("bigint"))
+        part = spend.normalise_usage(raw.where(F.col("dialect_no") == k)).withColumn(
+            "dialect_no", F.lit(k).cast("bigint")
+        )
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "model", "dialect_no").agg(*(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens", "calls")))
+    return out.groupBy("doc_id", "model", "dialect_no").agg(
+        *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens", "calls"))
+    )
 
 
 # --- spend ---
 
 _USAGE = """
-u AS (SELECT user_id AS doc_id, event_type AS model, sum(t) AS i, sum(t % 700) AS o, sum(t % 90) AS c, count(*) AS calls FROM (SELECT *, event_id * 13 % 5000 AS t FROM events) GROUP BY ALL),
-p AS (SELECT model, length(model) AS n FROM (SELECT DISTINCT event_type AS model FROM events) WHERE model <> (SELECT max(event_type) FROM events)),
-m AS (SELECT u.*, p.n, CAST(i * n + o * n * 4 AS DECIMAL(38,6)) + CAST(c * n AS DECIMAL(38,6)) * CASE WHEN n % 2 = 0 THEN 0.5 ELSE 1 END AS micro FROM u LEFT JOIN p USING (model))
+u AS (SELECT user_id AS doc_id, event_type AS model, sum(t) AS i, sum(t % 700) AS o, sum(t % 90) AS c,
+  count(*) AS calls FROM (SELECT *, event_id * 13 % 5000 AS t FROM events) GROUP BY ALL),
+p AS (SELECT model, length(model) AS n FROM (SELECT DISTINCT event_type AS model FROM events)
+  WHERE model <> (SELECT max(event_type) FROM events)),
+m AS (SELECT u.*, p.n, CAST(i * n + o * n * 4 AS DECIMAL(38,6)) + CAST(c * n AS DECIMAL(38,6)) * CASE WHEN n % 2 = 0
+  THEN 0.5 ELSE 1 END AS micro FROM u LEFT JOIN p USING (model))
 """
 
 
-@query(f"WITH {_USAGE} SELECT doc_id, model, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(c AS BIGINT) AS cached_input_tokens, CAST(calls AS BIGINT) AS calls FROM u")
+@query(
+    f"""WITH {_USAGE} SELECT doc_id, model, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens,
+  CAST(c AS BIGINT) AS cached_input_tokens, CAST(calls AS BIGINT) AS calls FROM u"""
+)
 def i01_usage_by_model(spark, sf_dir):
     return spend.usage_by_model(S.usage(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE} SELECT doc_id, model, n IS NOT NULL AS priced, CAST(micro AS DECIMAL(30,6)) AS micro FROM m")
+@query(
+    f"""WITH {_USAGE} SELECT doc_id, model, n IS NOT NULL AS priced, CAST(micro AS DECIMAL(30,6)) AS micro FROM m"""
+)
 def i02_price_usage(spark, sf_dir):
     out = spend.price_usage(spend.usage_by_model(S.usage(spark, sf_dir)), S.prices(spark, sf_dir))
     return out.select("doc_id", "model", "priced", F.col("micro").cast("decimal(30,6)").alias("micro"))
 
 
-@query(f"WITH {_USAGE} SELECT doc_id, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(c) AS BIGINT) AS cached_input_tokens, CAST(sum(i + o + c) AS BIGINT) AS total_tokens, CASE WHEN count_if(n IS NULL) = 0 THEN CAST(CAST(round(sum(micro), 0) AS DECIMAL(30,0)) * 0.000001 AS DECIMAL(18,6)) END AS cost, count(*) AS n_models FROM m GROUP BY doc_id")
+@query(
+    f"""WITH {_USAGE} SELECT doc_id, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens,
+  CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(c) AS BIGINT) AS cached_input_tokens,
+  CAST(sum(i + o + c) AS BIGINT) AS total_tokens, CASE WHEN count_if(n IS NULL) = 0 THEN CAST(CAST(round(sum(micro),
+  0) AS DECIMAL(30,0)) * 0.000001 AS DECIMAL(18,6)) END AS cost, count(*) AS n_models FROM m GROUP BY doc_id"""
+)
 def i03_tally(spark, sf_dir):
-    return spend.tally(S.usage(spark, sf_dir), S.prices(spark, sf_dir)).withColumn("n_models", F.size("by_model")).drop("by_model")
+    return spend.tally(
+        S.usage(spark, sf_dir), S.prices(spark, sf_dir)
+    ).withColumn("n_models", F.size("by_model")).drop("by_model")
 
 
-@query(f"WITH {_USAGE} SELECT doc_id, model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(c AS BIGINT) AS cached_input_tokens, CAST(CAST(round(micro, 0) AS DECIMAL(30,0)) * 0.000001 AS DECIMAL(18,6)) AS cost FROM m")
+@query(
+    f"""WITH {_USAGE} SELECT doc_id, model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS input_tokens,
+  CAST(o AS BIGINT) AS output_tokens, CAST(c AS BIGINT) AS cached_input_tokens, CAST(CAST(round(micro,
+  0) AS DECIMAL(30,0)) * 0.000001 AS DECIMAL(18,6)) AS cost FROM m"""
+)
 def i04_spend_by_model(spark, sf_dir):
-    return spend.tally(S.usage(spark, sf_dir), S.prices(spark, sf_dir)).select("doc_id", F.explode("by_model").alias("m")).select("doc_id", "m.*")
+    return spend.tally(
+        S.usage(spark, sf_dir), S.prices(spark, sf_dir)
+    ).select("doc_id", F.explode("by_model").alias("m")).select("doc_id", "m.*")
 
 
 # --- scoring ---
 
 _ORDERS = """
-e AS (SELECT o_custkey AS doc_id, o_orderkey AS k, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS invoice_number, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, strftime(o_orderdate, '%Y-%m-%d') AS issued_on, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS note FROM orders)
+e AS (SELECT o_custkey AS doc_id, o_orderkey AS k, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 9,
+  '0') AS invoice_number, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total,
+  strftime(o_orderdate, '%Y-%m-%d') AS issued_on, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS note
+  FROM orders)
 """
 _CELLS = f"""{_ORDERS},
-cell AS (SELECT doc_id, k, c.n AS "column", c.p AS position, CASE WHEN k % 11 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'held' ELSE 'missing' END
-  WHEN k % 29 = 0 THEN CASE WHEN (k % 26 = 0 AND c.n = 'status') OR (k % 58 = 0 AND c.n = 'total') THEN 'flagged' WHEN k % 26 = 0 OR k % 58 = 0 THEN 'held' ELSE 'rejected' END
-  WHEN c.n = 'status' AND k % 13 = 0 THEN CASE WHEN k % 26 = 0 THEN 'flagged' ELSE 'wrong_silent' END WHEN c.n = 'total' AND k % 19 = 0 THEN CASE WHEN k % 58 = 0 THEN 'flagged' ELSE 'left_blank' END
-  WHEN c.n = 'note' AND k % 23 = 0 THEN CASE WHEN k % 4 = 0 THEN 'wrong_silent' ELSE 'invented' END WHEN c.n = 'invoice_number' THEN CASE WHEN k % 2 = 0 THEN 'wrong_silent' ELSE 'correct' END ELSE 'correct' END AS outcome
+cell AS (SELECT doc_id, k, c.n AS "column", c.p AS position, CASE WHEN k % 11 = 0 THEN CASE WHEN doc_id % 5 = 0
+  THEN 'held' ELSE 'missing' END
+  WHEN k % 29 = 0 THEN CASE WHEN (k % 26 = 0 AND c.n = 'status') OR (k % 58 = 0 AND c.n = 'total') THEN 'flagged'
+  WHEN k % 26 = 0 OR k % 58 = 0 THEN 'held' ELSE 'rejected' END
+  WHEN c.n = 'status' AND k % 13 = 0 THEN CASE WHEN k % 26 = 0 THEN 'flagged' ELSE 'wrong_silent' END
+  WHEN c.n = 'total' AND k % 19 = 0 THEN CASE WHEN k % 58 = 0 THEN 'flagged' ELSE 'left_blank' END
+  WHEN c.n = 'note' AND k % 23 = 0 THEN CASE WHEN k % 4 = 0 THEN 'wrong_silent' ELSE 'invented' END
+  WHEN c.n = 'invoice_number' THEN CASE WHEN k % 2 = 0 THEN 'wrong_silent' ELSE 'correct' END ELSE 'correct'
+  END AS outcome
   FROM e, (VALUES ('invoice_number', 0), ('status', 1), ('total', 2), ('issued_on', 3), ('note', 4)) c(n, p))
 """
 
@@ -585,115 +1022,197 @@ cell AS (SELECT doc_id, k, c.n AS "column", c.p AS position, CASE WHEN k % 11 =
 def _score_inputs(spark, sf_dir):
     e = S.expected_orders(spark, sf_dir)
     r = S.returned_orders(spark, sf_dir)
-    expected, returned = e.withColumn("key", scoring.row_key(e, "invoices")), r.withColumn("key", scoring.row_key(r, "invoices"))
+    expected, returned = e.withColumn(
+        "key", scoring.row_key(e, "invoices")
+    ), r.withColumn("key", scoring.row_key(r, "invoices"))
     reported = e.where("doc_id % 5 = 0").select("doc_id")
     return expected, returned, S.order_flags(spark, sf_dir), reported
 
 
-@query(f"WITH {_ORDERS} SELECT doc_id, k AS row_idx, c.n AS \"column\", CASE WHEN k % 11 = 0 THEN c.n = 'note' AND k % 4 <> 0 WHEN c.n = 'total' THEN k % 3 <> 0 ELSE true END AS correct FROM e, (VALUES ('invoice_number'), ('status'), ('total'), ('issued_on'), ('note')) c(n)")
+@query(
+    f"""WITH {_ORDERS} SELECT doc_id, k AS row_idx, c.n AS \"column\", CASE WHEN k % 11 = 0 THEN c.n = 'note'
+  AND k % 4 <> 0 WHEN c.n = 'total' THEN k % 3 <> 0 ELSE true END AS correct FROM e, (VALUES ('invoice_number'),
+  ('status'), ('total'), ('issued_on'), ('note')) c(n)"""
+)
 def j01_score_cells(spark, sf_dir):
     e = S.expected_orders(spark, sf_dir)
-    actual = e.where("k % 11 <> 0").withColumn("total", F.when(F.col("k") % 3 == 0, F.lit("0.01")).otherwise(F.col("total")))
+    actual = e.where("k % 11 <> 0").withColumn(
+        "total", F.when(F.col("k") % 3 == 0, F.lit("0.01")).otherwise(F.col("total"))
+    )
     return scoring.score_cells(e, actual, S.ORDER_COLUMNS).select("doc_id", "row_idx", "column", "correct")
 
 
-@query(f"WITH {_ORDERS} SELECT doc_id, k AS row_idx, c.n AS \"column\", c.n <> 'total' OR k % 3 <> 0 AS correct FROM e, (VALUES ('invoice_number'), ('status'), ('total'), ('issued_on'), ('note')) c(n)")
+@query(
+    f"""WITH {_ORDERS} SELECT doc_id, k AS row_idx, c.n AS \"column\", c.n <> 'total' OR k % 3 <> 0 AS correct
+  FROM e, (VALUES ('invoice_number'), ('status'), ('total'), ('issued_on'), ('note')) c(n)"""
+)
 def j01_score_gated_rows(spark, sf_dir):
     """Rows as the gate returns them against their texts: an amount counts in the spelling it was written in."""
     e = S.expected_orders(spark, sf_dir)
     staged = e.withColumn("total", F.when(F.col("k") % 3 == 0, F.concat("total", F.lit("0"))).otherwise(F.col("total")))
-    return scoring.score_cells(e, gate.gate(staged, S.ORDERS, infer=False), S.ORDER_COLUMNS).select("doc_id", "row_idx", "column", "correct")
+    return scoring.score_cells(
+        e, gate.gate(staged, S.ORDERS, infer=False), S.ORDER_COLUMNS
+    ).select("doc_id", "row_idx", "column", "correct")
 
 
-@query(f"WITH {_ORDERS}, w AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM e WHERE k % 3 = 0) SELECT doc_id, n, k AS row_idx, 'total' AS \"column\" FROM w WHERE n <= 8")
+@query(
+    f"""WITH {_ORDERS}, w AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM e
+  WHERE k % 3 = 0) SELECT doc_id, n, k AS row_idx, 'total' AS \"column\" FROM w WHERE n <= 8"""
+)
 def j03_wrong_examples(spark, sf_dir):
     e = S.expected_orders(spark, sf_dir)
     actual = e.withColumn("total", F.when(F.col("k") % 3 == 0, F.lit("0.01")).otherwise(F.col("total")))
-    return scoring.wrong_examples(scoring.score_cells(e, actual, S.ORDER_COLUMNS)).select("doc_id", F.col("n").cast("bigint").alias("n"), "row_idx", "column")
+    return scoring.wrong_examples(scoring.score_cells(e, actual, S.ORDER_COLUMNS)).select(
+        "doc_id", F.col("n").cast("bigint").alias("n"), "row_idx", "column"
+    )
 
 
 def _results(spark, sf_dir):
     e = S.expected_orders(spark, sf_dir)
     actual = e.withColumn("total", F.when(F.col("k") % 3 == 0, F.lit("0.01")).otherwise(F.col("total")))
     flags = e.where("k % 9 = 0").select("doc_id")
-    cases = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 50 == 0, "timeout").alias("error"), F.lit(0).alias("expected_flags"))
+    cases = S.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.when(F.col("c_custkey") % 50 == 0, "timeout").alias("error"),
+        F.lit(0).alias("expected_flags"),
+    )
     return scoring.case_results(cases, scoring.score_cells(e, actual, S.ORDER_COLUMNS), flags)
 
 
-_RESULTS = """r AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 50 = 0 THEN 'timeout' END AS error, count(o_orderkey) * 5 AS cells, count(o_orderkey) * 5 - count_if(o_orderkey % 3 = 0) AS correct, count_if(o_orderkey % 9 = 0) AS flags FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"""
+_RESULTS = """r AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 50 = 0 THEN 'timeout' END AS error,
+  count(o_orderkey) * 5 AS cells, count(o_orderkey) * 5 - count_if(o_orderkey % 3 = 0) AS correct,
+  count_if(o_orderkey % 9 = 0) AS flags FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"""
 
 
-@query(f"WITH {_RESULTS} SELECT doc_id, error, cells, correct, flags, error IS NULL AND cells > 0 AND cells = correct AND flags = 0 AS clean FROM r")
+@query(
+    f"""WITH {_RESULTS} SELECT doc_id, error, cells, correct, flags, error IS NULL AND cells > 0 AND cells = correct
+  AND flags = 0 AS clean FROM r"""
+)
 def j04_case_results(spark, sf_dir):
     return _results(spark, sf_dir).select("doc_id", "error", "cells", "correct", "flags", "clean")
 
 
-@query(f"""WITH {_RESULTS}, t AS (SELECT doc_id, CAST(grouping(doc_id) AS TINYINT) AS is_total, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(doc_id % 100) AS BIGINT) AS ms, CASE WHEN count_if(doc_id % 10 = 0) = 0 THEN CAST(sum(CAST(doc_id AS DECIMAL(18,6))) AS DECIMAL(28,6)) END AS cost,
-count_if(error IS NULL AND cells > 0 AND cells = correct AND flags = 0) AS passed, count(*) AS total FROM r GROUP BY ROLLUP (doc_id))
-SELECT *, CASE WHEN cells > 0 THEN CAST((correct * 2000 + cells) // (cells * 2) // 10 AS VARCHAR) || '.' || CAST((correct * 2000 + cells) // (cells * 2) % 10 AS VARCHAR) || '%' ELSE 'n/a' END AS share FROM t""")
+@query(f"""WITH {_RESULTS}, t AS (SELECT doc_id, CAST(grouping(doc_id) AS TINYINT) AS is_total,
+  CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(cells) AS BIGINT) AS cells,
+  CAST(sum(doc_id % 100) AS BIGINT) AS ms, CASE WHEN count_if(doc_id % 10 = 0) = 0
+  THEN CAST(sum(CAST(doc_id AS DECIMAL(18,6))) AS DECIMAL(28,6)) END AS cost,
+count_if(error IS NULL AND cells > 0 AND cells = correct AND flags = 0) AS passed, count(*) AS total FROM r
+  GROUP BY ROLLUP (doc_id))
+SELECT *, CASE WHEN cells > 0
+  THEN CAST((correct * 2000 + cells) // (cells * 2) // 10 AS VARCHAR) || '.' || CAST((correct * 2000 + cells) // (cells * 2) % 10 AS VARCHAR) || '%'
+  ELSE 'n/a' END AS share FROM t""")
 def j05_evaluation_report(spark, sf_dir):
     k = F.col("doc_id")
-    r = _results(spark, sf_dir).withColumn("ms", k % 100).withColumn("tokens", F.lit(0)).withColumn("cost", F.when(k % 10 != 0, k.cast("decimal(18,6)")))
+    r = _results(spark, sf_dir).withColumn("ms", k % 100).withColumn("tokens", F.lit(0)).withColumn(
+        "cost", F.when(k % 10 != 0, k.cast("decimal(18,6)"))
+    )
     return scoring.evaluation_report(r).drop("tokens").withColumn("cost", F.col("cost").cast("decimal(28,6)"))
 
 
-@query(f"WITH {_ORDERS} SELECT doc_id, k AS row_idx, 'inv' || lpad(CAST(k AS VARCHAR), 9, '0') AS key FROM e")
+@query(
+    f"""WITH {_ORDERS} SELECT doc_id, k AS row_idx, 'inv' || lpad(CAST(k AS VARCHAR), 9, '0') AS key FROM e"""
+)
 def j06_row_key(spark, sf_dir):
     e = S.expected_orders(spark, sf_dir).withColumn("invoice_number", F.regexp_replace("invoice_number", "-", "._ -"))
     return e.select("doc_id", "row_idx", scoring.row_key(e, "invoices").alias("key"))
 
 
-@query(f"WITH {_ORDERS} SELECT doc_id, k AS e_idx, CASE WHEN k % 11 <> 0 THEN k * 2 END AS r_idx FROM e")
+@query(
+    f"""WITH {_ORDERS} SELECT doc_id, k AS e_idx, CASE WHEN k % 11 <> 0 THEN k * 2 END AS r_idx FROM e"""
+)
 def j07_pair_rows(spark, sf_dir):
     expected, returned, _, _ = _score_inputs(spark, sf_dir)
     return scoring.pair_rows(expected, returned)
 
 
-@query(f"WITH {_ORDERS} SELECT doc_id, count(*) AS n_expected, CAST(sum(CASE WHEN k % 11 = 0 THEN 0 WHEN k % 17 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_returned, count_if(k % 11 <> 0) AS n_matched, count_if(k % 11 <> 0 AND k % 17 = 0) AS n_extra FROM e GROUP BY doc_id")
+@query(
+    f"""WITH {_ORDERS} SELECT doc_id, count(*) AS n_expected, CAST(sum(CASE WHEN k % 11 = 0 THEN 0 WHEN k % 17 = 0
+  THEN 2 ELSE 1 END) AS BIGINT) AS n_returned, count_if(k % 11 <> 0) AS n_matched, count_if(k % 11 <> 0
+  AND k % 17 = 0) AS n_extra FROM e GROUP BY doc_id"""
+)
 def j07_pair_counts(spark, sf_dir):
     expected, returned, _, _ = _score_inputs(spark, sf_dir)
     return scoring.pair_counts(expected, returned)
 
 
-@query("SELECT o_orderkey, o_orderkey % 2 = 0 AS number, o_orderkey % 3 <> 0 AS day, true AS words, o_orderkey % 4 = 1 AS nothing FROM orders")
+@query(
+    """SELECT o_orderkey, o_orderkey % 2 = 0 AS number, o_orderkey % 3 <> 0 AS day, true AS words,
+  o_orderkey % 4 = 1 AS nothing FROM orders"""
+)
 def j08_same_value(spark, sf_dir):
     k, total = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return S.table(spark, sf_dir, "orders").select(
-        "o_orderkey", scoring.same_value(total, F.when(k % 2 == 0, F.concat(total, F.lit("0"))).otherwise("n/a"), "numeric").alias("number"), scoring.same_value(day, F.when(k % 3 == 0, "1900-01-01").otherwise(F.concat(day, F.lit("T10:00"))), "date").alias("day"),
-        scoring.same_value(F.concat(F.lit(" "), "o_orderpriority"), F.upper(F.regexp_replace("o_orderpriority", "-", "-")), "text").alias("words"), scoring.same_value(F.when(k % 4 == 0, "x"), F.when(k % 4 >= 2, "x"), "text").alias("nothing"),
-    ).withColumn("nothing", F.col("nothing") & (k % 4 == 1))
+        "o_orderkey",
+        scoring.same_value(
+            total, F.when(k % 2 == 0, F.concat(total, F.lit("0"))).otherwise("n/a"), "numeric"
+        ).alias("number"),
+        scoring.same_value(
+            day, F.when(k % 3 == 0, "1900-01-01").otherwise(F.concat(day, F.lit("T10:00"))), "date"
+        ).alias("day"),
+        scoring.same_value(
+            F.concat(F.lit(" "), "o_orderpriority"), F.upper(F.regexp_replace("o_orderpriority", "-", "-")), "text"
+        ).alias("words"),
+        scoring.same_value(F.when(k % 4 == 0, "x"), F.when(k % 4 >= 2, "x"), "text").alias("nothing"),
+    ).withColumn("nothing", F.col("nothing") & (k % 4 == 1))
 
 
-@query(f"""WITH {_FACTS} SELECT DISTINCT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx, c AS "column" FROM (SELECT doc, row_idx, "column" AS c FROM found UNION ALL SELECT doc, row_idx, x FROM found, (VALUES ('quantity'), ('unit_price'), ('line_total')) v(x) WHERE rule = 'arithmetic')""")
+@query(
+    f"""WITH {_FACTS} SELECT DISTINCT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx, c AS "column"
+  FROM (SELECT doc, row_idx, "column" AS c FROM found UNION ALL SELECT doc, row_idx, x FROM found,
+  (VALUES ('quantity'), ('unit_price'), ('line_total')) v(x) WHERE rule = 'arithmetic')"""
+)
 def j09_widen_flags(spark, sf_dir):
     return scoring.widen_flags(gate.findings(_gated(spark, sf_dir)), S.LINE_RULES)
 
 
-@query(f'WITH {_CELLS} SELECT doc_id, k AS e_idx, "column", outcome FROM cell')
+@query(
+    f"""WITH {_CELLS} SELECT doc_id, k AS e_idx, "column", outcome FROM cell"""
+)
 def j10_cell_outcomes(spark, sf_dir):
     expected, returned, flags, reported = _score_inputs(spark, sf_dir)
-    return scoring.cell_outcomes(expected, returned, flags, reported, S.ORDERS, S.ORDER_COLUMNS).select("doc_id", "e_idx", "column", "outcome")
+    return scoring.cell_outcomes(
+        expected, returned, flags, reported, S.ORDERS, S.ORDER_COLUMNS
+    ).select("doc_id", "e_idx", "column", "outcome")
 
 
 def _scores(spark, sf_dir):
     expected, returned, flags, reported = _score_inputs(spark, sf_dir)
     outcomes = scoring.cell_outcomes(expected, returned, flags, reported, S.ORDERS, S.ORDER_COLUMNS)
-    docs = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 2).alias("expected_flags"))
+    docs = S.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 2).alias("expected_flags")
+    )
     found = expected.where("k % 16 = 0").select("doc_id", F.lit("arithmetic").alias("rule"))
     return scoring.document_scores(outcomes, expected, returned, flags, found, docs)
 
 
 _SCORES = f"""{_CELLS},
-s AS (SELECT doc_id, count(*) AS cells, count_if(outcome = 'correct') AS correct, count_if(outcome = 'flagged') AS flagged, count_if(outcome = 'held') AS held, count_if(outcome = 'rejected') AS rejected, count_if(outcome = 'missing') AS missing, count_if(outcome = 'left_blank') AS left_blank, count_if(outcome = 'invented') AS invented, count_if(outcome = 'wrong_silent') AS wrong_silent FROM cell GROUP BY doc_id),
-d AS (SELECT c_custkey AS doc_id, c_custkey % 2 AS expected_flags, cells, correct, flagged, held, rejected, missing, left_blank, invented, wrong_silent, n_expected, n_returned, n_matched, n_returned - n_matched AS n_extra, n_returned - n_rejected AS n_inserted, n_rejected, n_flags + n_arith AS flags, CASE WHEN c_custkey % 2 > 0 THEN n_arith > 0 END AS caught
-  FROM customer LEFT JOIN s ON doc_id = c_custkey LEFT JOIN (SELECT doc_id, count(*) AS n_expected, count_if(k % 11 <> 0) AS n_matched, sum(m) AS n_returned, sum(CASE WHEN k % 29 = 0 THEN m ELSE 0 END) AS n_rejected, sum(CASE WHEN k % 26 = 0 THEN m ELSE 0 END) + sum(CASE WHEN k % 58 = 0 THEN m ELSE 0 END) AS n_flags, count_if(k % 16 = 0) AS n_arith
-    FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 0 WHEN k % 17 = 0 THEN 2 ELSE 1 END AS m FROM e) GROUP BY doc_id) q USING (doc_id))
+s AS (SELECT doc_id, count(*) AS cells, count_if(outcome = 'correct') AS correct,
+  count_if(outcome = 'flagged') AS flagged, count_if(outcome = 'held') AS held,
+  count_if(outcome = 'rejected') AS rejected, count_if(outcome = 'missing') AS missing,
+  count_if(outcome = 'left_blank') AS left_blank, count_if(outcome = 'invented') AS invented,
+  count_if(outcome = 'wrong_silent') AS wrong_silent FROM cell GROUP BY doc_id),
+d AS (SELECT c_custkey AS doc_id, c_custkey % 2 AS expected_flags, cells, correct, flagged, held, rejected, missing,
+  left_blank, invented, wrong_silent, n_expected, n_returned, n_matched, n_returned - n_matched AS n_extra,
+  n_returned - n_rejected AS n_inserted, n_rejected, n_flags + n_arith AS flags, CASE WHEN c_custkey % 2 > 0
+  THEN n_arith > 0 END AS caught
+  FROM customer LEFT JOIN s ON doc_id = c_custkey LEFT JOIN (SELECT doc_id, count(*) AS n_expected,
+  count_if(k % 11 <> 0) AS n_matched, sum(m) AS n_returned, sum(CASE WHEN k % 29 = 0 THEN m
+  ELSE 0 END) AS n_rejected, sum(CASE WHEN k % 26 = 0 THEN m ELSE 0 END) + sum(CASE WHEN k % 58 = 0 THEN m
+  ELSE 0 END) AS n_flags, count_if(k % 16 = 0) AS n_arith
+    FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 0 WHEN k % 17 = 0 THEN 2 ELSE 1 END AS m FROM e)
+  GROUP BY doc_id) q USING (doc_id))
 """
-_COUNTS = ["cells", *scoring.OUTCOMES, "n_expected", "n_returned", "n_matched", "n_extra", "n_inserted", "n_rejected", "flags"]
+_COUNTS = [
+    "cells", *scoring.OUTCOMES, "n_expected", "n_returned", "n_matched", "n_extra", "n_inserted", "n_rejected", "flags"
+]
 
 
-@query(f"WITH {_SCORES} SELECT doc_id, expected_flags, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in _COUNTS)}, CASE WHEN doc_id % 2 > 0 THEN coalesce(caught, false) END AS caught FROM d")
+@query(
+    f"""WITH {_SCORES} SELECT doc_id, expected_flags,
+  {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in _COUNTS)}, CASE WHEN doc_id % 2 > 0
+  THEN coalesce(caught, false) END AS caught FROM d"""
+)
 def j11_document_scores(spark, sf_dir):
     return _scores(spark, sf_dir)
 
@@ -701,94 +1220,205 @@ def j11_document_scores(spark, sf_dir):
 
 def _run_scores(spark, sf_dir):
     k = F.col("doc_id")
-    return _scores(spark, sf_dir).select("*", F.lit("m").alias("model"), F.format_string("a%d", k % 3).alias("approach"), F.when(k % 10 == 0, "tabular").otherwise("invoice").alias("kind"), (k % 77 == 0).alias("unsupported"), (k % 101).cast("int").alias("ms"), (k * 3).alias("input_tokens"), k.alias("output_tokens"), F.when((k % 3 != 2) | (k % 40 != 2), k.cast("decimal(18,6)")).alias("cost"))
+    return _scores(spark, sf_dir).select(
+        "*",
+        F.lit("m").alias("model"),
+        F.format_string("a%d", k % 3).alias("approach"),
+        F.when(k % 10 == 0, "tabular").otherwise("invoice").alias("kind"),
+        (k % 77 == 0).alias("unsupported"),
+        (k % 101).cast("int").alias("ms"),
+        (k * 3).alias("input_tokens"),
+        k.alias("output_tokens"),
+        F.when((k % 3 != 2) | (k % 40 != 2), k.cast("decimal(18,6)")).alias("cost"),
+    )
 
 
-@query(f"""WITH {_SCORES} SELECT CASE WHEN doc_id % 77 = 0 THEN 'unsupported' WHEN doc_id % 10 = 0 THEN 'tabular' ELSE 'documents' END AS part, 'a' || (doc_id % 3) AS approach, count(*) AS docs, CAST(coalesce(sum(cells), 0) AS BIGINT) AS cells, CAST(coalesce(sum(correct), 0) AS BIGINT) AS correct, CAST(coalesce(sum(wrong_silent), 0) AS BIGINT) AS wrong_silent, CAST(coalesce(sum(n_inserted), 0) AS BIGINT) AS n_inserted,
-coalesce(count_if(caught), 0) AS caught, count_if(expected_flags > 0) AS broken, CAST(floor(median(doc_id % 101)) AS BIGINT) AS median_ms, CAST(sum(doc_id * 3) AS BIGINT) AS input_tokens, CASE WHEN count_if(doc_id % 3 = 2 AND doc_id % 40 = 2) > 0 THEN 'unpriced' ELSE CAST(CAST(sum(CAST(doc_id AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS VARCHAR) END AS cost FROM d GROUP BY 1, 2""")
+@query(f"""WITH {_SCORES} SELECT CASE WHEN doc_id % 77 = 0 THEN 'unsupported' WHEN doc_id % 10 = 0 THEN 'tabular'
+  ELSE 'documents' END AS part, 'a' || (doc_id % 3) AS approach, count(*) AS docs, CAST(coalesce(sum(cells),
+  0) AS BIGINT) AS cells, CAST(coalesce(sum(correct), 0) AS BIGINT) AS correct, CAST(coalesce(sum(wrong_silent),
+  0) AS BIGINT) AS wrong_silent, CAST(coalesce(sum(n_inserted), 0) AS BIGINT) AS n_inserted,
+coalesce(count_if(caught), 0) AS caught, count_if(expected_flags > 0) AS broken,
+  CAST(floor(median(doc_id % 101)) AS BIGINT) AS median_ms, CAST(sum(doc_id * 3) AS BIGINT) AS input_tokens, CASE
+  WHEN count_if(doc_id % 3 = 2 AND doc_id % 40 = 2) > 0 THEN 'unpriced'
+  ELSE CAST(CAST(sum(CAST(doc_id AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS VARCHAR) END AS cost FROM d GROUP BY 1, 2""")
 def j12_benchmark_report(spark, sf_dir):
-    return scoring.benchmark_report(_run_scores(spark, sf_dir)).select("part", "approach", "docs", "cells", "correct", "wrong_silent", "n_inserted", "caught", "broken", "median_ms", "input_tokens", "cost")
+    return scoring.benchmark_report(_run_scores(spark, sf_dir)).select(
+        "part",
+        "approach",
+        "docs",
+        "cells",
+        "correct",
+        "wrong_silent",
+        "n_inserted",
+        "caught",
+        "broken",
+        "median_ms",
+        "input_tokens",
+        "cost",
+    )
 
 
-@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
+@query(
+    """SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL"""
+)
 def j13_frequency(spark, sf_dir):
     return scoring.frequency(S.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
 
 
-@query("SELECT approach, n, doc_id, text FROM (SELECT approach, doc_id, text, row_number() OVER (PARTITION BY approach ORDER BY doc_id, p) AS n FROM (SELECT o_orderpriority AS approach, o_orderkey AS doc_id, 0 AS p, o_orderstatus AS text FROM orders UNION ALL SELECT o_orderpriority, o_orderkey, 1, 'k' || o_orderkey FROM orders)) WHERE n <= 10")
+@query(
+    """SELECT approach, n, doc_id, text FROM (SELECT approach, doc_id, text,
+  row_number() OVER (PARTITION BY approach ORDER BY doc_id, p) AS n FROM (SELECT o_orderpriority AS approach,
+  o_orderkey AS doc_id, 0 AS p, o_orderstatus AS text FROM orders UNION ALL SELECT o_orderpriority, o_orderkey, 1,
+  'k' || o_orderkey FROM orders)) WHERE n <= 10"""
+)
 def j14_approach_examples(spark, sf_dir):
-    o = S.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("approach"), F.col("o_orderkey").alias("doc_id"), F.array(F.col("o_orderstatus"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string"))).alias("texts"))
+    o = S.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("approach"),
+        F.col("o_orderkey").alias("doc_id"),
+        F.array(F.col("o_orderstatus"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string"))).alias("texts"),
+    )
     return scoring.approach_examples(o).select("approach", F.col("n").cast("bigint").alias("n"), "doc_id", "text")
 
 
 
 _SHARED = ("correct", "rejected", "missing", "left_blank", "invented", "wrong_silent")
-_SHARES = ", ".join(f"CAST(round(CAST(sum({c}) AS DOUBLE) / greatest(sum(cells), 1) * 10000) AS BIGINT) AS {c}" for c in (*_SHARED, "flagged + held")).replace("AS flagged + held", "AS flagged")
+_SHARES = ", ".join(
+    f"CAST(round(CAST(sum({c}) AS DOUBLE) / greatest(sum(cells), 1) * 10000) AS BIGINT) AS {c}" for c in (
+        *_SHARED, "flagged + held"
+    )
+).replace("AS flagged + held", "AS flagged")
 
 
-@query(f"""WITH {_SCORES} SELECT 'a' || (doc_id % 3) AS approach, CAST(greatest(sum(cells), 1) AS BIGINT) AS cells, CAST(median(doc_id % 101) * 2 AS BIGINT) AS ms2, CAST(round(avg(doc_id * 4)) AS BIGINT) AS tokens, {_SHARES}
+@query(f"""WITH {_SCORES} SELECT 'a' || (doc_id % 3) AS approach, CAST(greatest(sum(cells), 1) AS BIGINT) AS cells,
+  CAST(median(doc_id % 101) * 2 AS BIGINT) AS ms2, CAST(round(avg(doc_id * 4)) AS BIGINT) AS tokens, {_SHARES}
 FROM d WHERE doc_id % 10 <> 0 AND doc_id % 77 <> 0 GROUP BY 1""")
 def j15_outcome_shares(spark, sf_dir):
     shares = scoring.outcome_shares(_run_scores(spark, sf_dir))
     per_myriad = (F.round(F.col(c).cast("double") * 10000).cast("bigint").alias(c) for c in (*_SHARED, "flagged"))
-    return shares.select("approach", "cells", (F.col("ms") * 2).cast("bigint").alias("ms2"), F.round("tokens").cast("bigint").alias("tokens"), *per_myriad)
+    return shares.select(
+        "approach",
+        "cells",
+        (F.col("ms") * 2).cast("bigint").alias("ms2"),
+        F.round("tokens").cast("bigint").alias("tokens"),
+        *per_myriad,
+    )
 
 
-@query("SELECT o_orderpriority AS approach, o_custkey AS \"case\", min(o_orderkey % 5) * 20 AS low, max(o_orderkey % 5) * 20 AS high, CAST(round(avg(o_orderkey % 5) * 20000) AS BIGINT) AS mean1000 FROM orders GROUP BY ALL")
+@query(
+    """SELECT o_orderpriority AS approach, o_custkey AS \"case\", min(o_orderkey % 5) * 20 AS low,
+  max(o_orderkey % 5) * 20 AS high, CAST(round(avg(o_orderkey % 5) * 20000) AS BIGINT) AS mean1000 FROM orders
+  GROUP BY ALL"""
+)
 def j15_run_spread(spark, sf_dir):
-    s = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("approach"), F.col("o_custkey").alias("case"), (F.col("o_orderkey") % 5).alias("correct"), F.lit(5).alias("cells"))
-    return scoring.run_spread(s).select("approach", "case", F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"), F.round(F.col("mean") * 1000).cast("bigint").alias("mean1000"))
+    s = S.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run"),
+        F.col("o_orderpriority").alias("approach"),
+        F.col("o_custkey").alias("case"),
+        (F.col("o_orderkey") % 5).alias("correct"),
+        F.lit(5).alias("cells"),
+    )
+    return scoring.run_spread(s).select(
+        "approach",
+        "case",
+        F.col("low").cast("bigint").alias("low"),
+        F.col("high").cast("bigint").alias("high"),
+        F.round(F.col("mean") * 1000).cast("bigint").alias("mean1000"),
+    )
 
 
-_LOAD = TableSpec("lines", (Field("id", "int8", 1, required=True, made="identity"), Field("order_no", "int8", 2, required=True), Field("line_no", "int2", 3, required=True), Field("flag", "text", 4, labels=("A", "N", "R")), Field("code", "varchar", 5, size=3)))
+_LOAD = TableSpec(
+    "lines",
+    (
+        Field("id", "int8", 1, required=True, made="identity"),
+        Field("order_no", "int8", 2, required=True),
+        Field("line_no", "int2", 3, required=True),
+        Field("flag", "text", 4, labels=("A", "N", "R")),
+        Field("code", "varchar", 5, size=3),
+    ),
+)
 
 
-@query("""WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_idx FROM lineitem),
-r AS (SELECT *, CASE WHEN p % 41 = 1 THEN 'identity' WHEN p % 41 = 2 THEN 'type' WHEN p % 41 = 3 THEN 'enum' WHEN p % 41 = 4 THEN 'not_null' WHEN p % 41 = 5 THEN 'length' WHEN p % 41 = 6 THEN 'check' END AS x FROM b)
-SELECT row_idx, coalesce(x, CASE WHEN row_number() OVER (PARTITION BY o, n, x IS NULL ORDER BY row_idx) > 1 THEN 'duplicate' END) AS refusal FROM r""")
+@query("""WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s,
+  ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_idx FROM lineitem),
+r AS (SELECT *, CASE WHEN p % 41 = 1 THEN 'identity' WHEN p % 41 = 2 THEN 'type' WHEN p % 41 = 3 THEN 'enum'
+  WHEN p % 41 = 4 THEN 'not_null' WHEN p % 41 = 5 THEN 'length' WHEN p % 41 = 6 THEN 'check' END AS x FROM b)
+SELECT row_idx, coalesce(x, CASE WHEN row_number() OVER (PARTITION BY o, n, x IS NULL ORDER BY row_idx) > 1
+  THEN 'duplicate' END) AS refusal FROM r""")
 def j16_dry_run_load(spark, sf_dir):
     p, o = F.col("l_partkey") % 41, F.col("l_orderkey")
     rows = S.table(spark, sf_dir, "lineitem").select(
-        F.lit("d").alias("doc_id"), (((o * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("row_idx"), F.when(p == 1, "7").alias("id"), F.when(p == 2, "x1").when(p == 4, F.lit(None)).otherwise(o.cast("string")).alias("order_no"),
-        F.col("l_linenumber").cast("string").alias("line_no"), F.when(p == 3, "Z").otherwise(F.col("l_returnflag")).alias("flag"), F.when(p == 5, "long").when(p == 6, "bad").otherwise("ok").alias("code"),
-    )
-    return scoring.dry_run_load(rows, _LOAD, [("order_no", "line_no")], {"code": F.col("code").isNull() | (F.col("code") != "bad")}).select("row_idx", "refusal")
+        F.lit("d").alias("doc_id"),
+        (
+            ((o * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+        ).alias("row_idx"),
+        F.when(p == 1, "7").alias("id"),
+        F.when(p == 2, "x1").when(p == 4, F.lit(None)).otherwise(o.cast("string")).alias("order_no"),
+        F.col("l_linenumber").cast("string").alias("line_no"),
+        F.when(p == 3, "Z").otherwise(F.col("l_returnflag")).alias("flag"),
+        F.when(p == 5, "long").when(p == 6, "bad").otherwise("ok").alias("code"),
+    )
+    return scoring.dry_run_load(
+        rows, _LOAD, [("order_no", "line_no")], {"code": F.col("code").isNull() | (F.col("code") != "bad")}
+    ).select("row_idx", "refusal")
 
 
-@query("SELECT 'correct' AS outcome, count(*) * 5 AS n FROM orders")
+@query(
+    """SELECT 'correct' AS outcome, count(*) * 5 AS n FROM orders"""
+)
 def j17_perfect_run(spark, sf_dir):
-    return scoring.perfect_run(S.expected_orders(spark, sf_dir), S.ORDERS, "invoices", [("invoice_number",)]).groupBy("outcome").agg(F.count("*").alias("n"))
+    return scoring.perfect_run(
+        S.expected_orders(spark, sf_dir), S.ORDERS, "invoices", [("invoice_number",)]
+    ).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 # --- run control ---
 
 
-@query("SELECT m.event_type AS model, a.r_name AS approach, p.page_id AS \"case\" FROM pages p, (SELECT DISTINCT event_type FROM events) m, region a WHERE (p.page_id % 3 <> 0 OR p.page_id % 100 <= 50 OR a.r_name = 'ASIA') AND NOT (m.event_type = (SELECT min(event_type) FROM events) AND p.page_id % 2 = 0)")
+@query(
+    """SELECT m.event_type AS model, a.r_name AS approach, p.page_id AS \"case\" FROM pages p,
+  (SELECT DISTINCT event_type FROM events) m, region a WHERE (p.page_id % 3 <> 0 OR p.page_id % 100 <= 50
+  OR a.r_name = 'ASIA') AND NOT (m.event_type = (SELECT min(event_type) FROM events) AND p.page_id % 2 = 0)"""
+)
 def k01_pending(spark, sf_dir):
     models = S.table(spark, sf_dir, "events").select(F.col("event_type").alias("model")).distinct()
     approaches = S.table(spark, sf_dir, "region").select(F.col("r_name").alias("approach"))
     k = F.col("page_id")
-    cases = S.table(spark, sf_dir, "pages").select(k.alias("case"), F.when(k % 3 == 0, "tabular").otherwise("invoice").alias("kind"), (k % 100).alias("n_rows"))
+    cases = S.table(spark, sf_dir, "pages").select(
+        k.alias("case"), F.when(k % 3 == 0, "tabular").otherwise("invoice").alias("kind"), (k % 100).alias("n_rows")
+    )
     first = models.agg(F.min("model")).first()[0]
     names = F.array(*(F.lit(r[0]) for r in approaches.collect()))  # the regions
     done = cases.where("case % 2 = 0").select(F.lit(first).alias("model"), F.explode(names).alias("approach"), "case")
     return runs.pending(models, approaches, cases, done, 50, "ASIA")
 
 
-@query("""SELECT n, CAST(before AS DECIMAL(38,6)) AS spent_before FROM (SELECT event_id AS n, coalesce(sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE CAST(event_id % 100 AS DECIMAL(18,6)) END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) WHERE before < 200000""")
+@query(
+    """SELECT n, CAST(before AS DECIMAL(38,6)) AS spent_before FROM (SELECT event_id AS n, coalesce(sum(CASE
+  WHEN event_id % 7 = 0 THEN 0
+  ELSE CAST(event_id % 100 AS DECIMAL(18,6)) END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS before FROM events) WHERE before < 200000"""
+)
 def k02_within_budget(spark, sf_dir):
     k = F.col("event_id")
-    plan = S.table(spark, sf_dir, "events").select(k.alias("n"), F.when(k % 7 != 0, (k % 100).cast("decimal(18,6)")).alias("cost"))
+    plan = S.table(spark, sf_dir, "events").select(
+        k.alias("n"), F.when(k % 7 != 0, (k % 100).cast("decimal(18,6)")).alias("cost")
+    )
     return runs.within_budget(plan, "200000").select("n", "spent_before")
 
 
-@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 86400 ORDER BY ts, event_id) > 2 AS refused FROM events")
+@query(
+    """SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 86400 ORDER BY ts,
+  event_id) > 2 AS refused FROM events"""
+)
 def k03_rate_limit(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"), "ts")
     return runs.rate_limit(e, 2, 86400).select("id", "refused")
 
 
-@query("SELECT user_id AS who, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id, epoch(ts)::BIGINT // 86400)")
+@query(
+    """SELECT user_id AS who, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused FROM (SELECT user_id,
+  count(*) AS n FROM events GROUP BY user_id, epoch(ts)::BIGINT // 86400)"""
+)
 def k03_rate_limit_counts(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("who"), "ts")
     return runs.rate_limit_counts(e, 2, 86400).drop("window_no")
@@ -799,48 +1429,99 @@ def k03_rate_limit_counts(spark, sf_dir):
 
 def _invoices(spark, sf_dir):
     lines = S.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("invoice"), ((F.col("l_linenumber") * 1_000_003 + F.col("l_partkey")) * 1_009 + F.col("l_suppkey")).alias("line_no"), F.col("l_returnflag").alias("description"), F.col("l_quantity").cast("decimal(12,3)").alias("quantity"), S.cents(F.col("l_partkey") % 9000 + 100).cast("decimal(12,4)").alias("unit_price"),
-        F.when(F.col("l_linenumber") % 2 == 0, 25).otherwise(12).cast("decimal(5,2)").alias("tax_rate"), F.when(F.col("l_partkey") % 20 == 0, S.cents(F.col("l_partkey") + F.when(F.col("l_partkey") % 60 == 0, 2_000_000_000_000).otherwise(0))).alias("lump_sum"),
-    )
-    header = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice"), F.when(F.col("o_orderkey") % 4 == 0, 10).otherwise(0).cast("decimal(5,2)").alias("discount"), S.cents(F.col("o_custkey") % 5000).alias("shipping"), F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0).alias("misprint"))
+        F.col("l_orderkey").alias("invoice"),
+        ((F.col("l_linenumber") * 1_000_003 + F.col("l_partkey")) * 1_009 + F.col("l_suppkey")).alias("line_no"),
+        F.col("l_returnflag").alias("description"),
+        F.col("l_quantity").cast("decimal(12,3)").alias("quantity"),
+        S.cents(F.col("l_partkey") % 9000 + 100).cast("decimal(12,4)").alias("unit_price"),
+        F.when(F.col("l_linenumber") % 2 == 0, 25).otherwise(12).cast("decimal(5,2)").alias("tax_rate"),
+        F.when(
+            F.col("l_partkey") % 20 == 0,
+            S.cents(F.col("l_partkey") + F.when(F.col("l_partkey") % 60 == 0, 2_000_000_000_000).otherwise(0)),
+        ).alias("lump_sum"),
+    )
+    header = S.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("invoice"),
+        F.when(F.col("o_orderkey") % 4 == 0, 10).otherwise(0).cast("decimal(5,2)").alias("discount"),
+        S.cents(F.col("o_custkey") % 5000).alias("shipping"),
+        F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0).alias("misprint"),
+    )
     return lines, header
 
 
 _INVOICE = """
-l AS (SELECT l_orderkey AS invoice, CASE WHEN l_linenumber % 2 = 0 THEN 25 ELSE 12 END AS rate, CASE WHEN l_partkey % 60 = 0 THEN l_partkey + 2000000000000 WHEN l_partkey % 20 = 0 THEN l_partkey ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS c FROM lineitem),
+l AS (SELECT l_orderkey AS invoice, CASE WHEN l_linenumber % 2 = 0 THEN 25 ELSE 12 END AS rate, CASE
+  WHEN l_partkey % 60 = 0 THEN l_partkey + 2000000000000 WHEN l_partkey % 20 = 0 THEN l_partkey
+  ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS c FROM lineitem),
 n AS (SELECT invoice, sum(c) AS net, max(rate) AS top FROM l GROUP BY invoice),
-h AS (SELECT n.*, CASE WHEN o_orderkey % 4 = 0 THEN (net * 10 * 2 + 100) // 200 ELSE 0 END AS off, o_custkey % 5000 AS ship, CASE WHEN o_orderkey % 50 = 0 THEN 100 ELSE 0 END AS misprint FROM n JOIN orders ON o_orderkey = invoice),
+h AS (SELECT n.*, CASE WHEN o_orderkey % 4 = 0 THEN (net * 10 * 2 + 100) // 200 ELSE 0 END AS off,
+  o_custkey % 5000 AS ship, CASE WHEN o_orderkey % 50 = 0 THEN 100 ELSE 0 END AS misprint FROM n
+  JOIN orders ON o_orderkey = invoice),
 g AS (SELECT invoice, rate, sum(c) AS gross FROM l GROUP BY ALL),
-t AS (SELECT h.*, rate, gross, CASE WHEN net = 0 THEN 0 ELSE (2 * (gross * (net - off) + CASE WHEN rate = top THEN ship * net ELSE 0 END)::HUGEINT * rate + net * 100) // (CASE WHEN net = 0 THEN 1 ELSE net END * 200) END AS tax FROM g JOIN h USING (invoice))
+t AS (SELECT h.*, rate, gross, CASE WHEN net = 0 THEN 0 ELSE (2 * (gross * (net - off) + CASE WHEN rate = top
+  THEN ship * net ELSE 0 END)::HUGEINT * rate + net * 100) // (CASE WHEN net = 0 THEN 1 ELSE net END * 200)
+  END AS tax FROM g JOIN h USING (invoice))
 """
 
 
-@query(f"WITH {_INVOICE} SELECT invoice, CAST(CAST(net AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS net, CAST(CAST(off AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS discount_amount, CAST(CAST(net - off AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS subtotal FROM h")
+@query(
+    f"""WITH {_INVOICE} SELECT invoice, CAST(CAST(net AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS net,
+  CAST(CAST(off AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS discount_amount,
+  CAST(CAST(net - off AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS subtotal FROM h"""
+)
 def l01_invoice_totals(spark, sf_dir):
     return invoices.invoice_totals(*_invoices(spark, sf_dir)).select("invoice", "net", "discount_amount", "subtotal")
 
 
-@query(f"WITH {_INVOICE} SELECT invoice, CAST(rate AS DECIMAL(5,2)) AS tax_rate, CAST(CAST(tax AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS tax FROM t")
+@query(
+    f"""WITH {_INVOICE} SELECT invoice, CAST(rate AS DECIMAL(5,2)) AS tax_rate,
+  CAST(CAST(tax AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS tax FROM t"""
+)
 def l02_tax_by_rate(spark, sf_dir):
     return invoices.tax_by_rate(*_invoices(spark, sf_dir)).select("invoice", "tax_rate", "tax")
 
 
-@query(f"WITH {_INVOICE} SELECT invoice, CAST(CAST(max(net - off + ship) + sum(tax) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS total, CAST(CAST(max(net - off + ship + misprint) + sum(tax) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS printed_total FROM t GROUP BY invoice")
+@query(
+    f"""WITH {_INVOICE} SELECT invoice,
+  CAST(CAST(max(net - off + ship) + sum(tax) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS total,
+  CAST(CAST(max(net - off + ship + misprint) + sum(tax) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS printed_total
+  FROM t GROUP BY invoice"""
+)
 def l02_invoice_header(spark, sf_dir):
     return invoices.invoice_header(*_invoices(spark, sf_dir)).select("invoice", "total", "printed_total")
 
 
-@query("""SELECT l_orderkey AS invoice, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 1000003 + l_partkey) * 1009 + l_suppkey) AS line_no, CASE WHEN l_partkey % 20 <> 0 THEN CAST(l_quantity AS DECIMAL(12,3)) END AS quantity, CAST(CAST(CASE WHEN l_partkey % 60 = 0 THEN l_partkey + 2000000000000 WHEN l_partkey % 20 = 0 THEN l_partkey ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100) END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS line_total FROM lineitem""")
+@query(
+    """SELECT l_orderkey AS invoice, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY (l_linenumber * 1000003 + l_partkey) * 1009 + l_suppkey) AS line_no, CASE WHEN l_partkey % 20 <> 0
+  THEN CAST(l_quantity AS DECIMAL(12,3)) END AS quantity, CAST(CAST(CASE WHEN l_partkey % 60 = 0
+  THEN l_partkey + 2000000000000 WHEN l_partkey % 20 = 0 THEN l_partkey
+  ELSE CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 100)
+  END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS line_total FROM lineitem"""
+)
 def l03_expected_rows(spark, sf_dir):
     lines, _ = _invoices(spark, sf_dir)
-    return invoices.expected_rows(lines).select("invoice", F.col("line_no").cast("bigint").alias("line_no"), "quantity", "line_total")
+    return invoices.expected_rows(lines).select(
+        "invoice", F.col("line_no").cast("bigint").alias("line_no"), "quantity", "line_total"
+    )
 
 
-@query("""SELECT c_custkey AS doc_id, 'invoices' AS "table", CASE WHEN c_custkey % 2 = 0 THEN 'tabular' ELSE 'pdf' END AS route, coalesce(n, 0) AS n_rows, coalesce(f, 0) AS failures, CASE WHEN c_custkey % 50 = 0 THEN 'error' WHEN f > 0 THEN 'flagged' ELSE 'ok' END AS outcome, CAST(coalesce(calls, 0) AS BIGINT) AS calls
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count_if(o_orderkey % 9 = 0) AS f FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS calls FROM events GROUP BY user_id) ON user_id = c_custkey""")
+@query("""SELECT c_custkey AS doc_id, 'invoices' AS "table", CASE WHEN c_custkey % 2 = 0 THEN 'tabular' ELSE 'pdf'
+  END AS route, coalesce(n, 0) AS n_rows, coalesce(f, 0) AS failures, CASE WHEN c_custkey % 50 = 0 THEN 'error'
+  WHEN f > 0 THEN 'flagged' ELSE 'ok' END AS outcome, CAST(coalesce(calls, 0) AS BIGINT) AS calls
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count_if(o_orderkey % 9 = 0) AS f FROM orders
+  GROUP BY o_custkey) ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS calls FROM events
+  GROUP BY user_id) ON user_id = c_custkey""")
 def a08_run_log(spark, sf_dir):
-    counts = S.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count("*").alias("rows"))
-    docs = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("invoices").alias("table"), F.when(F.col("c_custkey") % 2 == 0, "tabular").otherwise("pdf").alias("route"), F.when(F.col("c_custkey") % 50 == 0, "timeout").alias("error")).join(counts, "doc_id", "left").fillna(0, ["rows"])
+    counts = S.table(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").alias("doc_id")
+    ).agg(F.count("*").alias("rows"))
+    docs = S.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.lit("invoices").alias("table"),
+        F.when(F.col("c_custkey") % 2 == 0, "tabular").otherwise("pdf").alias("route"),
+        F.when(F.col("c_custkey") % 50 == 0, "timeout").alias("error"),
+    ).join(counts, "doc_id", "left").fillna(0, ["rows"])
     found = S.table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("doc_id"))
     log = sinks.run_log(docs, found, spend.tally(S.usage(spark, sf_dir), S.prices(spark, sf_dir)))
     return log.select("doc_id", "table", "route", F.col("rows").alias("n_rows"), "failures", "outcome", "calls")
@@ -849,38 +1530,58 @@ def a08_run_log(spark, sf_dir):
 # --- files: the given tables written as landing files under the session's shared folder, and read back ---
 
 
-@query("""SELECT c_custkey // 500 AS file, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS VARCHAR) AS "key", c_name || '; "' || c_mktsegment || '"' AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer""")
+@query(
+    """SELECT c_custkey // 500 AS file, row_number() OVER (PARTITION BY c_custkey // 500
+  ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS VARCHAR) AS "key",
+  c_name || '; "' || c_mktsegment || '"' AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer"""
+)
 def a01_read_delimited(spark, sf_dir):
     """Customers in files of 500, odd files with tabs and even ones with semicolons between cells; names hold a semicolon and quotes."""
     folder, file = streams.scratch(spark), F.floor(F.col("c_custkey") / 500).cast("int")
     name = F.concat("c_name", F.lit('; "'), "c_mktsegment", F.lit('"'))
-    rows = S.table(spark, sf_dir, "customer").select(file.alias("file"), F.col("c_custkey").alias("key"), name.alias("name"), F.col("c_nationkey").alias("nation"))
+    rows = S.table(spark, sf_dir, "customer").select(
+        file.alias("file"), F.col("c_custkey").alias("key"), name.alias("name"), F.col("c_nationkey").alias("nation")
+    )
     for odd, mark in ((0, ";"), (1, "\t")):
         part = rows.where(F.col("file") % 2 == odd).repartition("file").sortWithinPartitions("file", "key")
-        part.write.partitionBy("file").option("header", True).option("sep", mark).option("escape", '"').mode("append").csv(folder)
+        part.write.partitionBy("file").option(
+            "header", True
+        ).option("sep", mark).option("escape", '"').mode("append").csv(folder)
     heads, grid, errors = files.read_delimited(spark, folder)
     at = lambda header: F.max(F.when(F.col("header") == header, F.col("position")))
     layout_ = heads.groupBy("doc_id").agg(*(at(h).alias(f"{h}_at") for h in ("key", "name", "nation")))
     cell = lambda h: F.get(F.col("cells"), F.col(f"{h}_at")).alias(h)
     number = F.regexp_extract("doc_id", "file=([0-9]+)", 1).cast("bigint").alias("file")
-    return grid.join(layout_, "doc_id").join(errors.select("doc_id"), "doc_id", "left_anti").select(number, F.col("row_idx").cast("bigint").alias("row_idx"), cell("key"), cell("name"), cell("nation"))
+    return grid.join(layout_, "doc_id").join(errors.select("doc_id"), "doc_id", "left_anti").select(
+        number, F.col("row_idx").cast("bigint").alias("row_idx"), cell("key"), cell("name"), cell("nation")
+    )
 
 
 _LATIN = r"^[\x00-\x7f\u00a0-\u00ff]*\z"
 
 
-@query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+@query(
+    """SELECT doc_id, sha256(text) AS text_sha256 FROM documents"""
+)
 def a02_decode_text(spark, sf_dir):
     """Every text as bytes of some charset, decoded again: UTF-16 with a mark, Latin-1 where it can be (read as cp1252), UTF-8 with and without a mark."""
     k, text = F.col("doc_id"), F.col("text")
     # a Latin-1 text of letters beyond ASCII in a row may be UTF-8 by chance: only a lone one is kept
     latin = text.rlike(_LATIN) & text.rlike(r"[\u00c0-\u00ff]") & ~text.rlike(r"[\u0080-\u00ff]{2}")
     raw = F.when(k % 4 == 0, F.encode(text, "UTF-16")).when((k % 4 == 1) & latin, F.encode(text, "ISO-8859-1"))
-    raw = raw.when(k % 4 == 2, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
-    return S.table(spark, sf_dir, "documents").select("doc_id", F.sha2(files.decode_text(raw), 256).alias("text_sha256"))
+    raw = raw.when(
+        k % 4 == 2, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))
+    ).otherwise(F.encode(text, "UTF-8"))
+    return S.table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(files.decode_text(raw), 256).alias("text_sha256")
+    )
 
 
-@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'spreadsheet' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'text' WHEN 5 THEN 'image' WHEN 6 THEN 'unsupported' ELSE 'text' END AS kind FROM documents""")
+@query(
+    """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'spreadsheet' WHEN 3
+  THEN 'unsupported' WHEN 4 THEN 'text' WHEN 5 THEN 'image' WHEN 6 THEN 'unsupported' ELSE 'text' END AS kind
+  FROM documents"""
+)
 def a03_classify_files(spark, sf_dir):
     """Documents behind the first bytes of some kind of file: PDF, PNG, OLE2, a NUL byte, a UTF-16 mark, JPEG, a broken archive, none."""
     k, body = F.col("doc_id"), F.encode(F.concat(F.lit("T:"), F.coalesce("text", F.lit(""))), "UTF-8")
@@ -888,15 +1589,25 @@ def a03_classify_files(spark, sf_dir):
     content = body
     for n, front in enumerate(fronts):
         content = F.when(k % 8 == n, F.concat(F.lit(front), body)).otherwise(content)
-    return files.classify_files(S.table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))).select("doc_id", "kind")
+    return files.classify_files(
+        S.table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    ).select("doc_id", "kind")
 
 
-@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_idx, CAST(o_orderkey AS VARCHAR) AS "key", CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders""")
+@query(
+    """SELECT CAST(o_custkey AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderkey) - 1 AS row_idx, CAST(o_orderkey AS VARCHAR) AS "key", CASE WHEN o_orderkey % 3 <> 0
+  THEN o_orderstatus END AS status FROM orders"""
+)
 def a04_read_cases(spark, sf_dir):
     """A case a customer, its orders the expected rows; keys are JSON numbers and every third status is null."""
     folder = streams.scratch(spark)
-    row = F.struct(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
-    cases = S.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list(row)).alias("expected"))
+    row = F.struct(
+        F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status")
+    )
+    cases = S.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("name")).agg(
+        F.array_sort(F.collect_list(row)).alias("expected")
+    )
     cases.write.option("ignoreNullFields", False).json(folder)
     _, expected = files.read_cases(spark, folder, multiline=False)
     cell = lambda name: F.try_element_at("row", F.lit(name)).alias(name)
@@ -904,7 +1615,9 @@ def a04_read_cases(spark, sf_dir):
 
 
 @query(f"""WITH {_FACTS}, n AS (SELECT row_idx, count(*) AS k FROM found GROUP BY row_idx)
-SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, CASE WHEN k > 0 THEN 'flagged' ELSE 'ok' END AS status, count(*) AS n_rows, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_findings FROM f LEFT JOIN n USING (row_idx) GROUP BY 1, 2""")
+SELECT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, CASE WHEN k > 0 THEN 'flagged' ELSE 'ok' END AS status,
+  count(*) AS n_rows, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_findings FROM f LEFT JOIN n USING (row_idx)
+  GROUP BY 1, 2""")
 def a07_write_gated(spark, sf_dir):
     """The split tables, read back: rows by document and status, and the findings written for them."""
     folder = streams.scratch(spark)
@@ -912,17 +1625,24 @@ def a07_write_gated(spark, sf_dir):
     rows = spark.read.parquet(f"{folder}/rows").groupBy("doc_id", "status").agg(F.count("*").alias("n_rows"))
     found = spark.read.parquet(f"{folder}/findings").groupBy("doc_id").agg(F.count("*").alias("n"))
     n = F.when(F.col("status") == "flagged", F.col("n")).otherwise(0)
-    return rows.join(found, "doc_id", "left").select("doc_id", "status", "n_rows", F.coalesce(n, F.lit(0)).cast("bigint").alias("n_findings"))
+    return rows.join(found, "doc_id", "left").select(
+        "doc_id", "status", "n_rows", F.coalesce(n, F.lit(0)).cast("bigint").alias("n_findings")
+    )
 
 
 def _first_lines(batches):
     """A caller's extractor: one row a document, its first 12 characters, and what the call used."""
     for batch in batches:
         text = batch["text"].fillna("")
-        yield batch[["doc_id"]].assign(row_idx=0, said=text.str.slice(0, 12), input_tokens=text.str.len().astype("int64"))
+        yield batch[["doc_id"]].assign(
+            row_idx=0, said=text.str.slice(0, 12), input_tokens=text.str.len().astype("int64")
+        )
 
 
-@query("SELECT doc_id, 0 AS row_idx, substring(coalesce(text, ''), 1, 12) AS said, length(coalesce(text, '')) AS input_tokens FROM documents")
+@query(
+    """SELECT doc_id, 0 AS row_idx, substring(coalesce(text, ''), 1, 12) AS said, length(coalesce(text,
+  '')) AS input_tokens FROM documents"""
+)
 def h04_extract_with(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
     return inference.extract_with(docs, _first_lines, "doc_id long, row_idx int, said string, input_tokens long")
@@ -931,7 +1651,9 @@ def h04_extract_with(spark, sf_dir):
 # --- streams ---
 
 
-@query(f'WITH {_FACTS} SELECT "column", rule, count(*) AS n FROM found GROUP BY ALL')
+@query(
+    f"""WITH {_FACTS} SELECT "column", rule, count(*) AS n FROM found GROUP BY ALL"""
+)
 def m01_stream_gate(spark, sf_dir):
     """Staged lines land as files, whole documents each, and are gated as they arrive: the findings are those of the batch."""
     folder = streams.scratch(spark)
@@ -943,20 +1665,35 @@ def m01_stream_gate(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id AS who, CAST(date_trunc('day', ts) AS DATE) AS day, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused
+    """SELECT user_id AS who, CAST(date_trunc('day', ts) AS DATE) AS day, n, least(n, 2) AS allowed, greatest(n - 2,
+  0) AS refused
 FROM (SELECT user_id, date_trunc('day', ts) AS ts, count(*) AS n FROM events GROUP BY ALL)"""
 )
 def m03_stream_rate_limit(spark, sf_dir):
-    events = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
+    events = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(
+        F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("ts")
+    )
     counts = streams.stream_rate_limit(events, 2, 86400)
-    return streams.totals(counts, streams.scratch(spark)).select("who", F.to_date("start").alias("day"), "n", "allowed", "refused")
+    return streams.totals(counts, streams.scratch(spark)).select(
+        "who", F.to_date("start").alias("day"), "n", "allowed", "refused"
+    )
 
 
-@query(f'WITH {_ORDERS} SELECT doc_id, k AS row_idx, \'status\' AS "column", \'pattern\' AS rule FROM e WHERE status = \'P\'')
+@query(
+    f"""WITH {_ORDERS} SELECT doc_id, k AS row_idx, 'status' AS "column", 'pattern' AS rule FROM e
+  WHERE status = 'P'"""
+)
 def m02_stream_checks(spark, sf_dir):
     total = F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total")
     orders = streams.table_stream(spark, f"{sf_dir}/orders.parquet")
-    stream = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderstatus").alias("status"), total)
+    stream = orders.select(
+        F.col("o_custkey").alias("doc_id"),
+        F.col("o_orderkey").alias("row_idx"),
+        F.col("o_orderstatus").alias("status"),
+        total,
+    )
     folder = streams.scratch(spark)
     found = gate.findings(streams.stream_checks(stream, S.STATEMENT, [shaped("status", "[FO]")]))
-    return streams.drained(found, f"{folder}/out", f"{folder}/checkpoint").where("rule <> 'not_null'").select("doc_id", "row_idx", "column", "rule")
+    return streams.drained(
+        found, f"{folder}/out", f"{folder}/checkpoint"
+    ).where("rule <> 'not_null'").select("doc_id", "row_idx", "column", "rule")

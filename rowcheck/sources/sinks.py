@@ -26,9 +26,13 @@ def write_gated(gated: DataFrame, path: str, mode: str = "overwrite") -> None:
 def run_log(documents: DataFrame, found: DataFrame, spend: DataFrame) -> DataFrame:
     """One fact row per document (doc_id, table, route, rows, error), without content."""
     failures = found.groupBy("doc_id").agg(F.count("*").alias("failures"))
-    out = documents.join(failures, "doc_id", "left").join(spend.select("doc_id", "calls", "total_tokens", "cost"), "doc_id", "left").fillna(0, ["failures", "calls", "total_tokens"])
+    out = documents.join(failures, "doc_id", "left").join(
+        spend.select("doc_id", "calls", "total_tokens", "cost"), "doc_id", "left"
+    ).fillna(0, ["failures", "calls", "total_tokens"])
     outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("failures") > 0, "flagged").otherwise("ok")
-    return out.select("doc_id", "table", "route", "rows", "failures", outcome.alias("outcome"), "calls", "total_tokens", "cost")
+    return out.select(
+        "doc_id", "table", "route", "rows", "failures", outcome.alias("outcome"), "calls", "total_tokens", "cost"
+    )
 
 
 def rendered(c: Column, kind: T.DataType) -> Column:

@@ -65,10 +65,22 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_partkey") * 37 % 90000 + 100
     quantity = F.col("l_quantity").cast("bigint")
     return li.select(
-        (F.col("l_suppkey") % 40).alias("doc"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("row_idx"),
-        ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 97).alias("planted"), F.col("l_orderkey").alias("order_no"), quantity.alias("quantity"), price.alias("price"), (quantity * price).alias("total"),
-        (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("weight"), F.col("l_returnflag").alias("status"), F.col("l_shipdate").cast("date").alias("shipped"), (F.col("l_linenumber") % 2 == 0).alias("paid"),
-    )
+        (F.col("l_suppkey") % 40).alias("doc"),
+        (
+            (
+                (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+            ) * 10_000 + F.col("l_suppkey")
+        ).alias("row_idx"),
+        ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 97).alias("planted"),
+        F.col("l_orderkey").alias("order_no"),
+        quantity.alias("quantity"),
+        price.alias("price"),
+        (quantity * price).alias("total"),
+        (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("weight"),
+        F.col("l_returnflag").alias("status"),
+        F.col("l_shipdate").cast("date").alias("shipped"),
+        (F.col("l_linenumber") % 2 == 0).alias("paid"),
+    )
 
 
 def staged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,26 +89,58 @@ def staged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("planted")
     total = F.col("total") + F.when(p == 0, 100).otherwise(0)
     money = lambda c: by_locale(F.col("doc"), lambda name: render_number(cents(c), 2, name))
-    whole = by_locale(F.col("doc"), lambda name: F.col("weight").cast("string") if name == "plain" else render_number(F.col("weight"), 0, name))
+    whole = by_locale(
+        F.col("doc"),
+        lambda name: F.col("weight").cast("string") if name == "plain" else render_number(F.col("weight"), 0, name),
+    )
     halves = by_locale(F.col("doc"), lambda name: render_number(F.col("weight").cast("decimal(18,1)"), 1, name))
     return f.select(
-        F.format_string("f%03d", "doc").alias("doc_id"), "row_idx", F.col("order_no").cast("string").alias("order_no"),
-        F.concat(F.lit("L-"), F.lpad(F.col("order_no").cast("string"), 8, "0"), F.when(p == 5, "-CORRECTED").otherwise("")).alias("ref"),
-        F.when(p == 2, "abc").otherwise(F.concat(F.col("quantity").cast("string"), F.when(F.col("row_idx") % 2 == 0, " st").otherwise(""))).alias("quantity"),
-        F.concat(F.when(F.col("doc") % 4 == 2, "USD ").otherwise(""), money(F.col("price"))).alias("unit_price"), F.when(p == 1, "n/a").otherwise(money(total)).alias("line_total"),
-        F.when(F.col("row_idx") % 3 == 0, halves).otherwise(whole).alias("weight"), F.when(p == 3, "X").otherwise(F.col("status")).alias("status"),
-        F.when(p == 4, "05/01/2026").otherwise(by_locale(F.col("doc"), lambda name: render_date(F.col("shipped"), name))).alias("shipped"), F.when(F.col("paid"), "Yes").otherwise("n").alias("paid"),
-    )
-
-
-STATEMENT = TableSpec("invoices", (Field("invoice_number", "varchar", 1, required=True, size=32), Field("status", "text", 2), Field("total", "numeric", 3, scale=2)))
+        F.format_string("f%03d", "doc").alias("doc_id"),
+        "row_idx",
+        F.col("order_no").cast("string").alias("order_no"),
+        F.concat(
+            F.lit("L-"), F.lpad(F.col("order_no").cast("string"), 8, "0"), F.when(p == 5, "-CORRECTED").otherwise("")
+        ).alias("ref"),
+        F.when(p == 2, "abc").otherwise(
+            F.concat(F.col("quantity").cast("string"), F.when(F.col("row_idx") % 2 == 0, " st").otherwise(""))
+        ).alias("quantity"),
+        F.concat(F.when(F.col("doc") % 4 == 2, "USD ").otherwise(""), money(F.col("price"))).alias("unit_price"),
+        F.when(p == 1, "n/a").otherwise(money(total)).alias("line_total"),
+        F.when(F.col("row_idx") % 3 == 0, halves).otherwise(whole).alias("weight"),
+        F.when(p == 3, "X").otherwise(F.col("status")).alias("status"),
+        F.when(p == 4, "05/01/2026").otherwise(
+            by_locale(F.col("doc"), lambda name: render_date(F.col("shipped"), name))
+        ).alias("shipped"),
+        F.when(F.col("paid"), "Yes").otherwise("n").alias("paid"),
+    )
+
+
+STATEMENT = TableSpec(
+    "invoices",
+    (
+        Field("invoice_number", "varchar", 1, required=True, size=32),
+        Field("status", "text", 2),
+        Field("total", "numeric", 3, scale=2),
+    ),
+)
 
 
 def statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(texts, rows): per customer a text that names all orders; rows lack every order whose key is a multiple of 11."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("invoice_number"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
-    texts = o.groupBy("doc_id").agg(F.array_sort(F.collect_list("invoice_number")).alias("n")).select("doc_id", F.concat(F.lit("Statement of account. Open invoices: "), F.array_join("n", ", "), F.lit(".")).alias("text"))
-    rows = o.where("k % 11 <> 0").select("doc_id", F.col("k").alias("row_idx"), "invoice_number", "status", F.col("total").cast("string").alias("total"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"),
+        F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("invoice_number"),
+        F.col("o_orderkey").alias("k"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
+    )
+    texts = o.groupBy("doc_id").agg(F.array_sort(F.collect_list("invoice_number")).alias("n")).select(
+        "doc_id",
+        F.concat(F.lit("Statement of account. Open invoices: "), F.array_join("n", ", "), F.lit(".")).alias("text"),
+    )
+    rows = o.where("k % 11 <> 0").select(
+        "doc_id", F.col("k").alias("row_idx"), "invoice_number", "status", F.col("total").cast("string").alias("total")
+    )
     return texts, rows
 
 
@@ -104,7 +148,14 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as usage records: the user is the document, the event type the model."""
     e = table(spark, sf_dir, "events")
     tokens = (F.col("event_id") * 13 % 5000).cast("bigint")
-    return e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("model"), tokens.alias("input_tokens"), (tokens % 700).alias("output_tokens"), (tokens % 90).alias("cached_input_tokens"), F.lit(1).cast("bigint").alias("calls"))
+    return e.select(
+        F.col("user_id").alias("doc_id"),
+        F.col("event_type").alias("model"),
+        tokens.alias("input_tokens"),
+        (tokens % 700).alias("output_tokens"),
+        (tokens % 90).alias("cached_input_tokens"),
+        F.lit(1).cast("bigint").alias("calls"),
+    )
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +163,24 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = table(spark, sf_dir, "events").select(F.col("event_type").alias("model")).distinct()
     last = models.agg(F.max("model").alias("last"))
     n = F.length("model")
-    return models.join(F.broadcast(last), F.col("model") != F.col("last")).select("model", n.cast("decimal(8,2)").alias("input"), (n * 4).cast("decimal(8,2)").alias("output"), F.when(n % 2 == 0, (n * F.lit(Decimal("0.5"))).cast("decimal(8,2)")).alias("cached_input"))
+    return models.join(F.broadcast(last), F.col("model") != F.col("last")).select(
+        "model",
+        n.cast("decimal(8,2)").alias("input"),
+        (n * 4).cast("decimal(8,2)").alias("output"),
+        F.when(n % 2 == 0, (n * F.lit(Decimal("0.5"))).cast("decimal(8,2)")).alias("cached_input"),
+    )
 
 
-ORDERS = TableSpec("orders", (Field("invoice_number", "varchar", 1, required=True, size=32), Field("status", "text", 2), Field("total", "numeric", 3, scale=2), Field("issued_on", "date", 4), Field("note", "text", 5)))
+ORDERS = TableSpec(
+    "orders",
+    (
+        Field("invoice_number", "varchar", 1, required=True, size=32),
+        Field("status", "text", 2),
+        Field("total", "numeric", 3, scale=2),
+        Field("issued_on", "date", 4),
+        Field("note", "text", 5),
+    ),
+)
 ORDER_COLUMNS = [c.name for c in ORDERS.columns]
 
 
@@ -123,9 +188,15 @@ def expected_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id (customer), row_idx, the order's columns as text."""
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("doc_id"), k.alias("row_idx"), F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_number"), F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_on"), F.when(k % 4 == 0, F.col("o_orderpriority")).alias("note"), k.alias("k"),
-    )
+        F.col("o_custkey").alias("doc_id"),
+        k.alias("row_idx"),
+        F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_number"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_on"),
+        F.when(k % 4 == 0, F.col("o_orderpriority")).alias("note"),
+        k.alias("k"),
+    )
 
 
 def returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +205,18 @@ def returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     e = e.withColumn("copy", F.explode(F.when(k % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return e.select(
-        "doc_id", (k * 2 + F.col("copy")).alias("row_idx"), F.when(k % 2 == 0, F.translate("invoice_number", "-", " ")).otherwise(F.lower("invoice_number")).alias("invoice_number"),
-        F.when(k % 13 == 0, F.lit("?")).otherwise(F.lower("status")).alias("status"), F.when(k % 19 == 0, F.lit(None)).otherwise(F.concat("total", F.lit("00"))).alias("total"), F.concat("issued_on", F.lit("T00:00:00")).alias("issued_on"),
-        F.when(k % 23 == 0, F.lit("made up")).otherwise(F.col("note")).alias("note"), F.when(k % 29 == 0, F.lit("check")).alias("refusal"), "k",
-    )
+        "doc_id",
+        (k * 2 + F.col("copy")).alias("row_idx"),
+        F.when(
+            k % 2 == 0, F.translate("invoice_number", "-", " ")
+        ).otherwise(F.lower("invoice_number")).alias("invoice_number"),
+        F.when(k % 13 == 0, F.lit("?")).otherwise(F.lower("status")).alias("status"),
+        F.when(k % 19 == 0, F.lit(None)).otherwise(F.concat("total", F.lit("00"))).alias("total"),
+        F.concat("issued_on", F.lit("T00:00:00")).alias("issued_on"),
+        F.when(k % 23 == 0, F.lit("made up")).otherwise(F.col("note")).alias("note"),
+        F.when(k % 29 == 0, F.lit("check")).alias("refusal"),
+        "k",
+    )
 
 
 def order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ from rowcheck.operators.gate import findings, gate
 from rowcheck.plans.spec import Rule, TableSpec
 
 
-def stream_gate(staged: DataFrame, spec: TableSpec, rules: Sequence[Rule], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def stream_gate(
+    staged: DataFrame, spec: TableSpec, rules: Sequence[Rule], out: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
     """M1: each micro-batch of a landing stream is gated whole and appended under `out`.
 
     A file is complete when it arrives, so a document's number convention is taken inside its batch. A batch is written
@@ -29,7 +31,9 @@ def stream_gate(staged: DataFrame, spec: TableSpec, rules: Sequence[Rule], out:
         rows = held.withColumn("status", status).drop("raw", "spelled")
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
         # the gate runs once a batch: its findings are drawn from what was written
-        written = df.sparkSession.read.schema(rows.schema).parquet(f"{out}/rows/batch={number}").where("status = 'flagged'")
+        written = df.sparkSession.read.schema(rows.schema).parquet(
+            f"{out}/rows/batch={number}"
+        ).where("status = 'flagged'")
         findings(written).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
 
     writer = staged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -43,9 +47,17 @@ def stream_checks(stream: DataFrame, spec: TableSpec, rules: Sequence[Rule]) ->
 
 def stream_rate_limit(stream: DataFrame, per_minute: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """M3: allowed and refused requests per caller and window; late events count in their own window until the watermark."""
-    counts = stream.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"), "who").agg(F.count("*").alias("n"))
+    counts = stream.withWatermark("ts", late).groupBy(
+        F.window("ts", f"{seconds} seconds"), "who"
+    ).agg(F.count("*").alias("n"))
     allowed = F.col("n") if per_minute == 0 else F.least(F.col("n"), F.lit(per_minute))
-    return counts.select("who", F.col("window.start").alias("start"), "n", allowed.alias("allowed"), (F.col("n") - allowed).alias("refused"))
+    return counts.select(
+        "who",
+        F.col("window.start").alias("start"),
+        "n",
+        allowed.alias("allowed"),
+        (F.col("n") - allowed).alias("refused"),
+    )
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -87,6 +99,8 @@ def scratch(spark: SparkSession) -> str:
 
 def totals(stream: DataFrame, folder: str) -> DataFrame:
     """The complete result of an aggregating stream once all input is read; each micro-batch replaces the table before it."""
-    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer = stream.writeStream.outputMode("complete").option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    ).trigger(availableNow=True)
     writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
