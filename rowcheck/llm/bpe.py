@@ -133,7 +133,9 @@ class ByteBPE:
             first, last = int(core[0]), int(core[-1])
             if first > done:
                 out.append(self.plain(text[done:first]))
-            i, j = np.searchsorted(ends, (first, last), "right") if first > a else (0, np.searchsorted(ends, last, "right"))
+            i, j = np.searchsorted(ends, (first, last), "right") if first > a else (
+                0, np.searchsorted(ends, last, "right")
+            )
             out.append(ids[i:j])
             done = last
         if done < len(text):
@@ -171,14 +173,35 @@ def safe_places(text: bytes) -> np.ndarray:
     return np.flatnonzero((data[1:-1] == 32) & visible[:-2] & visible[2:]) + 1
 
 
-_UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("need", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_UP = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("block", pa.int32()),
+        ("need", pa.binary()),
+        ("keys", pa.binary()),
+        ("sizes", pa.binary()),
+        ("ids", pa.binary()),
+    ]
+)
 _UP_SQL = "bucket int, block int, need binary, keys binary, sizes binary, ids binary"
-_DOWN = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("own", pa.binary()), ("need", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_DOWN = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("block", pa.int32()),
+        ("own", pa.binary()),
+        ("need", pa.binary()),
+        ("keys", pa.binary()),
+        ("sizes", pa.binary()),
+        ("ids", pa.binary()),
+    ]
+)
 _DOWN_SQL = "bucket int, block int, own binary, need binary, keys binary, sizes binary, ids binary"
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+    return pa.Table.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema
+    ) if rows else schema.empty_table()
 
 
 def _names(blob: bytes | None) -> list[bytes]:
@@ -200,7 +223,9 @@ def _ask(path: str, pattern: str, buckets: int):
         bpe, by_bucket = _tokenizer(path, pattern), {}
         for name in sorted({digest(c) for text in _texts(docs) for c in bpe.chunks(text)}):
             by_bucket.setdefault(_bucket(name, buckets), []).append(name)
-        return _rows([(b, docs["block"][0].as_py(), b"".join(names), None, None, None) for b, names in by_bucket.items()], _UP)
+        return _rows(
+            [(b, docs["block"][0].as_py(), b"".join(names), None, None, None) for b, names in by_bucket.items()], _UP
+        )
 
     return ask
 
@@ -218,12 +243,16 @@ def _assign(table: pa.Table) -> pa.Table:
     for block, names in zip(blocks, needs, strict=True):
         shared = [n for n in names if n in owner]
         if shared:
-            rows.append((bucket, block, b"".join(n for n in shared if owner[n] == block), b"".join(shared), None, None, None))
+            rows.append(
+                (bucket, block, b"".join(n for n in shared if owner[n] == block), b"".join(shared), None, None, None)
+            )
     return _rows(rows, _DOWN)
 
 
 def _pack(found: list[tuple[bytes, np.ndarray]]) -> tuple[bytes, bytes, bytes]:
-    return b"".join(n for n, _ in found), np.array([len(i) for _, i in found], np.int32).tobytes(), zlib.compress(b"".join(i.tobytes() for _, i in found), 1)
+    return b"".join(n for n, _ in found), np.array([len(i) for _, i in found], np.int32).tobytes(), zlib.compress(
+        b"".join(i.tobytes() for _, i in found), 1
+    )
 
 
 def _unpack(keys: bytes, sizes: bytes, ids: bytes, kind) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -254,7 +283,9 @@ def _deliver(kind):
     def deliver(table: pa.Table) -> pa.Table:
         """To each block the ids of the shared chunks it has."""
         known, rows, bucket = {}, [], table["bucket"][0].as_py()
-        for keys, sizes, ids in zip(table["keys"].to_pylist(), table["sizes"].to_pylist(), table["ids"].to_pylist(), strict=True):
+        for keys, sizes, ids in zip(
+            table["keys"].to_pylist(), table["sizes"].to_pylist(), table["ids"].to_pylist(), strict=True
+        ):
             if keys:
                 known.update(_unpack(keys, sizes, ids, kind))
         for block, need in zip(table["block"].to_pylist(), table["need"].to_pylist(), strict=True):
@@ -278,7 +309,9 @@ def _tokenizer(path: str, pattern: str) -> ByteBPE:
 def _assemble(path: str, pattern: str, with_ids: bool):
     def assemble(docs: pa.Table, delivered: pa.Table) -> pa.Table:
         bpe, given = _tokenizer(path, pattern), {}
-        for keys, sizes, ids in zip(delivered["keys"].to_pylist(), delivered["sizes"].to_pylist(), delivered["ids"].to_pylist(), strict=True):
+        for keys, sizes, ids in zip(
+            delivered["keys"].to_pylist(), delivered["sizes"].to_pylist(), delivered["ids"].to_pylist(), strict=True
+        ):
             given.update(_unpack(keys, sizes, ids, bpe.kind))
         bpe.hold(given)
         counts, coded, back, listed = [], [], [], []
@@ -289,7 +322,12 @@ def _assemble(path: str, pattern: str, with_ids: bool):
             back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             if with_ids:
                 listed.append(ids.astype(np.int32))
-        columns = {"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        columns = {
+            "doc_id": docs["doc_id"].combine_chunks(),
+            "n_tokens": pa.array(counts, pa.int64()),
+            "ids_sha256": pa.array(coded, pa.string()),
+            "decoded_sha256": pa.array(back, pa.string()),
+        }
         return pa.table(columns | ({"ids": pa.array(listed, pa.list_(pa.int32()))} if with_ids else {}))
 
     return assemble
@@ -315,10 +353,16 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str | None = None, wi
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks(plain))).cast("int")
     dealt = plain.withColumn("block", place).repartition(n, "block")
     by_block = dealt.groupBy("block")
-    assigned = by_block.applyInArrow(_ask(path, pattern, buckets), _UP_SQL).groupBy("bucket").applyInArrow(_assign, _DOWN_SQL)
-    encoded = by_block.cogroup(assigned.where("octet_length(own) > 0").groupBy("block")).applyInArrow(_encode_own(path, pattern), _UP_SQL)
+    assigned = by_block.applyInArrow(
+        _ask(path, pattern, buckets), _UP_SQL
+    ).groupBy("bucket").applyInArrow(_assign, _DOWN_SQL)
+    encoded = by_block.cogroup(
+        assigned.where("octet_length(own) > 0").groupBy("block")
+    ).applyInArrow(_encode_own(path, pattern), _UP_SQL)
     none = F.lit(None).cast("binary")
     needed = assigned.select("bucket", "block", "need", none.alias("keys"), none.alias("sizes"), none.alias("ids"))
     delivered = encoded.unionByName(needed).groupBy("bucket").applyInArrow(_deliver(kind), _DOWN_SQL)
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (
+        ", ids array<int>" if with_ids else ""
+    )
     return by_block.cogroup(delivered.groupBy("block")).applyInArrow(_assemble(path, pattern, with_ids), out)

@@ -90,7 +90,9 @@ def join_back(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFr
     heavy = facts.where(F.col(count) * HEAVY > total).select(key, F.struct(*own).alias("heavy__"))
     marked = rows.join(F.broadcast(heavy), key, "left")
     apart = F.when(F.col("heavy__").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
-    light = facts.where(F.col(count) * HEAVY <= total).select(key, F.struct(*own).alias("light__"), F.lit(0).cast("long").alias("apart__"))
+    light = facts.where(F.col(count) * HEAVY <= total).select(
+        key, F.struct(*own).alias("light__"), F.lit(0).cast("long").alias("apart__")
+    )
     joined = marked.withColumn("apart__", apart).join(light, [key, "apart__"], "left")
     found = F.coalesce("light__", "heavy__")
     return joined.select(*rows.columns, *(found[c].alias(c) for c in own))

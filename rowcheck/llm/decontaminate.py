@@ -145,7 +145,9 @@ class Group:
         for own, gram in _portions(at[true], index[true], self.count, self.reach + 2 * int(self.width.max())):
             count = self.count[gram]
             pos = np.repeat(own, count)
-            entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[gram], count)
+            entry = np.arange(count.sum()) - np.repeat(
+                np.cumsum(count) - count, count
+            ) + np.repeat(self.first[gram], count)
             item = self.item[entry].astype(np.int64)
             wide = self.width[item]
             diagonal = pos - self.place[entry]
@@ -165,14 +167,18 @@ class Group:
                 found.update(zip(item[good].tolist(), (band * self.width[item])[good].tolist(), strict=True))
         return found
 
-    def matches(self, text: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def matches(
+        self, text: np.ndarray, grams: np.ndarray, bounds: np.ndarray
+    ) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item number, first and last character + 1 in text, edits) of what alignment confirms."""
         for i, low in sorted(self.bands(grams)):
             item, k, m = self.texts[i], int(self.edits[i]), int(self.lengths[i])
             high = low + int(self.width[i]) + k
             a, b = max(low - k, 0), min(high + k + m, len(text))
             # the band may touch two texts; each is aligned alone
-            for t in range(int(np.searchsorted(bounds, a, "right")) - 1, int(np.searchsorted(bounds, max(b - 1, a), "right"))):
+            for t in range(
+                int(np.searchsorted(bounds, a, "right")) - 1, int(np.searchsorted(bounds, max(b - 1, a), "right"))
+            ):
                 x, y = max(a, int(bounds[t])), min(b, int(bounds[t + 1]))
                 if y - x < m - k:
                     continue
@@ -235,7 +241,9 @@ def banded(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[i
     return int(row[best]), len(item) + low + best
 
 
-def _whole_words(text: np.ndarray, bounds: np.ndarray, short: dict[int, dict[int, list[int]]]) -> Iterator[tuple[int, int, int, int, int]]:
+def _whole_words(
+    text: np.ndarray, bounds: np.ndarray, short: dict[int, dict[int, list[int]]]
+) -> Iterator[tuple[int, int, int, int, int]]:
     """Places of the short items, with a space or a text's end on both sides."""
     if not short:
         return
@@ -246,13 +254,17 @@ def _whole_words(text: np.ndarray, bounds: np.ndarray, short: dict[int, dict[int
     ends[bounds] = True
     for n, wanted in short.items():
         hashes = _sequence(text, n)
-        at = np.flatnonzero(begins[: len(hashes)] & ends[n : n + len(hashes)] & np.isin(hashes, np.array(list(wanted), U64)))
+        at = np.flatnonzero(
+            begins[: len(hashes)] & ends[n : n + len(hashes)] & np.isin(hashes, np.array(list(wanted), U64))
+        )
         for place, t in zip(at.tolist(), (np.searchsorted(bounds, at, "right") - 1).tolist(), strict=True):
             if place + n <= bounds[t + 1]:
                 yield from ((t, item, place, place + n, 0) for item in wanted[int(hashes[place])])
 
 
-def _portions(at: np.ndarray, index: np.ndarray, count: np.ndarray, overlap: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _portions(
+    at: np.ndarray, index: np.ndarray, count: np.ndarray, overlap: int, most: int = 2_000_000
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of marks with about `most` hits; runs overlap by more than a match is long, so each match lies whole in one."""
     hits = np.cumsum(count[index])
     begin = 0
@@ -299,7 +311,9 @@ def _passes(benchmark: DataFrame, rate: float) -> Iterator[list[Broadcast]]:
             held = []
 
 
-_MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
+_MATCH = pa.schema(
+    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]
+)
 
 
 def _matched(held: list[Broadcast]):

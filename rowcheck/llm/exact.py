@@ -68,7 +68,9 @@ class OpenTable:
         return ((h, content, value) for h, content, value in filter(None, self.slots))
 
 
-def grace(records: Iterator[tuple[int, bytes, object]], join: Callable, table_bytes: int = TABLE_BYTES, depth: int = 0) -> Iterator[tuple[int, bytes, object]]:
+def grace(
+    records: Iterator[tuple[int, bytes, object]], join: Callable, table_bytes: int = TABLE_BYTES, depth: int = 0
+) -> Iterator[tuple[int, bytes, object]]:
     """Distinct contents of (hash, content, value) records, values joined; more memory than one table is never held.
 
     While the records fit the table nothing is spilled. Beyond it the table and all later records go to
@@ -120,10 +122,14 @@ def _best(a, b):
 
 
 def _flush(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema
+    )
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(
+    rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int], most: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
     held, held_bytes = [], 0
     for row in rows:
         held.append(row)
@@ -135,8 +141,12 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], i
         yield _flush(held, schema)
 
 
-_FOLDED = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("row", pa.binary())])
-_CLASS = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("row", pa.binary())])
+_FOLDED = pa.schema(
+    [("route", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("row", pa.binary())]
+)
+_CLASS = pa.schema(
+    [("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("row", pa.binary())]
+)
 
 
 def _local(table_bytes: int, extra: list[str]):
@@ -148,7 +158,9 @@ def _local(table_bytes: int, extra: list[str]):
                 ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
                 rows = batch.select(extra).to_pylist() if extra else [None] * len(ids)
                 null = batch.column("text").is_null().to_pylist()
-                for doc, text, row, none in zip(ids, texts.cast(pa.large_binary()).to_pylist(), rows, null, strict=True):
+                for doc, text, row, none in zip(
+                    ids, texts.cast(pa.large_binary()).to_pylist(), rows, null, strict=True
+                ):
                     content = fold(text)
                     # the text itself only where it is not its folded form; a null one is told from an empty one
                     row = pickle.dumps((row, none, None if content == text else text)) if extra else b""
@@ -171,7 +183,9 @@ def _global(table_bytes: int):
 
         def rows():
             for _, content, (doc, n, row) in grace(records(), _best, table_bytes):
-                yield hashlib.sha256(content).hexdigest(), doc, n, row if not row else pickle.dumps((*pickle.loads(row), content))
+                yield hashlib.sha256(content).hexdigest(), doc, n, row if not row else pickle.dumps(
+                    (*pickle.loads(row), content)
+                )
 
         yield from _batches(rows(), _CLASS, lambda r: len(r[3]) + 128)
 
@@ -180,15 +194,22 @@ def _global(table_bytes: int):
 
 def content_classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct normalised text: text_sha256, keep_id (largest doc_id), group_size."""
-    folded = texts_only(docs).mapInArrow(_local(table_bytes, []), "route long, doc_id long, n long, content binary, row binary")
+    folded = texts_only(docs).mapInArrow(
+        _local(table_bytes, []), "route long, doc_id long, n long, content binary, row binary"
+    )
     dealt = folded.repartition(partitions(docs.sparkSession), "route")
-    return dealt.mapInArrow(_global(table_bytes), "text_sha256 string, keep_id long, group_size long, row binary").drop("row")
+    return dealt.mapInArrow(
+        _global(table_bytes), "text_sha256 string, keep_id long, group_size long, row binary"
+    ).drop("row")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = texts_of(batch.column("text")).cast(pa.large_binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.sha256(fold(t)).hexdigest() for t in texts], pa.string())], names=["doc_id", "text_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([hashlib.sha256(fold(t)).hexdigest() for t in texts], pa.string())],
+            names=["doc_id", "text_sha256"],
+        )
 
 
 def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -202,11 +223,17 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     rows = texts_only(docs).mapInArrow(_digests, "doc_id long, text_sha256 string")
     classes = content_classes(docs, table_bytes)
     # a digest met twice among the classes would mean two contents of one SHA-256
-    once = classes.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("contents"))
-    size = F.when(F.col("contents") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two contents have one SHA-256")))
+    once = classes.groupBy("text_sha256").agg(
+        F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("contents")
+    )
+    size = F.when(F.col("contents") == 1, F.col("group_size")).otherwise(
+        F.raise_error(F.lit("two contents have one SHA-256"))
+    )
     decided = cut(once.select("text_sha256", "keep_id", size.alias("group_size")))  # a digest and two numbers for each distinct text
     joined = join_back(rows, decided, "text_sha256", "group_size")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return joined.select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    )
 
 
 def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -214,9 +241,9 @@ def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
     bounded_batches(docs.sparkSession)
     extra = [c for c in docs.columns if c != "text"]
     types = docs.schema
-    folded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row__")).mapInArrow(
-        _local(table_bytes, ["row__"]), "route long, doc_id long, n long, content binary, row binary"
-    )
+    folded = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row__")
+    ).mapInArrow(_local(table_bytes, ["row__"]), "route long, doc_id long, n long, content binary, row binary")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -230,4 +257,6 @@ def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     dealt = folded.repartition(partitions(docs.sparkSession), "route")
-    return dealt.mapInArrow(_global(table_bytes), "text_sha256 string, keep_id long, group_size long, row binary").select("row").mapInArrow(restore, types)
+    return dealt.mapInArrow(
+        _global(table_bytes), "text_sha256 string, keep_id long, group_size long, row binary"
+    ).select("row").mapInArrow(restore, types)

@@ -37,7 +37,18 @@ STRETCH = 1024
 _END = U64(0)  # both hashes of the end token; words hash to mixed values
 
 _UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
-_DOWN = pa.schema([("kind", pa.string()), ("block", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64()), ("distinct", pa.int64())])
+_DOWN = pa.schema(
+    [
+        ("kind", pa.string()),
+        ("block", pa.int32()),
+        ("bucket", pa.int32()),
+        ("counts", pa.binary()),
+        ("word", pa.int64()),
+        ("class", pa.int32()),
+        ("n", pa.int64()),
+        ("distinct", pa.int64()),
+    ]
+)
 _DOWN_SQL = "kind string, block int, bucket int, counts binary, word long, class int, n long, distinct long"
 
 
@@ -89,9 +100,23 @@ def _count(buckets: int):
         n = np.bincount(number, weights=learn, minlength=len(k1)).astype(np.int64)
         cuts = np.searchsorted(((k1 >> U64(32)) * U64(buckets)) >> U64(32), np.arange(buckets + 1, dtype=U64))
         own = table["block"][0].as_py()
-        rows = [(b, own, b"".join((k1[x:y].tobytes(), k2[x:y].tobytes(), zlib.compress(n[x:y].astype(np.int32).tobytes() + cls[x:y].astype(np.int16).tobytes(), 1)))) for b in range(buckets) if (x := cuts[b]) < (y := cuts[b + 1])]
+        rows = [
+            (
+                b,
+                own,
+                b"".join(
+                    (
+                        k1[x:y].tobytes(),
+                        k2[x:y].tobytes(),
+                        zlib.compress(n[x:y].astype(np.int32).tobytes() + cls[x:y].astype(np.int16).tobytes(), 1),
+                    )
+                ),
+            ) for b in range(buckets) if (x := cuts[b]) < (y := cuts[b + 1])
+        ]
         rows = [(b, block, int(cuts[b + 1] - cuts[b]).to_bytes(4, "little") + blob) for b, block, blob in rows]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _UP.types, strict=True)], schema=_UP)
+        return pa.Table.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _UP.types, strict=True)], schema=_UP
+        )
 
     return count
 
@@ -99,7 +124,9 @@ def _count(buckets: int):
 def _unpack(blob: bytes):
     n = int.from_bytes(blob[:4], "little")
     rest = zlib.decompress(blob[4 + 16 * n :])
-    return np.frombuffer(blob, U64, n, 4), np.frombuffer(blob, U64, n, 4 + 8 * n), np.frombuffer(rest, np.int32, n), np.frombuffer(rest, np.int16, n, 4 * n)
+    return np.frombuffer(blob, U64, n, 4), np.frombuffer(blob, U64, n, 4 + 8 * n), np.frombuffer(rest, np.int32, n), np.frombuffer(
+        rest, np.int16, n, 4 * n
+    )
 
 
 def _bin(counts: np.ndarray) -> np.ndarray:
@@ -119,9 +146,14 @@ def _reaching(least: int):
         for batch in batches:
             for n, blob in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 raw = zlib.decompress(blob)
-                word, sums, own = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int16, n, 16 * n)
+                word, sums, own = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(
+                    raw, np.int16, n, 16 * n
+                )
                 stay = sums >= least
-                yield pa.RecordBatch.from_arrays([pa.array(word[stay]), pa.array(own[stay], pa.int32()), pa.array(sums[stay])], names=["word", "class", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[stay]), pa.array(own[stay], pa.int32()), pa.array(sums[stay])],
+                    names=["word", "class", "n"],
+                )
 
     return run
 
@@ -134,7 +166,9 @@ def commonest(known: DataFrame, most_words: int) -> list:
         if left <= 0:
             least = _least(bin_)
             break
-    reaching = known.where("kind = 'words'").select("n", "counts").mapInArrow(_reaching(least), "word long, class int, n long")
+    reaching = known.where("kind = 'words'").select("n", "counts").mapInArrow(
+        _reaching(least), "word long, class int, n long"
+    )
     return reaching.orderBy(F.desc("n"), "word").limit(most_words).collect()
 
 
@@ -155,7 +189,18 @@ def _total(most_words: int):
         rows = []
         at = 0
         for block, part in zip(table["block"].to_pylist(), parts, strict=True):
-            rows.append(("answer", block, bucket, zlib.compress(back[at : at + len(part[0])].tobytes(), 1), None, None, None, None))
+            rows.append(
+                (
+                    "answer",
+                    block,
+                    bucket,
+                    zlib.compress(back[at : at + len(part[0])].tobytes(), 1),
+                    None,
+                    None,
+                    None,
+                    None,
+                )
+            )
             at += len(part[0])
         word, own = a[first], cls[order][first]
         ends = word == _END
@@ -165,11 +210,17 @@ def _total(most_words: int):
             packed = word[top].tobytes() + sums[top].tobytes() + own[top].astype(np.int16).tobytes()
             rows.append(("words", -1, bucket, zlib.compress(packed, 1), None, None, len(top), None))
             bins, many = np.unique(_bin(sums[top]), return_counts=True)
-            rows += [("bin", -1, bucket, None, None, c, m, None) for c, m in zip(bins.tolist(), many.tolist(), strict=True)]
+            rows += [
+                ("bin", -1, bucket, None, None, c, m, None) for c, m in zip(bins.tolist(), many.tolist(), strict=True)
+            ]
         rows.append(("end", -1, bucket, None, None, None, int(sums[ends].sum()), int((sums[ends] > 0).sum())))
         mass, kinds = np.bincount(own[~ends], sums[~ends], CLASSES), np.bincount(own[~ends], sums[~ends] > 0, CLASSES)
-        rows += [("class", -1, bucket, None, None, c, int(mass[c]), int(kinds[c])) for c in np.flatnonzero(mass).tolist()]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _DOWN.types, strict=True)], schema=_DOWN)
+        rows += [
+            ("class", -1, bucket, None, None, c, int(mass[c]), int(kinds[c])) for c in np.flatnonzero(mass).tolist()
+        ]
+        return pa.Table.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _DOWN.types, strict=True)], schema=_DOWN
+        )
 
     return total
 
@@ -194,7 +245,16 @@ class Model:
         return out
 
 
-def initial(words_: np.ndarray, counts: np.ndarray, class_mass: np.ndarray, class_counts: np.ndarray, ends: int, tokens: int, distinct: int, states: int = STATES) -> Model:
+def initial(
+    words_: np.ndarray,
+    counts: np.ndarray,
+    class_mass: np.ndarray,
+    class_counts: np.ndarray,
+    ends: int,
+    tokens: int,
+    distinct: int,
+    states: int = STATES,
+) -> Model:
     """Every state starts from the overall shares, moved by fixed pseudo-random factors so that states can part; states are sticky."""
     base = np.concatenate((counts, class_counts, [ends])).astype(float) + 1
     tilt = np.random.default_rng(7).uniform(-0.8, 0.8, (len(base), states))
@@ -217,7 +277,9 @@ def _transfers(model: Model, symbols: np.ndarray, begin: np.ndarray, size: np.nd
     now = np.zeros((len(begin), states, states))
     for t, n in enumerate(_active(size)):
         like = model.emit[symbols[begin[:n] + t]][:, None, :]
-        now[:n] = (np.eye(states) if t == 0 else (now[:n].reshape(-1, states) @ model.move).reshape(n, states, states)) * like
+        now[:n] = (
+            np.eye(states) if t == 0 else (now[:n].reshape(-1, states) @ model.move).reshape(n, states, states)
+        ) * like
         if t % 8 == 7:
             now[:n] /= now[:n].max((1, 2), keepdims=True)
     out = np.empty_like(now)
@@ -248,7 +310,9 @@ def pieces(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> Pieces:
     number = np.arange(many.sum()) - np.repeat(first, many)
     begin = np.repeat(bounds[:-1], many) + number * STRETCH
     size = np.minimum(np.repeat(bounds[1:], many) - begin, STRETCH)
-    prior, before, behind = np.tile(model.start, (len(begin), 1)), np.zeros((len(begin), states)), np.ones((len(begin), states))
+    prior, before, behind = np.tile(
+        model.start, (len(begin), 1)
+    ), np.zeros((len(begin), states)), np.ones((len(begin), states))
     cut_up = np.flatnonzero(np.repeat(many, many) > 1)
     moves = np.empty((len(begin), states, states))
     if len(cut_up):
@@ -343,7 +407,9 @@ def _sequences(held):
             for a, b in slices(texts):
                 tokens = Tokens(texts.slice(a, b - a))
                 flat, ends = model.symbols(tokens).astype("<u2"), (2 * tokens.bounds).astype(np.int32)
-                column = pa.Array.from_buffers(pa.binary(), tokens.texts, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                column = pa.Array.from_buffers(
+                    pa.binary(), tokens.texts, [None, pa.py_buffer(ends), pa.py_buffer(flat)]
+                )
                 yield pa.RecordBatch.from_arrays([column], names=["symbols"])
 
     return run
@@ -361,13 +427,17 @@ def _expect(held):
             held_symbols = batch.column("symbols").cast(pa.large_binary())
             for a, b in slices(held_symbols, _SEQUENCE_BYTES):
                 data, ends = buffers(held_symbols.slice(a, b - a))
-                for total, more in zip((emit, move, start), expected(model, data.view("<u2").astype(np.int64), ends // 2), strict=True):
+                for total, more in zip(
+                    (emit, move, start), expected(model, data.view("<u2").astype(np.int64), ends // 2), strict=True
+                ):
                     total += more
         used = np.flatnonzero(emit.sum(1) > 0)
         names = np.concatenate((used, -1 - np.arange(len(move)), [-1 - len(move)]))
         values = np.concatenate((emit[used], move, start[None]))
         columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(values.shape[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], names=["symbol", *(f"s{k}" for k in range(len(columns)))])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int32()), *columns], names=["symbol", *(f"s{k}" for k in range(len(columns)))]
+        )
 
     return run
 
@@ -386,7 +456,15 @@ def _improved(model: Model, rows) -> Model:
     overall = emit.sum(1) + 1
     emit = emit + 2 * len(emit) * (overall / overall.sum())[:, None]
     move, start = move + 1, start + 1
-    return Model(model.words, model.tokens, model.distinct, model.class_mass, start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return Model(
+        model.words,
+        model.tokens,
+        model.distinct,
+        model.class_mass,
+        start / start.sum(),
+        move / move.sum(1, keepdims=True),
+        emit / emit.sum(0),
+    )
 
 
 def train(docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -413,7 +491,9 @@ def train(docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
     sequences = cut(docs.select("text").mapInArrow(_sequences(named), "symbols binary"))
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        found = sequences.mapInArrow(_expect(held), _COUNTS).groupBy("symbol").agg(*(F.sum(f"s{k}") for k in range(STATES)))
+        found = sequences.mapInArrow(_expect(held), _COUNTS).groupBy("symbol").agg(
+            *(F.sum(f"s{k}") for k in range(STATES))
+        )
         model = _improved(model, found.collect())  # MOST_WORDS + CLASSES + STATES + 2 rows at most
         held.unpersist()
     return model
@@ -438,7 +518,14 @@ def _score(held):
         within[rare] = np.log10((counts[rare] + SMOOTH) / model.class_mass[cls[rare]])
         score = forward(model, symbols, tokens.bounds) + by_text(within)
         return pa.table(
-            {"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(tokens.count, pa.int64()), "n_known": pa.array(by_text(counts > 0).astype(np.int64)), "train_tokens": pa.array(np.full(tokens.texts, model.tokens), pa.int64()), "base_score": pa.array(by_text(base)), "score": pa.array(score)}
+            {
+                "doc_id": docs["doc_id"].combine_chunks(),
+                "n_tokens": pa.array(tokens.count, pa.int64()),
+                "n_known": pa.array(by_text(counts > 0).astype(np.int64)),
+                "train_tokens": pa.array(np.full(tokens.texts, model.tokens), pa.int64()),
+                "base_score": pa.array(by_text(base)),
+                "score": pa.array(score),
+            }
         )
 
     return run
@@ -461,11 +548,16 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     n = partitions(docs.sparkSession)
     plain = texts_only(docs).fillna("", ["text"])
     # rows without an id are spread by their text
-    block = F.pmod(F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)), F.lit(blocks(plain))).cast("int")
+    block = F.pmod(
+        F.coalesce(F.xxhash64("doc_id") + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(0)),
+        F.lit(blocks(plain)),
+    ).cast("int")
     dealt = plain.withColumn("train", training()).withColumn("block", block).repartition(n, "block")
     known = cut(counted(dealt, -(-n // 2)))
     model = train(plain.where(training()), known, rounds)
     held = docs.sparkSession.sparkContext.broadcast(model)
     answers = known.where("kind = 'answer'").select("block", "bucket", "counts")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(held), _SCORED)
-    return scored.select("doc_id", (~training()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select(
+        "doc_id", (~training()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

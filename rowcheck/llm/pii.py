@@ -42,14 +42,19 @@ _NONE = "array<struct<start:int,end:int,value:string>>"
 
 def located(text: Column, pattern: str) -> Column:
     """Every match in text: array of (start, end, value) in code points, end exclusive."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    parts = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
+    )
     first = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
         end = start + F.coalesce(F.length(part["value"]), F.lit(0))
         span = F.array(F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(part["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
+        return F.struct(
+            end.alias("at"),
+            F.when(part["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"),
+        )
 
     return F.aggregate(parts, first, step, lambda acc: acc["out"])
 
@@ -61,8 +66,12 @@ def _digits(value: Column) -> Column:
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn test."""
     back = F.reverse(digits)
-    plain, doubled = F.regexp_replace(back, "(.).?", "$1"), F.translate(F.regexp_replace(back, ".(.?)", "$1"), "0123456789", "0246813579")
-    total = F.aggregate(F.split(F.concat(plain, doubled), ""), F.lit(0), lambda a, c: a + F.coalesce(c.try_cast("int"), F.lit(0)))
+    plain, doubled = F.regexp_replace(back, "(.).?", "$1"), F.translate(
+        F.regexp_replace(back, ".(.?)", "$1"), "0123456789", "0246813579"
+    )
+    total = F.aggregate(
+        F.split(F.concat(plain, doubled), ""), F.lit(0), lambda a, c: a + F.coalesce(c.try_cast("int"), F.lit(0))
+    )
     return total % 10 == 0
 
 
@@ -78,33 +87,56 @@ def valid(kind: str, value: Column) -> Column:
 
 
 #: A text without this cannot hold the kind: most texts skip the pattern's bookkeeping.
-_HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+_HINTS = {
+    "email": r"@[A-Za-z0-9-]",
+    "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11}",
+    "phone": r"\+[0-9]",
+}
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """Valid matches of a kind: array of (start, end, value)."""
-    return F.when(text.rlike(_HINTS[kind]), F.filter(located(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))).otherwise(F.array().cast(_NONE))
+    return F.when(
+        text.rlike(_HINTS[kind]), F.filter(located(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
+    ).otherwise(F.array().cast(_NONE))
 
 
 def _spelled(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(
+            F.array_sort(spans),
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
 
 
 def _ranked(order: int, kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"))
+    return lambda s: F.struct(
+        s["start"].alias("start"),
+        F.lit(order).alias("order"),
+        s["end"].alias("end"),
+        F.lit(kind).alias("kind"),
+        s["value"].alias("value"),
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """row, doc_id, counts, spans (start, order of kind, end, kind, entity) of every row; text where there are spans, else null; clean: SHA-256 of the
     text where there are none, else null.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     found = plain.select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     spans = F.concat(*(F.transform(kind, _ranked(n, kind)) for n, kind in enumerate(KINDS)))
     counts = (F.size(k).cast("long").alias(f"n_{k}") for k in KINDS)
     listed = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *counts, spans.alias("spans"))
     some = F.size("spans") > 0
-    return listed.withColumn("clean", F.when(~some, F.sha2("text", 256))).withColumn("text", F.when(some, F.col("text")))
+    return listed.withColumn(
+        "clean", F.when(~some, F.sha2("text", 256))
+    ).withColumn("text", F.when(some, F.col("text")))
 
 
 def _terms(text: Column) -> Column:
@@ -114,30 +146,50 @@ def _terms(text: Column) -> Column:
 def disclosing(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """row, term: the terms of a row that reveal one of its entities, by counts over all documents."""
     holding = scanned.where(F.size("spans") > 0)
-    mentions = holding.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity"))
+    mentions = holding.select(
+        "row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")
+    )
     held = cut(mentions.groupBy("entity").agg(F.count("*").cast("double").alias("n_e")))
     total = float(max(scanned.count(), 1))
     most = held.agg(F.max("n_e")).first()[0] or 1.0
     bound = lambda n_e: total * F.pow(n_e / total, F.lit(alpha)) * (1 + 1e-9)
-    terms = docs.select(F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("n_t"))
+    terms = docs.select(
+        F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")
+    ).groupBy("term").agg(F.count("*").cast("double").alias("n_t"))
     rare = terms.where(F.col("n_t") <= bound(F.lit(most)))
-    entities = mentions.join(held.where(F.col("n_e") < total), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    entities = mentions.join(held.where(F.col("n_e") < total), "entity").groupBy("row").agg(
+        F.collect_list(F.struct("entity", "n_e")).alias("entities")
+    )
     own = holding.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(rare, "term").join(entities, "row")
-    near = own.select("row", "term", "n_t", F.explode("entities").alias("e")).select("row", "term", "n_t", "e.*").where(F.col("n_t") <= bound(F.col("n_e")))
+    near = own.select(
+        "row", "term", "n_t", F.explode("entities").alias("e")
+    ).select("row", "term", "n_t", "e.*").where(F.col("n_t") <= bound(F.col("n_e")))
     pairs = cut(near)
-    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+    counted = pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t")
+    )
     share = (F.col("n_et") + prior * F.col("n_t") / total) / (F.col("n_e") + prior)
-    reveals = counted.where(F.log2(share * total / F.col("n_t")) >= alpha * F.log2(total / F.col("n_e"))).select("entity", "term")
+    reveals = counted.where(
+        F.log2(share * total / F.col("n_t")) >= alpha * F.log2(total / F.col("n_e"))
+    ).select("entity", "term")
     return pairs.join(reveals, ["entity", "term"]).select("row", "term").distinct()
 
 
 def _occurrences(holding: DataFrame) -> DataFrame:
     """row, start, end, term of every term in the texts (row, text): lengths are added up over the pieces between and of the terms."""
-    parts = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))
-    pieces = holding.select("row", F.posexplode(parts).alias("at", "p")).select("row", "at", F.length("p.gap").alias("gap"), F.col("p.value").alias("value"))
+    parts = F.arrays_zip(
+        F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value")
+    )
+    pieces = holding.select("row", F.posexplode(parts).alias("at", "p")).select(
+        "row", "at", F.length("p.gap").alias("gap"), F.col("p.value").alias("value")
+    )
     length = F.coalesce(F.length("value"), F.lit(0))
-    ends = F.sum(F.col("gap") + length).over(W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, 0)).cast("int")
-    return pieces.withColumn("end", ends).where("value is not null").select("row", (F.col("end") - length).alias("start"), "end", F.lower("value").alias("term"))
+    ends = F.sum(F.col("gap") + length).over(
+        W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    ).cast("int")
+    return pieces.withColumn("end", ends).where("value is not null").select(
+        "row", (F.col("end") - length).alias("start"), "end", F.lower("value").alias("term")
+    )
 
 
 
@@ -156,9 +208,23 @@ def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFra
     place = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"))
     terms = mentioned.groupBy("row").agg(F.collect_set(place).alias("terms"))
     joined = scanned.join(terms, "row", "left")
-    base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
-    every = F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))
-    listed = joined.select("doc_id", "text", "clean", *(f"n_{k}" for k in KINDS), F.sha2(_spelled(base), 256).alias("base_sha256"), _spelled(every).alias("spans"))
+    base = F.transform(
+        "spans",
+        lambda s: F.struct(
+            s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")
+        ),
+    )
+    every = F.concat(
+        base, F.coalesce("terms", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
+    )
+    listed = joined.select(
+        "doc_id",
+        "text",
+        "clean",
+        *(f"n_{k}" for k in KINDS),
+        F.sha2(_spelled(base), 256).alias("base_sha256"),
+        _spelled(every).alias("spans"),
+    )
     clean = F.coalesce("clean", F.sha2(masked(F.col("text"), F.col("spans")), 256))
     return listed.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", clean.alias("clean_sha256"))
 
@@ -166,22 +232,41 @@ def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFra
 def masked(text: Column, spans: Column) -> Column:
     """text with each listed span (kind:start:end, comma-joined) replaced by its kind in brackets; a span that begins inside an earlier one is dropped with it."""
     parts = F.filter(F.split(spans, ","), lambda s: s != "")
-    cut_ = F.transform(parts, lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
+    cut_ = F.transform(
+        parts,
+        lambda s: F.struct(
+            F.split(s, ":")[0].alias("kind"),
+            F.split(s, ":")[1].cast("int").alias("start"),
+            F.split(s, ":")[2].cast("int").alias("end"),
+        ),
+    )
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(cut_, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        out = F.concat(
+            acc["out"],
+            F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
+            F.lit("["),
+            F.upper(s["kind"]),
+            F.lit("]"),
+        )
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out")
+        )
+
+    return F.aggregate(
+        cut_, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    )
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """docs (unique doc_id) with base spans and disclosing terms of text replaced by [EMAIL], [IP], [CARD], [PHONE], [TERM]."""
     # names that docs does not have, so what is joined cannot be taken for its own columns
     own, spans = fresh(docs, "found_id"), fresh(docs, "found_spans")
-    found = find(docs, alpha, prior).where("spans <> ''").select(F.col("doc_id").alias(own), F.col("spans").alias(spans))
+    found = find(docs, alpha, prior).where("spans <> ''").select(
+        F.col("doc_id").alias(own), F.col("spans").alias(spans)
+    )
     joined = docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left")
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(spans)))
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

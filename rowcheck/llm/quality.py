@@ -31,12 +31,37 @@ THRESHOLD = 0.3
 BINS, PAIR_BINS, ROUNDS, RATE, PAIRS = 48, 8, 120, 0.15, 8
 
 FEATURES = [
-    "log_bytes", "log_words", "bytes_a_word", "upper_share", "digit_share", "punctuation_share", "symbol_share", "blank_share", "other_share",
-    "line_words", "distinct_words", "top_word_share", "same_as_before", "same_as_before_last", "distinct_lines", "long_words", "marked_words", "title_words", "stops_a_word", "bars_a_word", "commas_a_word",
-    "short_words", "low_bits_entropy", "distinct_triples",
-]
-
-_UPPER, _DIGIT, _STOP, _MARK, _SYMBOL = (np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(48, 58), b".,;:?!", b"!$%&*#|@~^", b"$%&*#|@~^<>{}[]\\/=+_"))
+    "log_bytes",
+    "log_words",
+    "bytes_a_word",
+    "upper_share",
+    "digit_share",
+    "punctuation_share",
+    "symbol_share",
+    "blank_share",
+    "other_share",
+    "line_words",
+    "distinct_words",
+    "top_word_share",
+    "same_as_before",
+    "same_as_before_last",
+    "distinct_lines",
+    "long_words",
+    "marked_words",
+    "title_words",
+    "stops_a_word",
+    "bars_a_word",
+    "commas_a_word",
+    "short_words",
+    "low_bits_entropy",
+    "distinct_triples",
+]
+
+_UPPER, _DIGIT, _STOP, _MARK, _SYMBOL = (
+    np.isin(np.arange(256), list(x)) for x in (
+        range(65, 91), range(48, 58), b".,;:?!", b"!$%&*#|@~^", b"$%&*#|@~^<>{}[]\\/=+_"
+    )
+)
 _VISIBLE_OTHER = np.arange(256) >= 128
 
 
@@ -69,7 +94,9 @@ def features(texts: pa.Array) -> np.ndarray:
     folded = lower(data)
     count = np.bincount(text, minlength=n).astype(float)
     each = np.maximum(count, 1)
-    of_class = lambda table: np.add.reduceat(np.append(table[data], 0).astype(np.int64), np.minimum(offsets[:-1], len(data))) * (size > 0) / own
+    of_class = lambda table: np.add.reduceat(
+        np.append(table[data], 0).astype(np.int64), np.minimum(offsets[:-1], len(data))
+    ) * (size > 0) / own
     if not len(data):
         return np.zeros((n, len(FEATURES)))
     h = word_hashes(folded, start, end, (1,))[0]
@@ -77,11 +104,22 @@ def features(texts: pa.Array) -> np.ndarray:
     distinct, most = _distinct(h, text, n)
     back = lambda k: _per_text(((h[k:] == h[:-k]) & (text[k:] == text[:-k])).astype(float), text[k:], n) / each
     newline = data == 10
-    lines = np.add.reduceat(np.append(newline, False).astype(np.int64), np.minimum(offsets[:-1], len(data))) * (size > 0) + 1.0
+    lines = np.add.reduceat(
+        np.append(newline, False).astype(np.int64), np.minimum(offsets[:-1], len(data))
+    ) * (size > 0) + 1.0
     # a line is known by the hashes of its words
     line_of = np.concatenate(([0], np.cumsum(newline)))[start] + text
-    opens = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1]))) if len(start) else np.empty(0, np.int64)
-    line_keys = np.add.reduceat(h * (np.arange(len(h)).astype(np.uint64) - np.repeat(opens, np.diff(np.append(opens, len(h)))).astype(np.uint64) + np.uint64(1)), opens) if len(opens) else np.empty(0, np.uint64)
+    opens = np.flatnonzero(
+        np.concatenate(([True], line_of[1:] != line_of[:-1]))
+    ) if len(start) else np.empty(0, np.int64)
+    line_keys = np.add.reduceat(
+        h * (
+            np.arange(len(h)).astype(np.uint64) - np.repeat(
+                opens, np.diff(np.append(opens, len(h)))
+            ).astype(np.uint64) + np.uint64(1)
+        ),
+        opens,
+    ) if len(opens) else np.empty(0, np.uint64)
     line_text = text[opens] if len(opens) else text
     distinct_lines, _ = _distinct(line_keys, line_text, n)
     full_lines = np.maximum(np.bincount(line_text, minlength=n), 1)
@@ -95,11 +133,31 @@ def features(texts: pa.Array) -> np.ndarray:
     entropy = -(share * np.log2(np.maximum(share, 1e-12))).sum(axis=1)
     blank = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
     out = [
-        np.log1p(size), np.log1p(count), _per_text(length, text, n) / each, of_class(_UPPER), of_class(_DIGIT), of_class(_STOP), of_class(_SYMBOL), of_class(blank), of_class(_VISIBLE_OTHER),
-        count / lines, distinct / each, most / each, back(1), back(2), distinct_lines / full_lines, _per_text(length > 14, text, n) / each, _per_text(_MARK[last], text, n) / each, _per_text(_UPPER[data[start]], text, n) / each,
-        of_class(np.isin(np.arange(256), list(b".!?"))) * own / each, of_class(np.isin(np.arange(256), list(b"|"))) * own / each, of_class(np.isin(np.arange(256), list(b","))) * own / each,
-        _per_text(length < 4, text, n) / each, entropy, distinct_triples / each,
-    ]
+        np.log1p(size),
+        np.log1p(count),
+        _per_text(length, text, n) / each,
+        of_class(_UPPER),
+        of_class(_DIGIT),
+        of_class(_STOP),
+        of_class(_SYMBOL),
+        of_class(blank),
+        of_class(_VISIBLE_OTHER),
+        count / lines,
+        distinct / each,
+        most / each,
+        back(1),
+        back(2),
+        distinct_lines / full_lines,
+        _per_text(length > 14, text, n) / each,
+        _per_text(_MARK[last], text, n) / each,
+        _per_text(_UPPER[data[start]], text, n) / each,
+        of_class(np.isin(np.arange(256), list(b".!?"))) * own / each,
+        of_class(np.isin(np.arange(256), list(b"|"))) * own / each,
+        of_class(np.isin(np.arange(256), list(b","))) * own / each,
+        _per_text(length < 4, text, n) / each,
+        entropy,
+        distinct_triples / each,
+    ]
     return np.stack(out, axis=1)
 
 
@@ -130,7 +188,11 @@ def _pair_tree(g: np.ndarray, w: np.ndarray) -> np.ndarray:
     best, out = -1.0, np.zeros_like(g)
     for i in range(len(g) - 1):
         for j in range(g.shape[1] - 1):
-            parts = [(cg[i, j], cw[i, j]), (cg[i, -1] - cg[i, j], cw[i, -1] - cw[i, j]), (cg[-1, j] - cg[i, j], cw[-1, j] - cw[i, j])]
+            parts = [
+                (cg[i, j], cw[i, j]),
+                (cg[i, -1] - cg[i, j], cw[i, -1] - cw[i, j]),
+                (cg[-1, j] - cg[i, j], cw[-1, j] - cw[i, j]),
+            ]
             parts.append((cg[-1, -1] - sum(p[0] for p in parts), cw[-1, -1] - sum(p[1] for p in parts)))
             worth = sum(a * a / (b + 1) for a, b in parts)
             if worth > best:
@@ -156,15 +218,26 @@ class Additive:
         for k, (edges, table) in enumerate(zip(self.edges, self.tables, strict=True)):
             total += table[np.searchsorted(edges, x[:, k], "right")]
         for (a, b), table in zip(self.pairs, self.pair_tables, strict=True):
-            total += table[np.searchsorted(self.pair_edges[a], x[:, a], "right"), np.searchsorted(self.pair_edges[b], x[:, b], "right")]
+            total += table[
+                np.searchsorted(self.pair_edges[a], x[:, a], "right"),
+                np.searchsorted(self.pair_edges[b], x[:, b], "right"),
+            ]
         return 1 / (1 + np.exp(-total))
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS) -> Additive:
     """Cyclic boosting on the logistic loss. With one class only, or no rows, the score is the smoothed share of class 1."""
     share = (y.sum() + 1) / (len(y) + 2)
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.empty(0) for k in range(x.shape[1])]
-    coarse = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, PAIR_BINS + 1)[1:-1])) if len(x) else np.empty(0) for k in range(x.shape[1])]
+    edges = [
+        np.unique(
+            np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])
+        ) if len(x) else np.empty(0) for k in range(x.shape[1])
+    ]
+    coarse = [
+        np.unique(
+            np.quantile(x[:, k], np.linspace(0, 1, PAIR_BINS + 1)[1:-1])
+        ) if len(x) else np.empty(0) for k in range(x.shape[1])
+    ]
     tables = [np.zeros(len(e) + 1) for e in edges]
     model = Additive(float(np.log(share / (1 - share))), edges, tables, coarse, [], [])
     if len(np.unique(y)) < 2:
@@ -179,11 +252,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS)
     for _ in range(rounds):
         for k, own in enumerate(bins):
             g, w = left()
-            step = RATE * np.clip(_tree(np.bincount(own, g, len(tables[k])), np.bincount(own, w, len(tables[k]))), -4, 4)
+            step = RATE * np.clip(
+                _tree(np.bincount(own, g, len(tables[k])), np.bincount(own, w, len(tables[k]))), -4, 4
+            )
             tables[k] += step
             total += step[own]
     small = [np.searchsorted(e, x[:, k], "right") for k, e in enumerate(coarse)]
-    grid = lambda a, b, v: np.bincount(small[a] * (len(coarse[b]) + 1) + small[b], v, (len(coarse[a]) + 1) * (len(coarse[b]) + 1)).reshape(len(coarse[a]) + 1, -1)
+    grid = lambda a, b, v: np.bincount(
+        small[a] * (len(coarse[b]) + 1) + small[b], v, (len(coarse[a]) + 1) * (len(coarse[b]) + 1)
+    ).reshape(len(coarse[a]) + 1, -1)
     g, w = left()
     worth = {}
     for a in range(x.shape[1]):
@@ -211,18 +288,30 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = texts_of(batch.column("text"))
         for a, b in slices(texts):
             x = features(texts.slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("y").slice(a, b - a),
+                    pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())),
+                ],
+                names=["y", "x"],
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Additive:
     """Fit on the labelled rows that are not held out; of more than `most` of them, those with the smallest hash of doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").where(~held_out())
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")
+    ).where("doc_id is not null and y is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     plain = texts_only(docs)
     # at most `most` ids of 16 bytes: a proven bound
-    rows = plain.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(_feature_rows, "y double, x array<double>").toArrow()
+    rows = plain.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(
+        _feature_rows, "y double, x array<double>"
+    ).toArrow()
     y = rows["y"].to_numpy().astype(float)
-    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES)) if len(y) else np.empty((0, len(FEATURES)))
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(
+        len(y), len(FEATURES)
+    ) if len(y) else np.empty((0, len(FEATURES)))
     order = np.lexsort((*x.T, y)) if len(y) else np.empty(0, int)  # the same model whatever order the rows came in
     return fit(x[order], y[order])
 
@@ -233,7 +322,10 @@ def _scored(model: Additive, name: str):
             texts = texts_of(batch.column("text"))
             scores = [model.score(features(texts.slice(a, b - a))) for a, b in slices(texts)]
             score = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(score)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(batch.num_columns)), pa.array(score)],
+                names=[*batch.schema.names, name],
+            )
 
     return run
 
@@ -256,10 +348,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     """
     plain = texts_only(docs)
     scored = score(plain, train(docs, labels, most=most), "score")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MOST_LABELLED) -> DataFrame:
+def drop_rejected(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MOST_LABELLED
+) -> DataFrame:
     """The rows of docs that the classifier keeps (score >= threshold), all columns as they were; rows do not move. Cases as in
     classify; the names of other columns do not matter.
     """

@@ -11,7 +11,9 @@ def op1_decontaminate(spark, sf_dir):
     from rowcheck.llm.decontaminate import leaks
 
     found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), F.min("edits").alias("edits"), F.min("begin").alias("first_begin"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n_places"), F.min("edits").alias("edits"), F.min("begin").alias("first_begin")
+    )
 
 
 def op2_substring_dedup(spark, sf_dir):
@@ -73,7 +75,20 @@ def op10_simhash(spark, sf_dir):
     return near_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_bpe, op4_pii, op5_hmm_scores, op6_exact_dedup, op7_quality, op8_urls, op9_token_counts, op10_simhash)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_decontaminate,
+        op2_substring_dedup,
+        op3_bpe,
+        op4_pii,
+        op5_hmm_scores,
+        op6_exact_dedup,
+        op7_quality,
+        op8_urls,
+        op9_token_counts,
+        op10_simhash,
+    )
+}
 
 _EXACT = r"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)

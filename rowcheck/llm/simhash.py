@@ -70,7 +70,9 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = 3) -> DataFrame
     """docs with a last column `name`, which docs does not have: 64 bits as a signed long. Null text: 0, as any text without words."""
     bounded_batches(docs.sparkSession)
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    return plain.mapInArrow(_fingerprints(shingle, name), T.StructType([*plain.schema.fields, T.StructField(name, T.LongType())]))
+    return plain.mapInArrow(
+        _fingerprints(shingle, name), T.StructType([*plain.schema.fields, T.StructField(name, T.LongType())])
+    )
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -89,7 +91,9 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     masks = [int(m) for m in ball((radius + 1) // 2)]
     # few bytes now, very many after the explode: dealt to all tasks before it
     dealt = distinct.repartition(partitions(distinct.sparkSession), "fp")
-    sent = dealt.select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    sent = dealt.select(
+        "fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant")
+    )
     if radius % 2:  # an odd radius rounds up, so those that meet may be one bit too far apart: verify all of the bounded group
         met = sent.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
         pairs = met.select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v")).where("u < v")
@@ -103,7 +107,11 @@ def _rooted(made: DataFrame, radius: int) -> DataFrame:
     """fp, first (smallest doc_id), n (rows), root (of its component) of every distinct fingerprint; written once."""
     firsts = cut(made.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(firsts.select("fp"), radius))
-    return cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    return cut(
+        firsts.join(roots, firsts.fp == roots.node, "left").select(
+            "fp", "first", "n", F.coalesce("root", "fp").alias("root")
+        )
+    )
 
 
 def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
@@ -132,4 +140,6 @@ def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3) -> Data
     name, stay_id, stay_fp = (fresh(docs, stem) for stem in ("fp", "stay_id", "stay_fp"))
     stay = stay.select(F.col("best.doc_id").alias(stay_id), F.col("best.fp").alias(stay_fp))
     same = (F.col(name) == F.col(stay_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id))
-    return with_fingerprints(docs, name, shingle).join(stay, same, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return with_fingerprints(docs, name, shingle).join(stay, same, "left_semi").select(
+        *(F.col(f"`{c}`") for c in docs.columns)
+    )

@@ -155,8 +155,14 @@ def _ask(level: int, window: int, buckets: int):
         # sorted keys: each bucket is one slice
         cuts = np.searchsorted(_bucket(columns[0], buckets), np.arange(buckets + 1, dtype=U64))
         own = docs["block"][0].as_py()
-        rows = [(b, own, level, b"".join(c[cuts[b] : cuts[b + 1]].tobytes() for c in columns)) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _UP.types, strict=True)], schema=_UP) if rows else _UP.empty_table()
+        rows = [
+            (
+                b, own, level, b"".join(c[cuts[b] : cuts[b + 1]].tobytes() for c in columns)
+            ) for b in range(buckets) if cuts[b] < cuts[b + 1]
+        ]
+        return pa.Table.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _UP.types, strict=True)], schema=_UP
+        ) if rows else _UP.empty_table()
 
     if level == 0:
         return lambda docs: ask(docs, _Answers())
@@ -178,8 +184,20 @@ def _answer(last: int):
             said[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], first), count)
         else:
             said[order] = np.repeat(count > 1, count)
-        bits = [len(x).to_bytes(4, "little") + np.packbits(x).tobytes() for x in np.split(said, np.cumsum([p.shape[1] for p in parts])[:-1])]
-        return pa.Table.from_arrays([table["block"].combine_chunks(), table["level"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())], schema=_DOWN)
+        bits = [
+            len(x).to_bytes(4, "little") + np.packbits(x).tobytes() for x in np.split(
+                said, np.cumsum([p.shape[1] for p in parts])[:-1]
+            )
+        ]
+        return pa.Table.from_arrays(
+            [
+                table["block"].combine_chunks(),
+                table["level"].combine_chunks(),
+                table["bucket"].combine_chunks(),
+                pa.array(bits, pa.binary()),
+            ],
+            schema=_DOWN,
+        )
 
     return answer
 
@@ -201,10 +219,20 @@ def _cut_out(window: int, with_text: bool):
             whole = block.data[block.offsets[k] : block.offsets[k + 1]].tobytes().split()
             left = int(keep.sum())
             text = b" ".join(whole if left == len(keep) else compress(whole, keep.tolist()))
-            rows.append((doc, len(keep), len(keep) - left, hashlib.sha256(text).hexdigest(), *([text.decode()] if with_text else [])))
+            rows.append(
+                (
+                    doc,
+                    len(keep),
+                    len(keep) - left,
+                    hashlib.sha256(text).hexdigest(),
+                    *([text.decode()] if with_text else []),
+                )
+            )
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
+        return pa.table(
+            {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))}
+        )
 
     return cut_out
 
@@ -216,7 +244,11 @@ def _untouched(with_text: bool):
         for batch in batches:
             kept = [t.split() for t in texts_of(batch.column("text")).cast(pa.large_binary()).to_pylist()]
             joined = [b" ".join(w) for w in kept]
-            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(map(len, kept), pa.int64()), "n_removed": pa.array([0] * len(kept), pa.int64())}
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_words": pa.array(map(len, kept), pa.int64()),
+                "n_removed": pa.array([0] * len(kept), pa.int64()),
+            }
             columns["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string())
             if with_text:
                 columns["kept_text"] = pa.array([x.decode() for x in joined], pa.string())
@@ -244,7 +276,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     last, known = len(levels(window)) - 1, None
     for level in range(last + 1):
         by_block = dealt.groupBy("block")
-        asked = (by_block if known is None else by_block.cogroup(known.groupBy("block"))).applyInArrow(_ask(level, window, buckets), up)
+        asked = (
+            by_block if known is None else by_block.cogroup(known.groupBy("block"))
+        ).applyInArrow(_ask(level, window, buckets), up)
         said = asked.groupBy("bucket").applyInArrow(_answer(last), down)
         known = said if known is None else known.union(said)
     schema = _OUT + (", kept_text string" if with_text else "")

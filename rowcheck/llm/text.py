@@ -77,7 +77,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+def word_hashes(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...] = (1, 2)
+) -> list[np.ndarray]:
     """One 64-bit hash of each word for every seed, taken over 8 bytes at a time."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))

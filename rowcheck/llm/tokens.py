@@ -106,7 +106,14 @@ def _counted(path: str):
         counter = _counter(path)
         for batch in batches:
             found = [counter.text(t) for t in texts_of(batch.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for _, c in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names=["doc_id", "n_tokens", "best_score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([c for _, c in found], pa.int64()),
+                    pa.array([s for s, _ in found], pa.float64()),
+                ],
+                names=["doc_id", "n_tokens", "best_score"],
+            )
 
     return run
 

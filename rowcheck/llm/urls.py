@@ -21,7 +21,13 @@ KEYS_A_BLOCK = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The production rules: (verdict, host, path).
-RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
 #: A page is listed if its text holds a run of three such signs: titles and paragraphs padded with them.
 SPAM = r"(%%%|\*\*\*|\$\$\$|&amp;&amp;&amp;|###|@@@|~~~|\^\^\^)"
 _PARTS = r"://([^/?#]*)([^?#]*)"
@@ -44,7 +50,9 @@ def _escapes(path_: Column) -> Column:
 
     def one(x: Column, k: Column) -> Column:
         plain = hexed(x).rlike("^[2-7][0-9A-Fa-f]$") & sign(x).rlike("^[A-Za-z0-9._~-]$")
-        whole = F.concat(F.lit("%"), F.when(hexed(x).rlike("^[0-9A-Fa-f]{2}$"), F.concat(F.upper(hexed(x)), rest(x))).otherwise(x))
+        whole = F.concat(
+            F.lit("%"), F.when(hexed(x).rlike("^[0-9A-Fa-f]{2}$"), F.concat(F.upper(hexed(x)), rest(x))).otherwise(x)
+        )
         return F.when(k == 0, x).when(plain, F.concat(sign(x), rest(x))).otherwise(whole)
 
     return F.when(path_.contains("%"), F.array_join(F.transform(F.split(path_, "%"), one), "")).otherwise(path_)
@@ -52,7 +60,9 @@ def _escapes(path_: Column) -> Column:
 
 def _no_dots(path_: Column) -> Column:
     """Path without . and .. segments; .. takes the segment before it along."""
-    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    step = lambda done, x: F.when(
+        x == "..", F.regexp_replace(done, "/[^/]*$", "")
+    ).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
     folded = F.aggregate(F.split(F.substring(path_, 2, 1 << 30), "/"), F.lit(""), step)
     return F.when(path_.contains("/."), folded).otherwise(path_)
 
@@ -62,7 +72,9 @@ def canonical(host_: Column, path_: Column) -> Column:
     form, without . and .. segments and without a closing / or .html. Scheme, query and fragment are gone.
     """
     bare = F.regexp_replace(F.regexp_replace(host_, r"^.*@", ""), r"\.?(:(80|443)?)?$", "")
-    return F.concat(F.regexp_replace(bare, r"^www\.", ""), F.regexp_replace(_no_dots(_escapes(path_)), r"(/|\.html?)$", ""))
+    return F.concat(
+        F.regexp_replace(bare, r"^www\.", ""), F.regexp_replace(_no_dots(_escapes(path_)), r"(/|\.html?)$", "")
+    )
 
 
 def fitting_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -77,7 +89,11 @@ def fitting_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, s
 
 def _bits(url: Column, blocks: int) -> list[Column]:
     spread = F.xxhash64(url, F.lit(1))
-    words = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(spread, 6 * k).bitwiseAND(63).cast("int")) for k in range(4)]
+    words = [
+        F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(spread, 6 * k).bitwiseAND(63).cast("int")
+        ) for k in range(4)
+    ]
     return [F.pmod(F.xxhash64(url), F.lit(blocks)).alias("block__"), *(w.alias(f"w{k}__") for k, w in enumerate(words))]
 
 
@@ -109,10 +125,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     for k in range(4):
         passes = passes & (F.col(f"f{k}__").bitwiseAND(F.col(f"w{k}__")) != 0)
     columns = ["page_id", "host", "path", "rule"]
-    judged = cut(probed.select(*columns, "by_rule__", F.when(F.coalesce(passes, F.lit(False)), F.col("url__")).alias("possible__")))
-    settled = judged.where("possible__ is null").select(*columns, F.coalesce("by_rule__", F.lit("allow")).alias("verdict"))
+    judged = cut(
+        probed.select(
+            *columns, "by_rule__", F.when(F.coalesce(passes, F.lit(False)), F.col("url__")).alias("possible__")
+        )
+    )
+    settled = judged.where("possible__ is null").select(
+        *columns, F.coalesce("by_rule__", F.lit("allow")).alias("verdict")
+    )
     possible = judged.where("possible__ is not null").join(listed, F.col("possible__") == F.col("listed"), "left")
-    return settled.unionByName(possible.select(*columns, F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict")))
+    return settled.unionByName(
+        possible.select(*columns, F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict"))
+    )
 
 
 def listed_in(pages: DataFrame, spam: str = SPAM) -> DataFrame:

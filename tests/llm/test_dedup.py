@@ -20,7 +20,20 @@ def low(text):
     return (text or "").encode().lower()
 
 
-ODD = [(1, None), (2, ""), (3, "Same Text"), (4, "same text"), (5, "same text"), (None, "SAME TEXT"), (None, "alone"), (7, "É accents"), (8, "é accents"), (9, "w " * 30000), (9, "W " * 30000), (-4, " \t\n")]
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, "Same Text"),
+    (4, "same text"),
+    (5, "same text"),
+    (None, "SAME TEXT"),
+    (None, "alone"),
+    (7, "É accents"),
+    (8, "é accents"),
+    (9, "w " * 30000),
+    (9, "W " * 30000),
+    (-4, " \t\n"),
+]
 
 
 def test_exact_groups_against_plain(spark):
@@ -44,7 +57,9 @@ def test_grace_spills_until_a_table_fits():
     found = {k: v for _, k, v in grace(iter(records), lambda a, b: a + b, table_bytes=9000)}
     assert len(found) == 3000 and sum(found.values()) == 3500
     # one hash for all: nothing can be split, contents still decide
-    same = {k: v for _, k, v in grace(((7, k, 1) for k in keys[:300] + keys[:10]), lambda a, b: a + b, table_bytes=5000)}
+    same = {
+        k: v for _, k, v in grace(((7, k, 1) for k in keys[:300] + keys[:10]), lambda a, b: a + b, table_bytes=5000)
+    }
     assert len(same) == 300 and sum(same.values()) == 310
 
 
@@ -60,7 +75,9 @@ def test_drop_exact_copies_keeps_columns(spark):
     assert got.columns == frame(spark, ODD).columns
     rows = {low(r["text"]): r for r in got.collect()}
     assert len(rows) == len({low(t) for _, t in ODD})
-    assert rows[b"same text"]["doc_id"] == 5 and rows[b"same text"]["text"] == "same text" and rows[b"alone"]["doc_id"] is None
+    assert rows[
+        b"same text"
+    ]["doc_id"] == 5 and rows[b"same text"]["text"] == "same text" and rows[b"alone"]["doc_id"] is None
 
 
 def brute_substring(rows, n=13):
@@ -87,12 +104,28 @@ def test_substring_against_plain(spark, window):
     text = lambda n, v: " ".join(f"w{x}" for x in rng.integers(0, v, n))
     passage, other = text(60, 10**6), text(13, 10**6)
     rows = [(k, text(int(rng.integers(0, 90)), 5000)) for k in range(60)]
-    rows += [(100 + k, f"{text(20, 999)} {passage}\n{text(9, 999)}") for k in range(5)] + [(200 + k, other.replace(" ", " \t")) for k in range(3)]
-    rows += [(300, passage[5:]), (301, passage), (301, passage), (302, ("a b " * 40)), (303, ("a b " * 40)), (304, None), (305, ""), (306, "x " * 20000 + passage), (-7, passage)]
+    rows += [
+        (100 + k, f"{text(20, 999)} {passage}\n{text(9, 999)}") for k in range(5)
+    ] + [(200 + k, other.replace(" ", " \t")) for k in range(3)]
+    rows += [
+        (300, passage[5:]),
+        (301, passage),
+        (301, passage),
+        (302, ("a b " * 40)),
+        (303, ("a b " * 40)),
+        (304, None),
+        (305, ""),
+        (306, "x " * 20000 + passage),
+        (-7, passage),
+    ]
     alone = [(None, passage), (None, passage), (None, None), (None, f"{passage}  x")]  # no place in the order: they keep all and take none
     got = [tuple(r)[:4] for r in dedup_substrings(frame(spark, rows + alone), window).collect()]
     assert sorted(r for r in got if r[0] is not None) == brute_substring(rows, window)
-    want = [(None, len(w), 0, hashlib.sha256(b" ".join(w)).hexdigest()) for w in ((t or "").encode().split() for _, t in alone)]
+    want = [
+        (
+            None, len(w), 0, hashlib.sha256(b" ".join(w)).hexdigest()
+        ) for w in ((t or "").encode().split() for _, t in alone)
+    ]
     assert sorted(map(str, (r for r in got if r[0] is None))) == sorted(map(str, want))
     assert dedup_substrings(frame(spark, []), window).count() == 0
 
@@ -122,7 +155,14 @@ def test_majority_counts_many():
 
 def test_near_groups_against_plain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    rows = [tuple(r) for r in docs] + [(10_000, None), (10_001, ""), (10_002, docs[0]["text"]), (10_002, docs[0]["text"]), (10_003, docs[1]["text"] + " tail"), (10_004, docs[1]["text"] + " tail end")]
+    rows = [tuple(r) for r in docs] + [
+        (10_000, None),
+        (10_001, ""),
+        (10_002, docs[0]["text"]),
+        (10_002, docs[0]["text"]),
+        (10_003, docs[1]["text"] + " tail"),
+        (10_004, docs[1]["text"] + " tail end"),
+    ]
     fps = [brute_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 

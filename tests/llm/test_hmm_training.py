@@ -39,7 +39,9 @@ def test_cuts_change_nothing(stretch, monkeypatch):
     rng = np.random.default_rng(stretch)
     states, kinds = 3, 6
     share = lambda *shape: (lambda x: x / x.sum(-1, keepdims=True))(rng.uniform(0.01, 1, shape))
-    model = Model(np.empty(0, np.uint64), 1, 1, np.ones(1), share(states), share(states, states), share(states, kinds).T.copy())
+    model = Model(
+        np.empty(0, np.uint64), 1, 1, np.ones(1), share(states), share(states, states), share(states, kinds).T.copy()
+    )
     lengths = [1, 2, 3, 4, 7, 8, 21, 64, 65, 200, 1, 128, 1500]
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     symbols = rng.integers(0, kinds, bounds[-1])
@@ -56,7 +58,11 @@ def test_training_and_scores(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(80)]
     rows = [(k, " ".join(rng.choices(vocabulary, k=rng.choice((0, 1, 5, 30, 90))))) for k in range(60)] + [(100, None)]
-    got = {r["doc_id"]: r["score"] for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).collect()}
+    got = {
+        r["doc_id"]: r["score"] for r in score_texts(
+            spark.createDataFrame(rows, "doc_id long, text string"), rounds=3
+        ).collect()
+    }
     texts = {i: (t or "").lower() for i, t in rows}
     learn = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
     words = Counter(w for i in learn for w in texts[i].split())
@@ -67,16 +73,28 @@ def test_training_and_scores(spark, monkeypatch):
     own = sorted(words, key=lambda w: number[w][0])
     classes = np.zeros(hmm.CLASSES)
     mass = classes + SMOOTH
-    model = initial(np.array([number[w][0] for w in own], np.uint64), np.array([words[w] for w in own], float), mass, classes, ends, sum(words.values()) + ends, len(words) + 1)
+    model = initial(
+        np.array([number[w][0] for w in own], np.uint64),
+        np.array([words[w] for w in own], float),
+        mass,
+        classes,
+        ends,
+        sum(words.values()) + ends,
+        len(words) + 1,
+    )
     place = {w: k for k, w in enumerate(own)}
-    symbols = {i: [place.get(w, len(own) + number[w][1]) for w in t.split()] + [len(model.emit) - 1] for i, t in texts.items()}
+    symbols = {
+        i: [place.get(w, len(own) + number[w][1]) for w in t.split()] + [len(model.emit) - 1] for i, t in texts.items()
+    }
     for i, t in tokens.items():
         assert model.symbols(t).tolist() == symbols[i]
     for _ in range(3):
         emit, move, start = plain_counts(model, [symbols[i] for i in learn])
         overall = emit.sum(1) + 1
         emit = emit + 2 * len(emit) * (overall / overall.sum())[:, None]
-        model.emit, model.move, model.start = emit / emit.sum(0), (move + 1) / (move + 1).sum(1, keepdims=True), (start + 1) / (start + 1).sum()
+        model.emit, model.move, model.start = emit / emit.sum(0), (move + 1) / (move + 1).sum(
+            1, keepdims=True
+        ), (start + 1) / (start + 1).sum()
     for i, own_symbols in symbols.items():
         now, score = model.start, 0.0
         for t, s in enumerate(own_symbols):

@@ -13,8 +13,13 @@ def test_bins_hold_their_counts():
 
 
 def test_the_commonest_words_keep_a_symbol_however_rare(spark):
-    rows = [(k, " ".join(f"w{k}x{n}" for n in range(60)) + " the" * (600 + k) + f" a{k % 7} b" * (k % 5)) for k in range(50)]
-    docs = spark.createDataFrame([(i, t, k % 6, k % 3 > 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, block int, train boolean")
+    rows = [
+        (k, " ".join(f"w{k}x{n}" for n in range(60)) + " the" * (600 + k) + f" a{k % 7} b" * (k % 5)) for k in range(50)
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, k % 6, k % 3 > 0) for k, (i, t) in enumerate(rows)],
+        "doc_id long, text string, block int, train boolean",
+    )
     learned = [t for k, (_, t) in enumerate(rows) if k % 3]
     words = Counter(w for t in learned for w in t.split())
     names = sorted(words)

@@ -74,7 +74,11 @@ def test_every_pair_of_text_and_item(alphabet):
     items = [word(rng.choice((2, 5, 7, 8, 9, 15, 20, 39, 40, 45, 90, 200))) for _ in range(25)]
     texts = ["", " ", *(word(rng.randint(1, 60)) for _ in range(10))]
     for _ in range(60):
-        parts = [edited(rng, i, rng.randint(0, edits_allowed(len(i)) + 1) if len(i) >= 8 else 0, alphabet).upper() for i in rng.choices(items, k=3)]
+        parts = [
+            edited(
+                rng, i, rng.randint(0, edits_allowed(len(i)) + 1) if len(i) >= 8 else 0, alphabet
+            ).upper() for i in rng.choices(items, k=3)
+        ]
         texts.append(word(rng.randint(0, 120)) + " ".join(parts) + word(rng.randint(0, 120)))
     assert best(search(texts, [Items(list(range(25)), items)])) == truth(texts, items)
     blocks = [Items(list(range(k, 25, 5)), items[k::5]) for k in range(5)]
@@ -102,8 +106,24 @@ def test_real_documents_against_all_items(spark):
 def test_frames_with_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)  # several blocks and passes
     schema = "doc_id long, text string, item_id string, begin int, edits string"
-    rows = [(1, None, "x", 0, ""), (2, "", "x", 0, ""), (None, "Why is the sky so blue today?", "x", 0, ""), (3, "WHY is the sky; so blue today", "x", 0, ""), (3, "WHY is the sky; so blue today", "x", 0, ""), (4, "yes", "x", 0, ""), (5, "yesterday " * 30000, "x", 0, "")]
-    items = [(10, "why is the sky so blue today"), (11, None), (None, "yes"), (12, "Yes"), (13, "..."), (14, "a plain third item of some length"), (14, "yesterday yesterday yesterday")]
+    rows = [
+        (1, None, "x", 0, ""),
+        (2, "", "x", 0, ""),
+        (None, "Why is the sky so blue today?", "x", 0, ""),
+        (3, "WHY is the sky; so blue today", "x", 0, ""),
+        (3, "WHY is the sky; so blue today", "x", 0, ""),
+        (4, "yes", "x", 0, ""),
+        (5, "yesterday " * 30000, "x", 0, ""),
+    ]
+    items = [
+        (10, "why is the sky so blue today"),
+        (11, None),
+        (None, "yes"),
+        (12, "Yes"),
+        (13, "..."),
+        (14, "a plain third item of some length"),
+        (14, "yesterday yesterday yesterday"),
+    ]
     docs, table = spark.createDataFrame(rows, schema), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(-1 if v is None else v for v in r) for r in leaks(docs, table).collect())
     assert [r for r in got if r[0] != 5] == [(-1, 10, 0, 28, 0), (3, 10, 0, 29, 0), (3, 10, 0, 29, 0), (4, 12, 0, 3, 0)]

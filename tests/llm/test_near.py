@@ -16,7 +16,9 @@ def shingles(text):
 def test_shingles_are_sets_of_five_words():
     texts = ["a B  c d e f", "A b c d E\tf", "one two", "", "a b c d e f a b c d e f"]
     node, hashes, bounds = shingled(pa.array(texts, pa.large_string()))
-    assert [len(set(hashes[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [len(shingles(t)) for t in texts]
+    assert [
+        len(set(hashes[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+    ] == [len(shingles(t)) for t in texts]
     assert node[0] == node[1] and len(np.unique(node)) == 4
 
 
@@ -46,13 +48,23 @@ def test_edited_copies_are_near_and_others_are_not(spark):
 def test_rows_without_ids_and_clashing_names(spark):
     """A row without an id goes where its component has one, also while another such row stays; names of other columns do not matter."""
     text = " ".join(f"w{k}" for k in range(60))
-    rows = [(1, text), (None, text + " x"), (None, "quite another text of its own"), (None, "quite another text  of its own"), (7, text + " y"), (8, None), (9, "")]
+    rows = [
+        (1, text),
+        (None, text + " x"),
+        (None, "quite another text of its own"),
+        (None, "quite another text  of its own"),
+        (7, text + " y"),
+        (8, None),
+        (9, ""),
+    ]
     odd = "doc_id long, text string, stay_id int, stay_mark string, node long, keys string, fp int, mark int, score long, found_id int"
     docs = spark.createDataFrame([(i, t, 1, "m", 2, "k", 3, 4, 5, 6) for i, t in rows], odd)
     for drop in (near.drop_near_copies, simhash.drop_near_copies):
         left = drop(docs)
         assert left.schema == docs.schema and drop(docs.where("false")).count() == 0
-    left = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in near.drop_near_copies(docs).collect())
+    left = sorted(
+        (r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in near.drop_near_copies(docs).collect()
+    )
     assert left == [(0, "quite another text of its own"), (1, text), (8, "")]
 
 
@@ -81,7 +93,11 @@ def test_links_lose_no_pair(spark):
             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        r["doc_id"]: r["component_id"] for r in similar_groups(
+            spark.createDataFrame(rows, "doc_id long, text string")
+        ).collect()
+    }
     assert got == {k: find(k) for k in range(len(rows))}
 
 

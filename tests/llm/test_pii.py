@@ -4,7 +4,12 @@ import re
 import pytest
 from rowcheck.llm.pii import KINDS, find, masked, sanitise
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 
 
 def luhn(digits):
@@ -22,7 +27,12 @@ def brute(text):
         n = 0
         for m in re.finditer(BASE[kind], text):
             digits = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            ok = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True,
+                "card": 12 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
             if ok:
                 out.append((m.start(), order, m.end(), kind))
                 n += 1
@@ -31,9 +41,30 @@ def brute(text):
 
 
 CASES = [
-    None, "", "no data", "a@b.c", "x.y+z@mail-1.example.com, then 10.0.0.255 and 1.2.3.256", "1.2.3.4.5.6.7.8", "0001.0002.0003.000255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "+49 (30) 123-4567 x +1 2", "é😀 a@b.co é 4111111111111111",
-    "a@b.c_d@e.f", "@@a@@b.c@d.e", "12345@1.2.3.4", "++49301234567", "4" * 30, "1 2 3 4 5 6 7 8 9 0 " * 400, "aaa@b", "a@b..c", "%@-.-", "7" * 5000, "x" * 3000 + "@y.z", "\n+4930 1234567\n", "+4930123456789012 +493012345678901",
-]
+    None,
+    "",
+    "no data",
+    "a@b.c",
+    "x.y+z@mail-1.example.com, then 10.0.0.255 and 1.2.3.256",
+    "1.2.3.4.5.6.7.8",
+    "0001.0002.0003.000255",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112",
+    "+49 (30) 123-4567 x +1 2",
+    "é😀 a@b.co é 4111111111111111",
+    "a@b.c_d@e.f",
+    "@@a@@b.c@d.e",
+    "12345@1.2.3.4",
+    "++49301234567",
+    "4" * 30,
+    "1 2 3 4 5 6 7 8 9 0 " * 400,
+    "aaa@b",
+    "a@b..c",
+    "%@-.-",
+    "7" * 5000,
+    "x" * 3000 + "@y.z",
+    "\n+4930 1234567\n",
+    "+4930123456789012 +493012345678901",
+]
 
 
 def test_base_spans_equal_plain_matching(spark):
@@ -78,7 +109,9 @@ def test_empty_table_null_id_and_repeats(spark):
     assert sorted(str(r["doc_id"]) for r in find(twice).collect()) == ["1", "1", "None"]
 
 
-@pytest.mark.parametrize("spans,want", [("", "abcdef"), ("email:1:3", "a[EMAIL]def"), ("card:1:4,phone:2:5", "a[CARD]f")])
+@pytest.mark.parametrize(
+    "spans,want", [("", "abcdef"), ("email:1:3", "a[EMAIL]def"), ("card:1:4,phone:2:5", "a[CARD]f")]
+)
 def test_masked(spark, spans, want):
     from pyspark.sql import functions as F
 

@@ -63,7 +63,12 @@ def masked(text, spans):
 
 def test_spans_of_all_documents(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    rows = [tuple(r) for r in rows] + [(10_001, None), (10_002, ""), (None, "write to a.b@mail.example.org or +46 70 123 45 67, 10.0.0.1"), (10_003, "Zyx 😀 a.b@mail.example.org Zyx")]
+    rows = [tuple(r) for r in rows] + [
+        (10_001, None),
+        (10_002, ""),
+        (None, "write to a.b@mail.example.org or +46 70 123 45 67, 10.0.0.1"),
+        (10_003, "Zyx 😀 a.b@mail.example.org Zyx"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = [t or "" for _, t in rows]
     spans = plain(texts)
@@ -72,5 +77,7 @@ def test_spans_of_all_documents(spark):
     assert sorted((str(r["doc_id"]), r["spans"], r["clean_sha256"]) for r in got) == want
     assert sum(any(s[3] == "term" for s in own) for own in spans) > 5
     known = [(i, t) for i, t in rows if i is not None and t is not None]
-    clean = {r["doc_id"]: r["text"] for r in sanitise(spark.createDataFrame(known, "doc_id long, text string")).collect()}
+    clean = {
+        r["doc_id"]: r["text"] for r in sanitise(spark.createDataFrame(known, "doc_id long, text string")).collect()
+    }
     assert clean == {i: masked(t, s) for (i, t), s in zip(known, plain([t for _, t in known]), strict=True)}

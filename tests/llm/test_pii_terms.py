@@ -19,10 +19,16 @@ def rows_of():
 
 def test_rare_entities_are_given_away_anywhere_in_their_documents(spark):
     rows = rows_of()
-    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in find(
+            spark.createDataFrame(rows, "doc_id long, text string")
+        ).collect()
+    }
     for k in (5, 6, 7):
         text = rows[k][1]
-        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(TERM, text) if m[0].lower() in ("quorvane", "brimwold")}
+        want = {
+            f"term:{m.start()}:{m.end()}" for m in re.finditer(TERM, text) if m[0].lower() in ("quorvane", "brimwold")
+        }
         assert len(want) == {5: 2, 6: 1, 7: 2}[k]
         assert {s for s in got[k] if s.startswith("term")} == want
     assert not any(got[k] for k in range(2000) if k not in (5, 6, 7))

@@ -19,23 +19,41 @@ def plain_features(text):
     solid = [tuple(x.lower().split()) for x in raw.split(b"\n") if x.split()]
     bits = Counter(b & 31 for b in raw.lower())
     return {
-        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(words)), "bytes_a_word": sum(map(len, words)) / n,
-        "upper_share": share(range(65, 91)), "digit_share": share(range(48, 58)), "punctuation_share": share(b".,;:?!"),
-        "symbol_share": share(b"$%&*#@~^|<>{}[]\\/=+_"), "blank_share": share(b" \t\n\x0b\x0c\r"), "other_share": share(range(128, 256)),
-        "line_words": len(words) / lines, "distinct_words": len(set(low)) / n, "top_word_share": max(Counter(low).values(), default=0) / n,
-        "same_as_before": sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, "same_as_before_last": sum(a == b for a, b in zip(low, low[2:], strict=False)) / n,
-        "distinct_lines": len(set(solid)) / max(len(solid), 1), "long_words": sum(len(w) > 14 for w in words) / n,
-        "marked_words": sum(w[-1] in b"!$%&*#|@~^" for w in words) / n, "title_words": sum(65 <= w[0] <= 90 for w in words) / n,
-        "stops_a_word": sum(raw.count(c) for c in (b".", b"!", b"?")) / n, "bars_a_word": raw.count(b"|") / n, "commas_a_word": raw.count(b",") / n,
-        "short_words": sum(len(w) < 4 for w in words) / n, "low_bits_entropy": -sum(c / size * math.log2(c / size) for c in bits.values()),
+        "log_bytes": math.log1p(len(raw)),
+        "log_words": math.log1p(len(words)),
+        "bytes_a_word": sum(map(len, words)) / n,
+        "upper_share": share(range(65, 91)),
+        "digit_share": share(range(48, 58)),
+        "punctuation_share": share(b".,;:?!"),
+        "symbol_share": share(b"$%&*#@~^|<>{}[]\\/=+_"),
+        "blank_share": share(b" \t\n\x0b\x0c\r"),
+        "other_share": share(range(128, 256)),
+        "line_words": len(words) / lines,
+        "distinct_words": len(set(low)) / n,
+        "top_word_share": max(Counter(low).values(), default=0) / n,
+        "same_as_before": sum(a == b for a, b in zip(low, low[1:], strict=False)) / n,
+        "same_as_before_last": sum(a == b for a, b in zip(low, low[2:], strict=False)) / n,
+        "distinct_lines": len(set(solid)) / max(len(solid), 1),
+        "long_words": sum(len(w) > 14 for w in words) / n,
+        "marked_words": sum(w[-1] in b"!$%&*#|@~^" for w in words) / n,
+        "title_words": sum(65 <= w[0] <= 90 for w in words) / n,
+        "stops_a_word": sum(raw.count(c) for c in (b".", b"!", b"?")) / n,
+        "bars_a_word": raw.count(b"|") / n,
+        "commas_a_word": raw.count(b",") / n,
+        "short_words": sum(len(w) < 4 for w in words) / n,
+        "low_bits_entropy": -sum(c / size * math.log2(c / size) for c in bits.values()),
         "distinct_triples": len(set(zip(low, low[1:], low[2:], strict=False))) / n,
-    }
+    }
 
 
 def test_features_of_each_text():
     rng = random.Random(6)
     pool = ["The", "the", "cat", "sat,", "É", "x" * 20, "50%", "a|b", "end.", "wow!!!", "漢字", "#tag", "UPPER"]
-    texts = [" ".join(rng.choices(pool, k=rng.randint(1, 60))).replace(" cat ", "\n").replace("É ", "É\n\n") for _ in range(60)]
+    texts = [
+        " ".join(
+            rng.choices(pool, k=rng.randint(1, 60))
+        ).replace(" cat ", "\n").replace("É ", "É\n\n") for _ in range(60)
+    ]
     texts += ["", None, " \n\t ", "one", "a a a a", "same line\nsame line\nother line", "|,.!?"]
     got = features(texts_of(pa.array(texts)))
     for row, text in zip(got, texts, strict=True):
@@ -74,7 +92,9 @@ def pair_tree(g, w):
     best, out = -1.0, [[0.0] * len(g[0]) for _ in g]
     for i in range(1, len(g)):
         for j in range(1, len(g[0])):
-            quarters = [(rows, columns) for rows in (range(i), range(i, len(g))) for columns in (range(j), range(j, len(g[0])))]
+            quarters = [
+                (rows, columns) for rows in (range(i), range(i, len(g))) for columns in (range(j), range(j, len(g[0])))
+            ]
             sums = [(sum(g[a][b] for a in r for b in c), sum(w[a][b] for a in r for b in c)) for r, c in quarters]
             worth = sum(a * a / (b + 1) for a, b in sums)
             if worth > best + 1e-12:
@@ -109,7 +129,11 @@ def test_fit_and_score_of_a_small_table():
     for _ in range(rounds):
         for k, table in enumerate(tables):
             g, w = left()
-            sums = [[sum(v for v, b in zip(values, fine[k], strict=True) if b == n) for n in range(len(table))] for values in (g, w)]
+            sums = [
+                [
+                    sum(v for v, b in zip(values, fine[k], strict=True) if b == n) for n in range(len(table))
+                ] for values in (g, w)
+            ]
             step = list(map(clip, tree(*sums)))
             tables[k] = [a + b for a, b in zip(table, step, strict=True)]
             total = [t + step[b] for t, b in zip(total, fine[k], strict=True)]

@@ -56,7 +56,22 @@ def test_bpe_on_long_and_odd_texts(bpe, reference_bpe):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeéßñ漢") for _ in range(rng.randint(1, 9)))
     passage = " ".join(word() for _ in range(2000))
-    odd = ["a" * 9000, " " * 5000, "x<|endoftext|>y" * 300, "<|endoftext|>", "\n \n" * 2000, "don't they'll " * 600, "漢字" * 3000, passage, passage[100:], "q " + passage + "  \n\n  " + passage, " a" * 4000, "1 " * 3000, "\u00a0 \u2003x " * 900, "no_space" * 2000]
+    odd = [
+        "a" * 9000,
+        " " * 5000,
+        "x<|endoftext|>y" * 300,
+        "<|endoftext|>",
+        "\n \n" * 2000,
+        "don't they'll " * 600,
+        "漢字" * 3000,
+        passage,
+        passage[100:],
+        "q " + passage + "  \n\n  " + passage,
+        " a" * 4000,
+        "1 " * 3000,
+        "\u00a0 \u2003x " * 900,
+        "no_space" * 2000,
+    ]
     for text in odd:
         same(bpe, reference_bpe, text)
     hits = bpe.hits
@@ -71,7 +86,16 @@ def test_bpe_query(spark, reference_bpe):
     want = []
     for i, t in rows:
         ids = reference_bpe.encode(t or "", add_special_tokens=False).ids
-        want.append(str((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())))
+        want.append(
+            str(
+                (
+                    i,
+                    len(ids),
+                    hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                    hashlib.sha256((t or "").encode()).hexdigest(),
+                )
+            )
+        )
     assert got == sorted(want) and encode_and_decode(frame(spark, []), BPE).count() == 0
 
 
@@ -86,7 +110,9 @@ def unigram():
 def test_counts_equal_the_library(unigram):
     counter, library = unigram
     rng = random.Random(8)
-    texts = ["", " ", "  a  b ", "Hello wörld\nnew\tline", "漢字かな😀", "<s> <0x0A>", "a" * 500, "▁▁ x", "the of and tion" * 40]
+    texts = [
+        "", " ", "  a  b ", "Hello wörld\nnew\tline", "漢字かな😀", "<s> <0x0A>", "a" * 500, "▁▁ x", "the of and tion" * 40
+    ]
     texts += ["".join(rng.choice("abcdeét hs\n▁漢😀.") for _ in range(rng.randint(0, 120))) for _ in range(400)]
     for text in texts:
         assert counter.text(text)[1] == len(library.encode(text, add_special_tokens=False).ids), text
@@ -104,7 +130,9 @@ def test_counts_with_fractional_scores_equal_the_library(seed):
     library.pre_tokenizer = Metaspace(replacement="▁", prepend_scheme="always", split=True)
     counter = Counter(pieces)
     for _ in range(150):
-        text = " ".join("".join(rng.choice(letters + "xЖ") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6)))
+        text = " ".join(
+            "".join(rng.choice(letters + "xЖ") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))
+        )
         assert counter.text(text)[1] == len(library.encode(text, add_special_tokens=False).ids), text
 
 
@@ -167,11 +195,19 @@ def test_leaks_find_edited_items_and_nothing_else(spark):
             rows.append((doc, f"{body[:at]} {form} {body[at:]}"))
             planted.add((doc, i))
     rows += [(1, None), (2, ""), (None, "x"), (200_000, "the " * 50_000)]
-    table = spark.createDataFrame([(i, t) for i, t in items.items()] + [(None, "x" * 99), (-1, None), (-2, "qzxwv")], "item_id long, text string")
+    table = spark.createDataFrame(
+        [(i, t) for i, t in items.items()] + [(None, "x" * 99), (-1, None), (-2, "qzxwv")], "item_id long, text string"
+    )
     got = leaks(frame(spark, rows), table).collect()
     found = {(r["doc_id"], r["item_id"]) for r in got}
     assert planted <= found
-    normal = lambda s: b" ".join(bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in re.sub("[À-ÖØ-Þ]", lambda m: m[0].lower(), s).encode()).split())
+    normal = lambda s: b" ".join(
+        bytes(
+            c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in re.sub(
+                "[À-ÖØ-Þ]", lambda m: m[0].lower(), s
+            ).encode()
+        ).split()
+    )
     for doc, item in found - planted:
         text, want = normal(dict(rows)[doc]), normal(items[item])
         assert want in text or doc >= 100_000, (doc, item)
@@ -180,7 +216,9 @@ def test_leaks_find_edited_items_and_nothing_else(spark):
     for r in got[:40]:
         if r["edits"] == 0:
             assert normal(dict(rows)[r["doc_id"]][r["begin"] : r["end"]]) == normal(items[r["item_id"]])
-    assert leaks(frame(spark, []), table).count() == 0 and leaks(frame(spark, rows[:5]), table.where("false")).count() == 0
+    assert leaks(frame(spark, []), table).count() == 0 and leaks(
+        frame(spark, rows[:5]), table.where("false")
+    ).count() == 0
 
 
 def test_items_without_any():
@@ -219,7 +257,12 @@ def test_hmm_scores(spark):
     for k, r in enumerate(rows):
         g = by_id[r["doc_id"]]
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(tokens[k]), sum(c[w] > 0 for w in tokens[k]), n)
-        assert math.isclose(g["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[k]), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(
+            g["base_score"],
+            sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[k]),
+            rel_tol=1e-9,
+            abs_tol=1e-12,
+        )
         assert g["held_out"] == (k not in set(train))
     held = [g for g in got if g["held_out"] and g["n_tokens"] > 20]
     assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
@@ -248,12 +291,39 @@ def test_quality_odd_rows(spark):
 
 
 def test_urls(spark):
-    urls = [None, "", "no host", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/1.html", "http://x.net/es/1", "http://x.net?/es/", "http://ads.shop.org/de/7/", "http://www.shop.org/a", "http://u:p@shop.org:80/a.html", "x://y://z/w", "http://com/", "http://notexample.com/en/", "http://ads.shop.org/de/7"]
-    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    urls = [
+        None,
+        "",
+        "no host",
+        "http://A.Example.COM/en/x?q#f",
+        "https://www.example.com/en/1.html",
+        "http://x.net/es/1",
+        "http://x.net?/es/",
+        "http://ads.shop.org/de/7/",
+        "http://www.shop.org/a",
+        "http://u:p@shop.org:80/a.html",
+        "x://y://z/w",
+        "http://com/",
+        "http://notexample.com/en/",
+        "http://ads.shop.org/de/7",
+    ]
+    pages = spark.createDataFrame(
+        [(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string"
+    )
     listed = spark.createDataFrame([("ads.shop.org/de/7",), ("shop.org/a",), (None,), ("shop.org/a",)], "listed string")
     got = {r["page_id"]: tuple(r)[1:] for r in judge(pages, listed).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
-    assert got[3] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[4] == ("www.example.com", "/en/1.html", "www.example.com/en/", "allow")
-    assert got[5][2:] == ("net/es/", "block") and got[6] == ("x.net", "", None, "allow") and got[7][2:] == (None, "block") and got[8][2:] == (None, "block")
-    assert got[9] == ("u:p@shop.org:80", "/a.html", None, "block") and got[10][:2] == ("y:", "//z/w") and got[11][2:] == ("com/", "allow") and got[12][2:] == ("com/", "allow") and got[13][3] == "block"
-    assert judge(pages.where("false"), listed).count() == 0 and {r["verdict"] for r in judge(pages.where("page_id > 6 and page_id < 10"), listed.where("false")).collect()} == {"allow"}
+    assert got[3] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[4] == (
+        "www.example.com", "/en/1.html", "www.example.com/en/", "allow"
+    )
+    assert got[5][2:] == ("net/es/", "block") and got[6] == (
+        "x.net", "", None, "allow"
+    ) and got[7][2:] == (None, "block") and got[8][2:] == (None, "block")
+    assert got[9] == (
+        "u:p@shop.org:80", "/a.html", None, "block"
+    ) and got[10][:2] == ("y:", "//z/w") and got[11][2:] == (
+        "com/", "allow"
+    ) and got[12][2:] == ("com/", "allow") and got[13][3] == "block"
+    assert judge(pages.where("false"), listed).count() == 0 and {
+        r["verdict"] for r in judge(pages.where("page_id > 6 and page_id < 10"), listed.where("false")).collect()
+    } == {"allow"}
