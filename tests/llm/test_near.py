@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pytest
 from rowcheck.llm import near, simhash
 from rowcheck.llm.near import shingled, similar_groups
 
@@ -68,8 +69,10 @@ def test_rows_without_ids_and_clashing_names(spark):
     assert left == [(0, "quite another text of its own"), (1, text), (8, "")]
 
 
-def test_links_lose_no_pair(spark):
+@pytest.mark.parametrize("sent", [0, near.MOST_SENT])
+def test_links_lose_no_pair(spark, monkeypatch, sent):
     """Groups of copies each edited on its own, against all pairs: the components are the same."""
+    monkeypatch.setattr(near, "MOST_SENT", sent)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     rows = []
