@@ -111,3 +111,11 @@ def test_fingerprints_are_majorities():
     hashes = rng.integers(0, 2**64, bounds[-1], np.uint64)
     want = [simhash.majority(hashes[a:b]) if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert near.fingerprints(hashes, bounds).tolist() == want
+
+
+def test_a_text_has_one_node_wherever_it_stands():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, int(n))) for n in rng.integers(0, 300, 80)]
+    together, *_ = shingled(pa.array(texts, pa.large_string()))
+    alone = [int(shingled(pa.array([t], pa.large_string()))[0][0]) for t in texts]
+    assert together.tolist() == alone
