@@ -75,6 +75,14 @@ def op10_simhash(spark, sf_dir):
     return near_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from rowcheck.llm.packing import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_decontaminate,
@@ -87,6 +95,7 @@ QUERIES = {
         op8_urls,
         op9_token_counts,
         op10_simhash,
+        op11_token_files,
     )
 }
 
