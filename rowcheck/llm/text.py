@@ -55,12 +55,14 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of every word; words never cross texts."""
+def words(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of every word; words never cross texts. blank: which bytes stand between words."""
     if not len(data):
         none = np.empty(0, np.int64)
         return none, none, none
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begins, ends = solid.copy(), solid.copy()
