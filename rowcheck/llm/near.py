@@ -5,9 +5,9 @@ SIMILAR or more, which the pipeline's stage asks for. Candidates come two ways.
 the ball hashing of rowcheck.llm.simhash (RADIUS bits of 64): it finds the closest copies, but two sets of similarity 0.8 differ by
 about ten bits, and a ball of half of that has millions of members, so alone it would miss nearly all of them. The rest meets at
 bands: BANDS keys of ROWS minimal hashes each go out per distinct document; a pair at similarity 0.8 shares no key with
-probability (1 - 0.8^6)^32 = 6e-5, a closer one less. At a key, in the order of the next band's key (so that the most alike
-stand together), each is paired with the BACK before it and with the key's first: no group is collected and no document gets a
-number of partners that grows with its group. Of the pairs, the whole shingle sets are compared. Equal word sequences count once.
+probability (1 - 0.8^6)^32 = 6e-5, a closer one less. First, TURNS times, each is compared with one of its key's nodes, which joins
+nearly all of a group of copies. Then all pairs of a key that are still of different components are: what shares a key and is similar
+is connected, without all pairs inside a group being made. Pairs are compared by whole shingle sets. Equal word sequences count once.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from rowcheck.llm import simhash
-from rowcheck.llm.common import bounded_batches, cut, fresh
+from rowcheck.llm.common import bounded_batches, cut, fresh, join_back
 from rowcheck.llm.components import components
 from rowcheck.llm.text import U64, buffers, lower, mix, slices, texts_of, windows, word_hashes, words
 
-SHINGLE, BANDS, ROWS, BACK, RADIUS = 5, 32, 6, 3, 2
+SHINGLE, BANDS, ROWS, TURNS, CELL, RADIUS = 5, 32, 6, 2, 128, 2
 #: Nodes of candidate pairs are broadcast up to this number (4 MB).
 MOST_SENT = 500_000
 #: Least similarity of near copies, as a fraction.
@@ -121,47 +120,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met_in_balls(once: DataFrame) -> DataFrame:
-    """Pairs (node, other) whose fingerprints lie within RADIUS bits: of one fingerprint each with the node before it, of two their first nodes."""
-    before = F.lag("node").over(W.partitionBy("fp").orderBy("node"))
-    same = once.select("node", before.alias("other")).where("other is not null")
+    """Pairs (node, other) of the first nodes of fingerprints within RADIUS bits; nodes of one fingerprint meet at it as at a key."""
     firsts = cut(once.groupBy("fp").agg(F.min("node").alias("first")))
     side = lambda c, name: firsts.select(F.col("fp").alias(c), F.col("first").alias(name))
     linked = simhash.links(firsts.select("fp"), RADIUS).join(side("u", "node"), "u").join(side("v", "other"), "v")
-    return same.unionByName(linked.select("node", "other"))
-
-
-def _met_in_bands(once: DataFrame) -> DataFrame:
-    """Pairs (node, other) that share a band's key and stand close together there, or with its first."""
-    beside = F.concat(F.slice("keys", 2, BANDS - 1), F.slice("keys", 1, 1))
-    sent = once.select(
-        "node", F.explode(F.arrays_zip(F.col("keys").alias("key"), beside.alias("beside"))).alias("k")
-    ).select("node", "k.key", "k.beside")
-    order = W.partitionBy("key").orderBy("beside", "node")
-    first = F.first("node").over(order.rowsBetween(W.unboundedPreceding, -1))
-    before = F.array_distinct(
-        F.array_compact(F.array(first, *(F.lag("node", k).over(order) for k in range(1, BACK + 1))))
-    )
-    return sent.select("node", before.alias("before")).where(F.size("before") > 0).select(
-        "node", F.explode("before").alias("other")
-    )
+    return linked.select("node", "other")
 
 
-def links(plain: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Edges (u, v) between nodes whose shingle sets are similar; texts come from plain."""
-    once = sketched.where(F.size("keys") > 0).groupBy("node").agg(
-        F.first("fp").alias("fp"), F.first("keys").alias("keys")
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).where("u <> v").distinct()
+
+
+def _met_first(keyed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each node with its key's first in the order of this turn, where their components differ.
+
+    The first is a minimum, which combines before the shuffle, and comes back by join_back: a key of very many nodes is no one task's.
+    """
+    own = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root")
+    firsts = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(own).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    met = _met_in_bands(once).unionByName(_met_in_balls(cut(once.select("node", "fp"))))
-    pairs = cut(
-        met.select(
-            F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")
-        ).where("u <> v").distinct()
+    met = join_back(keyed, cut(firsts.where("low <> high").drop("low", "high")), "key", "n")
+    return _pairs(met.where(F.col("root") != F.col("first.root")).select("node", F.col("first.node").alias("other")))
+
+
+def _met_all(keyed: DataFrame) -> DataFrame:
+    """All pairs of nodes of one key that are of different components and of sizes which allow for the similarity.
+
+    A key's nodes are dealt to cells of about CELL; every two cells meet in a group of their own, so no group grows with a key.
+    """
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    held = join_back(keyed, cut(counts.where("low <> high").select("key", "n")), "key", "n").where("n is not null")
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = held.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    sent = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+        "key", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), "cell", "node", "root", "size"
     )
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    # so many numbers of 8 bytes are sent to every task, which then lets only sets that are asked for through; more are shuffled to
-    asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
-    made = plain.select("text").mapInArrow(_sets, "node long, shingles array<long>")
-    sets = cut(made.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    side = lambda name: sent.select("key", "i", "j", *(F.col(c).alias(f"{c}_{name}") for c in ("cell", "node", "root", "size")))
+    over, under = SIMILAR
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    # nodes of one cell meet where it meets itself, others where their cells do
+    once = (F.col("i") == F.col("j")) | (F.col("cell_a") != F.col("cell_b"))
+    fit = F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over
+    met = side("a").join(side("b"), ["key", "i", "j"]).where(apart & once & fit)
+    return _pairs(met.select(F.col("node_a").alias("node"), F.col("node_b").alias("other")))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those whose shingle sets are similar."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s"))
     shared = F.size(F.array_intersect("us", "vs"))
     over, under = SIMILAR
@@ -171,12 +177,41 @@ def links(plain: DataFrame, sketched: DataFrame) -> DataFrame:
     ).select("u", "v")
 
 
+def links(plain: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Edges (u, v) between nodes whose shingle sets are similar, enough of them to connect all such pairs that share a key; texts come from plain."""
+    once = cut(
+        sketched.where(F.size("keys") > 0).groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    )
+    keys = F.array_distinct(F.concat("keys", F.array(F.xxhash64("fp"))))
+    every = once.select("node", F.explode(keys).alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = cut(join_back(every, cut(shared), "key", "n").where("n is not null").drop("n"))
+    near = cut(_pairs(_met_in_balls(once.select("node", "fp"))))
+    asked = keyed.select("node").union(near.select("u")).union(near.select("v")).distinct()
+    # so many numbers of 8 bytes are sent to every task, which then lets only sets that are asked for through; more are shuffled to
+    asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
+    made = plain.select("text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = cut(made.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    keyed = cut(keyed.join(sets.select("node", F.size("shingles").alias("size")), "node").withColumn("root", F.col("node")))
+    tried, edges = near, cut(_similar(near, sets))
+    for turn in range(TURNS + 1):
+        met = _met_first(keyed, turn) if turn < TURNS else _met_all(keyed)
+        pairs = cut(met.join(tried, ["u", "v"], "left_anti"))
+        edges = edges.unionByName(cut(_similar(pairs, sets)))
+        if turn < TURNS:
+            roots = cut(components(edges)).select(F.col("node").alias("linked"), F.col("root").alias("now"))
+            moved = keyed.join(roots, keyed.node == roots.linked, "left")
+            keyed = cut(moved.select("node", "key", "size", F.coalesce("now", "node").alias("root")))
+            tried = tried.unionByName(pairs)
+    return edges
+
+
 def _mark(text: F.Column) -> F.Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, mark (hash of the text), node; classes: node, root), each written once."""
+    """(rows: doc_id, mark (hash of the text), node; classes: node, root, n (rows)), each written once."""
     bounded_batches(docs.sparkSession)
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -184,10 +219,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _mark(F.col("text")).alias("mark"),
     )
     made = cut(plain.mapInArrow(_sketch, _SKETCH))
-    nodes = made.select("node").distinct()
+    nodes = made.groupBy("node").agg(F.count("*").alias("n"))
     roots = components(links(plain, made)).withColumnRenamed("node", "linked")
     classes = nodes.join(roots, nodes.node == roots.linked, "left").select(
-        "node", F.coalesce("root", "node").alias("root")
+        "node", F.coalesce("root", "node").alias("root"), "n"
     )
     return made.select("doc_id", "mark", "node"), cut(classes)
 
@@ -199,9 +234,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     its component has no other; repeated rows give repeated results; an empty table gives an empty result.
     """
     rows, classes = _grouped(docs)
-    rooted = rows.join(classes, "node")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "component_id")
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(classes, "node")
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    facts = cut(classes.join(least, "root").select("node", "component_id", "n"))
+    return join_back(rows, facts, "node", "n").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -213,7 +249,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     rows, classes = _grouped(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    best = rows.join(classes, "node").groupBy("root").agg(F.min(place).alias("best"))
+    # one row a word sequence before the join, however many rows have it
+    firsts = rows.groupBy("node").agg(F.min(place).alias("best")).join(classes, "node")
+    best = firsts.groupBy("root").agg(F.min("best").alias("best"))
     # names that docs does not have, so the conditions cannot be taken for its own columns
     id_name, mark_name = fresh(docs, "stay_id"), fresh(docs, "stay_mark")
     stay = best.select(F.col("best.doc_id").alias(id_name), F.col("best.mark").alias(mark_name))
