@@ -42,18 +42,17 @@ _NARROWEST = 8
 
 
 def _letter(code: int) -> int:
-    """0 between words, else the folded character as a number below 2^16; letters beyond it share the 6,400 private numbers."""
+    """0 between words, else the folded character."""
     sign = chr(code)
     if unicodedata.category(sign)[0] not in "LNM":
         return 0
     folded = sign.casefold()
-    folded = ord(folded if len(folded) == 1 else sign)
-    return folded if folded < 1 << 16 else 0xE000 + folded % 6400
+    return ord(folded if len(folded) == 1 else sign)
 
 
 @cache
 def _letters() -> np.ndarray:
-    return np.fromiter(map(_letter, range(1 << 16)), np.uint16, 1 << 16)
+    return np.fromiter(map(_letter, range(1 << 16)), np.uint32, 1 << 16)
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +67,7 @@ def normal(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     high = np.flatnonzero(codes > 0xFFFF)
     if len(high):
         known, number = np.unique(codes[high], return_inverse=True)
-        kept[high] = np.array([_letter(c) for c in known.tolist()], np.uint16)[number]
+        kept[high] = np.array([_letter(c) for c in known.tolist()], np.uint32)[number]
     solid = kept > 0
     space = ~solid
     space[1:] &= solid[:-1]
@@ -87,7 +86,7 @@ def _grams(text: np.ndarray) -> np.ndarray:
     """A number of the Q characters from each place on; equal numbers of different characters only cost work."""
     if len(text) < Q:
         return np.empty(0, U64)
-    data = np.ascontiguousarray(text)
+    data = (text ^ (text >> 16)).astype(np.uint16)
     four = np.ndarray((len(text) - 3,), dtype="<u8", buffer=data, strides=(2,)) * U64(0x9E3779B97F4A7C15)
     return four[:-4] + (four[4:] ^ (four[4:] >> U64(31))) * U64(0xC2B2AE3D27D4EB4F)
 
@@ -219,9 +218,9 @@ def _exactly(item: np.ndarray, region: np.ndarray) -> int:
     """First place of the item in the region, or -1."""
     raw, wanted = region.tobytes(), item.tobytes()
     place = raw.find(wanted)
-    while place % 2 and place > 0:  # between two characters
+    while place % 4 and place > 0:  # between two characters
         place = raw.find(wanted, place + 1)
-    return place // 2 if place >= 0 else -1
+    return place // 4 if place >= 0 else -1
 
 
 def banded(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[int, int]:

@@ -131,3 +131,11 @@ def test_frames_with_odd_rows(spark, monkeypatch):
     left = drop_contaminated(docs, table)
     assert left.schema == docs.schema and sorted(r["doc_id"] for r in left.collect()) == [1, 2]
     assert drop_contaminated(docs, table.where("false")).count() == 7 and leaks(docs.where("false"), table).count() == 0
+
+
+def test_letters_beyond_the_basic_plane_are_told_apart():
+    """Letters whose numbers differ by what a fold to fewer numbers would hide are different letters."""
+    text = "".join(chr(0x20000 + k) for k in range(12))
+    other = "".join(chr(0x20000 + k + 6400) for k in range(12))
+    items = [Items([1], [text])]
+    assert [m[4] for m in search([text, other, f"x {text} y"], items)] == [0, 0]
