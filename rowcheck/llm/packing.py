@@ -24,6 +24,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -282,14 +283,14 @@ def manifest(folder: str) -> dict:
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library; stretches that a batch repeats are encoded once.
+    """Whole texts to ids with the tokenizers library; stretches that come again are encoded once.
 
     A text is cut at spaces between two visible ASCII characters, where byte-level pre-tokenisers always split, so each stretch has the
     same ids wherever it stands. Distinct stretches go to the library some hundred in a row, and are told apart again by the
-    bytes of their tokens.
+    bytes of their tokens. The first KNOWN of them are kept from call to call.
     """
 
-    RUN = 500
+    RUN, KNOWN = 500, 1 << 18
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
@@ -303,31 +304,53 @@ class Encoder:
         self.sizes = np.zeros(self.vocabulary, np.int64)
         for piece, k in self.library.get_vocab(with_added_tokens=True).items():
             self.sizes[k] = len(piece)  # a letter of a piece stands for one byte
+        self.known = pa.array([], pa.large_binary())
+        self.held = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def _many(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def stretches(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): ids of the k-th stretch are ids[bounds[k] : bounds[k + 1]]."""
+    def _fresh(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of stretches: ids of the k-th are ids[bounds[k] : bounds[k + 1]]."""
         data, offsets = buffers(distinct)
         begin, last = offsets[:-1], offsets[1:] - 1
         visible = (data > 32) & (data < 127)
-        joins = (offsets[1:] - begin > 1) & (data[begin] == 32) & visible[last]
-        joins &= visible[np.minimum(begin + 1, last)]
-        own = distinct.to_pylist()
-        if self.special:
-            joins &= np.array([not any(s in x for s in self.special) for x in own], bool)
-        run, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
-        parts: list[np.ndarray] = [np.empty(0, "<u4")] * len(own)
-        for k, ids in zip(alone.tolist(), self._many([own[k].decode() for k in alone.tolist()]), strict=True):
-            parts[k] = ids
-        groups = [run[k : k + self.RUN].tolist() for k in range(0, len(run), self.RUN)]
-        for group, ids in zip(groups, self._many([b"".join(own[k] for k in g).decode() for g in groups]), strict=True):
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(own[k]) for k in group], dtype=np.int64)) + 1
-            for k, piece in zip(group, np.split(ids, ends[:-1]), strict=True):
-                parts[k] = piece
-        bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
-        return (np.concatenate(parts) if parts else np.empty(0, "<u4")), bounds
+        joins = (last > begin) & (data[begin] == 32) & visible[last] & visible[np.minimum(begin + 1, last)]
+        for sign in self.special:
+            joins &= ~pc.match_substring(distinct, sign).to_numpy(zero_copy_only=False)
+        run, alone = distinct.filter(pa.array(joins)), distinct.filter(pa.array(~joins))
+        flat, ends = buffers(run)
+        raw, starts = flat.tobytes(), ends[:: self.RUN].tolist()
+        parts = self._many([raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw)], strict=True) if a < b])
+        together = np.concatenate([np.empty(0, "<u4"), *parts])
+        # a stretch ends with a token
+        count = np.zeros(len(distinct), np.int64)
+        count[joins] = np.diff(np.searchsorted(np.cumsum(self.sizes[together]), ends[1:]) + 1, prepend=0)
+        own = self._many([x.decode() for x in alone.to_pylist()])
+        count[~joins] = [len(x) for x in own]
+        bounds = np.concatenate(([0], np.cumsum(count)))
+        ids = np.empty(bounds[-1], "<u4")
+        which = np.repeat(joins, count)
+        ids[which], ids[~which] = together, np.concatenate([np.empty(0, "<u4"), *own])
+        return ids, bounds
+
+    def stretches(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, counts) of distinct stretches."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        unseen = distinct.filter(pa.array(new))
+        ids, bounds = self._fresh(unseen)
+        held, places = self.held
+        begins, counts = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        begins[~new], counts[~new] = places[at[~new]], np.diff(places)[at[~new]]
+        begins[new], counts[new] = bounds[:-1] + len(held), np.diff(bounds)
+        both = np.concatenate((held, ids))
+        room = max(0, self.KNOWN - len(self.known))
+        if room and len(unseen):
+            more = min(room, len(unseen))
+            self.known = pa.concat_arrays([self.known, unseen.slice(0, more)])
+            self.held = both[: len(held) + bounds[more]], np.concatenate((places, bounds[1 : more + 1] + len(held)))
+        return both, begins, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of whole texts (large_string, without nulls)."""
@@ -340,10 +363,10 @@ class Encoder:
         places = [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, places).dictionary_encode()
         which = coded.indices.to_numpy()
-        ids, bounds = self.stretches(coded.dictionary)
-        count = np.diff(bounds)[which]
+        ids, begins, counts = self.stretches(coded.dictionary)
+        count = counts[which]
         ends = np.concatenate(([0], np.cumsum(count)))
-        flat = ids[np.repeat(bounds[:-1][which] - ends[:-1], count) + np.arange(ends[-1])]
+        flat = ids[np.repeat(begins[which] - ends[:-1], count) + np.arange(ends[-1])]
         return flat, ends[np.searchsorted(cut, offsets)]
 
 
