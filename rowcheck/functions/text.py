@@ -299,12 +299,46 @@ def to_time_strict(c: Column) -> Column:
     return F.when(text.rlike(whole), F.when(sound, made))
 
 
+def strict_json(c: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; NULL for others.
+
+    Spark's parser stops behind the first value. As the one member of an array and of an object the text must close both: what follows
+    a value can at most close one of them.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), F.get(listed, F.lit(0)))
+
+
 def to_json_container(c: Column) -> Column:
-    """The text if it is a JSON object or array."""
-    kind = F.schema_of_variant(F.try_parse_json(c))
+    """The text if it is a JSON object or array, without anything behind it."""
+    kind = F.schema_of_variant(strict_json(c))
     return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), c)
 
 
+def number_key(c: Column) -> Column:
+    """A text that numbers of one value share, however they are written: sign, digits without outer zeros, place of the point.
+
+    As decimals are read: white space around and `_` between do not count, an exponent may follow. What is no number (NaN too, which
+    equals nothing) is NULL, and so is an exponent beyond 18 digits.
+    """
+    text = F.lower(F.replace(strip(c), F.lit("_"), F.lit("")))
+    part = lambda k: F.regexp_extract(text, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:e([+-]?[0-9]+))?\z", k)
+    whole, fraction = part(2), part(3)
+    digits = F.concat(whole, fraction)
+    from_first = F.ltrim(digits, F.lit("0"))
+    power = F.when(part(4) == "", F.lit(0).cast("bigint")).otherwise(
+        F.when(F.length(part(4)) <= 19, part(4).try_cast("bigint"))
+    )
+    point = F.length(whole) - (F.length(digits) - F.length(from_first)) + power
+    minus = F.when(part(1) == "-", "-").otherwise("")
+    number = F.concat(minus, F.rtrim(from_first, F.lit("0")), F.lit("e"), point.cast("string"))
+    endless = F.regexp_extract(text, r"^([+-]?)inf(?:inity)?\z", 0)
+    return F.when(digits != "", F.when(power.isNotNull(), F.when(from_first == "", "0").otherwise(number))).when(
+        endless != "", F.concat(F.when(endless.startswith("-"), "-").otherwise(""), F.lit("inf"))
+    )
+
+
 def to_uuid(c: Column) -> Column:
     """Lower case with hyphens."""
     digits = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"^urn:uuid:|[{}]", ""), "-", "")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.functions.text import strip
+from rowcheck.functions.text import strict_json, strip
 
 
 def compose(text: Column, instructions: Column | None = None) -> Column:
@@ -38,10 +38,12 @@ def _unfenced(c: Column) -> Column:
 def parse_answers(answers: DataFrame) -> DataFrame:
     """H2: answers (doc_id, text) to doc_id, row_idx, row (map), error: one row per JSON object; what is not JSON has an error.
 
+    Read is the whole answer or, where that is no JSON, all from its first bracket to its last: words around one list are left, but two
+    lists, or words between, are an error. No row is lost in silence.
     The first member of an object that is a list stands for the object; by its type, not by how its text begins.
     """
     cut = F.regexp_extract("body", r"(?s)(\[.*\])", 1)
-    parsed = F.coalesce(F.try_parse_json("body"), F.try_parse_json(F.nullif(cut, F.lit(""))))
+    parsed = F.coalesce(strict_json(F.col("body")), strict_json(F.nullif(cut, F.lit(""))))
     staged = answers.select("doc_id", _unfenced(F.col("text")).alias("body")).select("doc_id", parsed.alias("v"))
     kind = F.schema_of_variant("v")
     members = F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))

@@ -1,5 +1,8 @@
 """Invoice arithmetic in exact decimals.
 
+Amounts are MONEY, below 1e16. An invoice with an amount that this does not hold has no totals (NULL) instead of wrong ones, and `oversized` says
+which; no amount ends the job or touches other invoices.
+
 lines: invoice, line_no, description, quantity, unit_price, tax_rate (percent), lump_sum (NULL, or the total of a line without quantity);
 header: invoice, discount (percent), shipping, misprint (added to the printed total).
 """
@@ -8,7 +11,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,16 +20,25 @@ MONEY = "decimal(18,2)"
 
 
 def line_totals(lines: DataFrame) -> DataFrame:
-    total = F.round(F.col("quantity").cast("decimal(16,3)") * F.col("unit_price").cast("decimal(16,4)"), 2).cast(MONEY)
-    return lines.withColumn("line_total", F.coalesce(F.col("lump_sum").cast(MONEY), total))
+    """lines with line_total: the lump sum, or quantity times price; NULL where MONEY does not hold it."""
+    total = F.round(
+        F.col("quantity").try_cast("decimal(16,3)") * F.col("unit_price").try_cast("decimal(16,4)"), 2
+    ).try_cast(MONEY)
+    lump = F.col("lump_sum")
+    return lines.withColumn("line_total", F.when(lump.isNotNull(), lump.try_cast(MONEY)).otherwise(total))
+
+
+def _whole_sum(c: str) -> Column:
+    """The sum of a column of MONEY, NULL where one of it is."""
+    return F.when(F.count_if(F.col(c).isNull()) == 0, F.sum(c).try_cast(MONEY))
 
 
 def invoice_totals(lines: DataFrame, header: DataFrame) -> DataFrame:
     """L1: invoice, net, discount_amount, subtotal (net less discount, half up)."""
-    net = line_totals(lines).groupBy("invoice").agg(F.sum("line_total").cast(MONEY).alias("net"))
-    off = F.round(F.col("net") * F.col("discount").cast("decimal(5,2)") / 100, 2).cast(MONEY)
-    given = lambda c: F.coalesce(c, F.lit(0)).cast(MONEY).alias(c)
-    subtotal = (F.col("net") - F.col("discount_amount")).cast(MONEY).alias("subtotal")
+    net = line_totals(lines).groupBy("invoice").agg(_whole_sum("line_total").alias("net"))
+    off = F.round(F.col("net") * F.col("discount").try_cast("decimal(5,2)") / 100, 2).try_cast(MONEY)
+    given = lambda c: F.coalesce(c, F.lit(0)).try_cast(MONEY).alias(c)
+    subtotal = (F.col("net") - F.col("discount_amount")).try_cast(MONEY).alias("subtotal")
     joined = net.join(header, "invoice").withColumn("discount_amount", off)
     return joined.select("invoice", "net", "discount_amount", subtotal, given("shipping"), given("misprint"))
 
@@ -37,7 +49,7 @@ def tax_by_rate(lines: DataFrame, header: DataFrame) -> DataFrame:
     In whole cents tax = (gross subtotal + shipping net) rate / net. The division is taken in steps of whole numbers and
     remainders, so all amounts that MONEY holds are exact; half a cent is rounded away from zero. An invoice of net 0 has no tax.
     """
-    by_rate = line_totals(lines).groupBy("invoice", "tax_rate").agg(F.sum("line_total").cast(MONEY).alias("gross"))
+    by_rate = line_totals(lines).groupBy("invoice", "tax_rate").agg(_whole_sum("line_total").alias("gross"))
     joined = by_rate.join(invoice_totals(lines, header), "invoice").withColumn(
         "top", F.max("tax_rate").over(W.partitionBy("invoice"))
     )
@@ -45,7 +57,7 @@ def tax_by_rate(lines: DataFrame, header: DataFrame) -> DataFrame:
     cents = lambda c: (c * 100).cast("decimal(18,0)")
     whole = lambda c: c.cast("decimal(38,0)")
     quotient = lambda a, b: whole((a - a % b) / b)
-    rate = (F.col("tax_rate").cast("decimal(5,2)") * 100).cast("decimal(5,0)")
+    rate = (F.col("tax_rate").try_cast("decimal(5,2)") * 100).cast("decimal(5,0)")
     above = whole(cents(F.col("gross")) * cents(F.col("subtotal"))) + whole(cents(ship) * cents(F.col("net")))
     sign = F.when((above < 0) != (F.col("net") < 0), -1).otherwise(1)
     steps = joined.withColumn("rate__", rate).withColumn(
@@ -61,14 +73,16 @@ def tax_by_rate(lines: DataFrame, header: DataFrame) -> DataFrame:
     )
     tax = quotient(
         whole(fine) + 5000, whole(F.lit(10000))
-    ).cast("decimal(16,0)") * F.lit(Decimal("0.01")) * F.col("sign__")
-    return steps.select("invoice", "tax_rate", "gross", F.coalesce(tax.cast(MONEY), F.lit(0).cast(MONEY)).alias("tax"))
+    ).try_cast("decimal(18,0)") * F.lit(Decimal("0.01")) * F.col("sign__")
+    # net 0: no tax; a net, discount or shipping that is not known: no tax is
+    held = F.when(F.col("net") == 0, F.lit(0).cast(MONEY)).otherwise(tax.try_cast(MONEY))
+    return steps.select("invoice", "tax_rate", "gross", held.alias("tax"))
 
 
 def invoice_header(lines: DataFrame, header: DataFrame) -> DataFrame:
     """L2, L3: subtotal, shipping, tax, total and the printed total."""
-    tax = tax_by_rate(lines, header).groupBy("invoice").agg(F.sum("tax").cast(MONEY).alias("tax"))
-    total = (F.col("subtotal") + F.col("shipping") + F.col("tax")).cast(MONEY)
+    tax = tax_by_rate(lines, header).groupBy("invoice").agg(_whole_sum("tax").alias("tax"))
+    total = (F.col("subtotal") + F.col("shipping") + F.col("tax")).try_cast(MONEY)
     out = invoice_totals(lines, header).join(tax, "invoice").withColumn("total", total)
     return out.select(
         "invoice",
@@ -76,8 +90,21 @@ def invoice_header(lines: DataFrame, header: DataFrame) -> DataFrame:
         "shipping",
         "tax",
         "total",
-        (F.col("total") + F.col("misprint")).cast(MONEY).alias("printed_total"),
+        (F.col("total") + F.col("misprint")).try_cast(MONEY).alias("printed_total"),
+    )
+
+
+def oversized(lines: DataFrame, header: DataFrame) -> DataFrame:
+    """L1, L2: invoice, amount (line, net, shipping, tax or total): the first amount of an invoice that MONEY does not hold."""
+    totals = invoice_totals(lines, header).join(
+        line_totals(lines).groupBy("invoice").agg(F.count_if(F.col("line_total").isNull()).alias("lines")), "invoice"
     )
+    whole = invoice_header(lines, header).select("invoice", "tax", "total")
+    lacks = lambda c: F.col(c).isNull()
+    amount = F.when(F.col("lines") > 0, "line").when(lacks("net"), "net").when(lacks("shipping"), "shipping").when(
+        lacks("tax"), "tax"
+    ).when(lacks("total"), "total")
+    return totals.join(whole, "invoice").select("invoice", amount.alias("amount")).where("amount is not null")
 
 
 def expected_rows(lines: DataFrame) -> DataFrame:

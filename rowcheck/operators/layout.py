@@ -210,11 +210,12 @@ def needs_ocr(docs: DataFrame) -> DataFrame:
 
 def pages_to_reread(docs: DataFrame) -> DataFrame:
     """Docs (doc_id, n_pages, ocr_text, flagged array<int>): flagged pages first, then all others where the text is under
-    40 characters a page.
+    40 characters a page. A document has one page at least, whatever n_pages says.
     """
-    thin = F.char_length(strip(F.coalesce("ocr_text", F.lit("")))) < OCR_LEAST * F.col("n_pages")
+    n_pages = F.greatest(F.coalesce(F.col("n_pages").cast("int"), F.lit(1)), F.lit(1))
+    thin = F.char_length(strip(F.coalesce("ocr_text", F.lit("")))) < OCR_LEAST * n_pages
     none = F.array().cast("array<int>")
     flagged = F.coalesce("flagged", none)
-    every = F.sequence(F.lit(1), F.col("n_pages").cast("int"))
+    every = F.sequence(F.lit(1), n_pages)
     order = F.concat(flagged, F.when(thin, F.array_except(every, flagged)).otherwise(none))
     return docs.select("doc_id", F.posexplode(order).alias("rank", "page"))

@@ -17,15 +17,14 @@ def normalise_usage(raw: DataFrame) -> DataFrame:
 
     raw: doc_id, dialect, model, and the provider's own counts: input_tokens, output_tokens, cache_read, cache_write
     (`blocks`: cached tokens are outside the input, writes are added to it), prompt_tokens, completion_tokens, cached_tokens
-    (`chat`: cached tokens are inside the prompt and are taken out), prompt_eval_count, eval_count (`local`).
+    (`chat`: cached tokens are inside the prompt and are taken out, which leaves 0 at least; they are given as reported), prompt_eval_count, eval_count (`local`).
     """
     col = lambda name: _count(F.col(name)) if name in raw.columns else F.lit(0).cast("bigint")
     blocks, chat = F.col("dialect") == "blocks", F.col("dialect") == "chat"
-    cached = F.when(blocks, col("cache_read")).when(
-        chat, F.least(col("cached_tokens"), col("prompt_tokens"))
-    ).otherwise(F.lit(0).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+    cached = F.when(blocks, col("cache_read")).when(chat, col("cached_tokens")).otherwise(none)
     given = F.when(blocks, col("input_tokens") + col("cache_write")).when(
-        chat, col("prompt_tokens") - F.least(col("cached_tokens"), col("prompt_tokens"))
+        chat, F.greatest(col("prompt_tokens") - col("cached_tokens"), none)
     ).otherwise(col("prompt_eval_count"))
     out = F.when(blocks, col("output_tokens")).when(chat, col("completion_tokens")).otherwise(col("eval_count"))
     return raw.select(

@@ -305,10 +305,15 @@ def d12_to_time(spark, sf_dir):
     return S.table(spark, sf_dir, "events").select("event_id", X.to_time_strict(text).alias("t"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[1, 2]' END AS j FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN props WHEN event_id % 4 = 1 AND event_id % 3 = 0
+  THEN ' [1, 2] ' END AS j FROM events""")
 def d13_to_json(spark, sf_dir):
-    n = F.col("event_id") % 4
-    text = F.when(n == 0, F.col("props")).when(n == 1, "[1, 2]").when(n == 2, '"just a string"').otherwise("{not json")
+    """Every third list stands alone; behind the others, and behind what closes too often, stands something."""
+    n, k = F.col("event_id") % 4, F.col("event_id")
+    behind = F.when(k % 3 == 0, " [1, 2] ").when(k % 9 == 1, "[1, 2] junk").when(k % 9 == 4, "[1, 2]]").when(
+        k % 9 == 7, "[1, 2]}"
+    ).when(k % 9 == 2, "[1, 2] [3]").when(k % 9 == 5, "[1, 2], [3]").otherwise('{"a": 1}}')
+    text = F.when(n == 0, F.col("props")).when(n == 1, behind).when(n == 2, '"just a string"').otherwise("{not json")
     return S.table(spark, sf_dir, "events").select("event_id", X.to_json_container(text).alias("j"))
 
 
@@ -849,6 +854,21 @@ def g07_needs_ocr(spark, sf_dir):
     return layout.needs_ocr(docs).select("doc_id", "needs_ocr")
 
 
+@query("""SELECT doc_id, g - 1 AS rank, g AS page FROM (SELECT doc_id, unnest(range(1, CASE
+  WHEN greatest(n_pages, 1) * 40 > length(trim(text)) THEN greatest(n_pages, 1) + 1 ELSE 1 END)) AS g FROM (SELECT doc_id, text,
+  coalesce(CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 - 2 END, 0) AS n_pages FROM documents))""")
+def g07_unknown_pages(spark, sf_dir):
+    """Documents whose number of pages is unknown, below nothing, nothing, 1 or 2."""
+    k = F.col("doc_id")
+    docs = S.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(k % 5 > 0, k % 5 - 2).alias("n_pages"),
+        F.col("text").alias("ocr_text"),
+        F.lit(None).cast("array<int>").alias("flagged"),
+    )
+    return layout.pages_to_reread(docs)
+
+
 @query(f"""SELECT doc_id, g - 1 AS rank, CASE WHEN g = 1 THEN 2 WHEN g = 2 THEN 1 ELSE g END AS page
   FROM (SELECT doc_id, unnest(range(1,
 CASE WHEN CASE WHEN doc_id % 10 = 0 THEN 0 ELSE length(trim(text, {_BLANK})) END < 40 * (3 + doc_id % 90)
@@ -878,6 +898,19 @@ def h01_compose(spark, sf_dir):
     )
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 3 THEN 0 END AS row_idx, CASE o_orderkey % 4 WHEN 3
+  THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 4 <> 3 THEN 'not JSON' END AS error FROM orders""")
+def h02_answers_with_more(spark, sf_dir):
+    """Two lists, a list in the words before another, an object closed twice: errors; words around one list: its row."""
+    k, row = F.col("o_orderkey"), F.to_json(F.struct(F.col("o_orderstatus").alias("status")))
+    one = F.concat(F.lit("["), row, F.lit("]"))
+    text = F.when(k % 4 == 0, F.concat(one, F.lit(" and also "), one)).when(
+        k % 4 == 1, F.concat(F.lit("note [1] then "), one)
+    ).when(k % 4 == 2, F.concat(row, F.lit("}"))).otherwise(F.concat(F.lit("Here: "), one, F.lit(" as asked")))
+    parsed = inference.parse_answers(S.table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text")))
+    return parsed.select("doc_id", "row_idx", F.element_at("row", "status").alias("status"), "error")
+
+
 @query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 4 THEN NULL ELSE 0 END AS row_idx, CASE
   WHEN o_orderkey % 6 = 5 THEN '[' || o_orderstatus || ']' WHEN o_orderkey % 6 <> 4 THEN o_orderstatus
   END AS status,
@@ -913,9 +946,9 @@ def h03_split_inserts(spark, sf_dir):
 
 
 @query("""SELECT user_id AS doc_id, event_type AS model, event_id % 3 AS dialect_no, CAST(sum(CASE event_id % 3
-  WHEN 0 THEN a + 5 WHEN 1 THEN a - least(a, 7) ELSE a END) AS BIGINT) AS input_tokens, CAST(sum(CASE
+  WHEN 0 THEN a + 5 WHEN 1 THEN greatest(a - 7, 0) ELSE a END) AS BIGINT) AS input_tokens, CAST(sum(CASE
   WHEN event_id % 4 = 0 THEN 0 ELSE 3 END) AS BIGINT) AS output_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 7
-  WHEN 1 THEN least(a, 7) ELSE 0 END) AS BIGINT) AS cached_input_tokens, count(*) AS calls
+  WHEN 1 THEN 7 ELSE 0 END) AS BIGINT) AS cached_input_tokens, count(*) AS calls
 FROM (SELECT *, event_id * 13 % 5000 AS a FROM events) GROUP BY ALL""")
 def h05_normalise_usage(spark, sf_dir):
     n, a = F.col("event_id") % 3, F.col("event_id") * 13 % 5000
@@ -1157,6 +1190,31 @@ def j08_same_value(spark, sf_dir):
     ).withColumn("nothing", F.col("nothing") & (k % 4 == 1))
 
 
+@query(
+    """SELECT o_orderkey, o_orderkey % 12 NOT IN (3, 7, 8, 10, 11) AS same FROM orders"""
+)
+def j08_wide_numbers(spark, sf_dir):
+    """Numbers of one value in two spellings, and of almost one: exponents, fifty digits, signs of nothing, tiny differences."""
+    k = F.col("o_orderkey")
+    digits = F.rpad(F.concat(k.cast("string"), F.lit("7")), 50, "3")
+    pairs = (
+        (F.lit("1e30"), F.lit("1" + "0" * 30)),
+        (F.lit("-0"), F.lit("0.00")),
+        (F.lit("1e-12"), F.lit("0.000000000001")),
+        (F.lit("1.00000000001"), F.lit("1.00000000002")),
+        (digits, F.concat(F.lit(" +"), digits, F.lit(".0 "))),
+        (F.concat(F.lit("0."), digits), F.concat(digits, F.lit("E-50"))),
+        (F.lit("-Infinity"), F.lit("-inf")),
+        (digits, F.concat(F.lit("-"), digits)),
+        (F.lit("NaN"), F.lit("NaN")),
+        (F.lit("1_000.5"), F.lit("1000.50")),
+        (F.concat(digits, F.lit("1")), F.concat(digits, F.lit("2"))),
+        (F.lit("1.2.3"), F.lit("1.2.3")),
+    )
+    a, b = (F.element_at(F.array(*(p[i] for p in pairs)), (k % 12 + 1).cast("int")) for i in (0, 1))
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", scoring.same_value(a, b, "numeric").alias("same"))
+
+
 @query(
     f"""WITH {_FACTS} SELECT DISTINCT 'f' || lpad(CAST(doc AS VARCHAR), 3, '0') AS doc_id, row_idx, c AS "column"
   FROM (SELECT doc, row_idx, "column" AS c FROM found UNION ALL SELECT doc, row_idx, x FROM found,
@@ -1491,6 +1549,36 @@ def l02_invoice_header(spark, sf_dir):
     return invoices.invoice_header(*_invoices(spark, sf_dir)).select("invoice", "total", "printed_total")
 
 
+_LARGE = (("5" + "0" * 14, 5 * 10**14), ("1" + "0" * 16, None), ("1" + "0" * 20, None), ("9" + "0" * 15, 9 * 10**15), ("7", 7))
+
+
+@query(
+    f"""WITH a AS (SELECT o_orderkey AS invoice, CASE o_orderkey % 5 {' '.join(f'WHEN {k} THEN {c}' for k, (_, c) in enumerate(_LARGE) if c)}
+  END::HUGEINT AS c FROM orders)
+SELECT invoice, c::DECIMAL(18,2) AS subtotal, CASE WHEN c < 8000000000000000 THEN (c + c // 4)::DECIMAL(18,2)
+  + CASE WHEN c % 4 > 0 THEN CAST(0.25 * (c % 4) AS DECIMAL(18,2)) ELSE 0 END END AS total, CASE WHEN c IS NULL THEN 'line'
+  WHEN c > 8000000000000000 THEN 'total' END AS oversized FROM a"""
+)
+def l02_large_amounts(spark, sf_dir):
+    """An invoice an order, of one line: amounts of 5e14, 1e16, 1e20, 9e15 (which its tax lifts over 1e16) and 7."""
+    k, none = F.col("o_orderkey"), F.lit(None)
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in _LARGE)), (k % 5 + 1).cast("int"))
+    lines = S.table(spark, sf_dir, "orders").select(
+        k.alias("invoice"),
+        F.lit(1).alias("line_no"),
+        F.lit("x").alias("description"),
+        none.cast("decimal(12,3)").alias("quantity"),
+        none.cast("decimal(12,4)").alias("unit_price"),
+        F.lit(25).cast("decimal(5,2)").alias("tax_rate"),
+        text.cast("decimal(38,2)").alias("lump_sum"),
+    )
+    header = S.table(spark, sf_dir, "orders").select(
+        k.alias("invoice"), F.lit(0).cast("decimal(5,2)").alias("discount"), F.lit(0).alias("shipping"), F.lit(0).alias("misprint")
+    )
+    found = invoices.oversized(lines, header).withColumnRenamed("amount", "oversized")
+    return invoices.invoice_header(lines, header).select("invoice", "subtotal", "total").join(found, "invoice", "left")
+
+
 @query(
     """SELECT l_orderkey AS invoice, row_number() OVER (PARTITION BY l_orderkey
   ORDER BY (l_linenumber * 1000003 + l_partkey) * 1009 + l_suppkey) AS line_no, CASE WHEN l_partkey % 20 <> 0
