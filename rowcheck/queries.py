@@ -1710,8 +1710,10 @@ def a07_write_gated(spark, sf_dir):
     """The split tables, read back: rows by document and status, and the findings written for them."""
     folder = streams.scratch(spark)
     sinks.write_gated(_gated(spark, sf_dir), folder)
-    rows = spark.read.parquet(f"{folder}/rows").groupBy("doc_id", "status").agg(F.count("*").alias("n_rows"))
-    found = spark.read.parquet(f"{folder}/findings").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = sinks.committed(spark, folder, "rows").groupBy("doc_id", F.col(sinks.STATUS).alias("status")).agg(
+        F.count("*").alias("n_rows")
+    )
+    found = sinks.committed(spark, folder, "findings").groupBy("doc_id").agg(F.count("*").alias("n"))
     n = F.when(F.col("status") == "flagged", F.col("n")).otherwise(0)
     return rows.join(found, "doc_id", "left").select(
         "doc_id", "status", "n_rows", F.coalesce(n, F.lit(0)).cast("bigint").alias("n_findings")
@@ -1749,7 +1751,39 @@ def m01_stream_gate(spark, sf_dir):
     staged.repartition("doc_id").write.parquet(f"{folder}/landing")
     stream = streams.landing(spark, f"{folder}/landing", staged.schema)
     streams.stream_gate(stream, S.LINES, S.LINE_RULES, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/findings").groupBy("column", "rule").agg(F.count("*").alias("n"))
+    found = sinks.committed(spark, f"{folder}/out", "findings")
+    return found.groupBy("column", "rule").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH o AS (SELECT o_custkey % 20 AS f, o_custkey AS c, o_orderkey AS k, o_orderstatus = 'P' AS bad, o_orderkey % 11 = 0 AS gone
+  FROM orders),
+t AS (SELECT 't' || f AS doc, 'tabular' AS route, CASE WHEN f % 20 IN (7, 9) THEN 0 ELSE count(*) END AS n_rows,
+  CASE WHEN f % 20 IN (7, 9) THEN 1 ELSE count_if(bad) END AS failures,
+  CASE WHEN f % 20 IN (7, 9) THEN 'malformed' WHEN count_if(bad) > 0 THEN 'pattern' ELSE '' END AS rules FROM o GROUP BY f),
+p AS (SELECT c, count_if(NOT gone) AS n, count_if(gone) AS g, count_if(bad AND NOT gone) AS b FROM o WHERE c % 50 = 0 GROUP BY c),
+q AS (SELECT *, CASE WHEN n = 0 OR (g > 0 AND (n > 1 OR g >= 2)) THEN 1 ELSE 0 END AS i FROM p),
+d AS (SELECT 'p' || c, 'pdf', n, b + i, CASE WHEN n = 0 THEN 'empty' WHEN i > 0 AND b > 0 THEN 'incomplete,pattern' WHEN i > 0
+  THEN 'incomplete' WHEN b > 0 THEN 'pattern' ELSE '' END FROM q)
+SELECT *, CASE WHEN rules = 'malformed' THEN 'error' WHEN failures > 0 THEN 'flagged' ELSE 'ok' END AS outcome
+  FROM (SELECT * FROM t UNION ALL SELECT * FROM d)""")
+def m01_stream_intake(spark, sf_dir):
+    """Raw files land: orders by customer in delimited ones of two dialects, one of them with a line too wide and one with a column claimed
+    twice, and statements of some customers behind a PDF's mark, whose extractor loses every eleventh order. The log of the stream.
+    """
+    folder = streams.scratch(spark)
+    S.land_orders(spark, sf_dir, f"{folder}/landing")
+    landed = streams.landing_files(spark, f"{folder}/landing", 9)
+    streams.stream_intake(
+        landed, S.ORDERS, S.ORDER_RULES, f"{folder}/out", f"{folder}/checkpoint", extractor=S.read_statements
+    ).awaitTermination()
+    named = F.regexp_extract("doc_id", "file=([^/]+)", 1).alias("doc")
+    found = sinks.committed(spark, f"{folder}/out", "findings").groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules")
+    )
+    log = sinks.committed(spark, f"{folder}/out", "log").join(found, "doc_id", "left")
+    return log.select(
+        named, "route", F.col("rows").alias("n_rows"), "failures", F.coalesce("rules", F.lit("")).alias("rules"), "outcome"
+    )
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,16 +13,54 @@ from rowcheck.operators.gate import findings
 from rowcheck.plans.spec import JSONS, Field, TableSpec
 
 
-def write_gated(gated: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows by status (ok, flagged) with their findings, and the findings as a table of their own; no shuffle.
+#: The partition column of rows by status; a table may have a column `status` of its own.
+STATUS = "gate_status"
+
+
+def with_status(gated: DataFrame) -> DataFrame:
+    """Gated rows as they are stored: ok or flagged, with their findings."""
+    return gated.withColumn(STATUS, F.when(F.size("findings") > 0, "flagged").otherwise("ok")).drop("raw", "spelled")
+
+
+def put_rows(stored: DataFrame, path: str, batch: str) -> DataFrame:
+    """Rows of a batch, split by status, and as they were written; what an earlier try left under the batch is replaced."""
+    place = f"{path}/rows/batch={batch}"
+    stored.write.mode("overwrite").partitionBy(STATUS).parquet(place)
+    return stored.sparkSession.read.schema(stored.schema).parquet(place)
+
+
+def put(df: DataFrame, path: str, name: str, batch: str) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+
+
+def commit(spark: SparkSession, path: str, batch: str, replace: bool = False) -> None:
+    """From now on the batch counts, in all tables at once. replace: and no other does."""
+    one = spark.range(1).select(F.lit(batch).alias("batch"))
+    if replace:
+        one.withColumn("own", F.col("batch")).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/commits")
+    else:
+        one.select(F.col("batch").alias("own")).write.mode("overwrite").parquet(f"{path}/commits/batch={batch}")
+
+
+def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of `path` (rows, findings, log) without what batches left that never were committed."""
+    counted = spark.read.parquet(f"{path}/commits").select(F.col("own").alias("batch")).distinct()
+    held = spark.read.parquet(f"{path}/{name}")
+    return held.withColumn("batch", F.col("batch").cast("string")).join(counted, "batch", "left_semi")
+
+
+def write_gated(gated: DataFrame, path: str, batch: str | None = None, replace: bool = True) -> str:
+    """A batch of rows by status with their findings, and the findings as a table of their own; no shuffle. Gives the batch's key.
 
-    The gate runs once: the findings table is drawn from the flagged rows that were written.
+    Every write is a commit of its own: rows and findings lie under the batch's key, and readers (committed) see neither before both are
+    there. A batch that is repeated under its key, after a failure say, replaces itself; what other batches wrote is not read. The
+    gate runs once: findings are drawn from the flagged rows that were written. replace: older batches no longer count.
     """
-    status = F.when(F.size("findings") > 0, "flagged").otherwise("ok")
-    rows = gated.withColumn("status", status).drop("raw", "spelled")
-    rows.write.mode(mode).partitionBy("status").parquet(f"{path}/rows")
-    written = gated.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows").where("status = 'flagged'")
-    findings(written).write.mode("overwrite").parquet(f"{path}/findings")
+    key = batch or f"b{uuid.uuid4().hex}"
+    rows = put_rows(with_status(gated), path, key)
+    put(findings(rows.where(F.col(STATUS) == "flagged")), path, "findings", key)
+    commit(gated.sparkSession, path, key, replace)
+    return key
 
 
 def run_log(documents: DataFrame, found: DataFrame, spend: DataFrame) -> DataFrame:

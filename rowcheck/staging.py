@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowcheck.functions.text import render_date, render_number
-from rowcheck.plans.spec import Field, TableSpec, multiplies_to, within
+from rowcheck.plans.spec import Field, TableSpec, multiplies_to, shaped, within
 
 LOCALES = ("plain", "point", "comma", "space")
 
@@ -224,3 +224,56 @@ def order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = returned_orders(spark, sf_dir)
     status = r.where("k % 26 = 0").select("doc_id", "row_idx", F.lit("status").alias("column"))
     return status.unionByName(r.where("k % 58 = 0").select("doc_id", "row_idx", F.lit("total").alias("column")))
+
+
+ORDER_RULES = (shaped("status", "[FO]"),)
+
+
+def land_orders(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Orders as landing files, in folders file=<name>: t0 to t19 by customer, delimited (odd ones with tabs and decimal commas; t7 has a
+    line too wide, t9 two headings for one column), and p<customer> for every fiftieth customer, a statement behind a PDF's mark.
+    """
+    o = expected_orders(spark, sf_dir).withColumn("f", F.col("doc_id") % 20).withColumn(
+        "file", F.concat(F.lit("t"), F.col("f").cast("string"))
+    )
+    odd = F.col("f") % 2 == 1
+    cells = ("invoice_number", "status", "total", "issued_on", "extra")
+    total = F.when(odd, F.translate("total", ".", ",")).otherwise(F.col("total"))
+    made = o.withColumn("total", total).withColumn("extra", F.concat(F.lit('say "'), "status", F.lit('"')))
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]
+    last = F.when(F.col("f") == 7, F.lit("one too many")).otherwise(F.lit(""))
+    line = F.when(odd, F.concat_ws("\t", *quoted, last)).otherwise(F.concat_ws(";", *quoted))
+    names = ("Invoice Number", "STATUS", "total", "Issued-On")
+    head = F.when(odd, F.when(F.col("f") == 9, "\t".join((*names, "Invoice_number"))).otherwise("\t".join((*names, "extra")))).otherwise(
+        ";".join((*names, "extra"))
+    )
+    heads = made.select("file", "f").distinct().select(
+        "file", head.alias("value"), F.lit(-1).cast("long").alias("k")
+    )
+    lines = made.select("file", line.alias("value"), "k").unionByName(heads)
+    lines.repartition("file").sortWithinPartitions("file", "k").drop("k").write.partitionBy("file").text(folder)
+    texts, _ = statements(spark, sf_dir)
+    some = texts.where("doc_id % 50 = 0").select(
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("file"), F.concat(F.lit("%PDF-1.7 "), "text").alias("value")
+    )
+    paid = expected_orders(spark, sf_dir).where("doc_id % 50 = 0").select(
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("file"),
+        F.concat_ws(" ", F.lit("line"), "invoice_number", "status", "total").alias("value"),
+    )
+    some.unionByName(paid).repartition("file").sortWithinPartitions("file", "value").write.partitionBy("file").mode("append").text(folder)
+
+
+def read_statements(docs: DataFrame) -> tuple[DataFrame, DataFrame, None]:
+    """An extractor of land_orders' statements: it reads their lines, but for every order whose number eleven divides."""
+    texts = docs.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.startswith("line "))
+    cells = texts.select("doc_id", F.posexplode(F.transform(lines, lambda x: F.split(x, " "))).alias("row_idx", "c"))
+    rows = cells.select(
+        "doc_id",
+        "row_idx",
+        F.col("c")[1].alias("invoice_number"),
+        F.col("c")[2].alias("status"),
+        F.col("c")[3].alias("total"),
+        F.substring(F.col("c")[1], 5, 9).cast("long").alias("k"),
+    )
+    return texts, rows.where("k % 11 <> 0").drop("k"), None

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rowcheck.operators.gate import findings, gate
+from rowcheck.operators.gate import gate
+from rowcheck.operators.intake import Extractor, take_in
 from rowcheck.plans.spec import Rule, TableSpec
+from rowcheck.sources import sinks
+from rowcheck.sources.shared import scratch  # noqa: F401
 
 
 def stream_gate(
@@ -21,25 +21,55 @@ def stream_gate(
 ) -> StreamingQuery:
     """M1: each micro-batch of a landing stream is gated whole and appended under `out`.
 
-    A file is complete when it arrives, so a document's number convention is taken inside its batch. A batch is written
+    A file is complete when it arrives, so a document's number convention is taken inside its batch. A batch is a commit of write_gated
     under its own number, so one that is repeated after a failure replaces itself.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        held = gate(df, spec, rules)
-        status = F.when(F.size("findings") > 0, "flagged").otherwise("ok")
-        rows = held.withColumn("status", status).drop("raw", "spelled")
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        # the gate runs once a batch: its findings are drawn from what was written
-        written = df.sparkSession.read.schema(rows.schema).parquet(
-            f"{out}/rows/batch={number}"
-        ).where("status = 'flagged'")
-        findings(written).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
-
-    writer = staged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        sinks.write_gated(gate(df, spec, rules), out, f"b{number}", replace=False)
+
+    return _started(staged, batch, checkpoint, once)
+
+
+def _started(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def landing_files(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """A stream of the files that arrive under `path`, whole: path, content. most: files of a micro-batch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    return source.option("maxFilesPerTrigger", most).load(path).select("path", "content")
+
+
+def stream_intake(
+    landed: DataFrame,
+    spec: TableSpec,
+    rules: Sequence[Rule],
+    out: str,
+    checkpoint: str,
+    aliases: DataFrame | None = None,
+    extractor: Extractor | None = None,
+    once: bool = True,
+) -> StreamingQuery:
+    """M1: each micro-batch of landed files goes through all of take_in; rows, findings and run log are one commit.
+
+    A document is one file, so nothing that it settles (headings, number convention, key, completeness) reaches beyond its batch, and the
+    tables are those of take_in over all files at once. Each table holds a batch under its number and readers (sinks.committed) see it
+    once all three are written: a run that is killed and started again gives the tables of one that was not.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        key = f"b{number}"
+        taken = take_in(df, spec, rules, aliases, extractor, lambda rows: sinks.put_rows(rows, out, key))
+        sinks.put(taken.found, out, "findings", key)
+        sinks.put(taken.log, out, "log", key)
+        sinks.commit(df.sparkSession, out, key)
+
+    return _started(landed, batch, checkpoint, once)
+
+
 def stream_checks(stream: DataFrame, spec: TableSpec, rules: Sequence[Rule]) -> DataFrame:
     """M2: rows of a stream with their findings; only what one row settles (declared scales, no document convention)."""
     return gate(stream, spec, rules, infer=False)
@@ -82,21 +112,6 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under the session's checkpoint folder. Where none is set a local session
-    takes a temporary one; a cluster has no folder of its own that all of its hosts see, so there it must be set.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def totals(stream: DataFrame, folder: str) -> DataFrame:
     """The complete result of an aggregating stream once all input is read; each micro-batch replaces the table before it."""
     writer = stream.writeStream.outputMode("complete").option(
