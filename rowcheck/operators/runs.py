@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rowcheck.operators.keys import with_facts
+from rowcheck.sources.shared import written
 
 #: Models times approaches, both lists that a person writes.
 MOST_PAIRS = 10_000
@@ -63,10 +65,27 @@ def within_budget(plan: DataFrame, budget: str) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, per_minute: int, seconds: int = 60) -> DataFrame:
-    """K3: requests (id, who, ts) with `refused`: beyond the limit of their caller's fixed window; limit 0 refuses nothing."""
-    window = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
-    nth = F.row_number().over(W.partitionBy("who", window).orderBy("ts", "id"))
-    return requests.withColumn("refused", F.lit(False) if per_minute == 0 else nth > per_minute)
+    """K3: requests (id, who, ts) with `refused`: beyond the limit of their caller's fixed window; limit 0 refuses nothing.
+
+    Each task picks its first per_minute requests of a caller and window, and only those move: the last of the first per_minute of all is what
+    every request is compared with, by (ts, id). No caller is sorted as a whole, and one with half of all requests is spread. Rows that
+    repeat id, who and ts are one request and fare alike. NULL is a caller.
+    """
+    if per_minute == 0:
+        return requests.withColumn("refused", F.lit(False))
+    window = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).alias("window__")
+    own = requests.select("*", window, F.struct("ts", "id").alias("at__"))
+    keys = ["who", "window__"]
+    counts = own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > per_minute)
+    # the limit on the rank goes below the shuffle: so many rows a task and group
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("ts", "id"))
+    firsts = own.select(*keys, "ts", "id", "at__").withColumn("nth", nth).where(F.col("nth") <= per_minute)
+    last = firsts.groupBy(*keys).agg(F.max("at__").alias("last__"))
+    name = lambda k: last[k].eqNullSafe(counts[k])
+    full = written(counts.join(last, name("who") & name("window__")).select(*(counts[k] for k in keys), "n", "last__"))
+    held = with_facts(own, full, keys, "n")
+    refused = F.coalesce(F.col("at__") > F.col("last__"), F.lit(False)).alias("refused")
+    return held.select(*requests.columns, refused)
 
 
 def rate_limit_counts(requests: DataFrame, per_minute: int, seconds: int = 60) -> DataFrame:

@@ -1473,6 +1473,18 @@ def k03_rate_limit(spark, sf_dir):
     return runs.rate_limit(e, 2, 86400).select("id", "refused")
 
 
+@query(
+    """SELECT event_id AS id, row_number() OVER (PARTITION BY CASE WHEN event_id % 2 = 0 THEN -1 WHEN event_id % 7 <> 0 THEN user_id END,
+  epoch(ts)::BIGINT // 31536000 ORDER BY ts, event_id) > 50 AS refused FROM events"""
+)
+def k03_hot_caller(spark, sf_dir):
+    """One caller has half of all events, another has no name; fifty a year are allowed."""
+    k = F.col("event_id")
+    who = F.when(k % 2 == 0, F.lit(-1).cast("long")).when(k % 7 != 0, F.col("user_id"))
+    e = S.table(spark, sf_dir, "events").select(k.alias("id"), who.alias("who"), "ts")
+    return runs.rate_limit(e, 50, 31536000).select("id", "refused")
+
+
 @query(
     """SELECT user_id AS who, n, least(n, 2) AS allowed, greatest(n - 2, 0) AS refused FROM (SELECT user_id,
   count(*) AS n FROM events GROUP BY user_id, epoch(ts)::BIGINT // 86400)"""
