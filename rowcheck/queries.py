@@ -1831,3 +1831,55 @@ def m02_stream_checks(spark, sf_dir):
     return streams.drained(
         found, f"{folder}/out", f"{folder}/checkpoint"
     ).where("rule <> 'not_null'").select("doc_id", "row_idx", "column", "rule")
+
+
+# events in six landings: most; two tenths that come late, of which those before the watermark are too late (Spark's own windows
+# drop by the watermark before last, so all of the first of them still count there); two of far days, which end every window before; and
+# a last tenth that is too late altogether
+_LANDINGS = """e AS (SELECT event_id AS id, user_id AS who, ts::TIMESTAMP AS ts, epoch(ts)::BIGINT // 86400 AS day,
+  CASE event_id % 10 WHEN 5 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS n FROM events),
+w AS (SELECT max(ts) - INTERVAL 10 DAY AS mark FROM e WHERE n = 0),
+a AS (SELECT e.*, (day + 1) * 86400 > epoch(mark) AS open, ts > mark AS young FROM e, w WHERE n < 3)"""
+
+
+def _land_events(spark, sf_dir):
+    """A stream of (id, who, ts) in six micro-batches, one a file."""
+    folder, n = streams.scratch(spark), F.col("event_id") % 10
+    e = S.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("ts"), n.alias("n")
+    )
+    last = e.groupBy().agg(F.max("ts").alias("ts"))
+    far = lambda k: last.select(
+        F.lit(-k).cast("long").alias("id"), F.lit(-1).cast("long").alias("who"), (F.col("ts") + F.expr(f"INTERVAL {400 * k} DAYS")).alias("ts")
+    )
+    for part in (e.where("n NOT IN (3, 4, 5)"), e.where("n = 5"), e.where("n = 3"), far(1), far(2), e.where("n = 4")):
+        part.select("id", "who", "ts").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema("id long, who long, ts timestamp").option("maxFilesPerTrigger", 1)
+    return source.parquet(f"{folder}/in"), folder
+
+
+@query(f"""WITH {_LANDINGS} SELECT who, CAST(to_timestamp(day * 86400) AS DATE) AS day, count(*) AS n, least(count(*), 2) AS allowed,
+  greatest(count(*) - 2, 0) AS refused FROM a WHERE open OR n < 2 GROUP BY who, day
+  UNION ALL SELECT -1, CAST(max(ts) + INTERVAL 400 DAY AS DATE), 1, 1, 0 FROM e""")
+def m03_stream_windows(spark, sf_dir):
+    """Append mode: windows are given once the watermark has passed them; late requests count until then, later ones nowhere."""
+    events, folder = _land_events(spark, sf_dir)
+    counts = streams.stream_rate_limit(events, 2, 86400, "10 days")
+    out = streams.drained(counts, f"{folder}/out", f"{folder}/checkpoint")
+    return out.select("who", F.to_date("start").alias("day"), "n", "allowed", "refused")
+
+
+@query(f"""WITH {_LANDINGS} SELECT id, row_number() OVER (PARTITION BY who, day ORDER BY n, ts, id) > 1 AS refused FROM a
+  WHERE n = 0 OR (open AND (n = 1 OR young))
+UNION ALL SELECT -1, false UNION ALL SELECT -2, false""")
+def m03_stream_refusals(spark, sf_dir):
+    """Each request as it comes: the second of its caller's day is refused, in the order of arrival."""
+    events, folder = _land_events(spark, sf_dir)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, streams.ROCKS)
+    try:
+        live = streams.stream_refusals(events, 1, 86400, "10 days")
+        return streams.drained(live, f"{folder}/out", f"{folder}/checkpoint").select("id", "refused")
+    finally:
+        spark.conf.set(key, before)

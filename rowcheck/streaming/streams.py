@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from rowcheck.operators.gate import gate
 from rowcheck.operators.intake import Extractor, take_in
@@ -76,7 +76,10 @@ def stream_checks(stream: DataFrame, spec: TableSpec, rules: Sequence[Rule]) ->
 
 
 def stream_rate_limit(stream: DataFrame, per_minute: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """M3: allowed and refused requests per caller and window; late events count in their own window until the watermark."""
+    """M3: allowed and refused requests per caller and window; late events count in their own window until the watermark.
+
+    In append mode a window is given once, when the watermark has passed it, and its state goes; what comes later is dropped.
+    """
     counts = stream.withWatermark("ts", late).groupBy(
         F.window("ts", f"{seconds} seconds"), "who"
     ).agg(F.count("*").alias("n"))
@@ -90,6 +93,63 @@ def stream_rate_limit(stream: DataFrame, per_minute: int, seconds: int = 60, lat
     )
 
 
+class _Limiter(StatefulProcessor):
+    """Requests of a caller as they come: a count a window, which goes when the watermark passes the window's end."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "window long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        came = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+        window = came["ts"].astype("datetime64[us]").astype("int64") // 1_000_000 // self.seconds
+        open_ = (window + 1) * self.seconds * 1000 > timerValues.getCurrentWatermarkInMs()
+        came, window = came[open_], window[open_]
+        refused = pd.Series(False, index=came.index)
+        for number, own in came.groupby(window):
+            before = self.counts.getValue((int(number),))[0] if self.counts.containsKey((int(number),)) else 0
+            if not before:
+                self.handle.registerTimer((int(number) + 1) * self.seconds * 1000)
+            self.counts.updateValue((int(number),), (before + len(own),))
+            refused[own.index] = before + 1 + pd.RangeIndex(len(own)).to_numpy() > self.limit
+        if len(came):
+            yield came.assign(window_no=window, refused=refused)[["id", "who", "ts", "window_no", "refused"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ended = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.seconds - 1
+        if self.counts.containsKey((ended,)):
+            self.counts.removeKey((ended,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_refusals(stream: DataFrame, per_minute: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """M3: requests (id, who, ts) of a stream as they come, with window_no and `refused`: request n of its caller's window is refused if n is
+    over the limit, in the order of micro-batches and of (ts, id) inside one.
+
+    What is late counts in its own window until the watermark has passed that; then it is dropped and the window's state is gone, as is
+    that of callers who do not come again. (Spark itself drops requests that are older than the watermark before last.) A caller's requests of a micro-batch are one group: maxFilesPerTrigger bounds it. The state
+    lies in RocksDB (the session's spark.sql.streaming.stateStore.providerClass must name it).
+    """
+    asked = stream.select(F.col("id").cast("long").alias("id"), F.col("who").cast("string").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
+    return asked.withWatermark("ts", late).groupBy("who").transformWithStateInPandas(
+        statefulProcessor=_Limiter(per_minute, seconds),
+        outputStructType="id long, who string, ts timestamp, window_no long, refused boolean",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All that a finished run of `stream` appends, read back from `path`."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
