@@ -282,15 +282,22 @@ def manifest(folder: str) -> dict:
         return json.loads(f.read())
 
 
+_CODES = np.arange(256)
+_VISIBLE = (_CODES > 32) & (_CODES < 127)
+_OPENS = (_CODES == 32) | (_CODES == 10)
+_LETTER = ((_CODES | 32) >= 97) & ((_CODES | 32) <= 122)
+_SIGN = _VISIBLE & ~_LETTER & ~((_CODES >= 48) & (_CODES <= 57))
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library; stretches that come again are encoded once.
 
-    A text is cut at spaces between two visible ASCII characters, where byte-level pre-tokenisers always split, so each stretch has the
-    same ids wherever it stands. Distinct stretches go to the library some hundred in a row, and are told apart again by the
+    A text is cut before a single space or line break between two visible ASCII characters, and between an ASCII letter and a sign: there
+    byte-level pre-tokenisers always split, so each stretch has the same ids wherever it stands. Distinct stretches go to the library some hundred in a row, and are told apart again by the
     bytes of their tokens. The first KNOWN of them are kept from call to call.
     """
 
-    RUN, KNOWN = 500, 1 << 18
+    RUN, KNOWN = 500, 1 << 19
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
@@ -314,8 +321,7 @@ class Encoder:
         """(ids, bounds) of stretches: ids of the k-th are ids[bounds[k] : bounds[k + 1]]."""
         data, offsets = buffers(distinct)
         begin, last = offsets[:-1], offsets[1:] - 1
-        visible = (data > 32) & (data < 127)
-        joins = (last > begin) & (data[begin] == 32) & visible[last] & visible[np.minimum(begin + 1, last)]
+        joins = (last > begin) & _OPENS[data[begin]] & _VISIBLE[data[last]] & _VISIBLE[data[np.minimum(begin + 1, last)]]
         for sign in self.special:
             joins &= ~pc.match_substring(distinct, sign).to_numpy(zero_copy_only=False)
         run, alone = distinct.filter(pa.array(joins)), distinct.filter(pa.array(~joins))
@@ -356,9 +362,16 @@ class Encoder:
         """(ids, bounds) of whole texts (large_string, without nulls)."""
         data, offsets = buffers(texts)
         starts = np.zeros(len(data) + 1, bool)
+        visible = _VISIBLE[data]
+        starts[1 : len(data) - 1] |= _OPENS[data[1:-1]] & visible[:-2] & visible[2:]
+        starts[1 : len(data)] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+        raw = data.tobytes()
+        for sign in self.special:  # never cut in two
+            at = raw.find(sign)
+            while at >= 0:
+                starts[at + 1 : at + len(sign)] = False
+                at = raw.find(sign, at + 1)
         starts[offsets] = True
-        visible = (data > 32) & (data < 127)
-        starts[1 : len(data) - 1] |= (data[1:-1] == 32) & visible[:-2] & visible[2:]
         cut = np.flatnonzero(starts)
         places = [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, places).dictionary_encode()
@@ -385,7 +398,7 @@ def _encode(path: str, end_id: int | None):
         encoder, end = _encoder(path), [] if end_id is None else [end_id]
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 8 << 20):
                 flat, bounds = encoder.encode(texts.slice(a, b - a))
                 if end:
                     flat = np.insert(flat, bounds[1:], end_id)
