@@ -9,7 +9,7 @@ from rowcheck import staging as S
 from rowcheck.functions import text as X
 from rowcheck.operators import completeness, gate, headers, inference, invoices, layout, runs, schema, scoring, spend
 from rowcheck.plans.spec import Field, TableSpec, multiplies_to, rejects, requires, shaped, sums_to
-from rowcheck.sources import files, sinks
+from rowcheck.sources import files, sinks, splits
 from rowcheck.streaming import streams
 
 QUERIES: dict = {}
@@ -1630,6 +1630,36 @@ def a08_run_log(spark, sf_dir):
 # --- files: the given tables written as landing files under the session's shared folder, and read back ---
 
 
+@query(
+    """SELECT c_custkey // 5000 AS file, row_number() OVER (PARTITION BY c_custkey // 5000
+  ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS VARCHAR) AS "key",
+  c_name || chr(10) || '"' || c_mktsegment || '";' || chr(10) AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer"""
+)
+def a01_read_splits(spark, sf_dir):
+    """Customers in files of 5,000, read in splits of 16 KB that begin in the middle of names of several lines."""
+    folder, file = streams.scratch(spark), F.floor(F.col("c_custkey") / 5000).cast("int")
+    name = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('";\n'))
+    quoted = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = S.table(spark, sf_dir, "customer").select(
+        file.alias("file"), F.col("c_custkey").alias("k"), F.concat_ws(";", "c_custkey", quoted, "c_nationkey").alias("value")
+    )
+    heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("k"), F.lit("key;name;nation").alias("value"))
+    lines = rows.unionByName(heads).repartition("file").sortWithinPartitions("file", "k").drop("k")
+    lines.write.partitionBy("file").text(folder)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "16k")
+    try:
+        _, grid, errors = splits.read_splits(spark, folder)
+    finally:
+        spark.conf.set(setting, before)
+    number = F.regexp_extract("doc_id", "file=([0-9]+)", 1).cast("bigint").alias("file")
+    cell = lambda k, name: F.get(F.col("cells"), F.lit(k)).alias(name)
+    return grid.join(errors.select("doc_id"), "doc_id", "left_anti").select(
+        number, F.col("row_idx").cast("bigint").alias("row_idx"), cell(0, "key"), cell(1, "name"), cell(2, "nation")
+    )
+
+
 @query(
     """SELECT c_custkey // 500 AS file, row_number() OVER (PARTITION BY c_custkey // 500
   ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS VARCHAR) AS "key",
