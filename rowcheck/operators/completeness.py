@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowcheck.functions.text import strip
 from rowcheck.plans.spec import TableSpec
+from rowcheck.sources.shared import written
 
 # Text of so many characters must have given a row; identifiers shown; how a key is spelled, what its
 # column is called, and how it stands in a text.
@@ -40,45 +41,54 @@ def _key_columns(spec: TableSpec) -> list[str]:
     return [c.name for c in spec.extractable if c.is_text and c.element is None]
 
 
-def discover_key(rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """doc_id, column, prefix, digits, n_rows of the first text column whose values are all distinct keys of one shape.
+def _digest(value: Column) -> list[Column]:
+    """128 bits of a value."""
+    return [F.xxhash64(value).alias("d1"), F.xxhash64(F.lit("second"), value).alias("d2")]
+
+
+def key_cells(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """doc_id, k (number of the text column), prefix, digits, d1, d2 (of the value), n: the cells that look like keys, each value once.
 
-    Equal values are counted first (doc_id, column, value), so what is grouped by document are counts that combine
-    before the shuffle: a document that holds very many rows is no group of its own anywhere.
+    Only such cells are moved, and as digests, counted before: what is grouped is spread over values, so a document that holds very many
+    rows is no group of its own.
     """
     names = _key_columns(spec)
-    if not names:
-        return rows.select("doc_id").where("false").selectExpr(
-            "doc_id", "'' as column", "'' as prefix", "0 as digits", "0L as n_rows"
-        )
-    cells = rows.select(
-        "doc_id", F.posexplode(F.array(*(F.col(f"`{n}`").cast("string") for n in names))).alias("k", "value")
-    )
-    counted = cells.groupBy("doc_id", "k", "value").agg(F.count("*").alias("n"))
-    part = lambda k: F.regexp_extract("value", KEY_SHAPE, k)
-    shaped = F.coalesce(F.col("value").rlike(KEY_SHAPE), F.lit(False))
-    keyed = counted.select(
-        "doc_id",
-        "k",
-        "n",
-        shaped.alias("shaped"),
-        F.when(shaped, part(1)).alias("prefix"),
-        F.when(shaped, F.length(part(2))).alias("digits"),
+    value = lambda name: F.col(f"`{name}`").cast("string")
+    shaped = [F.when(value(n).rlike(KEY_SHAPE), F.struct(F.lit(k).alias("k"), value(n).alias("value"))) for k, n in enumerate(names)]
+    cells = rows.select("doc_id", F.explode(F.filter(F.array(*shaped), lambda c: c.isNotNull())).alias("c"))
+    prefix = F.regexp_extract("c.value", KEY_SHAPE, 1)
+    one = cells.select(
+        "doc_id", "c.k", prefix.alias("prefix"), (F.length("c.value") - F.length(prefix)).alias("digits"), *_digest(F.col("c.value"))
     )
-    sums = keyed.groupBy("doc_id", "k").agg(
-        F.sum("n").alias("n_rows"),
-        F.count_if("shaped").alias("keys"),
+    return one.groupBy("doc_id", "k", "prefix", "digits", "d1", "d2").agg(F.count("*").alias("n"))
+
+
+def _keys(cells: DataFrame, rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """doc_id, k, prefix, digits, n_rows of the first text column whose values are all distinct keys of one shape."""
+    sums = cells.groupBy("doc_id", "k").agg(
+        F.sum("n").alias("cells"),
+        F.count("*").alias("values"),
         *(f(c).alias(f"{name}_{c}") for c in ("prefix", "digits") for f, name in ((F.min, "low"), (F.max, "high"))),
     )
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     one_shape = (F.col("low_prefix") == F.col("high_prefix")) & (F.col("low_digits") == F.col("high_digits"))
-    named = [k for k, n in enumerate(names) if re.search(KEY_NAME, n.lower())]
+    named = [k for k, n in enumerate(_key_columns(spec)) if re.search(KEY_NAME, n.lower())]
     enough = (F.col("n_rows") > 1) | F.col("k").isin(named)
-    keys = sums.where((F.col("keys") == F.col("n_rows")) & one_shape & enough)
-    first = F.min(
-        F.struct("k", F.col("low_prefix").alias("prefix"), F.col("low_digits").alias("digits"), "n_rows")
-    ).alias("first")
-    column = F.element_at(F.array(*map(F.lit, names)), F.col("first.k") + 1).alias("column")
-    return keys.groupBy("doc_id").agg(first).select("doc_id", column, "first.prefix", "first.digits", "first.n_rows")
+    whole = (F.col("cells") == F.col("n_rows")) & (F.col("values") == F.col("n_rows"))
+    keys = sums.where((F.col("cells") == F.col("values")) & one_shape).join(counts, "doc_id").where(whole & enough)
+    first = F.min(F.struct("k", F.col("low_prefix").alias("prefix"), F.col("low_digits").alias("digits"), "n_rows")).alias("first")
+    return keys.groupBy("doc_id").agg(first).select("doc_id", "first.*")
+
+
+def discover_key(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """doc_id, column, prefix, digits, n_rows of the first text column whose values are all distinct keys of one shape."""
+    names = _key_columns(spec)
+    if not names:
+        return rows.select("doc_id").where("false").selectExpr(
+            "doc_id", "'' as column", "'' as prefix", "0 as digits", "0L as n_rows"
+        )
+    column = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("column")
+    return _keys(key_cells(rows, spec), rows, spec).select("doc_id", column, "prefix", "digits", "n_rows")
 
 
 def mentioned(texts: DataFrame) -> DataFrame:
@@ -97,13 +107,18 @@ def find_incomplete(texts: DataFrame, rows: DataFrame, spec: TableSpec) -> DataF
     """a finding for each document that mentions identifiers of its key's shape which no row has; of the missing ones the
     first few are shown, picked by rank, and the others only counted.
     """
-    keys = discover_key(rows, spec)
-    named = mentioned(texts).join(keys, ["doc_id", "prefix", "digits"])
-    value = F.coalesce(*(F.when(F.col("column") == n, F.col(f"`{n}`").cast("string")) for n in _key_columns(spec)))
-    returned = rows.join(keys.select("doc_id", "column"), "doc_id").select(
-        "doc_id", value.alias("identifier"), F.lit(True).alias("returned")
+    names = _key_columns(spec)
+    none = F.lit(None).cast("string")
+    if not names:
+        return texts.select("doc_id", F.lit(-1).alias("row_idx"), none.alias("column"), F.lit("incomplete").alias("rule"), none.alias("detail"), none.alias("value")).where("false")
+    cells = written(key_cells(rows, spec))
+    keys = _keys(cells, rows, spec)
+    named = mentioned(texts).join(keys, ["doc_id", "prefix", "digits"]).select(
+        "doc_id", "identifier", "n_rows", "k", *_digest(F.col("identifier"))
     )
-    both = named.join(returned, ["doc_id", "identifier"], "left")
+    returned = cells.select("doc_id", "k", "d1", "d2", F.lit(True).alias("returned"))
+    column = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("column")
+    both = named.join(returned, ["doc_id", "k", "d1", "d2"], "left").select("doc_id", "identifier", "n_rows", column, "returned")
     missing = F.col("returned").isNull()
     counted = both.groupBy("doc_id", "column", "n_rows").agg(
         F.count("*").alias("n_mentioned"), F.count_if(missing).alias("n_missing")
@@ -123,7 +138,6 @@ def find_incomplete(texts: DataFrame, rows: DataFrame, spec: TableSpec) -> DataF
         "shown",
         more,
     )
-    none = F.lit(None).cast("string")
     found = (
         F.lit(-1).alias("row_idx"),
         "column",
