@@ -24,7 +24,7 @@ from rowcheck.llm.common import bounded_batches, cut, fresh, join_back
 from rowcheck.llm.components import components
 from rowcheck.llm.text import U64, buffers, lower, mix, slices, texts_of, windows, word_hashes, words
 
-SHINGLE, BANDS, ROWS, TURNS, CELL, RADIUS = 5, 32, 6, 2, 128, 2
+SHINGLE, BANDS, ROWS, TURNS, CELL, SLOTS, RADIUS = 5, 32, 6, 2, 128, 64, 2
 #: Nodes of candidate pairs are broadcast up to this number (4 MB).
 MOST_SENT = 500_000
 #: Least similarity of near copies, as a fraction.
@@ -114,8 +114,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node, hashes, bounds = shingled(texts.slice(a, b - a))
             parts = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            flat = np.concatenate(parts)
+            slot = np.repeat(np.arange(len(parts)) * SLOTS, np.diff(ends)) + (flat >> U64(40)).astype(np.int64) % SLOTS
+            counts = np.bincount(slot, minlength=len(parts) * SLOTS).astype(np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * SLOTS, pa.int32()), pa.array(counts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), _list(np.concatenate(parts), ends)], names=["node", "shingles"]
+                [pa.array(node.view(np.int64)), _list(flat, ends), counts], names=["node", "shingles", "counts"]
             )
 
 
@@ -134,9 +138,12 @@ def _pairs(met: DataFrame) -> DataFrame:
 def _met_first(keyed: DataFrame, turn: int) -> DataFrame:
     """Pairs of each node with its key's first in the order of this turn, where their components differ.
 
-    The first is a minimum, which combines before the shuffle, and comes back by join_back: a key of very many nodes is no one task's.
+    In the first turn that is the node whose keys most others share: of edited copies the one nearest to all. In later turns a hash
+    picks. The first is a minimum, which combines before the shuffle, and comes back by join_back: a key of very many nodes is no
+    one task's.
     """
-    own = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root")
+    order = -F.col("fame") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    own = F.struct(order.alias("order"), "node", "root")
     firsts = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min(own).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")
     )
@@ -144,25 +151,37 @@ def _met_first(keyed: DataFrame, turn: int) -> DataFrame:
     return _pairs(met.where(F.col("root") != F.col("first.root")).select("node", F.col("first.node").alias("other")))
 
 
-def _met_all(keyed: DataFrame) -> DataFrame:
-    """All pairs of nodes of one key that are of different components and of sizes which allow for the similarity.
+def _met_all(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of nodes of one key that are of different components and may be similar by what is known of each alone.
 
-    A key's nodes are dealt to cells of about CELL; every two cells meet in a group of their own, so no group grows with a key.
+    Shingles that no other of these nodes has (`own`) are in no intersection and in every union. So of two sets of a and b shingles, x and y
+    of them own, at most min(a - x, b - y) are shared and at least max(a - x, b - y) + x + y are in one of them. Nor are more shared than
+    the sum over SLOTS parts of all shingles of the smaller number that either set has in the part. A key's nodes are dealt to cells of about CELL; every two cells meet in a group of their own, so no group grows with a key.
     """
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    held = join_back(keyed, cut(counts.where("low <> high").select("key", "n")), "key", "n").where("n is not null")
+    held = cut(join_back(keyed, cut(counts.where("low <> high").select("key", "n")), "key", "n").where("n is not null"))
+    left = sets.join(held.select("node").distinct(), "node", "left_semi")
+    # by 31 bits of a shingle: where two share them one is taken for no one's own, which only weakens the bound
+    few = left.select("node", F.explode("shingles").alias("s")).select("node", F.col("s").bitwiseAND(0x7FFFFFFF).cast("int").alias("s"))
+    alone = few.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = cut(alone.groupBy("node").agg(F.count("*").cast("int").alias("own")))
+    held = held.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(sets.select("node", "counts"), "node")
     cells = F.ceil(F.col("n") / CELL).cast("int")
     dealt = held.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     sent = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        "key", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), "cell", "node", "root", "size"
+        "key", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), "cell", "node", "root", "own", "size",
+        (F.col("size") - F.col("own")).alias("core"), "counts",
     )
-    side = lambda name: sent.select("key", "i", "j", *(F.col(c).alias(f"{c}_{name}") for c in ("cell", "node", "root", "size")))
+    names = ("cell", "node", "root", "own", "size", "core", "counts")
+    side = lambda name: sent.select("key", "i", "j", *(F.col(c).alias(f"{c}_{name}") for c in names))
     over, under = SIMILAR
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
     # nodes of one cell meet where it meets itself, others where their cells do
     once = (F.col("i") == F.col("j")) | (F.col("cell_a") != F.col("cell_b"))
-    fit = F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over
-    met = side("a").join(side("b"), ["key", "i", "j"]).where(apart & once & fit)
+    fit = F.least("core_a", "core_b") * under >= (F.greatest("core_a", "core_b") + F.col("own_a") + F.col("own_b")) * over
+    shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    enough = shared * (over + under) >= (F.col("size_a") + F.col("size_b")) * over
+    met = side("a").join(side("b"), ["key", "i", "j"]).where(apart & once & fit & enough)
     return _pairs(met.select(F.col("node_a").alias("node"), F.col("node_b").alias("other")))
 
 
@@ -185,23 +204,25 @@ def links(plain: DataFrame, sketched: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.concat("keys", F.array(F.xxhash64("fp"))))
     every = once.select("node", F.explode(keys).alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = cut(join_back(every, cut(shared), "key", "n").where("n is not null").drop("n"))
+    keyed = cut(join_back(every, cut(shared), "key", "n").where("n is not null"))
+    fame = keyed.groupBy("node").agg(F.sum("n").alias("fame"))
     near = cut(_pairs(_met_in_balls(once.select("node", "fp"))))
     asked = keyed.select("node").union(near.select("u")).union(near.select("v")).distinct()
     # so many numbers of 8 bytes are sent to every task, which then lets only sets that are asked for through; more are shuffled to
     asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
-    made = plain.select("text").mapInArrow(_sets, "node long, shingles array<long>")
+    made = plain.select("text").mapInArrow(_sets, "node long, shingles array<long>, counts array<int>")
     sets = cut(made.join(asked, "node", "left_semi").dropDuplicates(["node"]))
-    keyed = cut(keyed.join(sets.select("node", F.size("shingles").alias("size")), "node").withColumn("root", F.col("node")))
+    known = sets.select("node", F.size("shingles").alias("size")).join(fame, "node")
+    keyed = cut(keyed.drop("n").join(known, "node").withColumn("root", F.col("node")))
     tried, edges = near, cut(_similar(near, sets))
     for turn in range(TURNS + 1):
-        met = _met_first(keyed, turn) if turn < TURNS else _met_all(keyed)
+        met = _met_first(keyed, turn) if turn < TURNS else _met_all(keyed, sets)
         pairs = cut(met.join(tried, ["u", "v"], "left_anti"))
         edges = edges.unionByName(cut(_similar(pairs, sets)))
         if turn < TURNS:
             roots = cut(components(edges)).select(F.col("node").alias("linked"), F.col("root").alias("now"))
             moved = keyed.join(roots, keyed.node == roots.linked, "left")
-            keyed = cut(moved.select("node", "key", "size", F.coalesce("now", "node").alias("root")))
+            keyed = cut(moved.select("node", "key", "size", "fame", F.coalesce("now", "node").alias("root")))
             tried = tried.unionByName(pairs)
     return edges
 
