@@ -1,7 +1,7 @@
 """Lines, cells and tables from positioned text.
 
 pieces: doc_id, page, x, y, width, font_size, text. A page is the unit of the folds (lines are anchored on their first piece,
-cells on the gap before, blocks on their tightest step), done in one pass; everything else is windows and joins inside (doc_id, page).
+cells on the gap before, blocks on their tightest step, columns on a sweep over the cells' edges), all done in one pass.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from rowcheck.functions.text import strip
 
@@ -121,6 +120,68 @@ def _page_cells(pages: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(block=np.repeat(blocks, many))
 
 
+def _placed(cells: pd.DataFrame) -> pd.DataFrame:
+    """col_no (-1 where a line or its block is left as it is) and n_columns of cells in the order of their lines.
+
+    Spans of all blocks at once: edges become their ranks, moved up by block, so one sweep in order of the left edges merges what overlaps or
+    touches, and the first span that ends behind a cell's left edge is found by bisection.
+    """
+    n, inside = len(cells), (cells["block"] >= 0).to_numpy()
+    col_no, n_columns = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+    own = np.flatnonzero(inside)
+    if not len(own):
+        return cells.assign(col_no=col_no, n_columns=n_columns)
+    block = np.cumsum(_runs(cells["doc_id"], cells["page"], cells["block"]))[own]
+    line = np.cumsum(_runs(cells["doc_id"], cells["page"], cells["line"]))[own]
+    edges = np.concatenate([cells[c].to_numpy()[own] for c in ("left", "right")])
+    rank = np.unique(edges, return_inverse=True)[1].astype(np.int64)
+    up = block * (int(rank.max()) + 1)
+    left, right = rank[: len(own)] + up, rank[len(own) :] + up
+    order = np.lexsort((right, left))
+    reach = np.maximum.accumulate(right[order])
+    opens = np.ones(len(own), bool)
+    opens[1:] = (left[order][1:] > reach[:-1]) | (block[order][1:] != block[order][:-1])
+    at = np.flatnonzero(opens)
+    span_left, span_right, span_block = left[order][at], reach[np.append(at[1:], len(own)) - 1], block[order][at]
+    first, many = np.searchsorted(span_block, block), np.bincount(span_block, minlength=int(block.max()) + 1)[block]
+    met = np.minimum(np.searchsorted(span_right, left, "right"), len(at) - 1)
+    lies = (span_right[met] > left) & (span_left[met] < right) & (span_block[met] == block)
+    column = np.where(lies, met - first, -1)
+    # a line fits if each of its cells has a column of its own
+    lines = np.unique(line, return_inverse=True)[1]
+    size = np.bincount(lines)
+    told = np.unique(lines[lies].astype(np.int64) * (int(many.max()) + 1) + column[lies]) // (int(many.max()) + 1)
+    fits = np.bincount(told, minlength=len(size)) == size
+    filled = fits[lines] & (size[lines] == many)
+    used = np.zeros(int(block.max()) + 1, bool)
+    used[block[filled]] = True
+    good = fits[lines] & used[block] & (many >= BLOCK_COLUMNS)
+    col_no[own], n_columns[own] = np.where(good, column, -1), many
+    return cells.assign(col_no=col_no, n_columns=n_columns)
+
+
+def _spelled(cells: pd.DataFrame) -> pd.DataFrame:
+    """page's text: cells of a line joined by bars, empty columns between a table's cells kept, lines below each other."""
+    texts, places = cells["text"].tolist(), cells["col_no"].tolist()
+    opens = _runs(cells["doc_id"], cells["page"], cells["line"])
+    bounds = np.append(np.flatnonzero(opens), len(cells)).tolist()
+    lines = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if places[a] < 0:
+            lines.append(" | ".join(texts[a:b]).strip())
+            continue
+        # columns rise along a line, as its cells do
+        at, parts = places[a], [texts[a]]
+        for k in range(a + 1, b):
+            parts += [" |"] * (places[k] - at - 1) + [f" | {texts[k]}"]
+            at = places[k]
+        lines.append("".join(parts).strip())
+    heads = cells.loc[opens, _KEY].reset_index(drop=True)
+    pages = np.append(np.flatnonzero(_runs(heads["doc_id"], heads["page"])), len(heads)).tolist()
+    joined = ["\n".join(lines[a:b]) for a, b in zip(pages[:-1], pages[1:], strict=True)]
+    return heads.iloc[pages[:-1]].assign(text=joined)
+
+
 _TYPES = {
     "doc_id": "string",
     "page": "int",
@@ -130,74 +191,37 @@ _TYPES = {
     "font_size": "double",
     "text": "string",
 }
-_CELL = "doc_id string, page int, line int, baseline double, cell int, left double, right double, text string, block int"
-
+_CELL = "doc_id string, page int, line int, baseline double, cell int, left double, right double, text string, block int, col_no int, n_columns int"
 
-def page_cells(pieces: DataFrame) -> DataFrame:
-    """The cells of every line (left, right, text) with the line's baseline and block, -1 outside tables; blank pieces go.
 
-    Whole pages are dealt to parts, several times as many as there are partitions: one call of a helper folds many small pages.
-    """
+def _dealt(pieces: DataFrame):
+    """Whole pages dealt to parts, several times as many as there are partitions: one call of a helper folds many small pages."""
     parts = 8 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     solid = pieces.where(strip(F.col("text")) != "").select(*(F.col(c).cast(t).alias(c) for c, t in _TYPES.items()))
-    dealt = solid.withColumn("part", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(_page_cells, _CELL)
-
-
-def column_spans(blocked: DataFrame) -> DataFrame:
-    """Merged spans of each block's cells; touching spans are one."""
-    w = W.partitionBy(*_KEY, "block").orderBy("left", "right")
-    reach = F.max("right").over(w.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.when(F.col("left") <= reach, 0).otherwise(1)
-    so_far = F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))
-    islands = blocked.where("block >= 0").withColumn("opens", opens).withColumn("col_no", so_far - 1)
-    return islands.groupBy(*_KEY, "block", "col_no").agg(
-        F.min("left").alias("col_left"), F.max("right").alias("col_right")
-    )
-
+    return solid.withColumn("part", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts))).groupBy("part")
 
-def place_cells(blocked: DataFrame, spans: DataFrame) -> DataFrame:
-    """col_no of each cell (NULL where its line or block is left as it is) and n_columns of its block.
 
-    An interval-overlap join inside the equal key (doc_id, page, block).
+def page_cells(pieces: DataFrame) -> DataFrame:
+    """The cells of every line (left, right, text) with the line's baseline and block (-1 outside tables), the column that a
+    table's cell stands in (-1 where the line or its block is left as it is) and the number of columns of its block. Blank pieces go.
     """
-    keys = [*_KEY, "block"]
-    spans_n = spans.withColumn("n_columns", F.count("*").over(W.partitionBy(*keys)))
-    cell_keys = [*keys, "line", "cell"]
-    met = blocked.where("block >= 0").join(spans_n, keys).where(
-        (F.col("left") < F.col("col_right")) & (F.col("col_left") < F.col("right"))
-    )
-    placed = met.groupBy(*cell_keys).agg(F.min("col_no").alias("col_no"), F.first("n_columns").alias("n_columns"))
-    full = blocked.where("block >= 0").select(*cell_keys).join(placed, cell_keys, "left")
-    by_line, by_block = W.partitionBy(*keys, "line"), W.partitionBy(*keys)
-    columns = F.size(F.collect_set("col_no").over(by_line))
-    lined = full.withColumn("columns", columns).withColumn("fits", F.count("*").over(by_line) == F.col("columns"))
-    lined = lined.withColumn("n_columns", F.max("n_columns").over(by_block))
-    filled = F.when(F.col("fits") & (F.col("columns") == F.col("n_columns")), 1).otherwise(0)
-    used = lined.withColumn("some_filled", F.max(filled).over(by_block))
-    good = F.col("fits") & (F.col("n_columns") >= BLOCK_COLUMNS) & (F.col("some_filled") == 1)
-    return used.select(*cell_keys, F.when(good, F.col("col_no")).alias("col_no"), "n_columns")
+    return _dealt(pieces).applyInPandas(lambda pages: _placed(_page_cells(pages)), _CELL)
+
+
+def column_spans(cells: DataFrame) -> DataFrame:
+    """The spans of each block's columns in the cells of page_cells that stand in one."""
+    held = cells.where("col_no >= 0").groupBy(*_KEY, "block", "col_no")
+    return held.agg(F.min("left").alias("col_left"), F.max("right").alias("col_right"))
 
 
 def layout_text(pieces: DataFrame) -> DataFrame:
-    """doc_id, text: cells joined by ` | `, inner empty columns kept; pages parted by a blank line."""
-    blocked = page_cells(pieces)
-    placed = place_cells(blocked, column_spans(blocked))
-    full = blocked.join(placed, [*_KEY, "block", "line", "cell"], "left")
-    in_order = F.array_sort(
-        F.collect_list(F.struct(F.coalesce("col_no", "cell").alias("at"), "cell", "text"))
-    ).alias("c")
-    by_line = full.groupBy(*_KEY, "line").agg(in_order, F.max("col_no").isNotNull().alias("tabular"))
-    first, last = F.col("c")[0]["at"], F.element_at("c", -1)["at"]
-    cell_at = lambda k: F.get(F.filter(F.col("c"), lambda x: x["at"] == k), F.lit(0))["text"]
-    grid = F.transform(F.sequence(first, last), lambda k: F.coalesce(cell_at(k), F.lit("")))
-    spelled = F.array_join(F.when(F.col("tabular"), grid).otherwise(F.transform("c", lambda x: x["text"])), " | ")
-    joined = lambda struct, mark: F.array_join(
-        F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["t"]), mark
-    )
-    lines = by_line.select(*_KEY, "line", spelled.alias("t"))
-    paged = lines.groupBy(*_KEY).agg(joined(F.struct("line", "t"), "\n").alias("t"))
-    return paged.groupBy("doc_id").agg(joined(F.struct("page", "t"), "\n\n").alias("text"))
+    """doc_id, text: cells joined by ` | `, inner empty columns kept; pages parted by a blank line.
+
+    Two shuffles: pages to the parts that fold them to text, and their texts to the documents.
+    """
+    pages = _dealt(pieces).applyInPandas(lambda pages: _spelled(_placed(_page_cells(pages))), "doc_id string, page int, text string")
+    listed = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def needs_ocr(docs: DataFrame) -> DataFrame:

@@ -800,7 +800,7 @@ def g06_layout_text(spark, sf_dir):
   min(CAST(l_partkey AS VARCHAR)) AS a, min(l_returnflag) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber),
 n AS (SELECT o, max(r) AS m FROM l GROUP BY o),
 t AS (SELECT o, r * 2 AS place, CASE WHEN r <> 2 THEN a || ' | b | ' || c WHEN m >= 3 AND o % 4 IN (0, 3)
-  THEN a || ' |  | ' || c ELSE a || ' | ' || c END AS x FROM l JOIN n USING (o)
+  THEN a || ' | | ' || c ELSE a || ' | ' || c END AS x FROM l JOIN n USING (o)
   UNION ALL SELECT o, 5, 'a note between' FROM n WHERE o % 4 = 2)
 SELECT CAST(o AS VARCHAR) AS doc_id, string_agg(x, chr(10) ORDER BY place) AS text FROM t GROUP BY o""")
 def g05_broken_grids(spark, sf_dir):

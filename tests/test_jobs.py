@@ -137,7 +137,7 @@ def test_layout(spark):
         piece("39,00", 400, 600, 40),
     ]
     lines = shown(spark, table).split("\n")
-    assert lines[3] == "Fitting on site |  |  | 19 | 4 833,50" and lines[4] == "Amount due | 39,00" and lines[0] == "Filter | 3 | st | 19 | 900,00"
+    assert lines[3] == "Fitting on site | | | 19 | 4 833,50" and lines[4] == "Amount due | 39,00" and lines[0] == "Filter | 3 | st | 19 | 900,00"
 
 
 def test_parse_answers(spark):
