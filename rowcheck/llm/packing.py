@@ -297,7 +297,7 @@ class Encoder:
     bytes of their tokens. The first KNOWN of them are kept from call to call.
     """
 
-    RUN, KNOWN = 500, 1 << 19
+    RUN, BATCH, KNOWN = 500, 16, 1 << 19
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
@@ -315,7 +315,12 @@ class Encoder:
         self.held = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def _many(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text; what the library makes beside them is let go every BATCH texts."""
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), self.BATCH):
+            made = self.library.encode_batch_fast(texts[k : k + self.BATCH], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4") for e in made]
+        return out
 
     def _fresh(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of stretches: ids of the k-th are ids[bounds[k] : bounds[k + 1]]."""
