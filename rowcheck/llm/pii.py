@@ -1,19 +1,19 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
-Base spans come from four patterns. The method on top is information-theoretic sanitisation: a term
-t in a document of an entity e (an e-mail address, IP, card or phone number found by the patterns) discloses
-e when their pointwise mutual information reaches a share ALPHA of what there is to know about e:
+Base spans come from four patterns. The method on top is information-theoretic sanitisation: a term t in a document of an entity e
+(an e-mail address, IP, card or phone number found by the patterns) discloses e when their pointwise mutual information leaves at
+most BITS of what there is to know about e:
 
-    log2(p(t|e) N / n_t) >= ALPHA log2(N / n_e),    p(t|e) = (n_et + PRIOR n_t / N) / (n_e + PRIOR)
+    log2(N / n_e) - log2(N n_et / (n_e n_t)) = log2(n_t / n_et) <= BITS
 
-with N documents, n_e and n_t of them holding e and t, n_et holding both, all counted over the whole corpus.
-The share of t in e's documents is drawn towards its share of all documents as by PRIOR more of them: identifiers
-mostly stand in one or two documents, so there is no least count, but few documents must meet a term that is rarer. Every
-occurrence of a disclosing term in e's documents becomes a span of kind `term`; `sanitise` removes base spans and generalises terms to a placeholder.
+with N documents, n_e and n_t of them holding e and t, n_et holding both, all counted over the whole corpus. So N takes no part: with one bit
+a term gives e away if e stands in half of the term's documents, in a corpus of any size. An entity of which no more than BITS are
+unknown beforehand (n_e 2^BITS >= N) cannot be given away. Every occurrence of a disclosing term in e's documents becomes a span of kind
+`term`; `sanitise` removes base spans and generalises terms to a placeholder.
 
-Everything is DataFrame functions. Texts are kept only of documents with base spans;
-pair and document counts are plain aggregates, combined before each shuffle. As p(t|e) is at most 1, n_t <= N (n_e / N)^ALPHA
-is necessary: other terms are dropped before they are paired.
+Everything is DataFrame functions. Texts are kept only of documents with base spans; counts are plain aggregates, combined before each
+shuffle. A term of up to 2^BITS documents is given with any entity beside it, without being paired. Others need an entity in several of
+their documents; entities of the same documents are one class, so a list of addresses that stands in many documents is paired once.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: A term stands between white space or before closing punctuation.
-TERM = r"(?<!\S)\p{L}{3,}(?=[,.;:!?]*(?:\s|$))"
-ALPHA, PRIOR = 0.9, 1.0
+#: Three letters or more, with hyphens and apostrophes between letters; no part of an address or of a word with digits.
+TERM = r"(?<![\p{L}\p{N}@._%+'’-])(?=[\p{L}'’-]{3})\p{L}++(?:['’-]\p{L}++)*+(?![\p{N}@_%+-]|[.'’]\p{L})"
+BITS = 1
 _NONE = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -143,36 +143,31 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+def disclosing(docs: DataFrame, scanned: DataFrame, bits: int = BITS) -> DataFrame:
     """row, term: the terms of a row that reveal one of its entities, by counts over all documents."""
+    times = 1 << bits
     holding = scanned.where(F.size("spans") > 0)
     mentions = holding.select(
         "row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")
     )
-    held = cut(mentions.groupBy("entity").agg(F.count("*").cast("double").alias("n_e")))
-    total = float(max(scanned.count(), 1))
-    most = held.agg(F.max("n_e")).first()[0] or 1.0
-    bound = lambda n_e: total * F.pow(n_e / total, F.lit(alpha)) * (1 + 1e-9)
+    # entities that stand in the same rows cannot be told apart by what stands beside them
+    marks = (F.sum(F.xxhash64("row").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("second"), "row")))
+    sets = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), *(m.alias(f"m{k}") for k, m in enumerate(marks)))
+    unknown = cut(sets.where(F.col("n_e") * times < scanned.count()))
+    classes = cut(mentions.join(unknown, "entity").select("row", "n_e", "m0", "m1").distinct())
+    most = classes.agg(F.max("n_e")).first()[0] or 0
     terms = docs.select(
         F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")
-    ).groupBy("term").agg(F.count("*").cast("double").alias("n_t"))
-    rare = terms.where(F.col("n_t") <= bound(F.lit(most)))
-    entities = mentions.join(held.where(F.col("n_e") < total), "entity").groupBy("row").agg(
-        F.collect_list(F.struct("entity", "n_e")).alias("entities")
-    )
-    own = holding.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(rare, "term").join(entities, "row")
-    near = own.select(
-        "row", "term", "n_t", F.explode("entities").alias("e")
-    ).select("row", "term", "n_t", "e.*").where(F.col("n_t") <= bound(F.col("n_e")))
-    pairs = cut(near)
-    counted = pairs.groupBy("entity", "term").agg(
-        F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t")
-    )
-    share = (F.col("n_et") + prior * F.col("n_t") / total) / (F.col("n_e") + prior)
-    reveals = counted.where(
-        F.log2(share * total / F.col("n_t")) >= alpha * F.log2(total / F.col("n_e"))
-    ).select("entity", "term")
-    return pairs.join(reveals, ["entity", "term"]).select("row", "term").distinct()
+    ).groupBy("term").agg(F.count("*").alias("n_t"))
+    rare = terms.where(F.col("n_t") <= times * most)
+    with_some = holding.join(classes.select("row").distinct(), "row", "left_semi")
+    own = cut(with_some.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(rare, "term"))
+    at_once = own.where(F.col("n_t") <= times).select("row", "term")
+    key = ["n_e", "m0", "m1", "term"]
+    pairs = cut(own.where(F.col("n_t") > times).join(classes.where("n_e > 1"), "row").where(F.col("n_t") <= times * F.col("n_e")))
+    counted = pairs.groupBy(*key).agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t"))
+    reveals = counted.where(F.col("n_t") <= times * F.col("n_et")).select(*key)
+    return at_once.unionByName(pairs.join(reveals, key, "left_semi").select("row", "term").distinct())
 
 
 def _occurrences(holding: DataFrame) -> DataFrame:
@@ -194,7 +189,7 @@ def _occurrences(holding: DataFrame) -> DataFrame:
 
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+def find(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_sha256 (of the sanitised text) for every row.
 
     Takes doc_id and text (other columns are not read). Spans are kind:start:end in code points, end exclusive, by start
@@ -203,7 +198,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFra
     repeated results. A term is given once however many entities it discloses. An empty table gives an empty result.
     """
     scanned = cut(scan(docs))
-    given_away = cut(disclosing(docs, scanned, alpha, prior))
+    given_away = cut(disclosing(docs, scanned, bits))
     mentioned = _occurrences(scanned.where(F.size("spans") > 0)).join(given_away, ["row", "term"])
     place = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"))
     terms = mentioned.groupBy("row").agg(F.collect_set(place).alias("terms"))
@@ -260,11 +255,11 @@ def masked(text: Column, spans: Column) -> Column:
     )
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+def sanitise(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """docs (unique doc_id) with base spans and disclosing terms of text replaced by [EMAIL], [IP], [CARD], [PHONE], [TERM]."""
     # names that docs does not have, so what is joined cannot be taken for its own columns
     own, spans = fresh(docs, "found_id"), fresh(docs, "found_spans")
-    found = find(docs, alpha, prior).where("spans <> ''").select(
+    found = find(docs, bits).where("spans <> ''").select(
         F.col("doc_id").alias(own), F.col("spans").alias(spans)
     )
     joined = docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left")

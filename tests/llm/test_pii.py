@@ -75,7 +75,8 @@ def test_base_spans_equal_plain_matching(spark):
         counts, spans = brute(text)
         row = got[k]
         assert [row[f"n_{x}"] for x in KINDS] == counts, text
-        assert row["spans"] == spans
+        # what stands beside base spans may be given away in a corpus of any size
+        assert ",".join(x for x in row["spans"].split(",") if not x.startswith("term:")) == spans
         assert row["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
 
 

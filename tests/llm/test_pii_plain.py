@@ -5,7 +5,7 @@ import math
 from collections import Counter
 
 import regex
-from rowcheck.llm.pii import ALPHA, KINDS, PRIOR, find, sanitise
+from rowcheck.llm.pii import BITS, KINDS, find, sanitise
 
 SF = "/root/testdata/sf0.01"
 BASE = {
@@ -14,8 +14,7 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-BLANK = r" \t\n\x0b\f\r"
-TERM = rf"(?<![^{BLANK}])\p{{L}}{{3,}}(?=[,.;:!?]*(?:[{BLANK}]|$))"
+TERM = r"(?<![\p{L}\p{N}@._%+'’-])(?=[\p{L}'’-]{3})\p{L}++(?:['’-]\p{L}++)*+(?![\p{N}@_%+-]|[.'’]\p{L})"
 
 
 def sound(kind, value):
@@ -41,8 +40,8 @@ def plain(texts):
         n_et.update((e, w) for e in entities for w in own)
 
     def reveals(e, w):
-        share = (n_et[e, w] + PRIOR * n_t[w] / total) / (n_e[e] + PRIOR)
-        return n_e[e] < total and math.log2(share * total / n_t[w]) >= ALPHA * math.log2(total / n_e[e])
+        known = math.log2(total * n_et[e, w] / (n_e[e] * n_t[w]))
+        return math.log2(total / n_e[e]) > BITS and math.log2(total / n_e[e]) - known <= BITS + 1e-9
 
     out = []
     for spans, words in zip(base, terms, strict=True):
