@@ -144,7 +144,9 @@ c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''),
            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM d),
-listed AS (SELECT DISTINCT url FROM c WHERE whole AND regexp_matches(html, '(%%%|\*\*\*|\$\$\$|&amp;&amp;&amp;|###|@@@|~~~|\^\^\^)'))
+h AS (SELECT url, nullif(regexp_extract(coalesce(html, ''), '<h1>([^<]*)</h1>', 1), '') AS title,
+      regexp_matches(html, '(%%%|\*\*\*|\$\$\$|&amp;&amp;&amp;|###|@@@|~~~|\^\^\^)') AS shows FROM c WHERE whole),
+listed AS (SELECT DISTINCT url FROM h WHERE title IN (SELECT title FROM h WHERE shows AND title IS NOT NULL) OR (title IS NULL AND shows))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM c
 """

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowcheck.llm.common import cut
+from rowcheck.llm.common import cut, join_back
 
 #: 40 bytes a row: the broadcast filter stays under 42 MB.
 MOST_BLOCKS = 1 << 20
@@ -28,8 +28,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: A page is listed if its text holds a run of three such signs: titles and paragraphs padded with them.
+#: Spam shows by a run of three such signs: titles and paragraphs padded with them.
 SPAM = r"(%%%|\*\*\*|\$\$\$|&amp;&amp;&amp;|###|@@@|~~~|\^\^\^)"
+HEADLINE = r"<h1>([^<]*)</h1>"
 _PARTS = r"://([^/?#]*)([^?#]*)"
 
 
@@ -133,13 +134,31 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     settled = judged.where("possible__ is null").select(
         *columns, F.coalesce("by_rule__", F.lit("allow")).alias("verdict")
     )
-    possible = judged.where("possible__ is not null").join(listed, F.col("possible__") == F.col("listed"), "left")
+    possible = judged.where("possible__ is not null").select(*columns, "possible__")
+    # the exact hash join, over the distinct URLs; pages of one that very many have are spread
+    counts = possible.groupBy("possible__").agg(F.count("*").alias("n"))
+    hits = cut(counts.join(listed, F.col("possible__") == F.col("listed")).select("possible__", "n", F.lit(True).alias("hit")))
+    exact = join_back(possible, hits, "possible__", "n")
     return settled.unionByName(
-        possible.select(*columns, F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict"))
+        exact.select(*columns, F.when(F.col("hit").isNotNull(), "block").otherwise("allow").alias("verdict"))
     )
 
 
-def listed_in(pages: DataFrame, spam: str = SPAM) -> DataFrame:
-    """Canonical URLs of the pages whose html shows a run of signs; every other page of such a URL is then listed with it."""
-    shown = pages.where(F.col("html").rlike(spam) & F.col("url").contains("://"))
-    return shown.select(canonical(host(F.col("url")), path(F.col("url"))).alias("listed")).distinct()
+def listed_in(pages: DataFrame, spam: str = SPAM, headline: str = HEADLINE) -> DataFrame:
+    """Canonical URLs of the pages under whose headline some page, on whatever host, shows a run of signs.
+
+    A page's own html does not say whether it is listed: its headline was copied to or from a page that does. Pages without a headline count
+    by their own signs. A headline that very many pages share is one row before they meet it.
+    """
+    title = F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), headline, 1), F.lit(""))
+    own = pages.where(F.col("url").contains("://")).select(
+        canonical(host(F.col("url")), path(F.col("url"))).alias("listed"),
+        F.coalesce(F.xxhash64(title), F.lit(0).cast("long")).alias("title"),
+        title.isNull().alias("bare"),
+        F.coalesce(F.col("html").rlike(spam), F.lit(False)).alias("shows"),
+    )
+    own = cut(own)
+    titled = own.where(~F.col("bare"))
+    bad = titled.groupBy("title").agg(F.count("*").alias("n"), F.bool_or("shows").alias("bad")).where("bad")
+    met = join_back(titled.select("listed", "title"), cut(bad.select("title", "bad", "n")), "title", "n").where("bad")
+    return met.select("listed").unionByName(own.where("bare AND shows").select("listed")).distinct()

@@ -327,3 +327,26 @@ def test_urls(spark):
     assert judge(pages.where("false"), listed).count() == 0 and {
         r["verdict"] for r in judge(pages.where("page_id > 6 and page_id < 10"), listed.where("false")).collect()
     } == {"allow"}
+
+
+def test_listed_pages_are_copies_under_one_headline(spark):
+    """Signs on one page list the others under its headline, on any host; a page's own html does not decide; no headline: its own signs do."""
+    from rowcheck.llm.urls import listed_in
+
+    page = lambda title, more: f"<body>{'<h1>' + title + '</h1>' if title else ''}<p>{more}</p>"
+    rows = [
+        (1, "http://a.org/x", page("Win", "now ***")),
+        (2, "http://www.b.org/y/", page("Win", "plain")),
+        (3, "http://c.org/z", page("News", "plain")),
+        (4, "http://d.org/q.html", page("", "$$$")),
+        (5, "http://e.org/q", page("", "plain")),
+        (6, None, page("Win", "***")),
+        (7, "http://f.org/n", None),
+        (8, "no scheme", page("News", "###")),
+    ]
+    pages = spark.createDataFrame(rows + [rows[1]] * 30, "page_id long, url string, html string")
+    assert sorted(r["listed"] for r in listed_in(pages).collect()) == ["a.org/x", "b.org/y", "d.org/q"]
+    assert listed_in(pages.where("false")).count() == 0
+    # 2 is blocked by the join alone
+    verdicts = {r["page_id"]: r["verdict"] for r in judge(pages, listed_in(pages)).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
