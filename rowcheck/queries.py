@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -1762,22 +1764,24 @@ def a07_write_gated(spark, sf_dir):
     )
 
 
-def _first_lines(batches):
-    """A caller's extractor: one row a document, its first 12 characters, and what the call used."""
+def _digests(batches):
+    """A caller's extractor: one row a document, a digest of its whole text, and what the call used."""
     for batch in batches:
         text = batch["text"].fillna("")
         yield batch[["doc_id"]].assign(
-            row_idx=0, said=text.str.slice(0, 12), input_tokens=text.str.len().astype("int64")
+            row_idx=0,
+            said=text.map(lambda t: hashlib.sha256(t.encode()).hexdigest()),
+            input_tokens=text.str.len().astype("int64"),
         )
 
 
 @query(
-    """SELECT doc_id, 0 AS row_idx, substring(coalesce(text, ''), 1, 12) AS said, length(coalesce(text,
+    """SELECT doc_id, 0 AS row_idx, sha256(coalesce(text, '')) AS said, length(coalesce(text,
   '')) AS input_tokens FROM documents"""
 )
 def h04_extract_with(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return inference.extract_with(docs, _first_lines, "doc_id long, row_idx int, said string, input_tokens long")
+    return inference.extract_with(docs, _digests, "doc_id long, row_idx int, said string, input_tokens long")
 
 
 # --- streams ---

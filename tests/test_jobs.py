@@ -102,7 +102,9 @@ def test_write_gated(spark, tmp_path):
     out = gate.gate(S.staged_lines(spark, SF), S.LINES, S.LINE_RULES)
     sinks.write_gated(out, str(tmp_path / "g"))
     back = spark.read.parquet(str(tmp_path / "g/rows"))
-    assert back.count() == 6000 and back.where("status = 'flagged'").count() == gate.flagged_rows(out).count()
+    assert back.count() == 6000 and back.where(f"{sinks.STATUS} = 'flagged'").count() == gate.flagged_rows(out).count()
+    # the table's own column of that name stays
+    assert {r["status"] for r in back.select("status").distinct().collect()} == {"A", "N", "R", None}
     assert spark.read.parquet(str(tmp_path / "g/findings")).count() == gate.findings(out).count()
 
 
