@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -64,7 +64,14 @@ def within_budget(plan: DataFrame, budget: str) -> DataFrame:
     ).select(*plan.columns, "spent_before")
 
 
-def rate_limit(requests: DataFrame, per_minute: int, seconds: int = 60) -> DataFrame:
+def _window(seconds: int, nearest: bool) -> Column:
+    """The number of the fixed window that ts lies in. nearest: by the nearest whole second (a half goes to the even one), else by the one begun."""
+    ts = F.col("ts").cast("timestamp")
+    second = F.rint(F.unix_micros(ts) / 1_000_000) if nearest else F.unix_seconds(ts)
+    return F.floor(second / seconds)
+
+
+def rate_limit(requests: DataFrame, per_minute: int, seconds: int = 60, nearest: bool = False) -> DataFrame:
     """K3: requests (id, who, ts) with `refused`: beyond the limit of their caller's fixed window; limit 0 refuses nothing.
 
     Each task picks its first per_minute requests of a caller and window, and only those move: the last of the first per_minute of all is what
@@ -73,7 +80,7 @@ def rate_limit(requests: DataFrame, per_minute: int, seconds: int = 60) -> DataF
     """
     if per_minute == 0:
         return requests.withColumn("refused", F.lit(False))
-    window = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).alias("window__")
+    window = _window(seconds, nearest).alias("window__")
     own = requests.select("*", window, F.struct("ts", "id").alias("at__"))
     keys = ["who", "window__"]
     counts = own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > per_minute)
