@@ -95,9 +95,9 @@ def rate_limit(requests: DataFrame, per_minute: int, seconds: int = 60, nearest:
     return held.select(*requests.columns, refused)
 
 
-def rate_limit_counts(requests: DataFrame, per_minute: int, seconds: int = 60) -> DataFrame:
+def rate_limit_counts(requests: DataFrame, per_minute: int, seconds: int = 60, nearest: bool = False) -> DataFrame:
     """K3 without an order: allowed and refused per caller and window, combined before the shuffle (no hot caller)."""
-    window = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).alias("window_no")
+    window = _window(seconds, nearest).alias("window_no")
     counts = requests.groupBy("who", window).agg(F.count("*").alias("n"))
     allowed = F.col("n") if per_minute == 0 else F.least(F.col("n"), F.lit(per_minute))
     return counts.select("who", "window_no", "n", allowed.alias("allowed"), (F.col("n") - allowed).alias("refused"))
