@@ -96,8 +96,8 @@ def stream_rate_limit(stream: DataFrame, per_minute: int, seconds: int = 60, lat
 class _Limiter(StatefulProcessor):
     """Requests of a caller as they come: a count a window, which goes when the watermark passes the window's end."""
 
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: int, seconds: int, nearest: bool):
+        self.limit, self.seconds, self.nearest = limit, seconds, nearest
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -107,7 +107,9 @@ class _Limiter(StatefulProcessor):
         import pandas as pd
 
         came = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-        window = came["ts"].astype("datetime64[us]").astype("int64") // 1_000_000 // self.seconds
+        micros = came["ts"].astype("datetime64[us]").astype("int64")
+        second = (micros / 1_000_000).round().astype("int64") if self.nearest else micros // 1_000_000
+        window = second // self.seconds
         open_ = (window + 1) * self.seconds * 1000 > timerValues.getCurrentWatermarkInMs()
         came, window = came[open_], window[open_]
         refused = pd.Series(False, index=came.index)
@@ -133,9 +135,11 @@ class _Limiter(StatefulProcessor):
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_refusals(stream: DataFrame, per_minute: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+def stream_refusals(
+    stream: DataFrame, per_minute: int, seconds: int = 60, late: str = "10 minutes", nearest: bool = False
+) -> DataFrame:
     """M3: requests (id, who, ts) of a stream as they come, with window_no and `refused`: request n of its caller's window is refused if n is
-    over the limit, in the order of micro-batches and of (ts, id) inside one.
+    over the limit, in the order of micro-batches and of (ts, id) inside one. nearest: windows by the nearest whole second, else by the one begun.
 
     What is late counts in its own window until the watermark has passed that; then it is dropped and the window's state is gone, as is
     that of callers who do not come again. (Spark itself drops requests that are older than the watermark before last.) A caller's requests of a micro-batch are one group: maxFilesPerTrigger bounds it. The state
@@ -143,7 +147,7 @@ def stream_refusals(stream: DataFrame, per_minute: int, seconds: int = 60, late:
     """
     asked = stream.select(F.col("id").cast("long").alias("id"), F.col("who").cast("string").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
     return asked.withWatermark("ts", late).groupBy("who").transformWithStateInPandas(
-        statefulProcessor=_Limiter(per_minute, seconds),
+        statefulProcessor=_Limiter(per_minute, seconds, nearest),
         outputStructType="id long, who string, ts timestamp, window_no long, refused boolean",
         outputMode="append",
         timeMode="eventTime",
