@@ -191,7 +191,8 @@ def exact_spelling(number: Column) -> Column:
     """
     text = F.regexp_replace(F.regexp_replace(number, r"^([+-]?)0*(?=[0-9])", "$1"), r"^([+-]?)\.", "$10.")
     plain = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"\.$", "")
-    return F.when(plain.rlike("[eE]"), trimmed(number.try_cast("decimal(38,10)"))).otherwise(plain)
+    usual = number.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z")
+    return F.when(usual, number).when(plain.rlike("[eE]"), trimmed(number.try_cast("decimal(38,10)"))).otherwise(plain)
 
 
 def trimmed(c: Column) -> Column:
@@ -222,30 +223,30 @@ def _month(c: Column) -> Column:
     return F.try_element_at(known, F.lower(c))
 
 
+_NAMED = rf"^(?:[0-9]{{1,2}}{_WHITE}+[A-Za-z]+\.?,?|[A-Za-z]+\.?{_WHITE}+[0-9]{{1,2}},?){_WHITE}+[0-9]{{4}}\z"
+
+
 def _named(c: Column) -> Column:
     """ISO text of a date with an English month name, else NULL: three words, day and month in either order, then the year.
 
     The month may be followed by a full stop, the word before the year by a comma.
     """
-    word = lambda k: F.get(F.split(c, _WHITE + "+"), k)
-    bare = lambda x, mark: F.when(x.endswith(mark), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
-    no_comma = bare(word(1), ",")
-
-    def iso(day: Column, month: Column) -> Column:
-        number = _month(bare(month, "."))
-        made = F.concat(word(2), F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-        return F.when(day.rlike(r"^[0-9]{1,2}\z") & number.isNotNull(), made)
-
-    three = (F.size(F.split(c, _WHITE + "+")) == 3) & word(2).rlike(r"^[0-9]{4}\z")
-    return F.when(three, F.coalesce(iso(word(0), no_comma), iso(no_comma, word(0))))
+    # one look at the whole text settles its shape; in that shape there is one word of letters and one number of less than four digits
+    month = _month(F.regexp_extract(c, "[A-Za-z]+", 0)).cast("string")
+    day = F.regexp_extract(c, r"(?<![0-9])[0-9]{1,2}(?![0-9])", 0)
+    made = F.concat(F.substring(c, -4, 4), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when(c.rlike(_NAMED), made)
 
 
 def to_date_strict(c: Column) -> Column:
     """ISO (with or without hyphens) or an English month name; digits-only regional dates are NULL."""
     text = strip(c)
-    plain = text.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})\z")
-    digits = F.regexp_replace(F.translate(text, "-", ""), r"^(....)(..)(..)$", "$1-$2-$3")
-    spelled = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), text).when(plain, digits).otherwise(_named(text))
+    part = lambda at, n: F.substring(text, at, n)
+    digits = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
+    # an ISO date needs no stripping
+    spelled = F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), c).when(
+        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), text
+    ).when(text.rlike(r"^[0-9]{8}\z"), digits).otherwise(_named(text))
     return spelled.try_cast("date")
 
 
