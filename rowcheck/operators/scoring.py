@@ -167,15 +167,17 @@ def same_value(a: Column, b: Column, data_type: str) -> Column:
 
 def widen_flags(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """doc_id, row_idx, column: an arithmetic finding flags every column of the rules whose target it names."""
-    pairs = [(r.target, c) for r in rules if isinstance(r, Arithmetic) for c in r.columns]
-    own = found.where("column is not null").select("doc_id", "row_idx", "column")
-    if not pairs:
-        return own.distinct()
-    touched = found.sparkSession.createDataFrame(sorted(set(pairs)), "column string, other string")
-    more = found.where("rule = 'arithmetic'").join(F.broadcast(touched), "column").select(
-        "doc_id", "row_idx", F.col("other").alias("column")
-    )
-    return own.unionByName(more).distinct()
+    columns: dict[str, set[str]] = {}
+    for rule in rules:
+        if isinstance(rule, Arithmetic):
+            columns.setdefault(rule.target, set()).update(rule.columns)
+    flagged = F.array("column")
+    for target, touched in columns.items():
+        wide = F.array(*map(F.lit, sorted({target, *touched})))
+        flagged = F.when((F.col("rule") == "arithmetic") & (F.col("column") == target), wide).otherwise(flagged)
+    # one pass: found is what the whole gate gives
+    own = found.where("column is not null").select("doc_id", "row_idx", F.explode(flagged).alias("column"))
+    return own.distinct()
 
 
 #: A key that very many rows share is dealt to so many tasks before its first row is picked.

@@ -6,7 +6,7 @@ import re
 
 from rowcheck import staging as S
 from rowcheck.functions import text as X
-from rowcheck.operators import gate
+from rowcheck.operators import gate, scoring
 
 #: The JVM never compiles a method of more bytes.
 LONGEST = 8000
@@ -39,3 +39,19 @@ def test_named_dates(spark):
     df = spark.createDataFrame(list(cases.items()), "said string, want string")
     got = {r["said"]: r["d"] for r in df.select("said", X.to_date_strict(df["said"]).cast("string").alias("d")).collect()}
     assert got == cases
+
+
+def test_flags_widen_in_one_pass(spark, tmp_path):
+    """The findings, and so the gate below them, are read once."""
+    found = spark.createDataFrame(
+        [("d", 1, "line_total", "arithmetic"), ("d", 2, "ref", "length"), ("d", 3, None, "empty"), ("d", 4, "ref", "arithmetic")],
+        "doc_id string, row_idx long, column string, rule string",
+    )
+    found.write.parquet(f"{tmp_path}/found")
+    wide = scoring.widen_flags(spark.read.parquet(f"{tmp_path}/found"), S.LINE_RULES)
+    got = sorted((r["row_idx"], r["column"]) for r in wide.collect())
+    assert got == [(1, "line_total"), (1, "quantity"), (1, "unit_price"), (2, "ref"), (4, "ref")]
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        wide.explain()
+    assert said.getvalue().split("Initial Plan")[0].count("FileScan") == 1
