@@ -36,11 +36,14 @@ def _started(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def landing_files(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
-    """A stream of the files that arrive under `path`, whole: path, content. most: files of a micro-batch."""
+def landing_files(spark: SparkSession, path: str, most: int = 1000, most_bytes: int | None = None) -> DataFrame:
+    """A stream of the files that arrive under `path`, whole: path, content. most: files of a micro-batch; most_bytes: their bytes instead, so
+    that the number of micro-batches follows the bytes that land and not the number of small files.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     source = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
-    return source.option("maxFilesPerTrigger", most).load(path).select("path", "content")
+    bound = ("maxFilesPerTrigger", most) if most_bytes is None else ("maxBytesPerTrigger", most_bytes)
+    return source.option(*bound).load(path).select("path", "content")
 
 
 def stream_intake(

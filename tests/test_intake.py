@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from rowcheck.operators.intake import take_in
+from rowcheck.queries import QUERIES
 from rowcheck.plans.spec import shaped
 from rowcheck.sources import files, sinks
 from rowcheck.staging import ORDERS, read_statements
@@ -117,3 +118,23 @@ def test_blank_headings():
     for text in ("a;;\n1;2;3\n", "a; ;b;\t\n1;2;3\n"):
         with pytest.raises(ValueError, match="more than one"):
             files.parse_delimited(text)
+
+
+def test_micro_batches_follow_bytes(spark, monkeypatch):
+    """23 files of a few KB are one micro-batch of the query, not three: small files do not make batches."""
+    calls, commit = [], sinks.commit
+    monkeypatch.setattr(sinks, "commit", lambda session, path, key, replace=False: (calls.append(key), commit(session, path, key, replace)))
+    log = QUERIES["m01_stream_intake"](spark, "/root/testdata/sf0.001")
+    assert log.count() == 23 and len(calls) == 1
+
+
+def test_rows_come_some_at_a_time(monkeypatch):
+    """What a file gives is handed on in pieces; a file that is malformed at its end gives its error alone."""
+    monkeypatch.setattr(files, "HANDED_ON", 2)
+    text = 'a;b\r\n1;"x\r\ny"\r2;z\n\n3;\n4;4;;\n5;5'
+    pieces = list(files._parsed("f", text.encode(), None))
+    assert [len(p) for p in pieces] == [2, 2, 2, 1]
+    assert [(r[4], r[5]) for p in pieces[1:] for r in p] == [
+        (0, ["1", "x\r\ny"]), (1, ["2", "z"]), (2, ["3", ""]), (3, ["4", "4"]), (4, ["5", "5"])
+    ]
+    assert [len(p) for p in files._parsed("f", f"{text};6".encode(), None)] == [1]
