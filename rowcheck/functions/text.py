@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +123,18 @@ def _bound(c: Column, use) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def apart(columns: Mapping[str, Column]) -> dict[str, Column]:
+    """columns, the first of them by way of an array function, which keeps their projection out of the whole stage.
+
+    In a whole stage all steps of all cells become one method; beyond 8,000 bytes the JVM never compiles it and runs it many times slower.
+    A projection of its own is cut into short methods.
+    """
+    out = dict(columns)
+    for name in list(out)[:1]:
+        out[name] = F.get(F.transform(F.array(out[name]), lambda x: x), F.lit(0))
+    return out
+
+
 def strip_number(c: Column) -> Column:
     """D3: struct (body, negative)."""
     parts = lambda text: F.struct(number_body(text).alias("body"), number_negative(text).alias("negative"))

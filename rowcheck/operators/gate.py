@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from rowcheck.functions import text as X
 from rowcheck.plans.spec import FLOATS, INTEGERS, JSONS, Arithmetic, Field, Rule, TableSpec, ValueRule
+from rowcheck.sources.shared import written
 
 FINDING = "struct<column:string,rule:string,detail:string,value:string>"
 #: A reject list longer than this is joined instead of written into the plan.
 LONGEST_LIST = 1000
 #: A joined reject list of up to this many bytes goes to every task; a longer one is shuffled to.
 BROADCAST_BYTES = 8 << 20
+#: Number conventions of up to this many documents go to every task; those of more are shuffled to.
+BROADCAST_DOCUMENTS = 100_000
 #: What coercion found in a cell, as code__<column>.
 LACKING, UNCLEAR, WRONG_TYPE, NO_LABEL = 1, 2, 3, 4
 
@@ -41,18 +44,6 @@ def _held(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def _apart(columns: Mapping[str, Column]) -> dict[str, Column]:
-    """columns, the first of them by way of an array function, which keeps their projection out of the whole stage.
-
-    In a whole stage all steps of all cells become one method; beyond 8,000 bytes the JVM never compiles it and runs it many times slower.
-    A projection of its own is cut into short methods.
-    """
-    out = dict(columns)
-    for name in list(out)[:1]:
-        out[name] = F.get(F.transform(F.array(out[name]), lambda x: x), F.lit(0))
-    return out
-
-
 def number_conventions(staged: DataFrame, spec: TableSpec, columns: Sequence[Field] | None = None) -> DataFrame:
     """Per document and scalar numeric column the proven decimal separator, else NULL. Only text cells give evidence.
 
@@ -68,7 +59,7 @@ def number_conventions(staged: DataFrame, spec: TableSpec, columns: Sequence[Fie
     cell = lambda c: F.col(f"`{c.name}`")
     marked = lambda c: F.when(cell(c).contains(".") | cell(c).contains(","), X.number_core(cell(c)))
     step = lambda df, of: df.select(
-        "doc_id", *(made.alias(name) for name, made in _apart({c.name: of(cell(c)) for c in numbers}).items())
+        "doc_id", *(made.alias(name) for name, made in X.apart({c.name: of(cell(c)) for c in numbers}).items())
     )
     cells = staged.select("doc_id", *(marked(c).alias(c.name) for c in numbers))
     cells = step(step(cells, X.number_signed), lambda text: X.decimal_evidence(X.number_body(text)))
@@ -184,6 +175,15 @@ def _cell_finding(c: Field) -> Column:
     )
 
 
+def _few(points: DataFrame) -> DataFrame:
+    """Number conventions (doc_id, point__<column>) ready to be joined: worked out at once and, if not too many documents have any, sent to every
+    task, so that rows are not moved to their documents, of which there may be few and large ones.
+    """
+    some = reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNotNull() for c in points.columns[1:]))
+    known = written(points.where(some))
+    return F.broadcast(known) if known.count() <= BROADCAST_DOCUMENTS else known
+
+
 def _cells(
     staged: DataFrame, spec: TableSpec, conventions: DataFrame | None, infer: bool, keep: Mapping[str, Column]
 ) -> DataFrame:
@@ -195,24 +195,24 @@ def _cells(
         conventions = number_conventions(staged, spec, unsettled)
     held = set(staged.columns)
     cell = lambda c: F.col(f"`{c.name}`").cast("string") if c.name in held else F.lit(None).cast("string")
-    raws = _apart({f"raw__{c.name}": X.null_words(cell(c), c.labels) for c in columns})
+    raws = X.apart({f"raw__{c.name}": X.null_words(cell(c), c.labels) for c in columns})
     raws = [c.alias(name) for name, c in raws.items()]
     cells = staged.select("doc_id", "row_idx", *(c.alias(name) for name, c in keep.items()), *raws)
     proven = [] if conventions is None else [c for c in unsettled if c.name in conventions.columns]
     if proven:
         points = conventions.select("doc_id", *(F.col(f"`{c.name}`").alias(f"point__{c.name}") for c in proven))
-        cells = cells.join(points, "doc_id", "left")
+        cells = cells.join(_few(points), "doc_id", "left")
     if numbers:
         point = lambda c: _point(c) if c in proven else None
-        cells = cells.withColumns(_apart({f"core__{c.name}": X.number_core(_raw(c)) for c in numbers}))
-        cells = cells.withColumns(_apart({f"text__{c.name}": X.number_signed(_core(c)) for c in numbers}))
+        cells = cells.withColumns(X.apart({f"core__{c.name}": X.number_core(_raw(c)) for c in numbers}))
+        cells = cells.withColumns(X.apart({f"text__{c.name}": X.number_signed(_core(c)) for c in numbers}))
         cells = cells.withColumns({f"body__{c.name}": X.number_body(_text(c)) for c in numbers})
         cells = cells.withColumns(
-            _apart({f"plain__{c.name}": X.normalise_number(_body(c), c.scale, point(c)) for c in numbers})
+            X.apart({f"plain__{c.name}": X.normalise_number(_body(c), c.scale, point(c)) for c in numbers})
         )
     number = lambda c: _number(c) if c.is_number else None
-    cells = cells.withColumns(_apart({f"value__{c.name}": _converted(c, _raw(c), number(c)) for c in columns}))
-    return cells.withColumns(_apart({f"code__{c.name}": _code_of(c) for c in columns}))
+    cells = cells.withColumns(X.apart({f"value__{c.name}": _converted(c, _raw(c), number(c)) for c in columns}))
+    return cells.withColumns(X.apart({f"code__{c.name}": _code_of(c) for c in columns}))
 
 
 def _listed(cases: Sequence[tuple[Column, Column]]) -> Column:
@@ -232,7 +232,7 @@ def _outcome(
     whole = lambda c: F.when(
         ~F.exists(_value(c), lambda x: x.isNull()), _value(c)
     ) if c.element is not None else _value(c)
-    exact = [made.alias(name) for name, made in _apart({c.name: _spelled(c) for c in columns if c.is_exact}).items()]
+    exact = [made.alias(name) for name, made in X.apart({c.name: _spelled(c) for c in columns if c.is_exact}).items()]
     return cells.select(
         "doc_id",
         "row_idx",
@@ -387,7 +387,7 @@ def gate(
     """Every staged row, typed, with all its findings."""
     cells, cases = _rule_cases(_cells(staged, spec, conventions, infer, {}), spec, rules)
     hits = {f"hit{k}__": hit for k, (hit, _) in enumerate(cases)}
-    cells = cells.withColumns(_apart(hits)) if hits else cells
+    cells = cells.withColumns(X.apart(hits)) if hits else cells
     return _outcome(cells, spec, [], [(F.col(f"hit{k}__"), said) for k, (_, said) in enumerate(cases)], False)
 
 

@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowcheck.functions.text import render_date, render_number
+from rowcheck.functions.text import apart, render_date, render_number
 from rowcheck.plans.spec import Field, TableSpec, multiplies_to, shaped, within
 
 LOCALES = ("plain", "point", "comma", "space")
@@ -94,25 +94,26 @@ def staged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda name: F.col("weight").cast("string") if name == "plain" else render_number(F.col("weight"), 0, name),
     )
     halves = by_locale(F.col("doc"), lambda name: render_number(F.col("weight").cast("decimal(18,1)"), 1, name))
-    return f.select(
-        F.format_string("f%03d", "doc").alias("doc_id"),
-        "row_idx",
-        F.col("order_no").cast("string").alias("order_no"),
-        F.concat(
+    said = {
+        "doc_id": F.format_string("f%03d", "doc"),
+        "row_idx": F.col("row_idx"),
+        "order_no": F.col("order_no").cast("string"),
+        "ref": F.concat(
             F.lit("L-"), F.lpad(F.col("order_no").cast("string"), 8, "0"), F.when(p == 5, "-CORRECTED").otherwise("")
-        ).alias("ref"),
-        F.when(p == 2, "abc").otherwise(
+        ),
+        "quantity": F.when(p == 2, "abc").otherwise(
             F.concat(F.col("quantity").cast("string"), F.when(F.col("row_idx") % 2 == 0, " st").otherwise(""))
-        ).alias("quantity"),
-        F.concat(F.when(F.col("doc") % 4 == 2, "USD ").otherwise(""), money(F.col("price"))).alias("unit_price"),
-        F.when(p == 1, "n/a").otherwise(money(total)).alias("line_total"),
-        F.when(F.col("row_idx") % 3 == 0, halves).otherwise(whole).alias("weight"),
-        F.when(p == 3, "X").otherwise(F.col("status")).alias("status"),
-        F.when(p == 4, "05/01/2026").otherwise(
+        ),
+        "unit_price": F.concat(F.when(F.col("doc") % 4 == 2, "USD ").otherwise(""), money(F.col("price"))),
+        "line_total": F.when(p == 1, "n/a").otherwise(money(total)),
+        "weight": F.when(F.col("row_idx") % 3 == 0, halves).otherwise(whole),
+        "status": F.when(p == 3, "X").otherwise(F.col("status")),
+        "shipped": F.when(p == 4, "05/01/2026").otherwise(
             by_locale(F.col("doc"), lambda name: render_date(F.col("shipped"), name))
-        ).alias("shipped"),
-        F.when(F.col("paid"), "Yes").otherwise("n").alias("paid"),
-    )
+        ),
+        "paid": F.when(F.col("paid"), "Yes").otherwise("n"),
+    }
+    return f.select(*(made.alias(name) for name, made in apart(said).items()))
 
 
 STATEMENT = TableSpec(

@@ -4,6 +4,7 @@ import contextlib
 import io
 import re
 
+import pytest
 from rowcheck import staging as S
 from rowcheck.functions import text as X
 from rowcheck.operators import gate, scoring
@@ -55,3 +56,33 @@ def test_flags_widen_in_one_pass(spark, tmp_path):
     with contextlib.redirect_stdout(said):
         wide.explain()
     assert said.getvalue().split("Initial Plan")[0].count("FileScan") == 1
+
+
+def test_methods_of_the_staging(spark):
+    """Rendering the lines, which every query of the gate begins with."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said):
+            S.staged_lines(spark, "/root/testdata/sf0.001").explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said.getvalue())]
+        assert sizes and max(sizes) <= LONGEST, sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_rows_are_not_moved_to_their_documents(spark, tmp_path, monkeypatch, most):
+    """A document's number convention comes to its rows, wherever they lie; with too many documents it is joined, with the same result."""
+    monkeypatch.setattr(gate, "BROADCAST_DOCUMENTS", most)
+    rows = [("a", 0, "1.5"), ("a", 1, "1,250"), ("b", 0, "1,5"), ("b", 1, "1.250"), ("c", 0, "1.250"), (None, 0, "1,250"), (None, 1, "7")]
+    spark.createDataFrame(rows, "doc_id string, row_idx long, weight string").write.parquet(f"{tmp_path}/staged")
+    gated = gate.gate(spark.read.parquet(f"{tmp_path}/staged"), S.LINES)
+    found = {(r["doc_id"], r["row_idx"]): None if r["w"] is None else float(r["w"]) for r in gated.selectExpr("doc_id", "row_idx", "weight as w").collect()}
+    assert found == {("a", 0): 1.5, ("a", 1): 1250, ("b", 0): 1.5, ("b", 1): 1250, ("c", 0): None, (None, 0): None, (None, 1): 7}
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        gated.explain()
+    if most > 1:
+        assert "Exchange hashpartitioning" not in said.getvalue() and "BroadcastHashJoin" in said.getvalue()
