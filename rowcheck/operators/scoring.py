@@ -126,6 +126,13 @@ def _first_of_key(df: DataFrame) -> DataFrame:
     return df.where("key is not null").withColumn("n", n).where("n = 1").drop("n")
 
 
+def _numbered(df: DataFrame, by: str) -> DataFrame:
+    """df with alone__ and nth__: the row's place among those of its key; rows without a key are dealt by what they are."""
+    alone = F.when(F.col("key").isNull(), F.xxhash64("doc_id", by)).otherwise(F.lit(0).cast("long"))
+    place = F.row_number().over(W.partitionBy("doc_id", "key", "alone__").orderBy(by))
+    return df.withColumn("alone__", alone).withColumn("nth__", place)
+
+
 def pair_rows(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """Expected and returned (doc_id, row_idx, key): every expected row with the first returned row of its key, each used once.
 
@@ -252,34 +259,39 @@ def cell_outcomes(
     expected: doc_id, row_idx, key, columns; stored: doc_id, row_idx, key, columns, refusal; flags: doc_id, row_idx, column;
     reported: doc_id of documents that said themselves that rows are missing.
     """
-    pairs = pair_rows(expected, stored)
     flagged = flags.groupBy("doc_id", F.col("row_idx").alias("r_idx")).agg(F.collect_set("column").alias("flagged"))
-    e = expected.select("doc_id", F.col("row_idx").alias("e_idx"), _wide(expected, columns, "e"))
-    s = stored.select(
+    e = _numbered(expected.select("doc_id", F.col("row_idx").alias("e_idx"), "key", _wide(expected, columns, "e")), "e_idx")
+    s = stored.where("key is not null").select(
         "doc_id",
         F.col("row_idx").alias("r_idx"),
+        "key",
         _wide(stored, columns, "s"),
         F.col("refusal").isNotNull().alias("refused"),
     )
+    s = _numbered(s, "r_idx").where("nth__ = 1").drop("nth__")
+    s = s.select(*(F.col(c).alias(f"{c}__got") if c in ("doc_id", "key", "alone__") else F.col(c) for c in s.columns))
+    # both windows and the join share one partitioning; the second row of a key meets nothing
+    same_key = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{c}__got") for c in ("doc_id", "key", "alone__")))
+    pairs = e.join(s, same_key & (F.col("nth__") == 1), "left").select("doc_id", "e_idx", "e", "r_idx", "s", "refused")
     said = reported.select("doc_id").distinct().withColumn("said", F.lit(True))
-    full = e.join(pairs, ["doc_id", "e_idx"]).join(s, ["doc_id", "r_idx"], "left").join(
-        flagged, ["doc_id", "r_idx"], "left"
-    ).join(said, "doc_id", "left")
+    full = pairs.join(flagged, ["doc_id", "r_idx"], "left").join(said, "doc_id", "left")
+    same = {f"same__{k}": same_value(F.col(f"s.`{c}`"), F.col(f"e.`{c}`"), spec.column(c).kind) for k, c in enumerate(columns)}
+    full = full.withColumns(X.apart(same))
 
-    def outcome(column: str, data_type: str) -> Column:
+    def outcome(k: int, column: str) -> Column:
         own = F.coalesce(F.array_contains("flagged", column), F.lit(False))
         wanted, got = F.col(f"e.`{column}`"), F.col(f"s.`{column}`")
         return (
             F.when(F.col("r_idx").isNull(), F.when(F.col("said"), "held").otherwise("missing")).when(
                 F.col("refused"), F.when(own, "flagged").when(F.size("flagged") > 0, "held").otherwise("rejected")
             ).when(
-                same_value(got, wanted, data_type), "correct"
+                F.col(f"same__{k}"), "correct"
             ).when(own, "flagged").when(got.isNull(), "left_blank").when(
                 wanted.isNull(), "invented"
             ).otherwise("wrong_silent")
         )
 
-    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), F.col(f"e.`{c}`").alias("wanted"), F.col(f"s.`{c}`").alias("stored"), outcome(c, spec.column(c).kind).alias("outcome")) for k, c in enumerate(columns)))
+    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"), F.col(f"e.`{c}`").alias("wanted"), F.col(f"s.`{c}`").alias("stored"), outcome(k, c).alias("outcome")) for k, c in enumerate(columns)))
     return full.select(
         "doc_id", "e_idx", "r_idx", F.explode(cells).alias("c")
     ).select("doc_id", "e_idx", "r_idx", "c.*")

@@ -8,6 +8,7 @@ import pytest
 from rowcheck import staging as S
 from rowcheck.functions import text as X
 from rowcheck.operators import gate, scoring
+from rowcheck.queries import QUERIES
 
 #: The JVM never compiles a method of more bytes.
 LONGEST = 8000
@@ -86,3 +87,37 @@ def test_rows_are_not_moved_to_their_documents(spark, tmp_path, monkeypatch, mos
         gated.explain()
     if most > 1:
         assert "Exchange hashpartitioning" not in said.getvalue() and "BroadcastHashJoin" in said.getvalue()
+
+
+def test_methods_of_the_scoring(spark):
+    """Cells of paired rows: what is compared by value is worked out in short methods, and pairs carry their rows, so no join looks them up."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said):
+            outcomes = QUERIES["j10_cell_outcomes"](spark, "/root/testdata/sf0.001")
+            outcomes.explain("codegen")
+            outcomes.explain()
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said.getvalue())]
+        assert sizes and max(sizes) <= LONGEST, sizes
+        # expected once; stored, its two kinds of flags and what was reported: one each
+        assert said.getvalue().split("== Physical Plan ==")[-1].count("FileScan") <= 5
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_pairs_of_odd_rows(spark):
+    """Rows without a key, second rows of a key and rows that nobody returned: an outcome a cell each."""
+    expected = [("d", 0, "a", "1.0"), ("d", 1, "a", "1"), ("d", 2, None, "1"), ("d", 3, None, "1"), ("d", 4, "b", "2"), ("e", 0, "b", "2")]
+    stored = [("d", 7, "a", "1", None), ("d", 8, "a", "9", None), ("d", 9, None, "1", None), ("d", 5, "b", "3", "check")]
+    flags = spark.createDataFrame([("d", 5, "weight"), ("d", 8, "weight")], "doc_id string, row_idx long, column string")
+    got = scoring.cell_outcomes(
+        spark.createDataFrame(expected, "doc_id string, row_idx long, key string, weight string"),
+        spark.createDataFrame(stored, "doc_id string, row_idx long, key string, weight string, refusal string"),
+        flags, spark.createDataFrame([("e",)], "doc_id string"), S.LINES, ["weight"],
+    )
+    assert sorted((r["doc_id"], r["e_idx"], r["r_idx"], r["outcome"]) for r in got.collect()) == [
+        ("d", 0, 7, "correct"), ("d", 1, None, "missing"), ("d", 2, None, "missing"), ("d", 3, None, "missing"), ("d", 4, 5, "flagged"),
+        ("e", 0, None, "held"),
+    ]
