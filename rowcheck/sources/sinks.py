@@ -33,6 +33,12 @@ def put(df: DataFrame, path: str, name: str, batch: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """What is no longer needed goes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def commit(spark: SparkSession, path: str, batch: str, replace: bool = False) -> None:
     """From now on the batch counts, in all tables at once. replace: and no other does."""
     one = spark.range(1).select(F.lit(batch).alias("batch"))

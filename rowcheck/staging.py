@@ -261,7 +261,9 @@ def land_orders(spark: SparkSession, sf_dir: str, folder: str) -> None:
         F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("file"),
         F.concat_ws(" ", F.lit("line"), "invoice_number", "status", "total").alias("value"),
     )
-    some.unionByName(paid).repartition("file").sortWithinPartitions("file", "value").write.partitionBy("file").mode("append").text(folder)
+    # many small files: making them costs far more than their bytes, so a number of tasks that does not follow those
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    some.unionByName(paid).repartition(tasks, "file").sortWithinPartitions("file", "value").write.partitionBy("file").mode("append").text(folder)
 
 
 def read_statements(docs: DataFrame) -> tuple[DataFrame, DataFrame, None]:

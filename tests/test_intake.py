@@ -1,5 +1,11 @@
 """From files to findings: one call over a batch, and the same by a stream that is killed and started again."""
 
+import gzip
+import io
+import random
+import zipfile
+
+import pyarrow as pa
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -138,3 +144,85 @@ def test_rows_come_some_at_a_time(monkeypatch):
         (0, ["1", "x\r\ny"]), (1, ["2", "z"]), (2, ["3", ""]), (3, ["4", "4"]), (4, ["5", "5"])
     ]
     assert [len(p) for p in files._parsed("f", f"{text};6".encode(), None)] == [1]
+
+
+def test_no_row_of_a_landing_holds_a_large_file(spark, tmp_path):
+    """A file of 6 MB lands in pieces that are its bytes; no row holds more than about a MB of it. Small files come whole."""
+    (tmp_path / "in").mkdir()
+    raw = b"Invoice Number;Status;Total\r\n" + b"".join(b"INV-%09d;F;1.50\n" % k for k in range(300_000)) + b"INV-300000;P;2"
+    (tmp_path / "in" / "large +%41 [x].csv").write_bytes(raw)
+    (tmp_path / "in" / "small.csv").write_bytes(b"\xef\xbb\xbf")
+    seen = []
+    stream = streams.landing_files(spark, str(tmp_path / "in"))
+    once = stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c"))
+    once.trigger(availableNow=True).start().awaitTermination()
+    assert len(raw) > files.LARGE and max(len(r.content) for r in seen) < 2 * files.PIECE
+    paths = {r.path for r in spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path").collect()}
+    assert {r.path for r in seen} == paths
+    pieces = sorted((r for r in seen if r.begin is not None), key=lambda r: (r.begin, r.seq))
+    assert len({(r.begin, r.seq) for r in pieces}) == len(pieces) and {r.length for r in pieces} == {len(raw)}
+    assert b"".join(bytes(r.content) for r in pieces) == raw + b"\n"
+    assert [bytes(r.content) for r in seen if r.begin is None] == [b"\xef\xbb\xbf"]
+
+
+def test_files_in_pieces_give_the_batch(spark, folder, monkeypatch):
+    """Whatever does not fit a few bytes comes in pieces: the tables are those of files that come whole. Packed files stay packed."""
+    place = folder / "in"
+    (place / "some +%41 [x].csv").write_bytes(b'\xef\xbb\xbfInvoice Number;Status;Total\r\n"INV-000007";"O";"x ""2""\n"\rINV-000008;P;3')
+    (place / "latin.csv").write_bytes(b"Invoice Number;Status;Total\nINV-000009;\xe4;3\n\x81;F;4\n")
+    (place / "wide.txt").write_bytes("Invoice Number;Status\nINV-000010;F\n".encode("utf-16"))
+    (place / "cut.txt").write_bytes("Invoice Number;Status\nINV-000010;F\n".encode("utf-16")[:-1])
+    (place / "packed.csv.gz").write_bytes(gzip.compress(b"Invoice Number;Status\nINV-000011;P\n"))
+    want, out = batch(spark, folder), str(folder / "out")
+    monkeypatch.setattr(files, "LARGE", 16)
+    landed = streams.landing_files(spark, str(place))
+    streams.stream_intake(landed, ORDERS, RULES, out, str(folder / "checkpoint"), extractor=read_statements).awaitTermination()
+    assert tables(*(sinks.committed(spark, out, t) for t in ("rows", "findings", "log"))) == want
+    assert not any((folder / "out" / "parsed").iterdir())
+
+
+def pieces_of(raw, rng):
+    """A file as Spark's text reader gives its lines, from two splits."""
+    lines = raw.removeprefix(b"\xef\xbb\xbf").removesuffix(b"\n").split(b"\n")
+    cut = rng.randrange(len(lines) + 1)
+    for begin, some in ((0, lines[:cut]), (9, lines[cut:])):
+        if some:
+            numbers = [pa.array([x] * len(some), pa.int64()) for x in (len(raw), begin)]
+            columns = [pa.array(["f"] * len(some)), *numbers, pa.array(some, pa.binary())]
+            yield from files._by_bytes(iter([pa.RecordBatch.from_arrays(columns, names=["path", "length", "begin", "content"])]))
+
+
+def test_a_file_in_pieces_is_parsed_as_a_whole_one(monkeypatch):
+    """Bytes, records and errors of files of all charsets, with marks, cut characters, quotes and line ends of every kind."""
+    rng = random.Random(4)
+    marks = [(b"", "utf-8"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\x00\x00\xfe\xff", "utf-32-be")]
+    for _ in range(1500):
+        monkeypatch.setattr(files, "PIECE", rng.choice((1, 3, 7, 1 << 20)))
+        mark, charset = rng.choice(marks)
+        raw = "".join(rng.choice('ab;;1 "ä\u2028\t\n\r') for _ in range(rng.randrange(1, 50))).encode(charset)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(raw))
+            raw = raw[:at] + rng.choice((b"", b"\xff", b"\x81", b"\x85", b"\r\n", b"\x00")) + raw[at + rng.randrange(2) :]
+        if not raw:
+            continue
+        raw = mark + raw
+        ((path, file),) = [(path, io.BytesIO(file.read())) for path, file in files._files(pieces_of(raw, rng))]
+        assert path == "f" and file.getvalue() == raw
+        want, got = ([r for some in parsed for r in some] for parsed in (files._parsed("f", raw, None), files._parsed_file("f", file)))
+        assert got == want, raw
+
+
+def test_kinds_of_single_files(spark):
+    """kind_of says what classify_files says."""
+    zipped = []
+    for name, held in (("xl/a.xml", b""), ("mimetype", files.ODS), ("other", b"")):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr(name, held)
+        zipped.append(buffer.getvalue())
+    raws = [*zipped, *LANDED.values(), *files.IMAGES, files.OLE2, b"RIFF1234WEBP", b"RIFF1234WAVE", b"PK\x03\x04", b"", b"a" * 1023 + b"%PDF-",
+            b" " * 1019 + b"%PDF-", b"a" * 8192 + b"\x00", b"a" * 8191 + b"\x00", b"\xff\xfea\x00", b"\x00\x00\xfe\xff\x00", b"\xe4"]
+    landed = spark.createDataFrame([(str(k), raw) for k, raw in enumerate(raws)], "path string, content binary")
+    got = {int(r.path): r.kind for r in files.classify_files(landed).collect()}
+    assert got == {k: files.kind_of(io.BytesIO(raw)) for k, raw in enumerate(raws)}
+    assert set(got.values()) == {"pdf", "spreadsheet", "image", "text", "unsupported"}
