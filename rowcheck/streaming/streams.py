@@ -94,7 +94,8 @@ def stream_intake(
         place = f"{out}/parsed/batch={key}"
 
         def parsed(records: DataFrame) -> DataFrame:
-            records.write.mode("overwrite").parquet(place)
+            # a reader holds a column of a row group, and most of a record is in one column
+            records.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(place)
             return records.sparkSession.read.schema(records.schema).parquet(place)
 
         taken = take_in(df, spec, rules, aliases, extractor, lambda rows: sinks.put_rows(rows, out, key), parsed)

@@ -147,7 +147,7 @@ def test_rows_come_some_at_a_time(monkeypatch):
 
 
 def test_no_row_of_a_landing_holds_a_large_file(spark, tmp_path):
-    """A file of 6 MB lands in pieces that are its bytes; no row holds more than about a MB of it. Small files come whole."""
+    """A file of 6 MB lands in pieces that are its bytes; no row holds more than about a KB of it. Small files come whole."""
     (tmp_path / "in").mkdir()
     raw = b"Invoice Number;Status;Total\r\n" + b"".join(b"INV-%09d;F;1.50\n" % k for k in range(300_000)) + b"INV-300000;P;2"
     (tmp_path / "in" / "large +%41 [x].csv").write_bytes(raw)
@@ -197,7 +197,8 @@ def test_a_file_in_pieces_is_parsed_as_a_whole_one(monkeypatch):
     rng = random.Random(4)
     marks = [(b"", "utf-8"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\x00\x00\xfe\xff", "utf-32-be")]
     for _ in range(1500):
-        monkeypatch.setattr(files, "PIECE", rng.choice((1, 3, 7, 1 << 20)))
+        for name in ("PIECE", "READ"):
+            monkeypatch.setattr(files, name, rng.choice((1, 3, 7, 1 << 20)))
         mark, charset = rng.choice(marks)
         raw = "".join(rng.choice('ab;;1 "ä\u2028\t\n\r') for _ in range(rng.randrange(1, 50))).encode(charset)
         if rng.random() < 0.5:
